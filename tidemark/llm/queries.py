@@ -2,15 +2,21 @@
 
 from .byte_bpe import op3_byte_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .html_text import op1_html_text
 from .language_id import op9_language_id
+from .mixing import OP5_SQL, op5_mixing
 from .quality_rules import op7_quality_rules
 from .token_orc import op2_token_orc
+from .warc import op4_warc
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_token_orc": op2_token_orc,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_warc": op4_warc,
+    "op5_mixing": op5_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
 }
-ORACLES = {"op8_exact_dedup": OP8_SQL}
+ORACLES = {"op5_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL}
