@@ -5,6 +5,7 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .html_text import op1_html_text
 from .language_id import op9_language_id
 from .mixing import OP5_SQL, op5_mixing
+from .ngram_join import op6_ngram_join
 from .quality_rules import op7_quality_rules
 from .token_orc import op2_token_orc
 from .warc import op4_warc
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
+    "op6_ngram_join": op6_ngram_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
