@@ -12,6 +12,7 @@ an identifier follow each other, ordered by their ids; empty tables write no row
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from ._common import new_path, partitions, table
 from .byte_bpe import tokenizer_file
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 900_000
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -32,16 +33,22 @@ class ChunkEncoder:
 
     Exact for tokenizers that drop white space, lower-case letter by letter and never merge across white space; ASCII
     letters are lower-cased and ASCII white space is split on before the library sees a chunk. A chunk that ends in one
-    full stop or comma after an ASCII letter is looked up without it.
+    full stop or comma after an ASCII letter is looked up without it. Chunks of lower-case letters alone are one word of
+    the vocabulary's word ends each, so the library gets many of them as one text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        vocabulary = self.library.get_vocab()
+        self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
-        self.ends = {mark: self._ids([mark])[0] for mark in (b".", b",")}
+        self.ends = dict(zip(b".,", self._ids(["b", ".", ","])[1:], strict=True))
 
     @staticmethod
     def of(path: str) -> ChunkEncoder:
@@ -49,27 +56,48 @@ class ChunkEncoder:
             _encoders[path] = ChunkEncoder(path)
         return _encoders[path]
 
-    def _ids(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        groups = [words[i : i + 200] for i in range(0, len(words), 200)]
+        for group, found in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.kind)
+            stops = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(stops) == len(group):
+                raw, size = ids.tobytes(), ids.itemsize
+                out += [raw[a * size : b * size] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+            else:
+                out += self._ids(group)
+        return out
+
+    def _learn(self, new: set[bytes]) -> None:
+        cache, ends = self.cache, self.ends
+        marked = [c for c in new if c[-1] in ends and len(c) > 1 and 97 <= c[-2] <= 122]
+        stems = new.difference(marked)
+        stems.update(c[:-1] for c in marked if c[:-1] not in cache)
+        texts = [(c, c.decode()) for c in stems]
+        words = [(c, s) for c, s in texts if s.isalpha() and s == s.lower()]
+        other = [(c, s) for c, s in texts if not (s.isalpha() and s == s.lower())]
+        cache.update(zip([c for c, _ in words], self._word_ids([s for _, s in words]), strict=True))
+        cache.update(zip([c for c, _ in other], self._ids([s for _, s in other]), strict=True))
+        for c in marked:
+            cache[c] = cache[c[:-1]] + ends[c[-1]]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cache, ends = self.cache, self.ends
+        """Ids of each text as little-endian unsigned integers of self.kind."""
+        if len(self.cache) > CACHE_CHUNKS:
+            self.cache.clear()
         split = [(text or "").encode().lower().split() for text in texts]
-        new = {chunk for chunks in split for chunk in chunks if chunk not in cache}
-        stems = {c[:-1] if len(c) > 1 and c[-1:] in ends and 97 <= c[-2] <= 122 else c for c in new}
-        missing = [s for s in stems if s not in cache]
-        if len(cache) + len(new) > CACHE_CHUNKS:
-            cache.clear()
-            missing = list({c[:-1] if len(c) > 1 and c[-1:] in ends and 97 <= c[-2] <= 122 else c for chunks in split for c in chunks})
-            new = {chunk for chunks in split for chunk in chunks}
-        cache.update(zip(missing, self._ids(missing), strict=True))
-        for chunk in new:
-            if chunk not in cache:
-                cache[chunk] = cache[chunk[:-1]] + ends[chunk[-1:]]
-        for chunks in split:
-            yield b"".join(map(cache.__getitem__, chunks))
+        found = [list(map(self.cache.get, chunks)) for chunks in split]
+        new: set[bytes] = set()
+        for chunks, ids in zip(split, found, strict=True):
+            if None in ids:
+                new.update(c for c, x in zip(chunks, ids, strict=True) if x is None)
+        self._learn(new)
+        for chunks, ids in zip(split, found, strict=True):
+            yield b"".join(map(self.cache.__getitem__, chunks) if None in ids else ids)
 
 
 def range_bounds(docs: DataFrame, ident: str, parts: int) -> list[int]:
@@ -88,7 +116,8 @@ def write_orc(
     schema = pa.schema([(ident, pa.int64()), ("part", pa.int32()), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = ChunkEncoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder = ChunkEncoder.of(tokenizer)
+        end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             for at in range(0, len(batch), 256):
                 some = batch.slice(at, 256)
@@ -97,23 +126,23 @@ def write_orc(
                 yield pa.RecordBatch.from_arrays([key, pa.array(part), pa.array([x + end for x in encoder.encode(some.column(1).to_pylist())], pa.binary())], schema=schema)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, before = 0, None
+        start, before, kind = 0, None, np.dtype(ChunkEncoder.of(tokenizer).kind)
         for batch in batches:
             key, part, raw = batch.columns
-            sizes = np.array([len(x) // 4 for x in raw.to_pylist()], "int64")
+            sizes = np.array([len(x) // kind.itemsize for x in raw.to_pylist()], "int64")
             parts_here = part.to_numpy()
             starts = np.empty(len(sizes), "int64")
             for i, (p, n) in enumerate(zip(parts_here.tolist(), sizes.tolist(), strict=True)):
                 start = start if p == before else 0
                 starts[i], before, start = start, p, start + n
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            values = pa.array(np.frombuffer(b"".join(raw.to_pylist()), "<i4"))
+            values = pa.array(np.frombuffer(b"".join(raw.to_pylist()), kind).astype("<i4"))
             yield pa.RecordBatch.from_arrays([key, part, pa.array(starts), pa.array(sizes), pa.ListArray.from_arrays(offsets, values)], names=[ident, "part", "local_start", "n_tokens", "ids"])
 
     ids = docs.select(F.col(ident).cast("long"), text).mapInArrow(encode, f"`{ident}` bigint, part int, ids binary")
     placed = ids.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col(ident).asc_nulls_first(), "ids")
     placed = placed.mapInArrow(place, f"`{ident}` bigint, part int, local_start bigint, n_tokens bigint, ids array<int>")
-    placed.write.options(**{"compression": "zlib", "orc.row.index.stride": row_index_stride, "orc.stripe.size": stripe_bytes, "orc.bloom.filter.columns": ident, "orc.bloom.filter.fpp": 0.01}).orc(out)
+    placed.write.options(**{"compression": "snappy", "orc.row.index.stride": row_index_stride, "orc.stripe.size": stripe_bytes, "orc.bloom.filter.columns": ident, "orc.bloom.filter.fpp": 0.01}).orc(out)
 
 
 def read_orc(spark: SparkSession, path: str, ident: str = "doc_id") -> DataFrame:
