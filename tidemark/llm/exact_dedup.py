@@ -50,13 +50,19 @@ def exact_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", kee
 
 
 def drop_copies(docs: DataFrame, text: str = "text", ident: str = "doc_id", keep: str = "min") -> DataFrame:
-    """docs without the copies; of rows that repeat the kept identifier and text, one stays. Columns as they came."""
+    """docs without the copies; of rows that repeat the kept identifier and text, one stays. Columns as they came.
+
+    Texts move once, to the join with the rows that go; again only if whole rows repeat.
+    """
     columns = docs.columns
     entries = written(digests(docs, text, ident), "digests")
-    gone = entries.join(merged_runs(entries, keep).where("__size > 1"), KEY).where(~F.col("__id").eqNullSafe(F.col("__keep"))).select(F.col("__id").alias("__gone"), F.col("__second").alias("__gone_hash")).distinct()
-    hashed = docs.withColumn("__hash", F.xxhash64(ascii_lower(F.coalesce(F.col(text), F.lit("")))))
-    left = hashed.join(gone, F.col(ident).eqNullSafe(F.col("__gone")) & (F.col("__hash") == F.col("__gone_hash")), "left_anti")
-    return left.dropDuplicates([ident, "__hash"]).select(*columns)
+    merged = written(merged_runs(entries, keep).where("__size > 1"), "copies")
+    gone = entries.join(merged, KEY).where(~F.col("__id").eqNullSafe(F.col("__keep"))).select(F.xxhash64("__id", "__second").alias("__key")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(ident), F.xxhash64(ascii_lower(F.coalesce(F.col(text), F.lit(""))))))
+    left = keyed.join(gone, "__key", "left_anti")
+    if not entries.join(merged, KEY).where(F.col("__id").eqNullSafe(F.col("__keep"))).groupBy(*KEY).count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["__key"])
+    return left.select(*columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

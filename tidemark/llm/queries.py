@@ -7,6 +7,7 @@ from .language_id import op9_language_id
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_join import op6_ngram_join
 from .quality_rules import op7_quality_rules
+from .suffix_dedup import op10_suffix_dedup
 from .token_orc import op2_token_orc
 from .warc import op4_warc
 
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {"op5_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL}
