@@ -16,10 +16,12 @@ from tidemark.llm.exact_dedup import drop_copies
 from tidemark.llm.language_id import UNKNOWN, identify
 from tidemark.llm.mixing import Mix, mixed, words
 from tidemark.llm.ngram_join import linked_components
+from tidemark.shipping import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are null or have no letter go."""
+    ship(spark)
     return identify(docs).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
@@ -30,6 +32,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of 5-word shingle sets with a Jaccard similarity of 0.8 or more, the smallest doc_id stays."""
+    ship(spark)
     rows = linked_components(docs, n=5, percent=80)
     gone = rows.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
@@ -41,6 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return encoded(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
