@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -20,4 +21,4 @@ def ship(spark: SparkSession) -> None:
         folder = tempfile.mkdtemp(prefix="spark-tidemark-")
         archive = shutil.make_archive(os.path.join(folder, "tidemark_package"), "zip", os.path.dirname(here), os.path.basename(here))
         spark.sparkContext.addPyFile(archive)
-        shutil.rmtree(folder)
+        atexit.register(shutil.rmtree, folder, True)  # executors fetch it from here as they start
