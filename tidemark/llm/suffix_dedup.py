@@ -152,7 +152,7 @@ def _suffixes(splitters: Splitters, length: int, gram: int):
                 if not len(found["start"]):
                     continue
                 key = range_keys(found)
-                part, several = splitters.bucket(key, found["span"] + np.uint64(row % 4))
+                part, several = splitters.bucket(key, _mixed(found["span"] ^ np.uint64(row % 2**64)))
                 columns = [part, several, key, found["gram"].view("i8"), found["span"].view("i8"), np.full(len(key), row, "i8"), found["start"], found["count"].astype("i2"), found["offset"].astype("i2")]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
