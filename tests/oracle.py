@@ -23,17 +23,17 @@ def normal(frame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
 
     def text(x) -> str:
-        if x is None or x != x or str(x) in ("NaT", "<NA>"):
+        if x is None or str(x) in ("NaT", "<NA>", "nan"):
             return ""
         if isinstance(x, bool) or type(x).__name__ == "bool_":
             return str(bool(x))
-        if isinstance(x, float):
-            return repr(round(x, 6) + 0.0)
+        if isinstance(x, (int, float)) or type(x).__module__ == "numpy" and getattr(x, "ndim", 1) == 0 and x.dtype.kind in "iuf":
+            return repr(round(float(x), 6) + 0.0) if abs(x) < 2**53 else str(x)
         if hasattr(x, "tolist"):
             x = x.tolist()
         if isinstance(x, list):
             return "[" + ",".join(map(text, x)) + "]"
-        return str(x)
+        return str(x).removesuffix(" 00:00:00")
 
     return sorted(tuple(map(text, row)) for row in frame.itertuples(index=False, name=None))
 
@@ -44,5 +44,6 @@ def differences(spark_frame, duck_frame) -> str:
     a, b = normal(spark_frame), normal(duck_frame)
     if a == b:
         return ""
-    only, other = [x for x in a if x not in set(b)][:3], [x for x in b if x not in set(a)][:3]
+    left, right = set(a), set(b)
+    only, other = sorted(left - right)[:3], sorted(right - left)[:3]
     return f"{len(a)} and {len(b)} rows; columns {sorted(spark_frame.columns)}; only Spark {only}; only DuckDB {other}"
