@@ -55,12 +55,12 @@ def newest(rows: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
 
 def changed(incoming: DataFrame, ledger: DataFrame, keys: Sequence[str], watched: Sequence[str], version: str = "version", ident: str = "row_id") -> DataFrame:
     """Incoming rows that are new or differ from the newest version in a watched column, with version and supersedes."""
-    last = newest(ledger, keys, version).select(*keys, F.col(version).alias("__v"), F.col(ident).alias("__id"), *(F.col(c).alias(f"__{c}") for c in watched))
+    last = newest(ledger, keys, version).select(*keys, F.col(version).alias("__version"), F.col(ident).alias("__before"), *(F.col(c).alias(f"__old_{c}") for c in watched))
     same = F.lit(True)
     for c in watched:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        same = same & F.col(c).eqNullSafe(F.col(f"__old_{c}"))
     both = incoming.join(last, list(keys), "left")
-    return both.where(F.col("__v").isNull() | ~same).select(*incoming.columns, (F.coalesce("__v", F.lit(0)) + 1).alias(version), F.col("__id").alias("supersedes"))
+    return both.where(F.col("__version").isNull() | ~same).select(*incoming.columns, (F.coalesce("__version", F.lit(0)) + 1).alias(version), F.col("__before").alias("supersedes"))
 
 
 def reconcile(predictions: DataFrame, outcomes: DataFrame, results: DataFrame, closing: DataFrame, now: Column, key: str = "match_id", ident: str = "row_id") -> DataFrame:
