@@ -110,4 +110,19 @@ def judge(docs: DataFrame, text: str = "text", ident: str = "doc_id", rules: lis
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
+    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT r, doc_id, t, w, len(w) AS n, length(array_to_string(w, '')) AS c, len(regexp_extract_all(t, '[#*$%&|<>]')) AS y, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8) q),
+e AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+v AS (SELECT r, sum(k) AS covered FROM (SELECT r, least(8, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 8)) AS k FROM e) q GROUP BY r),
+s AS (SELECT r, count(*) AS stutter FROM (SELECT r, w, unnest(range(2, len(w) + 1)) AS i FROM d) q WHERE w[i] = w[i - 1] GROUP BY r),
+f AS (SELECT m.*, len(l) - len(list_distinct(l)) AS dup, coalesce(covered, 0) AS rep, coalesce(stutter, 0) AS st FROM m LEFT JOIN v ON m.r = v.r LEFT JOIN s ON m.r = s.r)
+SELECT doc_id, n::BIGINT AS n_words, c::BIGINT AS word_chars, y::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words, (n < 20 OR 100 * rep > 30 * n) AS base_failed,
+  NOT (n < 20 OR 100 * rep > 30 * n OR y * 100 > c * 2 OR c < n * 2 OR c > n * 14 OR dup * 10 > greatest(n / 10.0, 10) * 3 OR st * 10 > n * 2 OR len(regexp_extract_all(t, '!')) * 10 > n
+    OR len(regexp_extract_all(t, '[A-Z]')) * 10 > c * 3 OR len(regexp_extract_all(t, '[0-9]')) * 10 > c * 3 OR len(regexp_extract_all(t, '\p{L}')) * 10 < c * 6) AS kept
+FROM f
+"""

@@ -6,7 +6,7 @@ from .html_text import op1_html_text
 from .language_id import op9_language_id
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_join import op6_ngram_join
-from .quality_rules import op7_quality_rules
+from .quality_rules import OP7_SQL, op7_quality_rules
 from .suffix_dedup import op10_suffix_dedup
 from .token_orc import op2_token_orc
 from .warc import op4_warc
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES = {"op5_mixing": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op5_mixing": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL}
