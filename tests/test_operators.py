@@ -218,3 +218,27 @@ def test_refits(spark):
     df = spark.createDataFrame([("m", (base + pd.Timedelta(days=d)).to_pydatetime()) for d in (0, 3, 7, 8, 20)], "model string, at timestamp")
     got = [(r["fit_at"] - base.to_pydatetime()).days for r in models.refit_dates(df, "model", "at").orderBy("at").collect()]
     assert got == [0, 0, 7, 7, 20]
+
+
+def test_calibrators_mend_what_was_bent():
+    rng = np.random.default_rng(5)
+    true = rng.dirichlet([4, 3, 3], 6000)
+    y = np.array([rng.choice(3, p=p) for p in true])
+    bent = true**2 / (true**2).sum(axis=1, keepdims=True)
+    loss = lambda q: -np.log(np.clip(q[np.arange(len(y)), y], 1e-15, 1)).mean()
+    for name, fit in models.CALIBRATORS.items():
+        q = fit(bent, y)(bent)
+        assert np.allclose(q.sum(axis=1), 1) and loss(q) < loss(bent) - 0.01 and loss(q) < loss(true) + 0.01, name
+    assert abs(models.temperature(bent, y) - 2) < 0.15
+    steps = models.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]))(np.array([0.0, 0.1, 0.25, 0.35, 0.9]))
+    assert steps.tolist() == [0.0, 0.0, 0.5, 0.5, 1.0]
+
+
+def test_goal_intervals_hold_the_forecast(spark, sf_dir):
+    results = view(spark, sf_dir, "matches").where("status = 'FINISHED'")
+    cut = F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")
+    fixtures = results.where(F.col("kickoff") > cut).limit(20).withColumn("cutoff", cut).withColumn("away_team", F.when(F.col("match_id") % 2 == 0, -5).otherwise(F.col("away_team")))
+    got = models.goal_intervals(results, fixtures, models.Goals(least=20)).toPandas()
+    assert len(got) and got.p.between(0, 1).all() and (got.low <= got.high).all() and (got.sd >= 0).all() and ((got.low <= got.p) & (got.p <= got.high)).mean() > 0.8
+    three = got[got.market.isin(["home", "draw", "away"])].groupby("match_id").p.sum()
+    assert np.allclose(three, 1)

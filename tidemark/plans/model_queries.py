@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import scores as S
 from ..operators import evaluate, models, pit
+from ..sources.scratch import written
 from ..sources.views import view
 from .registry import Registry
 
@@ -77,20 +78,30 @@ def goal_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("league", "cutoff", "team", "matches", *(F.round(c, 4).alias(c) for c in ("attack", "defence", "attack_sd", "rho")))
 
 
+@R.add("goal_intervals")
+def goal_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market probabilities with intervals for the fixtures of each half year, from the fit at its start."""
+    results, cutoffs = _results(spark, sf_dir), _cutoffs(spark, sf_dir)
+    fixtures = pit.asof_join(results.select("match_id", "league", "kickoff", "home_team", "away_team"), cutoffs.withColumn("c", F.col("cutoff")), ["league"], "kickoff", "c", ["cutoff"]).where("cutoff IS NOT NULL")
+    out = models.goal_intervals(results, fixtures)
+    return out.select("match_id", "market", *(F.round(c, 4).alias(c) for c in ("p", "low", "high", "sd")))
+
+
 @R.add("walk_forward")
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walk-forward backtest: every match is forecast by the fit of the last cutoff before it, by two models; scores by
     model and season. A fit sees only results visible at its cutoff."""
     results, cutoffs = _results(spark, sf_dir), _cutoffs(spark, sf_dir)
-    fits = models.goal_fits(results, cutoffs)
+    fits = written(models.goal_fits(results, cutoffs), "goal-fits")  # read twice
     ready = fits.select("league", "cutoff").distinct()
     fixtures = pit.asof_join(results.select("match_id", "league", "season", "kickoff", "home_team", "away_team", "home_goals", "away_goals"), ready.withColumn("c", F.col("cutoff")), ["league"], "kickoff", "c", ["cutoff"]).where("cutoff IS NOT NULL").drop("c")
     goals = models.expected_goals(fixtures, fits).withColumn("m", S.cells(F.col("lambda_home"), F.col("lambda_away"), F.col("rho")))
     x = S.one_x_two(F.col("m"))
     y = F.when(F.col("home_goals") > F.col("away_goals"), 0).when(F.col("home_goals") == F.col("away_goals"), 1).otherwise(2)
     goal = goals.select("match_id", "season", y.alias("outcome"), F.lit("goals").alias("model"), x[0].alias("p_home"), x[1].alias("p_draw"), x[2].alias("p_away"))
-    history = models.elo_history(results).select("match_id", "elo_home", "elo_away")
-    link = models.link_fits(models.elo_history(results), results, cutoffs).where("slope IS NOT NULL AND NOT isnan(slope)")
+    rated = written(models.elo_history(results), "elo-history")
+    history = rated.select("match_id", "elo_home", "elo_away")
+    link = models.link_fits(rated, results, cutoffs).where("slope IS NOT NULL AND NOT isnan(slope)")
     p = M.ordered_logit((F.col("elo_home") - F.col("elo_away") + 65.0) / 400, F.col("low"), F.col("log_gap"), F.col("slope"))
     elo = fixtures.join(link, ["league", "cutoff"]).join(history, "match_id").select("match_id", "season", y.alias("outcome"), F.lit("elo").alias("model"), p.alias("p"))
     elo = elo.select("match_id", "season", "outcome", "model", F.col("p")[0].alias("p_home"), F.col("p")[1].alias("p_draw"), F.col("p")[2].alias("p_away"))
