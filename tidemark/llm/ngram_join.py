@@ -200,12 +200,14 @@ def linked_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     firsts = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("ident").alias("ident"), F.count("*").alias("copies"))
 
     listed = prefixes.select("node", "size", F.posexplode(F.slice(F.col("grams"), F.lit(1), (F.col("size") - _need(F.col("size"), percent) + 1).cast("int"))).alias("pos", "gram"))
-    shared = listed.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct("pos", "node", "size")).alias("pivot")).where("lo <> hi")
-    entries = listed.join(shared.select("gram", "pivot"), "gram").dropDuplicates(["gram", "node"])
-    entries = written(entries.select("gram", "node", "size", "pos", F.col("pivot.node").alias("node2"), F.col("pivot.pos").alias("pos2"), F.col("pivot.size").alias("size2")), "entries")
+    # Most n-grams have one node: they are told by two numbers a gram before anything wider is shuffled.
+    shared = listed.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("gram")
+    entries = written(listed.join(shared, "gram").groupBy("gram", "node").agg(F.first("size").alias("size"), F.first("pos").alias("pos")), "entries")
+    pivot = entries.groupBy("gram").agg(F.min(F.struct("pos", "node", "size")).alias("pivot"))
+    starred = entries.join(pivot, "gram").select("gram", "node", "size", "pos", F.col("pivot.node").alias("node2"), F.col("pivot.pos").alias("pos2"), F.col("pivot.size").alias("size2"))
 
     ordered = lambda x: x.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    pivots = ordered(entries.where((F.col("node") != F.col("node2")) & _may_link(percent)))
+    pivots = ordered(starred.where((F.col("node") != F.col("node2")) & _may_link(percent)))
     links = _verified(_enough_matches(written(pivots, "pivot-pairs"), prefixes, percent), slim, firsts, n, percent)
     labels = written(components(links), "labels")
 
