@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._common import table
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 UNKNOWN = "und"
 _words = regex.compile(r"\p{L}+").findall
 
