@@ -242,3 +242,12 @@ def test_goal_intervals_hold_the_forecast(spark, sf_dir):
     assert len(got) and got.p.between(0, 1).all() and (got.low <= got.high).all() and (got.sd >= 0).all() and ((got.low <= got.p) & (got.p <= got.high)).mean() > 0.8
     three = got[got.market.isin(["home", "draw", "away"])].groupby("match_id").p.sum()
     assert np.allclose(three, 1)
+
+
+def test_dimension_and_followups(spark, tmp_path):
+    (tmp_path / "c.json").write_text('[{"competition": "A1", "name": "A", "tier": 1, "sources": {"x": "I1"}}, {"competition": "B1", "name": "B", "tier": 2, "sources": {"y": "J1"}}]')
+    dim = lake.competitions(spark, f"file://{tmp_path}/c.json", "x")
+    assert [(r["competition"], r["code"]) for r in dim.collect()] == [("A1", "I1")]
+    index = spark.createDataFrame([("I1", "27", 2020), ("I1", "28", 2021), ("J1", "27", 2020)], "code string, season_code string, season int")
+    done = spark.createDataFrame([("I1/27",)], "dataset_key string")
+    assert [r["dataset_key"] for r in lake.followups(index, dim.select("competition", "code"), done).collect()] == ["I1/28"]

@@ -43,6 +43,24 @@ def expected_datasets(competitions: DataFrame, last_season: Column) -> DataFrame
     return seasons.select("competition", "season", F.concat_ws("/", pair, "code").alias("dataset_key"))
 
 
+def followups(index: DataFrame, wanted: DataFrame, processed: DataFrame | None = None) -> DataFrame:
+    """Datasets that an index names: competition, season, dataset_key. index: code, season_code, season; wanted: competition, code.
+
+    Those already there (processed: dataset_key) are left out.
+    """
+    found = index.join(F.broadcast(wanted), "code").select("competition", "season", F.concat_ws("/", "code", "season_code").alias("dataset_key")).distinct()
+    return found if processed is None else found.join(processed.select("dataset_key"), "dataset_key", "left_anti")
+
+
+COMPETITION = "competition string, name string, country string, tier int, type string, timezone string, season_style string, sources map<string,string>"
+
+
+def competitions(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
+    """The competition dimension from a JSON array; with source only those that it covers, with its code."""
+    rows = spark.read.schema(COMPETITION).option("multiLine", True).json(path)
+    return rows if source is None else rows.where(F.map_contains_key("sources", source)).withColumn("code", F.col("sources")[source])
+
+
 def inbox_kind(files: DataFrame) -> DataFrame:
     """files with provider, kind and key, told by the file's name."""
     name = F.element_at(F.split("path", "/"), -1)
