@@ -256,3 +256,17 @@ def test_pipeline(spark, sf_dir):
             assert docs.columns == columns
     assert sizes[1] == sizes[0] - 2 and sizes[4] >= sizes[3] and sizes[5] == sizes[4]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_duplicates", "mixing", "byte_bpe"]
+
+
+def test_suffix_dedup_with_every_gram_hot(spark, monkeypatch):
+    """Splitters that repeat every key deal all grams over several buckets, so all windows are compared across buckets."""
+    blocks = ["".join(random.choice("ab") for _ in range(90)) for _ in range(3)]
+    texts = [random.choice([x, x[:c] + "zz" + x[c:], "ab" * 20, None]) for x, c in ((random.choice(blocks), random.randint(0, 80)) for _ in range(60))]
+    keys = np.unique(np.concatenate([suffix_dedup.range_keys(suffix_dedup.chosen_suffixes((t or "").encode(), 20, 6)) for t in texts])).tolist()
+    assert all(int(float(k)) == k for k in keys)  # quantiles keep them exactly
+    monkeypatch.setattr(suffix_dedup, "sampled_splitters", lambda *_: suffix_dedup.Splitters(sorted(keys[:: max(1, len(keys) // 10)] * 3)))
+    monkeypatch.setattr(suffix_dedup, "partitions", lambda _: 64)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = suffix_dedup.removed(df, 20, 6, outputs=tuple(names)).orderBy("doc_id").toPandas()
+    assert list(map(tuple, got[names].to_numpy().tolist())) == brute.repeats(texts, 20)

@@ -106,8 +106,8 @@ def chosen_suffixes(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> dict[
 
 
 def range_keys(found: dict[str, np.ndarray]) -> np.ndarray:
-    """Order of the suffixes: by leading bytes, then by gram, as signed numbers."""
-    return ((found["lead"] << np.uint64(32) | found["gram"] >> np.uint64(32)) ^ np.uint64(1 << 63)).view("i8")
+    """Order of the suffixes: by leading bytes, then by gram, as signed numbers of 52 bits (quantiles are doubles)."""
+    return ((found["lead"] << np.uint64(32) | found["gram"] >> np.uint64(32)) ^ np.uint64(1 << 63)).view("i8") >> 12
 
 
 class Splitters:
