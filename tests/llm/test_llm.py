@@ -223,6 +223,28 @@ def test_html(spark):
     assert len(html_text.LABELLED_BLOCKS) <= 200
 
 
+def test_html_keeps_text_below_loose_hints(spark):
+    """What an ancestor says loosely, or says of the whole page, loses no main text; what is hidden or aside stays out."""
+    a = "The first paragraph of the article has more than enough words to be read as text by anyone."
+    b = "The last paragraph of the article has about as many words as the first one and then some more."
+    text, menu, junk = f"<p>{a}</p><p>Yes, indeed.</p><p>{b}</p>", "<nav><a href=x>Home</a> <a href=y>News</a></nav>", "Text that does not belong to the article although it is long enough to look like it."
+    whole, main = f"{a}\n\nYes, indeed.\n\n{b}", []
+    for wrap in (
+        '<div style="overflow:hidden">{}</div>', '<div class="overflow-hidden">{}</div>', '<div aria-hidden="false">{}</div>', '<div data-hidden=1 title="hidden">{}</div>', "<div class='has-sidebar social-science comments-open'>{}</div>",
+        '<article class="post social-science">{}</article>', '<article class="post social">{}</article>', '<main id="header" class="menu"><article>{}</article></main>', "<form class='menu' action=x><article>{}</article></form>",
+        "<form id=aspnetForm action=x><div><h1></h1>{}</div></form>", "<form action=x><div>{}</div></form>", "<div>{}</div>", "<div>{}</div><p>Our page, 2020</p>", "<div>{}</div><p><a href=x>Read more now</a></p>",
+    ):
+        main += [(f'<html class="menu"><body class="has-sidebar comments-open sidebar">{menu}{wrap.format(text)}<footer>us</footer></body></html>', whole)]
+    for wrap in (
+        "<div hidden>{}</div>", '<div aria-hidden="true">{}</div>', '<div style="color:red; display: none">{}</div>', "<div style='visibility:hidden'>{}</div>", '<div class="x sidebar">{}</div>', '<div class="site-footer">{}</div>', "<div id=commentList>{}</div>",
+        "<div role=navigation>{}</div>", "<form action=x>{}</form>", "<form class=newsletter>{}</form>",
+    ):
+        main += [(f"<body>{menu}<div>{text}</div>{wrap.format('<p>' + junk + '</p>')}</body>", whole)]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(main)], "page_id long, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(main)}
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<title>T &amp; U</title><p>Hé\r\n\r\nllo<a href='/x'>x</a>"), (2, None, None), (2, "http://b/", "")], "page_id long, url string, html string")
     a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"

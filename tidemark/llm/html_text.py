@@ -6,7 +6,9 @@ on the small table LABELLED_BLOCKS, by Spark's own trainer, says which blocks ar
 CASE expression, so the page's blocks are judged, filtered and joined by array functions without a shuffle.
 
 Defined results: null html is empty and has empty text; a page without main text has empty text; repeated rows give
-repeated results; markup that is not closed, not nested or cut off ends with the page; empty tables give empty tables.
+repeated results; markup that is not closed, not nested or cut off ends with the page; empty tables give empty tables. What html, body,
+main and article say of themselves in class, id or role holds for no text below them, nor does hiding html or body; a
+form round the page's text (see Form) counts as any division.
 """
 
 from __future__ import annotations
@@ -31,14 +33,19 @@ HINTS = set(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header login masthead menu modal nav navbar navigation newsletter notice pagination"
     " pager popup promo promotion promoted recommended related replies responses share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
+# Words that leave a hint's meaning as it is, as in site-footer or comment-list, and those that make a header a headline's.
+ENTRY = set("article entry page post posts story".split())
+NEUTRAL = ENTRY | set("area bar block body bottom box btn button buttons col column container content group inner item items left link links list main menus outer primary right secondary section site slot text title top unit widgets wrap wrapper".split())
+PAGE = set("html body main article".split())
 CLOSED_BY = {"p": set("p".split()), "li": set("li".split()), "dt": set("dt dd".split()), "dd": set("dt dd".split()), "tr": set("tr td th".split()), "td": set("td th".split()), "th": set("td th".split()), "option": set("option".split())}
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+TOKEN_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+|[^\W\d_a-zA-Z]+")
 RAW_END = {name: re.compile(rf"</{name}\s*>|\Z", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe")}
 SPACE = re.compile(r"\s+")
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "aside", "hinted", "heading"]
 
@@ -60,6 +67,10 @@ LABELLED_BLOCKS = [
     (20, 0, 100, 0, 15, 0, 0, 0, 1, 0, 0), (55, 0, 20, 0, 60, 0, 0, 0, 1, 0, 0), (2, 0, 55, 0, 30, 0, 1, 0, 1, 1, 0), (35, 0, 2, 0, 18, 0, 1, 0, 1, 0, 0), (4, 0.5, 35, 0, 22, 0, 0, 0, 1, 0, 0), (90, 0, 4, 0, 3, 0, 1, 0, 1, 0, 0),
     # stray short text outside an article
     (2, 0, 1, 1, 1, 1, 0, 0, 0, 0, 0), (3, 0, 2, 0.5, 4, 1, 0, 0, 0, 0, 0), (4, 0.6, 3, 1, 2, 0, 0, 0, 0, 0, 0), (6, 0, 3, 1, 3, 1, 0, 0, 0, 0, 0), (1, 0, 0, 0, 3, 1, 0, 0, 0, 0, 0),
+    # short text outside an article that is a link, or is not between unlinked blocks
+    (2, 1, 60, 0, 40, 0, 0, 0, 0, 0, 0), (4, 1, 50, 0, 3, 1, 0, 0, 0, 0, 0), (6, 1, 30, 0, 0, 0, 0, 0, 0, 0, 0), (3, 1, 80, 0, 25, 0, 0, 0, 0, 0, 0), (12, 1, 40, 0, 9, 1, 0, 0, 0, 0, 0), (5, 1, 15, 0, 70, 0, 0, 0, 0, 0, 0), (2, 1, 18, 0, 2, 0, 0, 0, 0, 0, 0),
+    (4, 0, 50, 0, 0, 0, 0, 0, 0, 0, 0), (5, 0, 70, 0, 3, 1, 0, 0, 0, 0, 0), (3, 0, 45, 0, 2, 1, 0, 0, 0, 0, 0), (6, 0, 40, 0, 0, 0, 0, 0, 0, 0, 0), (2, 0, 17, 0, 1, 1, 0, 0, 0, 0, 0), (3, 0, 1, 1, 40, 0, 0, 0, 0, 0, 0), (5, 0, 4, 1, 20, 0, 0, 0, 0, 0, 0), (2, 0, 0, 0, 30, 0, 0, 0, 0, 0, 0),
+    (3, 0, 2, 0, 3, 0, 0, 0, 0, 0, 0), (2, 0, 4, 0, 1, 0, 0, 0, 0, 0, 0), (5, 0, 3, 0, 2, 0, 0, 0, 0, 0, 0), (1, 0, 6, 0, 4, 0, 0, 0, 0, 0, 0),
     # headlines
     (10, 0, 8, 0, 25, 0, 1, 0, 0, 1, 1), (7, 0, 8, 0, 30, 0, 1, 0, 0, 1, 1), (3, 0, 4, 0, 40, 0, 1, 0, 0, 1, 1), (2, 0, 5, 0, 2, 0, 1, 0, 0, 1, 1), (12, 0, 1, 1, 50, 0, 1, 0, 0, 1, 1), (1, 0, 8, 0, 1, 0, 1, 0, 0, 1, 1),
     (9, 1, 8, 0, 60, 0, 1, 0, 0, 1, 1), (9, 0, 3, 1, 60, 0, 0, 0, 0, 1, 1), (6, 0, 70, 0, 60, 0, 0, 0, 0, 1, 1), (11, 0, 0, 0, 80, 0, 0, 0, 0, 1, 1),
@@ -70,22 +81,55 @@ LABELLED_BLOCKS = [
     # paragraphs of pages without an article element
     (45, 0, 9, 0, 60, 0, 0, 0, 0, 0, 1), (80, 0.05, 45, 0, 33, 0, 0, 0, 0, 0, 1), (30, 0, 60, 0, 25, 0, 0, 0, 0, 0, 1), (150, 0, 1, 1, 90, 0, 0, 0, 0, 0, 1), (22, 0.1, 80, 0, 40, 0, 0, 0, 0, 0, 1), (60, 0.1, 2, 1, 5, 1, 0, 0, 0, 0, 1),
     (11, 0, 50, 0, 60, 0, 0, 0, 0, 0, 1), (14, 0, 30, 0, 45, 0, 0, 0, 0, 0, 1), (12, 0, 40, 0, 12, 0, 0, 0, 0, 0, 1),
+    # short paragraphs between them
+    (3, 0, 60, 0, 50, 0, 0, 0, 0, 0, 1), (1, 0, 40, 0, 30, 0, 0, 0, 0, 0, 1), (5, 0, 30, 0, 70, 0, 0, 0, 0, 0, 1), (8, 0, 18, 0, 24, 0, 0, 0, 0, 0, 1), (2, 0, 90, 0, 45, 0, 0, 0, 0, 0, 1), (6, 0, 12, 0, 15, 0, 0, 0, 0, 0, 1),
+    (4, 0, 25, 0, 12, 0, 0, 0, 0, 0, 1), (7, 0, 14, 0.1, 33, 0, 0, 0, 0, 0, 1), (2, 0, 16, 0, 20, 0.05, 0, 0, 0, 0, 1),
+    (2, 0, 50, 0, 2, 0, 0, 0, 0, 0, 1), (2, 0, 2, 0, 50, 0, 0, 0, 0, 0, 1), (1, 0, 20, 0, 3, 0, 0, 0, 0, 0, 1), (4, 0, 1, 0, 22, 0, 0, 0, 0, 0, 1),
+    # paragraphs beside them
+    (17, 0, 4, 1, 2, 0, 0, 0, 0, 0, 1), (25, 0, 2, 0, 1, 0, 0, 0, 0, 0, 1), (18, 0, 3, 0, 1, 1, 0, 0, 0, 0, 1), (30, 0, 5, 1, 3, 0, 0, 0, 0, 0, 1), (20, 0, 1, 0, 4, 1, 0, 0, 0, 0, 1), (50, 0, 4, 0, 6, 0, 0, 0, 0, 0, 1), (70, 0.05, 3, 0, 0, 0, 0, 0, 0, 0, 1),
+    (14, 0, 2, 0, 25, 0, 0, 0, 0, 0, 1), (40, 0.1, 33, 0, 2, 0, 0, 0, 0, 0, 1),
 ]
 
 
-def _says_aside(attributes: str, in_article: bool) -> bool:
-    """Whether a class, id or role has one of HINTS as a word; an article's own header is not aside."""
-    if not attributes or not ATTRIBUTE.search(attributes):
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes by lower-case name; of a repeated one the first counts, as in browsers."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _is_hint(token: str, in_article: bool) -> bool:
+    """Whether a whole class, id or role is made of HINTS and NEUTRAL words; an article's own header is not aside."""
+    words = [w.lower() for w in TOKEN_WORD.findall(token)]
+    hints = {w for w in words if w in HINTS}
+    if hints == {"header"} and (in_article or not ENTRY.isdisjoint(words)):
         return False
-    return any(word in HINTS and not (in_article and word == "header") for m in ATTRIBUTE.finditer(attributes) for word in re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower()))
+    return bool(hints) and all(w in HINTS or w in NEUTRAL or w.isdigit() for w in words)
+
+
+def _says_aside(attributes: dict[str, str], in_article: bool) -> bool:
+    return any(_is_hint(token, in_article) for name in ("class", "id", "role") for token in attributes.get(name, "").split())
+
+
+def _says_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(HIDING.search(attributes.get("style", "")))
+
+
+class Form:
+    """A form is aside unless it is put round the page: it holds an article, main or h1, or most of the page's words outside links."""
+
+    def __init__(self, hinted: bool):
+        self.hinted, self.holds, self.words = hinted, False, 0
 
 
 def flat_blocks(page: str) -> list[dict]:
     """Text blocks in page order: text, words, links (share of words in links), in_article, aside, hinted, heading."""
     blocks: list[dict] = []
-    open_: list[tuple[str, bool, bool, bool, bool]] = []  # name, in_article, aside, hinted, silent
+    outside: tuple[str, bool, bool, bool, bool, tuple[Form, ...]] = ("", False, False, False, False, ())  # name, in_article, aside, hinted, silent, forms
+    open_ = [outside][:0]
     pieces: list[str] = []
-    state, links, in_link, at = ("", False, False, False, False), 0, 0, 0
+    state, links, in_link, at = outside, 0, 0, 0
 
     def close_block() -> None:
         nonlocal links
@@ -94,7 +138,9 @@ def flat_blocks(page: str) -> list[dict]:
         if text:
             words = len(text.split())
             heading = any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in open_)
-            blocks.append({"text": text, "words": words, "links": min(1.0, links / words), "in_article": state[1], "aside": state[2], "hinted": state[3], "heading": heading})
+            blocks.append({"text": text, "words": words, "links": min(1.0, links / words), "in_article": state[1], "aside": state[2], "hinted": state[3], "heading": heading, "forms": state[5]})
+            for form in state[5]:
+                form.words += max(0, words - links)
         links = 0
 
     def pop(name: str) -> None:
@@ -103,7 +149,7 @@ def flat_blocks(page: str) -> list[dict]:
             if open_[i][0] == name:
                 in_link -= sum(x[0] == "a" for x in open_[i:])
                 del open_[i:]
-                state = open_[-1] if open_ else ("", False, False, False, False)
+                state = open_[-1] if open_ else outside
                 return
 
     size = len(page)
@@ -136,16 +182,27 @@ def flat_blocks(page: str) -> list[dict]:
                 pop(open_[-1][0])
             if name in VOID or token[0].endswith("/>"):
                 continue
+            attributes = _attributes(token[3]) if token[3] and not token[3].isspace() else {}
             article = state[1] or name in MAIN
-            aside = state[2] or (name in ASIDE and not (name == "header" and article))
-            hinted = state[3] or _says_aside(token[3], article)
-            silent = state[4] or name in SILENT or bool(token[3] and HIDDEN.search(token[3]))
-            state = (name, article, aside, hinted, silent)
+            aside = state[2] or (name in ASIDE and name != "form" and not (name == "header" and article))
+            says = bool(attributes) and name not in PAGE and _says_aside(attributes, article)
+            hinted = state[3] or (says and name != "form")
+            silent = state[4] or name in SILENT or (bool(attributes) and name not in ("html", "body") and _says_hidden(attributes))
+            forms = (*state[5], Form(says)) if name == "form" else state[5]
+            if name in MAIN or name == "h1":
+                for form in forms:
+                    form.holds = True
+            state = (name, article, aside, hinted, silent, forms)
             open_.append(state)
             in_link += name == "a"
             if name in RAW_END:
                 at = RAW_END[name].search(page, at).start()
     close_block()
+    total = sum(max(0, b["words"] * (1 - b["links"])) for b in blocks)
+    for block in blocks:
+        asides = [form for form in block.pop("forms") if not form.holds and 2 * form.words <= total]
+        block["aside"] = block["aside"] or bool(asides)
+        block["hinted"] = block["hinted"] or any(form.hinted for form in asides)
     return blocks
 
 
