@@ -15,7 +15,7 @@ from tidemark.llm.byte_bpe import encoded, tokenizer_file
 from tidemark.llm.exact_dedup import drop_copies
 from tidemark.llm.language_id import UNKNOWN, identify
 from tidemark.llm.mixing import Mix, mixed, words
-from tidemark.llm.ngram_join import linked_components
+from tidemark.llm.ngram_join import drop_linked
 from tidemark.shipping import ship
 
 
@@ -31,11 +31,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of 5-word shingle sets with a Jaccard similarity of 0.8 or more, the smallest doc_id stays."""
+    """Of each component of 5-word shingle sets with a Jaccard similarity of 0.8 or more, one row stays: the smallest doc_id.
+
+    Rows are decided one by one, also where a doc_id is null (larger than any number) or repeated.
+    """
     ship(spark)
-    rows = linked_components(docs, n=5, percent=80)
-    gone = rows.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return drop_linked(docs, n=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

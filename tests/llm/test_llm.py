@@ -280,6 +280,30 @@ def test_pipeline(spark, sf_dir):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_duplicates", "mixing", "byte_bpe"]
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """One row of each component stays, and every row without a near copy, whatever the identifiers."""
+    words = lambda k: [f"{k}w{j}" for j in range(40)]
+    near = lambda k, v: " ".join([*words(k)[:-1], f"v{v}"])
+    rows = [(None, near("a", 0)), (1, near("a", 1)), (None, near("b", 0)), (None, near("b", 1)), (None, near("c", 0)), (2, near("d", 0)), (2, near("d", 1)), (2, near("d", 2)), (3, near("d", 3)), (2, near("e", 0))]
+    rows += [(1, near("f", 0)), (4, near("g", 0)), (1, near("g", 1)), (5, near("h", 0)), (5, near("h", 0)), (6, near("h", 0)), (None, near("i", 0)), (None, near("i", 0)), (None, None), (None, ""), (7, ""), (7, ""), (2, near("a", 0).upper())]
+    for _ in range(60):
+        rows.append((random.choice([None, 1, 2, 8, 9]), near(random.choice("jklmnopq"), random.randint(0, 4))))
+    places = {i: c for i, (_, c) in brute.components(list(enumerate(t for _, t in rows)), 5, 80).items()}
+    groups: dict = {}
+    for i, c in places.items():
+        groups.setdefault(c if (rows[i][1] or "").strip() else ("alone", i), []).append(rows[i])
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    of_text = {t: c for c, members in groups.items() if not isinstance(c, tuple) for _, t in members}
+    kept: dict = {}
+    for r in got:
+        kept.setdefault(of_text[r["text"]] if r["text"] else "alone", []).append((r["doc_id"], r["text"]))
+    assert sorted(map(str, kept.pop("alone"))) == sorted(str(m[0]) for c, m in groups.items() if isinstance(c, tuple))
+    groups = {c: m for c, m in groups.items() if not isinstance(c, tuple)}
+    assert kept.keys() == groups.keys()
+    for c, members in groups.items():
+        assert len(kept[c]) == 1 and kept[c][0] in members and kept[c][0][0] == min((i for i, _ in members if i is not None), default=None), (c, kept[c], members)
+
+
 def test_suffix_dedup_with_every_gram_hot(spark, monkeypatch):
     """Splitters that repeat every key deal all grams over several buckets, so all windows are compared across buckets."""
     blocks = ["".join(random.choice("ab") for _ in range(90)) for _ in range(3)]

@@ -226,5 +226,26 @@ def linked_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     return rows.join(of_node, "node", "left").select(F.col("ident").alias(ident), F.col("size").alias("n_shingles"), F.coalesce("component", "ident").alias("component_id"))
 
 
+def drop_linked(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """docs without near copies: of each component the row with the smallest identifier stays. Columns as they came.
+
+    Rows are told apart by identifier and text, so null and repeated identifiers are rows like others. A null identifier
+    counts as larger than any, ties go by a hash, and of rows that repeat the chosen identifier and text one stays. Rows
+    without a word all stay. Nothing is joined by component, so a large one is no single task.
+    """
+    columns = docs.columns
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(ident), F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
+    rows = linked_components(keyed, n, percent, text, "__key").where("n_shingles > 0").groupBy("__key").agg(F.first("component_id").alias("__component"), F.count("*").alias("__n"))
+    ids = keyed.groupBy("__key").agg(F.min(ident).alias("__id"))
+    members = written(rows.join(ids, "__key"), "members")
+    chosen = members.groupBy("__component").agg(F.min_by(F.struct("__key", "__n"), F.struct(F.col("__id").isNull(), "__id", "__key")).alias("c"))
+    chosen = written(chosen.select("c.__key", "c.__n"), "chosen")
+    left = keyed.join(members.join(chosen, "__key", "left_anti").select("__key"), "__key", "left_anti")
+    again = chosen.where("__n > 1").select("__key")
+    if not again.isEmpty():
+        left = left.join(again, "__key", "left_anti").unionByName(left.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return left.select(*columns)
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(table(spark, sf_dir, "documents"), n=3, percent=90)
