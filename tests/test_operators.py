@@ -15,6 +15,7 @@ from tidemark.functions import names as N
 from tidemark.functions import odds as O
 from tidemark.functions import scores as S
 from tidemark.operators import decision, ledger, merge, models, pit
+from tidemark.plans import report_queries
 from tidemark.sources import lake
 from tidemark.sources.views import view
 from tidemark.streaming import ticks as streams
@@ -244,6 +245,27 @@ def test_goal_intervals_hold_the_forecast(spark, sf_dir):
     assert np.allclose(three, 1)
 
 
+def test_live_run_is_blind_to_later_prices_and_versions_its_ledger(spark, sf_dir, tmp_path):
+    at, now = "1998-07-02 12:00:00", dt.datetime(1998, 7, 2, 12)
+    m, prices = view(spark, sf_dir, "matches"), view(spark, sf_dir, "prices")
+    fixtures = m.where(f"kickoff > TIMESTAMP_NTZ '{now + dt.timedelta(hours=1)}' AND kickoff <= TIMESTAMP_NTZ '{now + dt.timedelta(days=45)}'").select("match_id", "kickoff")
+    # The fixtures' prices are all seen before now or all after it, by match.
+    early = prices.join(fixtures.select("match_id"), "match_id", "left_semi").withColumn("seen_at", F.when(F.col("match_id") % 2 == 0, F.lit(str(now - dt.timedelta(hours=1))).cast("timestamp_ntz")).otherwise(F.lit(str(now + dt.timedelta(seconds=1))).cast("timestamp_ntz")))
+    later = early.withColumns({"seen_at": F.lit(str(now + dt.timedelta(hours=2))).cast("timestamp_ntz"), "odds_h": F.col("odds_h") + 3})
+    early = early.localCheckpoint()
+    key = lambda rows: sorted((r["match_id"], r["status"], r["model_prob"], r["fair_prob"], r["odds"], r["allowed"], r["version"], r["supersedes"]) for r in rows.collect())
+    one, two = (f"file://{tmp_path}/{x}" for x in ("one", "two"))
+    first = key(report_queries.live_run(m, early, at, one))
+    assert first == key(report_queries.live_run(m, early.unionByName(later), at, two)) and len(first) > 1
+    assert all((x[4] is not None) == (x[0] % 2 == 0) for x in first) and {x[4] is None for x in first} == {True, False} and all(x[6:] == (1, None) for x in first)
+    assert not key(report_queries.live_run(m, early.unionByName(later), at, one))  # nothing changed
+    chosen = next(x[0] for x in first if x[4] is not None)
+    moved = early.withColumn("odds_h", F.when(F.col("match_id") == chosen, F.col("odds_h") + 3).otherwise(F.col("odds_h")))
+    again = {x[0]: x for x in key(report_queries.live_run(m, moved, at, one))}
+    assert chosen in again and all(x[6:] == (2, f"{k}:H:1") for k, x in again.items())
+    assert spark.read.parquet(one).count() == len(first) + len(again)
+
+
 def test_dimension_and_followups(spark, tmp_path):
     (tmp_path / "c.json").write_text('[{"competition": "A1", "name": "A", "tier": 1, "sources": {"x": "I1"}}, {"competition": "B1", "name": "B", "tier": 2, "sources": {"y": "J1"}}]')
     dim = lake.competitions(spark, f"file://{tmp_path}/c.json", "x")

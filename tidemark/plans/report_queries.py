@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import odds as O
 from ..functions import scores as S
-from ..operators import decision, evaluate, market, merge, models, pit, reports
+from ..operators import decision, evaluate, ledger, market, merge, models, pit, reports
+from ..sources.lake import _has_files
+from ..sources.scratch import new_path, written
 from ..sources.views import view
 from .decision_queries import candidates
 from .evaluation_queries import losses
@@ -140,16 +142,19 @@ def duplicate_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.duplicate_ordinals(m, "key", "match_id")
 
 
-@R.add("live_candidates")
-def live_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A live run in the middle of the data: fits as of now, upcoming fixtures, prices visible now, decisions, capped stakes."""
-    now = F.lit("1998-07-02 12:00:00").cast("timestamp_ntz")
-    m = view(spark, sf_dir, "matches")
+_CANDIDATE = "match_id long, league int, day date, selection string, status string, model_prob double, fair_prob double, odds double, stake double, allowed double"
+_LEDGER = f"{_CANDIDATE}, predicted_at timestamp_ntz, version int, supersedes string, row_id string"
+
+
+def live_run(m: DataFrame, prices: DataFrame, at: str, path: str) -> DataFrame:
+    """Judge the upcoming fixtures as of a time and append to the ledger at path those that are new or changed; the rows appended."""
+    spark = m.sparkSession
+    now = F.lit(at).cast("timestamp_ntz")
     results = pit.visible(m.where("status = 'FINISHED'"), now, disputed="disputed")
     cut = m.select("league").distinct().withColumn("cutoff", now)
     fixtures = pit.upcoming(m, now, "kickoff", "match_date").where(F.col("kickoff") <= now + F.expr("INTERVAL 45 DAY")).select("match_id", "league", "kickoff", "match_date", "home_team", "away_team", now.alias("cutoff"))
     goals = models.expected_goals(fixtures, models.goal_fits(results, cut)).withColumn("p", S.one_x_two(S.cells(F.col("lambda_home"), F.col("lambda_away"), F.col("rho")))[0])
-    quotes = pit.latest(view(spark, sf_dir, "prices").select("match_id", "book", "supplier", "seen_at", "odds_h", "odds_d", "odds_a"), ["match_id", "book"], "seen_at", ["supplier"])
+    quotes = pit.latest(pit.visible(prices, now, "seen_at").select("match_id", "book", "supplier", "seen_at", "odds_h", "odds_d", "odds_a"), ["match_id", "book"], "seen_at", ["supplier"])
     inverse = 1 / F.col("odds_h") + 1 / F.col("odds_d") + 1 / F.col("odds_a")
     best = quotes.groupBy("match_id").agg(F.max("odds_h").alias("odds"), F.median(1 / F.col("odds_h") / inverse).alias("fair_prob"))
     rows = goals.join(best, "match_id", "left").select(
@@ -159,7 +164,21 @@ def live_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decision.decide(rows)
     stake = F.when(F.col("status").isin("CANDIDATE", "STRONG_CANDIDATE"), O.stake(F.col("fair_prob") + 0.5 * (F.col("model_prob") - F.col("fair_prob")), F.col("odds"))).otherwise(0.0)
     out = decision.capped(judged.withColumn("stake", stake).drop("flags", "reasons", "warnings"))
-    return out.select("match_id", "day", "status", F.round("model_prob", 4).alias("model_prob"), F.round("allowed", 6).alias("allowed"))
+    # Rounded, so that a fit or a sum made in another order is no change.
+    watched = ["status", "model_prob", "fair_prob", "odds", "allowed"]
+    found = out.withColumns({"selection": F.lit("H"), **{c: F.round(c, 9) for c in ("model_prob", "fair_prob", "stake", "allowed")}}).to(spark.createDataFrame([], _CANDIDATE).schema)
+    old = spark.read.schema(_LEDGER).parquet(path) if _has_files(spark, path) else spark.createDataFrame([], _LEDGER)
+    new = ledger.changed(found.withColumn("predicted_at", now), old, ["match_id", "selection"], watched)
+    new = written(new.withColumns({"version": F.col("version").cast("int"), "row_id": F.concat_ws(":", "match_id", "selection", "version")}).select(*old.columns), "live-run")
+    new.write.mode("append").parquet(path)
+    return new
+
+
+@R.add("live_candidates")
+def live_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live run in the middle of the data: fits as of now, upcoming fixtures, prices visible now, decisions, capped stakes, appended to a new ledger."""
+    out = live_run(view(spark, sf_dir, "matches"), view(spark, sf_dir, "prices"), "1998-07-02 12:00:00", new_path(spark, "live-ledger"))
+    return out.select("match_id", "day", "status", F.round("model_prob", 4).alias("model_prob"), F.round("allowed", 6).alias("allowed"), "version", "supersedes")
 
 
 @R.add("decision_by_status", "SELECT model, count(*) n FROM (SELECT f.match_id, f.model FROM forecasts f LEFT JOIN prices q ON f.match_id = q.match_id AND q.book = 1 AND f.match_id % 23 <> 0) z GROUP BY model", ("matches", "prices", "forecasts"))
