@@ -6,8 +6,8 @@ before it. A token may end a prefix if it is compatible with the last token of t
 undoing the two tokens' merges from the latest to the earliest never shows a merge across their border that BPE would
 have made first.
 
-Encoding runs in each task on Arrow batches, one lookup a piece; a piece met before in that worker process comes from a
-bounded cache. No shuffle. Defined results: null text is encoded as empty (no ids); empty tables give empty tables;
+Encoding runs in each task on Arrow batches. An automaton yields the tokens that end at each byte; chunks and pieces met
+before in that worker process come from bounded caches. No shuffle. Defined results: null text is encoded as empty (no ids); empty tables give empty tables;
 repeated rows are encoded alike; other columns are not read.
 """
 
@@ -15,16 +15,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import table
+from ._common import places_of_none, table
 
-CACHE_PIECES, KNOWN_PAIRS = 800_000, 500_000
+CACHE_PIECES, CACHE_CHUNKS, KNOWN_PAIRS = 1_200_000, 500_000, 500_000
 _NONE = 1 << 30
 
 
@@ -48,12 +50,13 @@ class Vocabulary:
                 self.merges[parts[0], parts[1]] = rank
             else:
                 self.loose.add(rank)
-        found: dict[bytes, set[int]] = {}
+        #: Finds all tokens that end at each byte, longest first. Bytes are put as the characters of the same number.
+        self.ends = ahocorasick.Automaton()
         for raw, rank in ranks.items():
             if rank not in self.loose:
-                found.setdefault(raw[-2:], set()).add(len(raw))
-        #: Lengths of the tokens that end in these two bytes (or are this one byte), longest first.
-        self.sizes = {tail: sorted(sizes, reverse=True) for tail, sizes in found.items()}
+                self.ends.add_word(raw.decode("latin-1"), (len(raw), rank))
+        self.ends.make_automaton()
+        self.longest = max(map(len, ranks))
         self.known: dict[int, bool] = {}
 
     def _merged(self, raw: bytes, below: int) -> list[int]:
@@ -100,28 +103,24 @@ class Prefixes:
         self.append(raw)
 
     def append(self, raw: bytes) -> None:
-        start, self.raw = len(self.raw), self.raw + raw
-        v, text, last = self.v, self.raw, self.last
-        get, sizes, known, ranks = v.ranks.get, v.sizes, v.known, v.ranks
-        for end in range(start + 1, len(text) + 1):
-            found = ranks[text[end - 1 : end]]  # fits if no longer token does
-            for size in sizes.get(text[end - 2 : end], ()) if end > 1 else ():
-                token = get(text[end - size : end]) if size <= end else None
-                if token is None:
-                    continue
-                if size == end:
-                    found = token
-                    break
-                pair = last[end - size - 1] << 32 | token
+        """One pass of the automaton: at each end the longest token that is compatible with what its start ends in."""
+        done, self.raw = len(self.raw), self.raw + raw
+        v, last = self.v, self.last
+        known, begin = v.known, max(0, done - v.longest)
+        for end, (size, token) in v.ends.iter(self.raw.decode("latin-1"), begin):
+            if end < done:
+                continue
+            if size <= end:
+                pair = last[end - size] << 32 | token
                 fits = known.get(pair)
                 if fits is None:
                     if len(known) >= KNOWN_PAIRS:
                         known.clear()
-                    fits = known[pair] = v.compatible(pair >> 32, token)
-                if fits:
-                    found = token
-                    break
-            last.append(found)
+                    fits = known[pair] = size == 1 or v.compatible(pair >> 32, token)  # one byte fits if no longer token does
+                if not fits:
+                    continue
+            last.append(token)
+            done = end + 1
 
     def edit(self, start: int, stop: int, raw: bytes) -> None:
         """Put raw in place of bytes start to stop; entries before start stay, those after it are found anew."""
@@ -146,12 +145,26 @@ def load_ranks(path: str) -> dict[bytes, int]:
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
+def _spaced(split) -> bool:
+    """Whether a pattern's matches start at spaces as Encoder needs it, tried on texts of all kinds of characters."""
+    kinds = ["a", "Z", "é", "日", "7", "٣", ".", "'", "'s", "'ll", "_", "\u0301", "\n", "\n\n", "\t", "\u00a0", "🙂", "\x00"]
+    after = [k for k in kinds if not k.isspace()]
+    return all(split(f"{x}{y} {z}{x}") == split(f"{x}{y}") + split(f" {z}{x}") for x in kinds for y in kinds for z in after)
+
+
 class Encoder:
-    """Splits by a pattern and encodes each match on its own."""
+    """Splits by a pattern and encodes each match on its own.
+
+    Texts are cut at single spaces first, and each chunk is looked up whole, if the pattern lets a match start at every space
+    before a character that is not white space, and go back over no such space (``spaced``, the case of public PATTERN). A
+    text where a space precedes white space or the end is split by the pattern as a whole.
+    """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, spaced: bool | None = None):
         self.v, self.split = Vocabulary(load_ranks(path)), regex.compile(pattern).findall
+        self.spaced = _spaced(self.split) if spaced is None else spaced
         self.cache: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes | None] = {}
 
     @staticmethod
     def of(path: str, pattern: str) -> Encoder:
@@ -163,19 +176,36 @@ class Encoder:
         whole = self.v.ranks.get(raw)
         return [whole] if whole is not None else Prefixes(self.v, raw).tokens()
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def _pieces(self, text: str) -> bytes:
         cache, out = self.cache, []
         for piece in self.split(text):
             ids = cache.get(piece)
             if ids is None:
-                ids = np.array(self.piece(piece.encode()), "<u4").tobytes()
+                ids = array("I", self.piece(piece.encode())).tobytes()
                 if len(cache) >= CACHE_PIECES:
                     cache.clear()
                 cache[piece] = ids
             out.append(ids)
         return b"".join(out)
 
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if not self.spaced:
+            return self._pieces(text)
+        chunks, first = self.chunks, text.partition(" ")
+        rest = first[2].split(" ") if first[1] else []
+        if len(chunks) > CACHE_CHUNKS:
+            chunks.clear()
+        found = list(map(chunks.get, rest))
+        for at in places_of_none(found):
+            chunk = rest[at]
+            if chunk not in chunks:
+                if not chunk or chunk[0].isspace():
+                    return self._pieces(text)
+                chunks[chunk] = self._pieces(" " + chunk)
+            found[at] = chunks[chunk]
+        return b"".join([self._pieces(first[0]), *found])
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

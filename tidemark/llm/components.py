@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import removed, written
 
 
 def _smallest(links: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = written(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "links")
     state = None
     while True:
-        links = written(_small_star(_large_star(links)), "links")
+        links, old = written(_small_star(_large_star(links)), "links"), links
+        removed(old)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break
