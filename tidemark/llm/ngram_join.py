@@ -1,18 +1,21 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes.
 
-Texts become sets of 64-bit hashes of word n-grams; equal sets are one node. All n-grams have one global order: rarest
-first by a count sketch of fixed size, then by hash. If two sets reach the threshold, they share an n-gram within each
-other's prefix, and at the first such n-gram enough of both sets is left (position filter). Each node's prefix is
-lengthened by l - 1 n-grams, with l chosen by the estimated cost of its candidates (lists read, and pairs that survive
-to be verified); a pair then needs min(l) common n-grams in the prefixes for that l before its full sets are compared.
-All three tests are exact: they drop no pair that reaches the threshold. The sketch only affects speed.
-
-Only components are asked for, so pairs within a group are not enumerated. First every node of a prefix n-gram meets one
-pivot, the node in which that n-gram comes earliest; then only pairs between components still apart are joined.
+Texts become sets of 64-bit hashes of word n-grams; equal sets are one node, named by 120 bits of a digest of the set. All
+n-grams have one global order: rarest first by a count sketch of fixed size, then by hash. If two sets reach the
+threshold, they share an n-gram within each other's prefix, in the smaller set's even shorter one, and at the first such
+n-gram enough of both sets is left (position filter). Each node's prefix is lengthened by l - 1 n-grams, with l chosen by
+the estimated cost of its candidates (lists read, and pairs that survive to be verified); a pair then needs min(l) common
+n-grams in the prefixes for that l, and parity bitmaps that differ in few enough bits, before its full sets are compared.
+All tests are exact: they drop no pair that reaches the threshold. The sketch only affects speed.
+
+Only components are asked for, so pairs within a group are not enumerated. The lists are sorted once by n-gram; every node
+of a list meets one pivot, a node in which that n-gram comes early. An n-gram that a five-hundredth of the rows or more
+list is dealt over salted lists, whose pivots then meet one pivot of theirs. Then only pairs between components still apart are
+joined; where a list holds many nodes outside its main component, the key is lengthened by a second shared n-gram.
 
 Defined results: null texts and texts without a word have an empty set, linked with nothing; texts of fewer than n
-words have one n-gram, the whole sequence; repeated rows are copies; a null identifier counts as larger than any.
-Node numbers are 64 bits of a 128-bit digest of the set.
+words have one n-gram, the whole sequence; repeated rows are copies; a null identifier counts as larger than any;
+columns other than the text and the identifier are not read, so their names cannot clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,14 +30,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import partitions, table, written
+from ._common import partitions, removed, table, written
 from .components import components
 
 SKETCH_BITS, SLICE_BITS = 24, 16
 MATCHES = 4
 VERIFY_COST = 50  # list entries read that cost as much as one verification
+HOT_SHARE, HOT_ROWS = 500, 1000  # a list is salted from rows / HOT_SHARE entries on, HOT_ROWS at least
+HEAVY = 64  # nodes outside a list's main component from which on a second n-gram joins the key
+BROADCAST_ROWS = 1_000_000  # identifiers (some 50 MB) that are broadcast to fetch texts; beyond that the texts are shuffled
 _FACTOR, _SHORT = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 _word_hash = xxhash.xxh3_64_intdigest
+NODE, NODE_TYPE = "decimal(38,0)", pa.decimal128(38, 0)
 
 
 def ngrams(text: str | None, n: int) -> np.ndarray:
@@ -53,11 +60,22 @@ def ngrams(text: str | None, n: int) -> np.ndarray:
     return np.unique(rolled)
 
 
-def node_of(h: np.ndarray) -> int | None:
-    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=16).digest()[:8], "little", signed=True) if len(h) else None
+def node_of(h: np.ndarray) -> bytes | None:
+    """120 bits of a digest of a set, as a little-endian number of 16 bytes."""
+    return hashlib.blake2b(h.tobytes(), digest_size=15).digest() + b"\0" if len(h) else None
+
+
+def node_array(nodes: list[bytes | None]) -> pa.Array:
+    there = pa.array([x is not None for x in nodes], pa.bool_())
+    return pa.Array.from_buffers(NODE_TYPE, len(nodes), [there.buffers()[1], pa.py_buffer(b"".join(x or bytes(16) for x in nodes))])
 
 
-def _nodes_and_counts(n: int, text_at: int = 1):
+def _halves(nodes: pa.Array) -> np.ndarray:
+    """Nodes without nulls as rows of two numbers."""
+    return np.frombuffer(nodes.buffers()[1], "u8").reshape(-1, 2)[nodes.offset : nodes.offset + len(nodes)]
+
+
+def _nodes_and_counts(n: int, ident: pa.DataType):
     """A row per document (kind 0: ident, size, node) and the counts of the task's n-grams (kind 1: slice, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,19 +83,19 @@ def _nodes_and_counts(n: int, text_at: int = 1):
         names = ["kind", "ident", "size", "node", "slice", "counts"]
         for batch in batches:
             sizes, nodes = [], []
-            for value in batch.column(text_at):
+            for value in batch.column(1):
                 h = ngrams(value.as_py(), n)
                 np.add.at(counts, h >> np.uint64(64 - SKETCH_BITS), 1)
                 sizes.append(len(h))
                 nodes.append(node_of(h))
             m = len(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column(0), pa.array(sizes, pa.int64()), node_array(nodes), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         parts = counts.reshape(-1, 1 << SLICE_BITS)
         used = np.flatnonzero(parts.any(axis=1)).tolist()
         packed = [zlib.compress(parts[i].tobytes(), 1) for i in used]
         m = len(used)
         if m:
-            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, ident), pa.nulls(m, pa.int64()), pa.nulls(m, NODE_TYPE), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     return run
 
@@ -117,28 +135,58 @@ def least_overlap(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def parity_bits(h: np.ndarray) -> bytes:
+    """Bit i says whether an odd number of elements falls on it; at least half as many bits as elements."""
+    width = max(64, 1 << max(0, len(h) // 2 - 1).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(width - 1)).astype("i8"), minlength=width) & 1).astype("u1"), bitorder="little").tobytes()
+
+
+def differing_bits(x: bytes, y: bytes) -> int:
+    """At most the number of elements that are in one set alone. The longer bitmap is folded to the shorter one's length."""
+    a, b = np.frombuffer(x, "u1"), np.frombuffer(y, "u1")
+    if len(a) != len(b):
+        few = min(len(a), len(b))
+        a, b = (np.bitwise_xor.reduce(v.reshape(-1, few), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+PREFIX = f"kind int, node {NODE}, size bigint, matches int, grams array<bigint>, bits binary, counts array<bigint>"
+
+
 def _prefixes(n: int, percent: int, sketch):
+    """A row per document (kind 0) and, for each batch of rows, n-grams that many of its prefixes hold, with counts (kind 1)."""
+    names = ["kind", "node", "size", "matches", "grams", "bits", "counts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(sketch.value, "u1")
         for batch in batches:
-            rows: list[tuple[int, int, int, np.ndarray]] = []
+            rows: list[tuple] = []
+            listed: list[np.ndarray] = []
             for value in batch.column(0):
                 h = ngrams(value.as_py(), n)
                 if not len(h):
                     continue
                 rarity = classes[h >> np.uint64(64 - SKETCH_BITS)]
                 need = least_overlap(len(h), percent)
-                most = min(MATCHES, need)
+                most, least = min(MATCHES, need), min(2, need)
                 order = np.lexsort((h, rarity))[: len(h) - need + most]
                 lists = np.cumsum(_estimate(rarity[order]))
                 costs = [lists[len(h) - need + k - 1] * (1 + VERIFY_COST / k) for k in range(1, most + 1)]
                 matches = 1 + int(np.argmin(costs))
-                rows.append((node_of(h), len(h), matches, h[order[: len(h) - need + matches]].view("i8")))
+                grams = h[order[: len(h) - need + max(matches, least)]].view("i8")
+                listed.append(grams[: len(h) - need + 1])
+                rows.append((node_of(h), len(h), matches, grams, parity_bits(h)))
             if rows:
-                node, size, matches, grams = zip(*rows, strict=True)
+                node, size, matches, grams, bits = zip(*rows, strict=True)
                 offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(grams)))
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(matches, pa.int32()), lists], names=["node", "size", "matches", "grams"])
+                m = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), node_array(list(node)), pa.array(size, pa.int64()), pa.array(matches, pa.int32()), lists, pa.array(bits, pa.binary()), pa.nulls(m, pa.list_(pa.int64()))], names=names)
+                gram, count = np.unique(np.concatenate(listed), return_counts=True)
+                often = count >= max(4, m // HOT_SHARE)
+                if often.any():
+                    whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype("i8")))
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, NODE_TYPE), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), whole(gram[often]), pa.nulls(1, pa.binary()), whole(count[often])], names=names)
 
     return run
 
@@ -153,27 +201,87 @@ def _may_link(percent: int) -> Column:
     return (F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent) & (left * (100 + percent) >= (F.col("size") + F.col("size2")) * percent)
 
 
-def _enough_matches(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with min(matches) common n-grams in the prefixes for that number."""
+ENTRY = f"gram bigint, salted boolean, node {NODE}, size int, pos int, node2 {NODE}, size2 int, pos2 int"
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of a sorted list beside the list's first one, the pivot. A list of one node only is left out, unless it
+    is salted, and so is one whose first entry, and thus every entry, comes too late for the smaller set of a pair.
+
+    Of a list that goes on in the next batch only the pivot is held."""
+    names = ["gram", "salted", "node", "size", "pos", "node2", "size2", "pos2"]
+    held: pa.RecordBatch | None = None  # the pivot of the last list
+    shown = False  # whether its own row is out
+    for batch in batches:
+        if not len(batch):
+            continue
+        t = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        gram, salt, late, size, pos = (t.column(x).to_numpy(zero_copy_only=False) for x in ("gram", "salt", "late", "size", "pos"))
+        node = _halves(t.column("node"))
+        place = np.arange(len(t))
+        new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])])
+        pivot = np.maximum.accumulate(np.where(new, place, 0))
+        salted = salt[pivot] >= 0
+        again = np.concatenate([[False], (node[1:] == node[:-1]).all(axis=1) & ~new[1:]])
+        other = ~again & (node != node[pivot]).any(axis=1) & (salted | ~late[pivot])
+        own = np.zeros(len(t), bool)
+        own[pivot[other]] = True
+        own |= new & salted
+        if held is not None and shown:
+            own[0] = False
+        last = int(pivot[-1])
+        shown = bool(own[last]) or (last == 0 and held is not None and shown)
+        out = np.flatnonzero(own | other)
+        if len(out):
+            first = pivot[out]
+            yield pa.RecordBatch.from_arrays([pa.array(gram[out]), pa.array(salted[out]), t.column("node").take(pa.array(out)), pa.array(size[out]), pa.array(pos[out]), t.column("node").take(pa.array(first)), pa.array(size[first]), pa.array(pos[first])], names=names)
+        held = t.slice(last, 1)
+
+
+def _lists(entries: DataFrame) -> DataFrame:
+    """entries: gram, salt, late, node, size, pos."""
+    dealt = entries.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "late", "pos", "node")
+    return dealt.select("gram", "salt", "late", "node", "size", "pos").mapInArrow(_met, ENTRY)
+
+
+def _likely(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with min(matches) common n-grams in the prefixes for that number, and bitmaps that allow the threshold."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    few = written(prefixes.join(ends, "node", "left_semi").groupBy("node").agg(F.first(F.struct("size", "matches", "grams")).alias("p")), "prefixes-used")
-    pa_, pb = few.select(F.col("node").alias("a"), F.col("p").alias("p")), few.select(F.col("node").alias("b"), F.col("p").alias("q"))
-    both = pairs.join(pa_, "a").join(pb, "b").withColumn("m", F.least("p.matches", "q.matches"))
-    cut = lambda x: F.slice(F.col(f"{x}.grams"), F.lit(1), (F.col(f"{x}.size") - _need(F.col(f"{x}.size"), percent) + F.col("m")).cast("int"))
-    return both.where(F.size(F.array_intersect(cut("p"), cut("q"))) >= F.col("m")).select("a", "b")
+    few = written(prefixes.join(ends, "node", "left_semi").groupBy("node").agg(F.first(F.struct("size", "matches", "grams", "bits")).alias("p")), "prefixes-used")
+    side = lambda x: few.select(F.col("node").alias(x), *(F.col(f"p.{c}").alias(f"{x}_{c}") for c in ("size", "matches", "grams", "bits")))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            sizes, matches, bits, grams = ([batch.column(f"{x}_{c}") for x in "ab"] for c in ("size", "matches", "bits", "grams"))
+            for i, (s, t, k, m, x, y) in enumerate(zip(*(c.to_pylist() for c in (*sizes, *matches, *bits)), strict=True)):
+                common = -(-percent * (s + t) // (100 + percent))
+                fits = differing_bits(x, y) <= s + t - 2 * common
+                if fits:
+                    k = min(k, m)
+                    g, h = (c[i].values.to_numpy()[: size - least_overlap(size, percent) + k] for c, size in zip(grams, (s, t), strict=True))
+                    fits = len(np.intersect1d(g, h, assume_unique=True)) >= k
+                keep.append(fits)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in "ab"], names=["a", "b"])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{x}_{c}" for x in "ab" for c in ("size", "matches", "grams", "bits")))
+    out = written(both.mapInArrow(test, f"a {NODE}, b {NODE}"), "likely")
+    removed(few)
+    return out
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links among pairs (a, b). docs: ident, text; firsts: node, ident of one document."""
-    pairs = written(pairs, "pairs")
+    """Links among the written pairs (a, b). docs: ident, text; firsts: node, ident of one document."""
     wanted = firsts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("ident").alias("__ident"))
+    wanted = written(wanted, "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(node, h) for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if node_of(h := ngrams(text, n)) == node]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.int64()), pa.array([h.tobytes() for _, h in made], pa.binary())], names=["node", "grams"])
+            made = [(node, h) for node, text in zip(_halves(batch.column(0)), batch.column(1), strict=True) if node_of(h := ngrams(text.as_py(), n)) == node.tobytes()]
+            yield pa.RecordBatch.from_arrays([node_array([x.tobytes() for x, _ in made]), pa.array([h.tobytes() for _, h in made], pa.binary())], names=["node", "grams"])
 
-    found = docs.join(wanted, F.col("ident").eqNullSafe(F.col("__ident"))).select("node", "text").mapInArrow(sets, "node bigint, grams binary")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    found = docs.join(side, F.col("ident").eqNullSafe(F.col("__ident"))).select("node", "text").mapInArrow(sets, f"node {NODE}, grams binary")
     found = written(found.dropDuplicates(["node"]), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,39 +294,74 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, n: int, perc
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint"), "links")
+    links = written(both.select("a", "b", "x", "y").mapInArrow(compare, f"a {NODE}, b {NODE}"), "verified")
+    removed(found, wanted, pairs)
+    return links
+
+
+def _hot(marks: DataFrame, rows: int) -> DataFrame:
+    """gram, salts: n-grams of many prefixes. At most HOT_SHARE times the mean number of n-grams a prefix."""
+    counted = marks.select(F.explode(F.arrays_zip("grams", "counts")).alias("x")).groupBy(F.col("x.grams").alias("gram")).agg(F.sum("x.counts").alias("n"))
+    least = max(HOT_ROWS, rows // HOT_SHARE)
+    return counted.where(F.col("n") >= least).select("gram", F.ceil(2 * F.col("n") / least).alias("salts"))
+
+
+def _between(entries: DataFrame, labels: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a list, in question still."""
+    sides = entries.select("gram", "node", "size", "pos").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_label = sides.groupBy("gram", "label").agg(F.count("*").alias("n"))
+    apart = of_label.groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("off")).where("off > 0")
+    sides = written(sides.join(apart, "gram").withColumn("heavy", F.lit(percent > 50) & (F.col("off") > HEAVY)), "apart")
+    plain = sides.where("NOT heavy").withColumn("second", F.lit(0).cast("long"))
+    # Linked sets of two or more n-grams share a second one in the prefixes for two matches.
+    heads = sides.where("heavy")
+    two = F.slice("grams", F.lit(1), (F.col("p.size") - _need(F.col("p.size"), percent) + 2).cast("int"))
+    longer = heads.join(prefixes.alias("p").select("node", two.alias("seconds")).join(heads.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node")
+    longer = longer.withColumn("second", F.explode("seconds")).where("second <> gram").select(*plain.columns)
+    keyed = plain.unionByName(longer)
+    one = keyed.where("label <> main").drop("off", "heavy")
+    other = keyed.select("gram", "second", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
+    rest = one.join(other, ["gram", "second"]).where((F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("node") < F.col("node2"))) & _may_link(percent))
+    out = written(_ordered(rest), "rest-pairs")
+    removed(sides)
+    return out
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
 def linked_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """One row per document: ident, n_shingles, component_id (smallest identifier reachable by links)."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(ident).cast("long").alias("ident"), F.col(text).alias("text"))
-    first = written(slim.mapInArrow(_nodes_and_counts(n), "kind int, ident bigint, size bigint, node bigint, slice int, counts binary"), "nodes")
+    slim = docs.select(F.col(ident).alias("ident"), F.col(text).alias("text"))
+    kind = slim.schema["ident"].dataType.simpleString()
+    arrow = pa.binary() if kind == "binary" else pa.int64()
+    slim = slim if kind == "binary" else slim.withColumn("ident", F.col("ident").cast("long"))
+    first = written(slim.mapInArrow(_nodes_and_counts(n, arrow), f"kind int, ident {'binary' if kind == 'binary' else 'bigint'}, size bigint, node {NODE}, slice int, counts binary"), "nodes")
     rows = first.where("kind = 0").select("ident", "size", "node")
     sketch = spark.sparkContext.broadcast(_sketch(first.where("kind = 1").select("slice", "counts")))
-    prefixes = written(slim.select("text").mapInArrow(_prefixes(n, percent, sketch), "node bigint, size bigint, matches int, grams array<bigint>"), "prefixes")
+    made = written(slim.select("text").mapInArrow(_prefixes(n, percent, sketch), PREFIX), "prefixes")
+    prefixes = made.where("kind = 0").select("node", "size", "matches", "grams", "bits")
     firsts = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("ident").alias("ident"), F.count("*").alias("copies"))
 
-    listed = prefixes.select("node", "size", F.posexplode(F.slice(F.col("grams"), F.lit(1), (F.col("size") - _need(F.col("size"), percent) + 1).cast("int"))).alias("pos", "gram"))
-    # Most n-grams have one node: they are told by two numbers a gram before anything wider is shuffled.
-    shared = listed.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("gram")
-    entries = written(listed.join(shared, "gram").groupBy("gram", "node").agg(F.first("size").alias("size"), F.first("pos").alias("pos")), "entries")
-    pivot = entries.groupBy("gram").agg(F.min(F.struct("pos", "node", "size")).alias("pivot"))
-    starred = entries.join(pivot, "gram").select("gram", "node", "size", "pos", F.col("pivot.node").alias("node2"), F.col("pivot.pos").alias("pos2"), F.col("pivot.size").alias("size2"))
-
-    ordered = lambda x: x.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    pivots = ordered(starred.where((F.col("node") != F.col("node2")) & _may_link(percent)))
-    links = _verified(_enough_matches(written(pivots, "pivot-pairs"), prefixes, percent), slim, firsts, n, percent)
-    labels = written(components(links), "labels")
-
-    sides = entries.select("gram", "node", "size", "pos").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = sides.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", F.struct("pos", "node")).alias("main")).where("lo <> hi")
-    sides = written(sides.join(apart.select("gram", "main"), "gram"), "apart")
-    one = sides.where("label <> main")
-    two = sides.select("gram", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
-    rest = one.join(two, "gram").where((F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("node") < F.col("node2"))) & _may_link(percent))
-    more = _verified(_enough_matches(written(ordered(rest), "rest-pairs"), prefixes, percent), slim, firsts, n, percent)
-    labels = written(components(links.unionByName(more)), "labels")
+    size = F.col("size")
+    listed = prefixes.select("node", F.col("size").cast("int").alias("size"), F.posexplode(F.slice(F.col("grams"), F.lit(1), (size - _need(size, percent) + 1).cast("int"))).alias("pos", "gram"))
+    late = (size - F.col("pos")) * (100 + percent) < size * 2 * percent  # too late for the smaller set of a pair
+    listed = listed.join(F.broadcast(_hot(made.where("kind = 1"), rows.count())), "gram", "left")
+    salt = F.when(F.col("salts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.col("salts"))).cast("int")
+    entries = written(_lists(listed.select("gram", salt.alias("salt"), late.alias("late"), "node", "size", "pos")), "entries")
+    pivots = entries.where(F.col("salted") & (F.col("node") == F.col("node2"))).select("gram", F.lit(-1).alias("salt"), F.lit(False).alias("late"), "node", "size", "pos")
+    starred = entries.unionByName(_lists(pivots)).where((F.col("node") != F.col("node2")) & _may_link(percent))
+    candidates = written(_ordered(starred), "pivot-pairs")
+    links = _verified(_likely(candidates, prefixes, percent), slim, firsts, n, percent)
+    labels = components(links)
+
+    apart = _between(entries, labels, prefixes, percent)
+    removed(candidates, entries)
+    more = _verified(_likely(apart, prefixes, percent), slim, firsts, n, percent)
+    removed(apart, made)
+    labels = components(links.unionByName(more))
 
     grouped = firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = grouped.groupBy("label").agg(F.min("ident").alias("component"), F.sum("copies").alias("members")).where("members > 1")
@@ -229,12 +372,13 @@ def linked_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
 def drop_linked(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """docs without near copies: of each component the row with the smallest identifier stays. Columns as they came.
 
-    Rows are told apart by identifier and text, so null and repeated identifiers are rows like others. A null identifier
-    counts as larger than any, ties go by a hash, and of rows that repeat the chosen identifier and text one stays. Rows
-    without a word all stay. Nothing is joined by component, so a large one is no single task.
+    Rows are told apart by a 128-bit digest of identifier and text, so null and repeated identifiers are rows like others. A
+    null identifier counts as larger than any, ties go by the digest, and of rows that repeat the chosen identifier and
+    text one stays. Rows without a word all stay. Nothing is joined by component, so a large one is no single task.
     """
     columns = docs.columns
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(ident), F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
+    name = F.concat_ws("/", F.coalesce(F.length(F.col(ident).cast("string")), F.lit(-1)).cast("string"), F.col(ident).cast("string"), F.coalesce(F.col(text), F.lit("")))
+    keyed = docs.withColumn("__key", F.unhex(F.md5(name)))
     rows = linked_components(keyed, n, percent, text, "__key").where("n_shingles > 0").groupBy("__key").agg(F.first("component_id").alias("__component"), F.count("*").alias("__n"))
     ids = keyed.groupBy("__key").agg(F.min(ident).alias("__id"))
     members = written(rows.join(ids, "__key"), "members")
