@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import new_path, partitions, table
+from ._common import new_path, partitions, places_of_none, table
 from .byte_bpe import tokenizer_file
 
 CACHE_CHUNKS = 900_000
@@ -34,7 +34,9 @@ class ChunkEncoder:
     Exact for tokenizers that drop white space, lower-case letter by letter and never merge across white space; ASCII
     letters are lower-cased and ASCII white space is split on before the library sees a chunk. A chunk that ends in one
     full stop or comma after an ASCII letter is looked up without it. Chunks of lower-case letters alone are one word of
-    the vocabulary's word ends each, so the library gets many of them as one text.
+    the vocabulary's word ends each, so the library gets many of them as one text. Texts that hold the string of an added
+    token (such as an end-of-text mark), in capitals too, go to the library whole, which gives that token's id where the
+    string is exact, as its plain call does.
     """
 
     def __init__(self, path: str):
@@ -42,7 +44,7 @@ class ChunkEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.lower().encode() for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()
         self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -89,15 +91,17 @@ class ChunkEncoder:
         """Ids of each text as little-endian unsigned integers of self.kind."""
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-        split = [(text or "").encode().lower().split() for text in texts]
-        found = [list(map(self.cache.get, chunks)) for chunks in split]
-        new: set[bytes] = set()
-        for chunks, ids in zip(split, found, strict=True):
-            if None in ids:
-                new.update(c for c, x in zip(chunks, ids, strict=True) if x is None)
-        self._learn(new)
-        for chunks, ids in zip(split, found, strict=True):
-            yield b"".join(map(self.cache.__getitem__, chunks) if None in ids else ids)
+        cache = self.cache
+        raw = [(text or "").encode().lower() for text in texts]
+        marked = [any(t in x for t in self.added) for x in raw]
+        split = [[] if whole else x.split() for x, whole in zip(raw, marked, strict=True)]
+        found = [list(map(cache.get, chunks)) for chunks in split]
+        missing = [places_of_none(ids) for ids in found]
+        self._learn({chunks[i] for chunks, places in zip(split, missing, strict=True) for i in places})
+        for text, whole, chunks, ids, places in zip(texts, marked, split, found, missing, strict=True):
+            for i in places:
+                ids[i] = cache[chunks[i]]
+            yield self._ids([text])[0] if whole else b"".join(ids)
 
 
 def range_bounds(docs: DataFrame, ident: str, parts: int) -> list[int]:
