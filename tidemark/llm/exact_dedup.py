@@ -1,13 +1,16 @@
-"""Exact dedup by a tree merge of digest runs. DataFrame functions only.
+"""Exact dedup by a tree merge of sorted digest runs. DataFrame functions only.
 
-Every row is dealt to one of ``leaves`` runs. In each binomial round ``radix`` neighbouring runs meet: the rows of one
-digest are merged, counts are added and the wanted identifier of both sides is kept. The last round leaves one run.
-Spark merges within a task before each exchange, so a digest that a third of all rows carry reaches a reducer as one
-row a task and run. An entry is verified at each level: rows merge only when SHA-256, byte length and a second, independent
-64-bit hash agree.
+Every row starts in one of ``leaves`` runs (a power of ``radix``), and every digest has a home run. In each round the runs
+whose numbers differ in one digit meet: a digest moves to the run whose digit is that of its home. The sender sorts its run
+and merges equal digests, the receiver merges the sorted runs that reach it, adds their counts and retains the wanted
+identifier of all sides; both are sort aggregates over (run, digest). After the last round each digest is one entry in its
+home run. Runs never shrink in number, so no task ever gets all entries, and a digest that a third of all rows carry goes out
+of each task as one entry. An entry is verified at each level: rows merge only when SHA-256, byte length and a second,
+independent 64-bit hash agree.
 
 Defined results: null text counts as empty; empty texts equal each other; repeated rows count as members; a null
-identifier never wins over a number and wins if its group has no other; an empty table gives an empty table.
+identifier never wins over a number and wins if its group has no other; an empty table gives an empty table; columns other
+than the text and the identifier come along untouched in drop_copies, whatever their names, and are not read elsewhere.
 """
 
 from __future__ import annotations
@@ -15,29 +18,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, table, written
+from ._common import ascii_lower, partitions, removed, table, written
 
 KEY = ["__sha", "__len", "__second"]
 
 
-def digests(docs: DataFrame, text: str = "text", ident: str = "doc_id", normalise=ascii_lower) -> DataFrame:
-    norm = normalise(F.coalesce(F.col(text), F.lit("")))
-    return docs.select(F.col(ident).alias("__id"), norm.alias("__norm")).select(
-        "__id", F.unhex(F.sha2("__norm", 256)).alias("__sha"), F.octet_length("__norm").cast("long").alias("__len"), F.xxhash64("__norm").alias("__second")
-    )
-
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
-def merged_runs(entries: DataFrame, keep: str = "min", leaves: int = 64, radix: int = 8) -> DataFrame:
-    """One row per digest: KEY, __keep, __size."""
-    best: Column = {"min": F.min, "max": F.max}[keep]("__keep").alias("__keep")
-    runs = entries.select(F.pmod(F.xxhash64("__id", "__second"), F.lit(leaves)).alias("__run"), *KEY, F.col("__id").alias("__keep"), F.lit(1).cast("long").alias("__size"))
-    while leaves > 1:
-        leaves = -(-leaves // radix)
-        runs = runs.withColumn("__run", F.floor(F.col("__run") / radix)).groupBy("__run", *KEY).agg(best, F.sum("__size").alias("__size"))
-    return runs.drop("__run")
 
-
-def exact_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", keep: str = "min", leaves: int = 64, radix: int = 8) -> DataFrame:
+def digests(docs: DataFrame, text: str = "text", ident: str = "doc_id", normalise=ascii_lower) -> DataFrame:
+    norm = normalise(F.coalesce(F.col(text), F.lit("")))
+    return docs.select(F.col(ident).alias("__id"), norm.alias("__norm")).select("__id", _sha(F.col("__norm")).alias("__sha"), F.octet_length("__norm").cast("long").alias("__len"), F.xxhash64("__norm").alias("__second"))
+
+
+def merged_runs(entries: DataFrame, keep: str = "min", leaves: int | None = None, radix: int = 16) -> DataFrame:
+    """One row per digest: KEY, __keep, __size. leaves: as many as there are shuffle partitions, rounded up."""
+    rounds, wanted = 1, leaves or partitions(entries.sparkSession)
+    while radix**rounds < wanted:
+        rounds += 1
+    number = F.col("__id").isNotNull() if keep == "max" else F.col("__id").isNull()
+    best = {"min": F.min, "max": F.max}[keep]("__best").alias("__best")
+    start = F.pmod(F.xxhash64("__id", "__second"), F.lit(radix**rounds))
+    runs = entries.select(start.alias("__run"), *KEY, F.struct(number.alias("n"), F.col("__id").alias("id")).alias("__best"), F.lit(1).cast("long").alias("__size"))
+    home = F.conv(F.hex(F.substring("__sha", 1, 7)), 16, 10).cast("long")
+    for r in range(rounds):
+        place = radix**r
+        digit = lambda x: F.floor(x / F.lit(place)) % radix  # noqa: B023, E731
+        met = F.col("__run") + (digit(home) - digit(F.col("__run"))) * place
+        runs = runs.withColumn("__run", met.cast("long")).groupBy("__run", *KEY).agg(best, F.sum("__size").alias("__size"))
+    return runs.select(*KEY, F.col("__best.id").alias("__keep"), "__size")
+
+
+def exact_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", keep: str = "min", leaves: int | None = None, radix: int = 16) -> DataFrame:
     """One row per input row: ident, keep_id, group_size, text_sha256 (hex). Only copies go through the join back."""
     entries = written(digests(docs, text, ident), "digests")
     copies = merged_runs(entries, keep, leaves, radix).where("__size > 1")
@@ -52,16 +65,20 @@ def exact_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", kee
 def drop_copies(docs: DataFrame, text: str = "text", ident: str = "doc_id", keep: str = "min") -> DataFrame:
     """docs without the copies; of rows that repeat the kept identifier and text, one stays. Columns as they came.
 
-    Texts move once, to the join with the rows that go; again only if whole rows repeat.
+    Rows that go are told by identifier and SHA-256. Texts move once, to the join with the rows that go; again only if
+    whole rows repeat.
     """
     columns = docs.columns
     entries = written(digests(docs, text, ident), "digests")
-    merged = written(merged_runs(entries, keep).where("__size > 1"), "copies")
-    gone = entries.join(merged, KEY).where(~F.col("__id").eqNullSafe(F.col("__keep"))).select(F.xxhash64("__id", "__second").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(ident), F.xxhash64(ascii_lower(F.coalesce(F.col(text), F.lit(""))))))
-    left = keyed.join(gone, "__key", "left_anti")
-    if not entries.join(merged, KEY).where(F.col("__id").eqNullSafe(F.col("__keep"))).groupBy(*KEY).count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["__key"])
+    merged = merged_runs(entries, keep).where("__size > 1")
+    rows = written(entries.join(merged, KEY).groupBy(F.struct("__id", "__sha").alias("__key")).agg(F.first("__keep").alias("__keep"), F.count("*").alias("__n")), "copies")
+    chosen = F.col("__key.__id").eqNullSafe(F.col("__keep"))
+    keyed = docs.withColumn("__key", F.struct(F.col(ident).alias("__id"), _sha(ascii_lower(F.coalesce(F.col(text), F.lit("")))).alias("__sha")))
+    left = keyed.join(rows.where(~chosen).select("__key"), "__key", "left_anti")
+    again = rows.where(chosen & (F.col("__n") > 1)).select("__key")
+    if not again.isEmpty():
+        left = left.join(again, "__key", "left_anti").unionByName(left.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    removed(entries)
     return left.select(*columns)
 
 
