@@ -159,7 +159,6 @@ def test_byte_bpe(docs):
 def test_token_orc(spark, docs, tmp_path):
     path = P.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     out = f"file://{tmp_path}/orc"
     token_orc.write_orc(docs, out, path, 1, parts=4)
     got = token_orc.read_orc(spark, out).orderBy("start").collect()
@@ -170,7 +169,27 @@ def test_token_orc(spark, docs, tmp_path):
     crc = {zlib.crc32(np.array(x, "<u4").tobytes()) for _, x in want}
     assert {r["ids_crc32"] for r in token_orc.with_crc32(token_orc.read_orc(spark, out)).collect()} == crc
     assert token_orc.lookup(spark, out, [8, 9]).count() == 2
-    assert "PushedFilters: [In(doc_id, [8,9])]" in token_orc.lookup(spark, out, [8, 9])._jdf.queryExecution().executedPlan().toString()
+    encoder = token_orc.ChunkEncoder.of(path)
+    marked = ["<|endoftext|> a", "a<|startoftext|>b c<|endoftext|>", "<|ENDOFTEXT|> a", "no mark", None, "a <| b", "<|endoftext|>" * 3]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(marked)] == [library.encode(t or "", add_special_tokens=False).ids for t in marked]
+    for _ in range(50):
+        some = ["".join(random.choice(["the", "Ünï", " ", ".", ",", "'s", "9", "日", "\n", "é.", "x" * 20, "e\u0301", "<|endoftext|>" if random.random() < 0.1 else "-"]) for _ in range(random.randint(0, 30))) for _ in range(20)]
+        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_token_orc_skips_stripes(spark, tmp_path):
+    """A read of one identifier takes few of the rows of a file with several stripes and row groups."""
+    out = f"file://{tmp_path}/orc"
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.md5(F.concat(F.col("id").cast("string"), F.lit(str(k)))) for k in range(2))).alias("text"))
+    token_orc.write_orc(df, out, P.path("word_bpe_49k.json"), 1, parts=2, row_index_stride=1000, stripe_bytes=1 << 18)
+    from pyarrow import orc
+
+    files = [os.path.join(str(tmp_path), "orc", f) for f in os.listdir(os.path.join(str(tmp_path), "orc")) if f.endswith(".orc")]
+    assert len(files) == 2 and all(orc.ORCFile(f).nstripes > 2 for f in files)
+    scan = token_orc.lookup(spark, out, [777])
+    assert len(scan.collect()) == 1
+    leaf = scan._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert 1 <= leaf.metrics().apply("numOutputRows").value() <= 6000  # of 60,000: whole stripes and row groups are skipped
 
 
 def test_language_id(spark, docs):
