@@ -6,24 +6,28 @@ choose suffixes that start with the same gram at the same place. A suffix stands
 
 1. Suffixes are dealt to buckets by sampled splitters on their leading bytes and gram; a gram so frequent that several
    splitters fall on it is dealt over the buckets between them. Each bucket is sorted. Of neighbours with equal grams,
-   those with equal runs are repeats as they stand; a suffix without an equal neighbour is done.
+   those with equal runs are repeats as they stand; a suffix without an equal neighbour is done. Runs count as equal
+   where three hashes agree: of the gram, of the run, and an independent one of all bytes of the run (192 bits).
 2. What is left, one of each kind of run, is cut out of the texts and dealt by the same splitters. A bucket sorts these
-   suffixes by a multikey sort, eight bytes at a time, and compares the windows of suffixes that share a gram. Windows
-   of grams dealt over several buckets are compared across them by an aggregation of their hashes.
+   suffixes by their bytes (multikey sort, eight bytes at a time) and compares the windows of neighbours that share a
+   gram: by hash first, then all bytes of windows with equal hashes. Windows of grams dealt over several buckets, or of one
+   key with more rows than a task holds, are compared across by an aggregation of two independent hashes (128 bits).
 3. The found intervals of a text are united and cut out.
 
-Windows are compared by 64-bit polynomial hashes of all their bytes. Long texts are handled in blocks of bytes, each
-window in one block. Defined results: null text is empty; texts shorter than ``length`` lose nothing; rows that repeat
-a text lose all its windows, as each starts elsewhere too; empty tables give empty tables; other columns are not read.
+Long texts are handled in blocks of bytes, each window in one block. Defined results: null text is empty; texts shorter than
+``length`` lose nothing; rows that repeat a text lose all its windows, as each starts elsewhere too; empty tables give
+empty tables; other columns are not read, so their names cannot clash; of rows that repeat identifier and text each one is cut.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,7 @@ BLOCK_BITS = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
+_bytes_hash = xxhash.xxh3_64_intdigest
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +84,10 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def chosen_suffixes(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
+def chosen_suffixes(raw: bytes, length: int = LENGTH, gram: int = GRAM, checked: bool = True) -> dict[str, np.ndarray]:
     """Suffixes that windows choose: start (first window), count (windows), offset (of the suffix from start), hash of the
-    gram, lead (first 4 bytes, big-endian), span (hash of all bytes of the run, with offset and count)."""
+    gram, lead (first 4 bytes, big-endian), span (hash of all bytes of the run, with offset and count), check (another one
+    of the bytes, 0 unless checked)."""
     found: list[list[np.ndarray]] = []
     data, block, width = np.frombuffer(raw, "u1"), 1 << BLOCK_BITS, length - gram + 1
     for at in range(0, len(data) - length + 1, block):
@@ -99,9 +105,11 @@ def chosen_suffixes(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> dict[
         lead = np.zeros(len(suffix), "u8")
         for i in range(4):
             lead = lead << np.uint64(8) | part[suffix + i]
-        found.append([first + at, count, offset, grams[suffix], lead, span])
-    names = ["start", "count", "offset", "gram", "lead", "span"]
-    kinds = ["i8", "i8", "i8", "u8", "u8", "u8"]
+        ends = (first + count - 1 + length + at).tolist()
+        check = np.fromiter((_bytes_hash(raw[i:j]) for i, j in zip((first + at).tolist(), ends, strict=True)), "u8", len(first)) if checked else np.zeros(len(first), "u8")
+        found.append([first + at, count, offset, grams[suffix], lead, span, check])
+    names = ["start", "count", "offset", "gram", "lead", "span", "check"]
+    kinds = ["i8", "i8", "i8", "u8", "u8", "u8", "u8"]
     return {name: np.concatenate([f[i] for f in found]) if found else np.zeros(0, kind) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))}
 
 
@@ -132,7 +140,7 @@ def _texts(docs: DataFrame, text: str, ident: str) -> DataFrame:
 def sampled_splitters(texts: DataFrame, buckets: int, length: int, gram: int, sample_rows: int = 4000) -> Splitters:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [range_keys(chosen_suffixes(value.as_py().encode(), length, gram)) for value in batch.column(0)]
+            found = [range_keys(chosen_suffixes(value.as_py().encode(), length, gram, False)) for value in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, "i8"))], names=["key"])
 
     rows = texts.count()
@@ -143,7 +151,7 @@ def sampled_splitters(texts: DataFrame, buckets: int, length: int, gram: int, sa
 
 
 def _suffixes(splitters: Splitters, length: int, gram: int):
-    names = ["part", "several", "key", "gram", "span", "row", "start", "count", "offset"]
+    names = ["part", "several", "key", "gram", "span", "check", "row", "start", "count", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,13 +161,13 @@ def _suffixes(splitters: Splitters, length: int, gram: int):
                     continue
                 key = range_keys(found)
                 part, several = splitters.bucket(key, _mixed(found["span"] ^ np.uint64(row % 2**64)))
-                columns = [part, several, key, found["gram"].view("i8"), found["span"].view("i8"), np.full(len(key), row, "i8"), found["start"], found["count"].astype("i2"), found["offset"].astype("i2")]
+                columns = [part, several, key, found["gram"].view("i8"), found["span"].view("i8"), found["check"].view("i8"), np.full(len(key), row, "i8"), found["start"], found["count"].astype("i2"), found["offset"].astype("i2")]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return run
 
 
-SUFFIX = "part int, several boolean, key bigint, gram bigint, span bigint, row bigint, start bigint, count smallint, offset smallint"
+SUFFIX = "part int, several boolean, key bigint, gram bigint, span bigint, check bigint, row bigint, start bigint, count smallint, offset smallint"
 MARKED = "row bigint, start bigint, stop bigint, offset smallint, open boolean"
 
 
@@ -170,7 +178,7 @@ def _marked(length: int):
         """All rows but the first and the last, which only stand by as neighbours."""
         col = {n: t.column(n).to_numpy() for n in t.column_names}
         gram = col["gram"][1:] == col["gram"][:-1]
-        span = gram & (col["span"][1:] == col["span"][:-1])
+        span = gram & (col["span"][1:] == col["span"][:-1]) & (col["check"][1:] == col["check"][:-1])
         g0, g1, s0, s1 = gram[:-1], gram[1:], span[:-1], span[1:]
         several, equal = col["several"][1:-1], s0 | s1
         shown = (~s0 & g0) | (~s1 & g1) | several & ~s0  # an end of its run of equal spans that has another neighbour
@@ -181,7 +189,7 @@ def _marked(length: int):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in both] + [pa.array(np.repeat([False, True], [equal.sum(), shown.sum()]))], names=["row", "start", "stop", "offset", "open"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["several", "gram", "span", "row", "start", "count", "offset"]
+        names = ["several", "gram", "span", "check", "row", "start", "count", "offset"]
         held: pa.Table | None = None
         for batch in batches:
             t = pa.Table.from_batches([batch]).select(names)
@@ -242,60 +250,82 @@ def multikey_order(suffixes: list[bytes], length: int) -> np.ndarray:
     return order
 
 
-COMPARED = "row bigint, start bigint, stop bigint, hash bigint"
+COMPARED = "row bigint, start bigint, stop bigint, hash bigint, check bigint"
 
 
-def _compared(length: int, gram: int, hold: int = 20_000):
-    """Of a bucket: intervals of repeated windows (hash null); windows of grams that lie in several buckets (with hash)."""
+def equal_windows(flat: np.ndarray, at: np.ndarray, hashes: np.ndarray, length: int) -> np.ndarray:
+    """Which windows of flat, at these places, have an equal one among them: hashes find candidates, all bytes decide."""
+    order = np.lexsort((at, hashes))
+    sorted_hashes = hashes[order]
+    new = np.concatenate([[True], sorted_hashes[1:] != sorted_hashes[:-1]]) if len(order) else np.zeros(0, bool)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else np.zeros(0, "i8")
+    size = np.bincount(first, minlength=len(order))[first] if len(order) else first
+    again = np.zeros(len(at), bool)
+    again[order] = size > 1
+    follows = np.flatnonzero(~new)
+    windows = np.lib.stride_tricks.sliding_window_view(flat, length)
+    for i in range(0, len(follows), 20_000):
+        some = follows[i : i + 20_000]
+        differs = (windows[at[order[some]]] != windows[at[order[first[some]]]]).any(axis=1)
+        for head in np.unique(first[some[differs]]).tolist():  # equal hashes of different bytes: told apart by the bytes
+            members = order[np.flatnonzero(first == head)]
+            kinds = [windows[at[m]].tobytes() for m in members]
+            again[members] = [kinds.count(k) > 1 for k in kinds]
+    return again
 
-    def windows(rows: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat, sizes = np.frombuffer(b"".join(pieces), "u1"), np.array([len(p) for p in pieces])
-        counts = sizes - length + 1
-        owner = np.repeat(np.arange(len(pieces)), counts)
-        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.repeat(np.cumsum(sizes) - sizes, counts) + inside
-        return rows[owner], starts[owner] + inside, _hashes(_sums(flat), at, at + length)
+
+def _compared(length: int, gram: int, hold: int = 20_000):
+    """Of a bucket: intervals of repeated windows (hash null); windows to be compared with other tasks' (with hashes)."""
 
     def spans(row: np.ndarray, start: np.ndarray) -> list[pa.Array]:
         order = np.lexsort((start, row))
         row, start = row[order], start[order]
         new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])) if len(row) else np.zeros(0, "i8")
         last = np.concatenate([new[1:], [len(row)]])[: len(new)] - 1
-        return [pa.array(row[new]), pa.array(start[new]), pa.array(start[last] + length), pa.nulls(len(new), pa.int64())]
+        return [pa.array(row[new]), pa.array(start[new]), pa.array(start[last] + length), pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.int64())]
 
     def judge(several: list[bool], rows: list[int], starts: list[int], offsets: list[int], pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "start", "stop", "hash"]
-        order = multikey_order([p[o:] for p, o in zip(pieces, offsets, strict=True)], gram)
+        names = ["row", "start", "stop", "hash", "check"]
+        order = multikey_order([p[o:] for p, o in zip(pieces, offsets, strict=True)], length)
         heads = [pieces[i][offsets[i] : offsets[i] + gram] for i in order]
         near = np.array([a == b for a, b in zip(heads, heads[1:], strict=False)], bool)
         chosen = order[np.concatenate([[False], near]) | np.concatenate([near, [False]]) | np.array(several)[order]]
         if not len(chosen):
             return
-        row, start, hashes = windows(np.array(rows, "i8")[chosen], np.array(starts, "i8")[chosen], [pieces[i] for i in chosen])
-        _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        again = counts[inverse] > 1
+        kept = [pieces[i] for i in chosen]
+        flat, sizes = np.frombuffer(b"".join(kept), "u1"), np.array([len(p) for p in kept])
+        counts = sizes - length + 1
+        owner = np.repeat(np.arange(len(kept)), counts)
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.repeat(np.cumsum(sizes) - sizes, counts) + inside
+        row, start, hashes = np.array(rows, "i8")[chosen][owner], np.array(starts, "i8")[chosen][owner] + inside, _hashes(_sums(flat), at, at + length)
+        again = equal_windows(flat, at, hashes, length)
         yield pa.RecordBatch.from_arrays(spans(row[again], start[again]), names=names)
-        wide = np.repeat(np.array(several)[chosen], [len(pieces[i]) - length + 1 for i in chosen])
-        if wide.any():
-            for i in range(0, int(wide.sum()), 100_000):
-                some = [x[wide][i : i + 100_000] for x in (row, start, hashes.view("i8"))]
-                yield pa.RecordBatch.from_arrays([pa.array(some[0]), pa.array(some[1]), pa.array(some[1] + length), pa.array(some[2])], names=names)
+        wide = np.flatnonzero(np.array(several)[chosen][owner])
+        for i in range(0, len(wide), 100_000):
+            some = wide[i : i + 100_000]
+            checks = np.fromiter((_bytes_hash(flat[x : x + length]) for x in at[some].tolist()), "u8", len(some))
+            yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(start[some]), pa.array(start[some] + length), pa.array(hashes[some].view("i8")), pa.array(checks.view("i8"))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], [], []]
         keys: list[int] = []
+        split = None  # a key with more rows than are held: its windows are compared across, as those of hot grams are
         for batch in batches:
             for i, name in enumerate(("several", "row", "start", "offset", "bytes")):
                 held[i] += batch.column(name).to_pylist()
             keys += batch.column("key").to_pylist()
             if len(keys) > hold:  # rows come sorted by key, and equal grams have equal keys: whole keys can go
-                cut = len(keys) - 1
-                while cut and keys[cut - 1] == keys[-1]:
-                    cut -= 1
-                if cut:
-                    yield from judge(*(x[:cut] for x in held))
-                    held, keys = [x[cut:] for x in held], keys[cut:]
+                cut = bisect.bisect_left(keys, keys[-1])
+                if not cut:
+                    split, cut = keys[0], len(keys)
+                stop = bisect.bisect_right(keys, split) if split is not None else 0
+                held[0][:stop] = [True] * stop
+                yield from judge(*(x[:cut] for x in held))
+                held, keys = [x[cut:] for x in held], keys[cut:]
         if keys:
+            stop = bisect.bisect_right(keys, split) if split is not None else 0
+            held[0][:stop] = [True] * stop
             yield from judge(*held)
 
     return run
@@ -306,7 +336,7 @@ def repeated_intervals(texts: DataFrame, length: int = LENGTH, gram: int = GRAM)
     buckets = partitions(texts.sparkSession)
     splitters = sampled_splitters(texts, buckets, length, gram)
     suffixes = texts.select("row", "text").mapInArrow(_suffixes(splitters, length, gram), SUFFIX)
-    suffixes = suffixes.repartitionById(buckets, F.col("part")).sortWithinPartitions("key", "gram", "span", "row", "start")
+    suffixes = suffixes.repartitionById(buckets, F.col("part")).sortWithinPartitions("key", "gram", "span", "check", "row", "start")
     marked = written(suffixes.mapInArrow(_marked(length), MARKED), "marked")
 
     runs = marked.where("open").groupBy("row").agg(F.collect_set(F.struct("start", "stop", "offset")).alias("runs"))
@@ -315,8 +345,8 @@ def repeated_intervals(texts: DataFrame, length: int = LENGTH, gram: int = GRAM)
     compared = written(pieces.mapInArrow(_compared(length, gram), COMPARED), "compared")
 
     wide = compared.where("hash IS NOT NULL")
-    again = wide.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    across = wide.join(again, "hash").select("row", "start", "stop")
+    again = wide.groupBy("hash", "check").agg(F.count("*").alias("n")).where("n > 1").select("hash", "check")
+    across = wide.join(again, ["hash", "check"]).select("row", "start", "stop")
     return marked.where("NOT open").select("row", "start", "stop").unionByName(compared.where("hash IS NULL").select("row", "start", "stop")).unionByName(across)
 
 
