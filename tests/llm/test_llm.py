@@ -335,3 +335,35 @@ def test_suffix_dedup_with_every_gram_hot(spark, monkeypatch):
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     got = suffix_dedup.removed(df, 20, 6, outputs=tuple(names)).orderBy("doc_id").toPandas()
     assert list(map(tuple, got[names].to_numpy().tolist())) == brute.repeats(texts, 20)
+
+
+def test_windows_are_told_apart_by_their_bytes(spark, monkeypatch):
+    """Equal hashes of different windows remove nothing; a key with more rows than a task holds is compared across."""
+    flat = np.frombuffer(b"abcdeabcdfabcdeXX", "u1")
+    at = np.arange(len(flat) - 3)
+    want = [flat[i : i + 4].tobytes() in [flat[j : j + 4].tobytes() for j in at if j != i] for i in at]
+    assert suffix_dedup.equal_windows(flat, at, np.zeros(len(at), "u8"), 4).tolist() == want
+    assert suffix_dedup.equal_windows(flat, at[:0], np.zeros(0, "u8"), 4).tolist() == []
+    monkeypatch.setattr(suffix_dedup._compared, "__defaults__", (3,))
+    texts = ["".join(random.choice("ab") for _ in range(30)) + "the same passage in all of the texts" + "".join(random.choice("ab") for _ in range(random.randint(0, 40))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = suffix_dedup.removed(df, 20, 6, outputs=tuple(names)).orderBy("doc_id").toPandas()
+    assert list(map(tuple, got[names].to_numpy().tolist())) == brute.repeats(texts, 20)
+
+
+def test_salted_lists_and_second_ngrams(spark, monkeypatch):
+    """Hot n-grams, dealt over salted lists, and long lists, keyed by a second n-gram, lose no link."""
+    for name, value in (("HOT_ROWS", 2), ("HOT_SHARE", 50), ("HEAVY", 0), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = []
+    for i in range(240):
+        w = [f"{i % 4}w{j}" for j in range(60)] if i % 3 else [f"{i % 7}w{j}" for j in range(random.randint(3, 30))]
+        for _ in range(random.randint(0, 4)):
+            w[random.randrange(len(w))] = f"q{random.randint(0, 9)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for n, percent in ((3, 90), (5, 80), (2, 60), (1, 40)):
+        want = brute.components(rows, n, percent)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.linked_components(df, n, percent).collect()}
+        assert got == {rows[i][0]: v for i, v in want.items()}, (n, percent)
