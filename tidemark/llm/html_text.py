@@ -1,14 +1,17 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into flat blocks of text. Each block has its word count and link density, those of the blocks before and
-after it, and what its enclosing elements say of themselves (article, menu, advert and so on). A decision tree trained
-on the small table LABELLED_BLOCKS, by Spark's own trainer, says which blocks are main text. The tree becomes one
-CASE expression, so the page's blocks are judged, filtered and joined by array functions without a shuffle.
+after it, and whether it is a headline or inside an article. A decision tree trained on the small table LABELLED_BLOCKS, by
+Spark's own trainer, says by these which blocks are main text. The tree becomes one CASE expression, so the page's blocks
+are judged, filtered and joined by array functions without a shuffle. Blocks that the markup itself puts elsewhere (menus,
+page headers and footers, sidebars, forms, and elements whose whole class, id or role says notice, advert or comment) are
+neighbours like any other, but are not asked about.
 
 Defined results: null html is empty and has empty text; a page without main text has empty text; repeated rows give
-repeated results; markup that is not closed, not nested or cut off ends with the page; empty tables give empty tables. What html, body,
-main and article say of themselves in class, id or role holds for no text below them, nor does hiding html or body; a
-form round the page's text (see Form) counts as any division.
+repeated results; markup that is not closed, not nested or cut off ends with the page; empty tables give empty tables;
+columns of the input that bear the names of results are left out. What html, body, main and article say of themselves in
+class, id or role holds for no text below them, nor does hiding html or body; a form round the page's text (see Form) counts
+as any division; a quote opens a value only after an equals sign; text or an element of the body closes an open head.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from ._common import table
 
 # Element names of HTML and the words that pages use in class, id and role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+HEAD = set("base basefont bgsound head html link meta noscript script style template title".split())
 SILENT = set("head script style noscript template svg iframe object canvas select textarea button math audio video datalist title".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 MAIN = set("article main".split())
@@ -40,54 +44,43 @@ PAGE = set("html body main article".split())
 CLOSED_BY = {"p": set("p".split()), "li": set("li".split()), "dt": set("dt dd".split()), "dd": set("dt dd".split()), "tr": set("tr td th".split()), "td": set("td th".split()), "th": set("td th".split()), "option": set("option".split())}
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 TOKEN_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+|[^\W\d_a-zA-Z]+")
 RAW_END = {name: re.compile(rf"</{name}\s*>|\Z", re.I) for name in ("script", "style", "textarea", "title", "noscript", "iframe")}
 SPACE = re.compile(r"\s+")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "aside", "hinted", "heading"]
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "heading"]
 
-# Fixed values, labelled by hand: the features in the order above, then 1 for main text.
+# Fixed values, labelled by hand from pages of many layouts: the features in the order above, then 1 for main text.
 LABELLED_BLOCKS = [
     # menus, breadcrumbs, tag lists
-    (1, 1, 0, 0, 1, 1, 0, 1, 0, 0, 0), (1, 1, 1, 1, 1, 1, 0, 1, 0, 0, 0), (2, 1, 1, 1, 8, 0, 0, 1, 0, 0, 0), (1, 1, 1, 1, 8, 0, 0, 0, 1, 0, 0), (3, 1, 2, 1, 12, 0, 0, 0, 0, 0, 0), (4, 1, 3, 1, 2, 1, 0, 0, 0, 0, 0),
-    (1, 1, 1, 1, 9, 0, 0, 0, 0, 0, 0), (5, 0.8, 2, 1, 6, 1, 0, 0, 1, 0, 0), (6, 1, 40, 0, 6, 1, 1, 0, 1, 0, 0), (7, 1, 5, 1, 0, 0, 1, 1, 0, 0, 0), (1, 0, 0, 0, 1, 1, 0, 1, 0, 0, 0), (2, 0, 1, 1, 3, 1, 0, 1, 0, 0, 0),
-    # adverts, notices, cookie texts
-    (8, 0, 1, 1, 11, 0, 0, 0, 1, 0, 0), (4, 0, 1, 1, 9, 0, 0, 0, 1, 0, 0), (15, 0, 2, 1, 10, 0, 0, 0, 1, 0, 0), (30, 0, 0, 0, 12, 0, 0, 0, 1, 0, 0), (22, 0.1, 60, 0, 44, 0, 1, 0, 1, 0, 0), (12, 0, 80, 0, 75, 0, 1, 0, 1, 0, 0),
-    (60, 0, 1, 1, 10, 0, 0, 0, 1, 0, 0), (9, 0, 50, 0, 70, 0, 1, 0, 1, 0, 0), (40, 0.05, 0, 0, 1, 1, 0, 0, 1, 0, 0), (3, 0, 10, 0, 100, 0, 1, 0, 1, 0, 0),
-    # page headers and footers
-    (3, 0, 0, 0, 1, 1, 0, 1, 0, 0, 0), (5, 0.2, 0, 0, 1, 1, 0, 1, 0, 1, 0), (12, 0, 50, 0, 0, 0, 0, 1, 0, 0, 0), (20, 0, 120, 0, 0, 0, 0, 1, 0, 0, 0), (9, 0.5, 33, 0, 0, 0, 0, 1, 1, 0, 0), (4, 0, 6, 0, 0, 0, 0, 1, 0, 0, 0),
-    (14, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0), (2, 0, 90, 0, 5, 1, 0, 1, 0, 0, 0), (25, 0, 30, 0, 0, 0, 0, 0, 1, 0, 0), (6, 0, 4, 0, 0, 0, 0, 0, 1, 0, 0),
-    # sidebars and forms
-    (18, 0, 90, 0, 25, 0, 0, 1, 0, 0, 0), (45, 0, 60, 0, 30, 0, 0, 1, 0, 0, 0), (3, 0, 60, 0, 2, 1, 0, 1, 0, 1, 0), (70, 0.02, 40, 0, 20, 0, 0, 1, 1, 0, 0), (5, 0, 30, 0, 2, 0, 0, 1, 0, 0, 0), (8, 0, 30, 0, 2, 0, 1, 1, 0, 0, 0),
-    (3, 0, 8, 0, 40, 0, 0, 0, 1, 1, 0), (2, 0, 8, 0, 1, 0, 1, 1, 0, 0, 0),
-    # reader comments
-    (20, 0, 100, 0, 15, 0, 0, 0, 1, 0, 0), (55, 0, 20, 0, 60, 0, 0, 0, 1, 0, 0), (2, 0, 55, 0, 30, 0, 1, 0, 1, 1, 0), (35, 0, 2, 0, 18, 0, 1, 0, 1, 0, 0), (4, 0.5, 35, 0, 22, 0, 0, 0, 1, 0, 0), (90, 0, 4, 0, 3, 0, 1, 0, 1, 0, 0),
+    (3, 1, 2, 1, 12, 0, 0, 0, 0), (4, 1, 3, 1, 2, 1, 0, 0, 0),
+    (1, 1, 1, 1, 9, 0, 0, 0, 0),
     # stray short text outside an article
-    (2, 0, 1, 1, 1, 1, 0, 0, 0, 0, 0), (3, 0, 2, 0.5, 4, 1, 0, 0, 0, 0, 0), (4, 0.6, 3, 1, 2, 0, 0, 0, 0, 0, 0), (6, 0, 3, 1, 3, 1, 0, 0, 0, 0, 0), (1, 0, 0, 0, 3, 1, 0, 0, 0, 0, 0),
+    (2, 0, 1, 1, 1, 1, 0, 0, 0), (3, 0, 2, 0.5, 4, 1, 0, 0, 0), (4, 0.6, 3, 1, 2, 0, 0, 0, 0), (6, 0, 3, 1, 3, 1, 0, 0, 0), (1, 0, 0, 0, 3, 1, 0, 0, 0),
     # short text outside an article that is a link, or is not between unlinked blocks
-    (2, 1, 60, 0, 40, 0, 0, 0, 0, 0, 0), (4, 1, 50, 0, 3, 1, 0, 0, 0, 0, 0), (6, 1, 30, 0, 0, 0, 0, 0, 0, 0, 0), (3, 1, 80, 0, 25, 0, 0, 0, 0, 0, 0), (12, 1, 40, 0, 9, 1, 0, 0, 0, 0, 0), (5, 1, 15, 0, 70, 0, 0, 0, 0, 0, 0), (2, 1, 18, 0, 2, 0, 0, 0, 0, 0, 0),
-    (4, 0, 50, 0, 0, 0, 0, 0, 0, 0, 0), (5, 0, 70, 0, 3, 1, 0, 0, 0, 0, 0), (3, 0, 45, 0, 2, 1, 0, 0, 0, 0, 0), (6, 0, 40, 0, 0, 0, 0, 0, 0, 0, 0), (2, 0, 17, 0, 1, 1, 0, 0, 0, 0, 0), (3, 0, 1, 1, 40, 0, 0, 0, 0, 0, 0), (5, 0, 4, 1, 20, 0, 0, 0, 0, 0, 0), (2, 0, 0, 0, 30, 0, 0, 0, 0, 0, 0),
-    (3, 0, 2, 0, 3, 0, 0, 0, 0, 0, 0), (2, 0, 4, 0, 1, 0, 0, 0, 0, 0, 0), (5, 0, 3, 0, 2, 0, 0, 0, 0, 0, 0), (1, 0, 6, 0, 4, 0, 0, 0, 0, 0, 0),
+    (2, 1, 60, 0, 40, 0, 0, 0, 0), (4, 1, 50, 0, 3, 1, 0, 0, 0), (6, 1, 30, 0, 0, 0, 0, 0, 0), (3, 1, 80, 0, 25, 0, 0, 0, 0), (12, 1, 40, 0, 9, 1, 0, 0, 0), (5, 1, 15, 0, 70, 0, 0, 0, 0), (2, 1, 18, 0, 2, 0, 0, 0, 0),
+    (4, 0, 50, 0, 0, 0, 0, 0, 0), (5, 0, 70, 0, 3, 1, 0, 0, 0), (3, 0, 45, 0, 2, 1, 0, 0, 0), (6, 0, 40, 0, 0, 0, 0, 0, 0), (2, 0, 17, 0, 1, 1, 0, 0, 0), (3, 0, 1, 1, 40, 0, 0, 0, 0), (5, 0, 4, 1, 20, 0, 0, 0, 0), (2, 0, 0, 0, 30, 0, 0, 0, 0),
+    (3, 0, 2, 0, 3, 0, 0, 0, 0), (2, 0, 4, 0, 1, 0, 0, 0, 0), (5, 0, 3, 0, 2, 0, 0, 0, 0), (1, 0, 6, 0, 4, 0, 0, 0, 0),
     # headlines
-    (10, 0, 8, 0, 25, 0, 1, 0, 0, 1, 1), (7, 0, 8, 0, 30, 0, 1, 0, 0, 1, 1), (3, 0, 4, 0, 40, 0, 1, 0, 0, 1, 1), (2, 0, 5, 0, 2, 0, 1, 0, 0, 1, 1), (12, 0, 1, 1, 50, 0, 1, 0, 0, 1, 1), (1, 0, 8, 0, 1, 0, 1, 0, 0, 1, 1),
-    (9, 1, 8, 0, 60, 0, 1, 0, 0, 1, 1), (9, 0, 3, 1, 60, 0, 0, 0, 0, 1, 1), (6, 0, 70, 0, 60, 0, 0, 0, 0, 1, 1), (11, 0, 0, 0, 80, 0, 0, 0, 0, 1, 1),
+    (10, 0, 8, 0, 25, 0, 1, 1, 1), (7, 0, 8, 0, 30, 0, 1, 1, 1), (3, 0, 4, 0, 40, 0, 1, 1, 1), (2, 0, 5, 0, 2, 0, 1, 1, 1), (12, 0, 1, 1, 50, 0, 1, 1, 1), (1, 0, 8, 0, 1, 0, 1, 1, 1),
+    (9, 1, 8, 0, 60, 0, 1, 1, 1), (9, 0, 3, 1, 60, 0, 0, 1, 1), (6, 0, 70, 0, 60, 0, 0, 1, 1), (11, 0, 0, 0, 80, 0, 0, 1, 1),
     # paragraphs of an article
-    (40, 0, 10, 0, 55, 0, 1, 0, 0, 0, 1), (90, 0.02, 40, 0, 70, 0, 1, 0, 0, 0, 1), (1, 0, 60, 0, 20, 0, 1, 0, 0, 0, 1), (3, 0, 20, 0, 33, 0, 1, 0, 0, 0, 1), (2, 0, 2, 0, 12, 0, 1, 0, 0, 0, 1), (25, 0.3, 35, 0, 30, 0, 1, 0, 0, 0, 1),
-    (8, 0, 30, 0, 14, 0, 1, 0, 0, 0, 1), (15, 0, 8, 0, 12, 0, 1, 0, 0, 0, 1), (4, 1, 45, 0, 30, 0, 1, 0, 0, 0, 1), (6, 0, 1, 0, 20, 0, 1, 0, 0, 0, 1), (120, 0, 70, 0, 14, 0, 1, 0, 0, 0, 1), (200, 0.01, 90, 0, 4, 0, 1, 0, 0, 0, 1),
-    (1, 0, 1, 0, 9, 0, 1, 0, 0, 0, 1), (12, 0.9, 20, 0.5, 18, 0, 1, 0, 0, 0, 1), (5, 0, 12, 0, 0, 0, 1, 0, 0, 0, 1), (9, 0, 6, 0, 1, 1, 1, 0, 0, 0, 1),
+    (40, 0, 10, 0, 55, 0, 1, 0, 1), (90, 0.02, 40, 0, 70, 0, 1, 0, 1), (1, 0, 60, 0, 20, 0, 1, 0, 1), (3, 0, 20, 0, 33, 0, 1, 0, 1), (2, 0, 2, 0, 12, 0, 1, 0, 1), (25, 0.3, 35, 0, 30, 0, 1, 0, 1),
+    (8, 0, 30, 0, 14, 0, 1, 0, 1), (15, 0, 8, 0, 12, 0, 1, 0, 1), (4, 1, 45, 0, 30, 0, 1, 0, 1), (6, 0, 1, 0, 20, 0, 1, 0, 1), (120, 0, 70, 0, 14, 0, 1, 0, 1), (200, 0.01, 90, 0, 4, 0, 1, 0, 1),
+    (1, 0, 1, 0, 9, 0, 1, 0, 1), (12, 0.9, 20, 0.5, 18, 0, 1, 0, 1), (5, 0, 12, 0, 0, 0, 1, 0, 1), (9, 0, 6, 0, 1, 1, 1, 0, 1),
     # paragraphs of pages without an article element
-    (45, 0, 9, 0, 60, 0, 0, 0, 0, 0, 1), (80, 0.05, 45, 0, 33, 0, 0, 0, 0, 0, 1), (30, 0, 60, 0, 25, 0, 0, 0, 0, 0, 1), (150, 0, 1, 1, 90, 0, 0, 0, 0, 0, 1), (22, 0.1, 80, 0, 40, 0, 0, 0, 0, 0, 1), (60, 0.1, 2, 1, 5, 1, 0, 0, 0, 0, 1),
-    (11, 0, 50, 0, 60, 0, 0, 0, 0, 0, 1), (14, 0, 30, 0, 45, 0, 0, 0, 0, 0, 1), (12, 0, 40, 0, 12, 0, 0, 0, 0, 0, 1),
+    (45, 0, 9, 0, 60, 0, 0, 0, 1), (80, 0.05, 45, 0, 33, 0, 0, 0, 1), (30, 0, 60, 0, 25, 0, 0, 0, 1), (150, 0, 1, 1, 90, 0, 0, 0, 1), (22, 0.1, 80, 0, 40, 0, 0, 0, 1), (60, 0.1, 2, 1, 5, 1, 0, 0, 1),
+    (11, 0, 50, 0, 60, 0, 0, 0, 1), (14, 0, 30, 0, 45, 0, 0, 0, 1), (12, 0, 40, 0, 12, 0, 0, 0, 1),
     # short paragraphs between them
-    (3, 0, 60, 0, 50, 0, 0, 0, 0, 0, 1), (1, 0, 40, 0, 30, 0, 0, 0, 0, 0, 1), (5, 0, 30, 0, 70, 0, 0, 0, 0, 0, 1), (8, 0, 18, 0, 24, 0, 0, 0, 0, 0, 1), (2, 0, 90, 0, 45, 0, 0, 0, 0, 0, 1), (6, 0, 12, 0, 15, 0, 0, 0, 0, 0, 1),
-    (4, 0, 25, 0, 12, 0, 0, 0, 0, 0, 1), (7, 0, 14, 0.1, 33, 0, 0, 0, 0, 0, 1), (2, 0, 16, 0, 20, 0.05, 0, 0, 0, 0, 1),
-    (2, 0, 50, 0, 2, 0, 0, 0, 0, 0, 1), (2, 0, 2, 0, 50, 0, 0, 0, 0, 0, 1), (1, 0, 20, 0, 3, 0, 0, 0, 0, 0, 1), (4, 0, 1, 0, 22, 0, 0, 0, 0, 0, 1),
+    (3, 0, 60, 0, 50, 0, 0, 0, 1), (1, 0, 40, 0, 30, 0, 0, 0, 1), (5, 0, 30, 0, 70, 0, 0, 0, 1), (8, 0, 18, 0, 24, 0, 0, 0, 1), (2, 0, 90, 0, 45, 0, 0, 0, 1), (6, 0, 12, 0, 15, 0, 0, 0, 1),
+    (4, 0, 25, 0, 12, 0, 0, 0, 1), (7, 0, 14, 0.1, 33, 0, 0, 0, 1), (2, 0, 16, 0, 20, 0.05, 0, 0, 1),
+    (2, 0, 50, 0, 2, 0, 0, 0, 1), (2, 0, 2, 0, 50, 0, 0, 0, 1), (1, 0, 20, 0, 3, 0, 0, 0, 1), (4, 0, 1, 0, 22, 0, 0, 0, 1),
     # paragraphs beside them
-    (17, 0, 4, 1, 2, 0, 0, 0, 0, 0, 1), (25, 0, 2, 0, 1, 0, 0, 0, 0, 0, 1), (18, 0, 3, 0, 1, 1, 0, 0, 0, 0, 1), (30, 0, 5, 1, 3, 0, 0, 0, 0, 0, 1), (20, 0, 1, 0, 4, 1, 0, 0, 0, 0, 1), (50, 0, 4, 0, 6, 0, 0, 0, 0, 0, 1), (70, 0.05, 3, 0, 0, 0, 0, 0, 0, 0, 1),
-    (14, 0, 2, 0, 25, 0, 0, 0, 0, 0, 1), (40, 0.1, 33, 0, 2, 0, 0, 0, 0, 0, 1),
+    (17, 0, 4, 1, 2, 0, 0, 0, 1), (25, 0, 2, 0, 1, 0, 0, 0, 1), (18, 0, 3, 0, 1, 1, 0, 0, 1), (30, 0, 5, 1, 3, 0, 0, 0, 1), (20, 0, 1, 0, 4, 1, 0, 0, 1), (50, 0, 4, 0, 6, 0, 0, 0, 1), (70, 0.05, 3, 0, 0, 0, 0, 0, 1),
+    (14, 0, 2, 0, 25, 0, 0, 0, 1), (40, 0.1, 33, 0, 2, 0, 0, 0, 1),
 ]
 
 
@@ -174,7 +167,7 @@ def flat_blocks(page: str) -> list[dict]:
         elif token[1]:
             pop(name)
         else:
-            if name == "body":
+            if name not in HEAD and any(x[0] == "head" for x in open_):
                 pop("head")
             if name in ENDS_P and any(x[0] == "p" for x in open_):
                 pop("p")
@@ -206,8 +199,8 @@ def flat_blocks(page: str) -> list[dict]:
     return blocks
 
 
-BLOCK = "array<struct<text:string," + ",".join(f"{f}:double" for f in FEATURES) + ">>"
-_BLOCK_TYPE = pa.list_(pa.struct([("text", pa.string()), *((f, pa.float64()) for f in FEATURES)]))
+BLOCK = "array<struct<text:string,elsewhere:boolean," + ",".join(f"{f}:double" for f in FEATURES) + ">>"
+_BLOCK_TYPE = pa.list_(pa.struct([("text", pa.string()), ("elsewhere", pa.bool_()), *((f, pa.float64()) for f in FEATURES)]))
 
 
 def with_neighbours(blocks: list[dict]) -> list[dict]:
@@ -215,7 +208,7 @@ def with_neighbours(blocks: list[dict]) -> list[dict]:
     out = []
     for before, block, after in zip([none, *blocks], blocks, [*blocks[1:], none], strict=False):
         near = {"words_before": before["words"], "links_before": before["links"], "words_after": after["words"], "links_after": after["links"]}
-        out.append({k: v if k == "text" else float(v) for k, v in (block | near).items()})
+        out.append({"text": block["text"], "elsewhere": block["aside"] or block["hinted"]} | {f: float((block | near)[f]) for f in FEATURES})
     return out
 
 
@@ -262,7 +255,7 @@ def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     main = trained_tree(pages.sparkSession)
     kept = [c for c in pages.columns if c not in (html, "blocks", "text", "n_chars", "n_blocks")]
     found = page_blocks(pages.select(*kept, html), html)
-    texts = found.select(*kept, F.transform(F.filter("blocks", lambda b: main(b)), lambda b: b["text"]).alias("__main"))
+    texts = found.select(*kept, F.transform(F.filter("blocks", lambda b: ~b["elsewhere"] & main(b)), lambda b: b["text"]).alias("__main"))
     texts = texts.select(*kept, F.array_join("__main", "\n\n").alias("text"), F.size("__main").cast("long").alias("n_blocks"))
     return texts.select(*kept, "text", F.char_length("text").cast("long").alias("n_chars"), "n_blocks")
 
