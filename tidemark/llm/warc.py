@@ -1,8 +1,10 @@
 """WARC files and a derivative builder.
 
-``write_warc`` stores records as WARC/1.1 files through Spark's text writer: a record is its header block, an empty
-line and the body, and the writer's line separator is the two line ends that close a record. ``read_warc`` reads such
-files, or any with CRLF header blocks, plain or gzip, by their Content-Length.
+``write_warc`` stores records as WARC/1.1 files, each record a gzip member of its own, so one can be read alone. Members are
+made in tasks and written by Spark's text writer, which puts one zero byte after each; readers of gzip files pass over zero
+bytes between members. A file holds at most RECORDS_PER_FILE records of one partition. ``read_warc`` reads such files, or any
+WARC files, plain, gzip as a whole or gzip by record, unpacking one record at a time; a file's packed bytes are one row, so
+files are to be smaller than 2 GB.
 
 ``derivatives`` makes two records of each response: a metadata record with what the capture says of itself (status,
 headers, title, links, digests) and a conversion record with the plain text. Both carry WARC-Refers-To with the response's
@@ -10,19 +12,21 @@ identifier, its target and date, and WARC-Concurrent-To with each other's identi
 kept in the metadata's body. Identifiers are name-based, so a repeated run makes the same records.
 
 Defined results: a null page is an empty payload; a null address is left out of the header block; repeated rows make
-records with equal identifiers; records cut off at the end of a file are left out of what is read; empty tables make no
-records.
+records with equal identifiers; header names are compared without regard to case and returned as the standard writes them;
+a record without a valid Content-Length, or cut off at the end of a file, is left out, and reading goes on at the next record; a
+response without an identifier gets one made of its headers and body; an empty table makes no records; other columns of the
+pages are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html as entities
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,46 +73,114 @@ def response_records(pages: DataFrame, date: str, url: str = "url", html: str =
     return pages.withColumn("__http", http).select(F.concat(head, F.lit(END), "__http").alias("record"))
 
 
-def write_warc(records: DataFrame, path: str, record: str = "record") -> None:
-    records.select(record).write.options(lineSep=END * 2, compression="gzip", maxRecordsPerFile=RECORDS_PER_FILE).text(path)
+# Field names of the WARC standard.
+FIELDS = (
+    "WARC-Type WARC-Record-ID WARC-Date WARC-Target-URI WARC-Payload-Digest WARC-Block-Digest WARC-Refers-To WARC-Refers-To-Target-URI WARC-Refers-To-Date WARC-Concurrent-To WARC-Truncated WARC-Warcinfo-ID WARC-Filename WARC-Profile"
+    " WARC-Identified-Payload-Type WARC-Segment-Number WARC-Segment-Origin-ID WARC-Segment-Total-Length WARC-IP-Address Content-Type Content-Length"
+).split()
+_standard = {name.lower(): name for name in FIELDS}
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and body of each whole record."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0 and (stop := data.find(b"\r\n\r\n", at)) >= 0:
-        lines = data[at:stop].decode("utf-8", "replace").split(END)[1:]
-        headers = dict(line.split(": ", 1) for line in lines if ": " in line)
-        size = int(headers.get("Content-Length", 0))
-        body, at = data[stop + 4 : stop + 4 + size], stop + 4 + size
-        if len(body) == size:
-            yield headers, body
+def write_warc(records: DataFrame, path: str, record: str = "record") -> None:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                made = []
+                for value in batch.column(0).slice(at, 200):
+                    member = zlib.compressobj(2, zlib.DEFLATED, 31)
+                    made.append(member.compress((value.as_py() + END * 2).encode()) + member.flush())
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
+
+    members = records.select(record).where(F.col(record).isNotNull()).mapInArrow(packed, "member binary")
+    members.select(F.col("member").cast("string")).write.options(lineSep="\0", maxRecordsPerFile=RECORDS_PER_FILE).text(path)
+
+
+def _unpacked(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of a file in pieces, unpacked if it is made of gzip members. What follows a broken member is left out."""
+    view, at = memoryview(data), 0
+    if data[:2] != b"\x1f\x8b":
+        for i in range(0, len(data), step):
+            yield bytes(view[i : i + step])
+        return
+    while at < len(data):
+        if data[at] == 0:
+            at += 1
+            continue
+        member = zlib.decompressobj(31)
+        try:
+            while not member.eof and at < len(data):
+                piece = view[at : at + step]
+                at += len(piece)
+                yield member.decompress(piece)
+        except zlib.error:
+            return
+        at -= len(member.unused_data)
+
+
+def parse_warc(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and body of each whole record. Only the record at hand is held."""
+    source, held = iter(pieces), bytearray()
+
+    def grown() -> bool:
+        piece = next(source, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (start := held.find(b"WARC/")) < 0:
+            del held[: max(0, len(held) - 4)]
+            if not grown():
+                return
+        del held[:start]
+        seen = 0
+        while (stop := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not grown():
+                return
+        headers: dict[str, str] = {}
+        for line in held[:stop].decode("utf-8", "replace").split(END)[1:]:
+            name, colon, value = line.partition(":")
+            if colon:
+                headers.setdefault(_standard.get(name.strip().lower(), name.strip()), value.strip())
+        size = headers.get("Content-Length", "")
+        if not (size.isascii() and size.isdigit()):
+            del held[: stop + 4]
+            continue
+        end = stop + 4 + int(size)
+        while len(held) < end and grown():
+            pass
+        if len(held) < end:
+            return
+        yield headers, bytes(held[stop + 4 : end])
+        del held[:end]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """headers (map) and body (binary) of each record. A file is one task's work; write_warc bounds its records."""
+    kinds = [pa.map_(pa.string(), pa.string()), pa.binary()]
+
+    def batch_of(some: list[tuple[dict, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([list(h.items()) for h, _ in some], kinds[0]), pa.array([b for _, b in some], kinds[1])], names=["headers", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.map_(pa.string(), pa.string()), pa.binary()]
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 some: list[tuple[dict, bytes]] = []
-                for found in parse_warc(data):
+                held = 0
+                for found in parse_warc(_unpacked(content.as_py())):
                     some.append(found)
-                    if len(some) == 500:
-                        yield pa.RecordBatch.from_arrays([pa.array([list(h.items()) for h, _ in some], kinds[0]), pa.array([b for _, b in some], kinds[1])], names=["headers", "body"])
-                        some = []
+                    held += len(found[1])
+                    if len(some) == 500 or held > 8 << 20:
+                        yield batch_of(some)
+                        some, held = [], 0
                 if some:
-                    yield pa.RecordBatch.from_arrays([pa.array([list(h.items()) for h, _ in some], kinds[0]), pa.array([b for _, b in some], kinds[1])], names=["headers", "body"])
+                    yield batch_of(some)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, "headers map<string,string>, body binary")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "headers map<string,string>, body binary")
 
 
-def _record(kind: str, ident: str, headers: dict[str, str], other: str, mime: str, body: bytes) -> str:
-    fields = {"WARC-Type": kind, "WARC-Record-ID": ident, "WARC-Date": headers.get("WARC-Date"), "WARC-Target-URI": headers.get("WARC-Target-URI"), "WARC-Refers-To": headers["WARC-Record-ID"]}
+def _record(kind: str, ident: str, headers: dict[str, str], source: str, other: str, mime: str, body: bytes) -> str:
+    fields = {"WARC-Type": kind, "WARC-Record-ID": ident, "WARC-Date": headers.get("WARC-Date"), "WARC-Target-URI": headers.get("WARC-Target-URI"), "WARC-Refers-To": source}
     fields |= {"WARC-Concurrent-To": other, "WARC-Block-Digest": digest(body), "Content-Type": mime, "Content-Length": str(len(body))}
     return f"WARC/1.1{END}" + "".join(f"{k}: {v}{END}" for k, v in fields.items() if v is not None) + END + body.decode()
 
@@ -117,17 +189,17 @@ def derive(headers: dict[str, str], body: bytes) -> tuple[str, str]:
     """The metadata record and the conversion record of a response."""
     head, _, payload = body.partition(b"\r\n\r\n")
     page = payload.decode("utf-8", "replace")
-    source = headers["WARC-Record-ID"]
+    source = headers.get("WARC-Record-ID") or record_id("response", *(f"{k}: {v}" for k, v in headers.items()), digest(body))
     ids = {kind: record_id(kind, source) for kind in ("metadata", "conversion")}
     title = TITLE.search(page)
     status, *http = head.decode("utf-8", "replace").split(END)
-    facts = [("status", status), *(("http-" + k.lower(), v) for k, v in (x.split(": ", 1) for x in http if ": " in x)), *(("source-" + k.lower(), v) for k, v in headers.items())]
+    facts = [("status", status), *(("http-" + k.lower(), v) for k, v in ((k, v.strip()) for k, _, v in (x.partition(":") for x in http) if v)), *(("source-" + k.lower(), v) for k, v in headers.items())]
     facts += [("payload-sha1", digest(payload)), ("title", " ".join(entities.unescape(title[1]).split()) if title else "")]
     facts += [("outlink", entities.unescape(link)) for link in LINK.findall(UNSEEN.sub("", page))]
     fields = "".join(f"{k}: {v}{END}" for k, v in facts).encode()
     return (
-        _record("metadata", ids["metadata"], headers, ids["conversion"], "application/warc-fields", fields),
-        _record("conversion", ids["conversion"], headers, ids["metadata"], "text/plain; charset=utf-8", plain_text(page).encode()),
+        _record("metadata", ids["metadata"], headers, source, ids["conversion"], "application/warc-fields", fields),
+        _record("conversion", ids["conversion"], headers, source, ids["metadata"], "text/plain; charset=utf-8", plain_text(page).encode()),
     )
 
 
