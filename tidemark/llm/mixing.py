@@ -6,16 +6,19 @@ the number of sources), raised as far as needed to keep every source within the
 aggregation over the table of sources answers 64 bisection points at a time, so the driver sees only scalars.
 
 The weights are realised as block permutations. A source's documents are dealt by hash to blocks of about
-``block_tokens``; every whole epoch takes all blocks, the last one takes blocks in a hashed order until the source's
-budget is used up, and of its last block documents in a hashed order. Sums run over blocks of a source and over
-documents of a block, never over all documents of a source, so a source with a third of all rows is no hot task.
+``block_tokens`` tokens or ``block_rows`` rows, whichever makes more blocks; every whole epoch takes all blocks, the last
+one takes blocks in a hashed order until the source's budget is used up, and of its last block documents in a hashed order.
+Sums run over documents of a block, over blocks of a stretch of that order (a 4096th of it) and over the stretches of a
+source, never over all documents or blocks of a source, so a source with a third of all rows, with or without words, is
+no hot task.
 
 With no ``budget_tokens`` the budget is the smallest that gives each source at least one whole epoch, so no document is
 lost; a smaller budget thins out the sources above their weight.
 
 Defined results: a null source is a source of its own; null and empty texts have no tokens and come along with their
 source's whole epochs (and with the last one while its budget lasts); a source without tokens gets one epoch; repeated
-rows count as often as they come; an empty table gives an empty table; clashing columns are kept apart by prefix.
+rows count as often as they come; an empty table gives an empty table; columns of the input that bear the names of results
+are left out of the mix unless ``prefix`` names the results otherwise.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ class Mix:
     max_epochs: float | None = 4.0
     budget_tokens: int | None = None
     block_tokens: int = 1_000_000
+    block_rows: int = 100_000
     seed: str = "mix"
 
 
@@ -76,7 +80,7 @@ def exponent(sources: DataFrame, mix: Mix) -> float:
 
 def weighted_sources(counted: DataFrame, mix: Mix) -> DataFrame:
     """One row per source: __source, __tokens, __weight, __epochs (whole and part), __blocks."""
-    sums = written(counted.groupBy("__source").agg(F.sum("__n").alias("__tokens")), "sources")
+    sums = written(counted.groupBy("__source").agg(F.sum("__n").alias("__tokens"), F.count("*").alias("__rows")), "sources")
     some = sums.where("__tokens > 0")
     alpha = exponent(some, mix)
     size = F.pow(F.col("__tokens").cast("double"), F.lit(alpha))
@@ -88,7 +92,7 @@ def weighted_sources(counted: DataFrame, mix: Mix) -> DataFrame:
         "__tokens",
         F.when(filled, size / F.lit(total)).otherwise(0.0).alias("__weight"),
         F.when(filled, epochs).otherwise(1.0).alias("__epochs"),
-        F.greatest(F.ceil(F.col("__tokens") / mix.block_tokens), F.lit(1)).cast("long").alias("__blocks"),
+        F.greatest(F.ceil(F.col("__tokens") / mix.block_tokens), F.ceil(F.col("__rows") / mix.block_rows), F.lit(1)).cast("long").alias("__blocks"),
     )
 
 
@@ -111,9 +115,15 @@ def copies(docs: DataFrame, mix: Mix, tokens: Column, source: str = "source", id
 
     whole = F.floor("__epochs")
     blocks = dealt(slim).groupBy("__source", "__block").agg(F.sum("__n").alias("__size"), F.max(whole).alias("__whole"), F.max(F.floor((F.col("__epochs") - whole) * F.col("__tokens"))).alias("__part"))
-    order = Window.partitionBy("__source").orderBy(_draw(mix.seed, "order", F.col("__whole").cast("string"), F.col("__block").cast("string")), "__block")
-    before = F.coalesce(F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select(F.col("__source").alias("__s"), F.col("__block").alias("__b"), "__whole", F.greatest(F.col("__part") - before, F.lit(0)).alias("__left"))
+    blocks = blocks.withColumn("__draw", _draw(mix.seed, "order", F.col("__whole").cast("string"), F.col("__block").cast("string"))).withColumn("__stretch", F.substring("__draw", 1, 3))
+    blocks = written(blocks, "block-sizes")
+    earlier = lambda *keys: Window.partitionBy("__source", *keys).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = blocks.groupBy("__source", "__stretch").agg(F.sum("__size").alias("__all")).select(
+        F.col("__source").alias("__s"), F.col("__stretch").alias("__t"), F.coalesce(F.sum("__all").over(earlier().orderBy("__stretch")), F.lit(0)).alias("__before")
+    )  # 4096 rows a source at most
+    inner = F.coalesce(F.sum("__size").over(earlier("__stretch").orderBy("__draw", "__block")), F.lit(0))
+    blocks = blocks.withColumn("__inner", inner).join(stretches, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__stretch") == F.col("__t"))).drop("__s", "__t")
+    blocks = blocks.select(F.col("__source").alias("__s"), F.col("__block").alias("__b"), "__whole", F.greatest(F.col("__part") - F.col("__before") - F.col("__inner"), F.lit(0)).alias("__left"))
     placed = dealt(counted).join(written(blocks, "blocks"), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
     inside = Window.partitionBy("__source", "__block").orderBy(_draw(mix.seed, "doc", F.col("__whole").cast("string"), F.col("__id")), "__n")
     used = F.coalesce(F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -122,13 +132,15 @@ def copies(docs: DataFrame, mix: Mix, tokens: Column, source: str = "source", id
     )
 
 
-def mixed(docs: DataFrame, mix: Mix, tokens: Column, source: str = "source", ident: str = "doc_id") -> DataFrame:
+def mixed(docs: DataFrame, mix: Mix, tokens: Column, source: str = "source", ident: str = "doc_id", prefix: str = "") -> DataFrame:
     """The mix: docs, each as often as it is taken, with epoch (from 0), block, draw (order in the epoch: by the block's
-    draw, then the document's) and weight."""
+    draw, then the document's), n_tokens and weight, each name after the prefix."""
+    names = {name: prefix + name for name in ("epoch", "block", "draw", "n_tokens", "weight")}
     found = copies(docs, mix, tokens, source, ident).where("__copies > 0")
-    each = found.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies").cast("long") - 1)))
-    draw = F.concat(_draw(mix.seed, "order", F.col("epoch").cast("string"), F.col("__block").cast("string")), _draw(mix.seed, "doc", F.col("epoch").cast("string"), F.coalesce(F.col(ident).cast("string"), F.lit("null"))))
-    return each.select(*docs.columns, "epoch", F.col("__block").alias("block"), draw.alias("draw"), F.col("__n").alias("n_tokens"), F.col("__weight").alias("weight"))
+    each = found.withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies").cast("long") - 1)))
+    draw = F.concat(_draw(mix.seed, "order", F.col("__epoch").cast("string"), F.col("__block").cast("string")), _draw(mix.seed, "doc", F.col("__epoch").cast("string"), F.coalesce(F.col(ident).cast("string"), F.lit("null"))))
+    made = {"epoch": F.col("__epoch"), "block": F.col("__block"), "draw": draw, "n_tokens": F.col("__n"), "weight": F.col("__weight")}
+    return each.select(*(c for c in docs.columns if c not in names.values()), *(made[k].alias(name) for k, name in names.items()))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,16 +148,21 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs, Mix(), F.col("__words")).select("doc_id", "source", "epoch", "block", "draw", "n_tokens", F.round("weight", 6).alias("weight"))
 
 
+def mixing_sql(mix: Mix) -> str:
+    """DuckDB SQL of op5_mixing for a mix with these blocks."""
+    return OP5_SQL.replace("1000000", str(mix.block_tokens)).replace("100000)", f"{mix.block_rows})")
+
+
 OP5_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents),
-s AS (SELECT source, sum(n)::DOUBLE AS t FROM d GROUP BY source HAVING sum(n) > 0),
+s AS (SELECT source, sum(n)::DOUBLE AS t, count(*) AS rows FROM d GROUP BY source HAVING sum(n) > 0),
 eh(k, lo) AS (SELECT 0, 0.0::DOUBLE UNION ALL
   SELECT k + 1, lo + CASE WHEN (SELECT ln(sum(pow(t, a))) - sum(pow(t, a) * a * ln(t)) / sum(pow(t, a)) >= CAST(0.95 AS DOUBLE) * ln(count(*)::DOUBLE) FROM s, (SELECT lo + pow(2.0, -(k + 1)) AS a)) THEN pow(2.0, -(k + 1)) ELSE 0 END FROM eh WHERE k < 24),
 er(k, lo) AS (SELECT 0, 0.0::DOUBLE UNION ALL
   SELECT k + 1, lo + CASE WHEN (SELECT max(pow(t, a) / t) / min(pow(t, a) / t) > 4 FROM s, (SELECT lo + pow(2.0, -(k + 1)) AS a)) THEN pow(2.0, -(k + 1)) ELSE 0 END FROM er WHERE k < 24),
 x AS (SELECT greatest((SELECT lo FROM eh WHERE k = 24), (SELECT CASE WHEN lo > 0 THEN lo + pow(2.0, -24) ELSE 0 END FROM er WHERE k = 24)) AS a),
 f AS (SELECT sum(pow(t, a)) AS total, min(pow(t, a) / t) AS least FROM s, x),
-w AS (SELECT source, t, pow(t, a) / total AS weight, round(pow(t, a) / t / least, 9) AS epochs, greatest(ceil(t / 1000000), 1)::BIGINT AS blocks FROM s, x, f),
+w AS (SELECT source, t, pow(t, a) / total AS weight, round(pow(t, a) / t / least, 9) AS epochs, greatest(ceil(t / 1000000), ceil(rows / 100000), 1)::BIGINT AS blocks FROM s, x, f),
 b AS (SELECT d.doc_id, d.source, d.n, w.weight, w.epochs, floor(w.epochs)::BIGINT AS whole, floor((w.epochs - floor(w.epochs)) * w.t)::BIGINT AS part,
   concat('0x', substr(md5(concat_ws('/', 'mix', 'block', d.doc_id::VARCHAR)), 1, 8))::BIGINT % w.blocks AS block FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source),
 z AS (SELECT source, block, whole, part, sum(n) AS size FROM b GROUP BY ALL),
