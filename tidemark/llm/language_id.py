@@ -1,15 +1,17 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton is built of labelled text. A text is parsed greedily into phrases: from each
-position the longest match in the automaton, at least one letter. The language that needs the fewest phrases per letter
-wins. Phrases end at word ends, so a text's count is the sum of its words' counts and each distinct word is parsed
-once in a worker process, from then on looked up in a bounded cache.
+position the longest match in the automaton, at least one character. Matches run over words and spaces alike. The language
+that needs the fewest phrases per character wins. Texts are lower-cased first; runs of anything but letters and marks are
+one space.
 
-The labelled text is a bounded sample: ``letters_per_language`` letters of the labelled rows with the smallest hashes.
-Everything else covers all rows and whole texts.
+The labelled text is a bounded sample: ``rows_per_language`` distinct labelled texts with the smallest hashes, taken whole
+while they add up to ``letters_per_language`` characters or less (one text at least). Nothing else is bounded: every row is
+predicted, by its whole text. A worker process holds at most two states a character, some 30 MB a language.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; ties go to the first language by name;
-without any learned language every text is ``und``; repeated rows are judged alike; empty tables give empty tables.
+without any learned language every text is ``und``; repeated rows are judged alike; empty tables give empty tables; columns
+of the input that bear the names of results are left out of what predicted() and identify() return (see ``names``).
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,21 +26,25 @@ from pyspark.sql import functions as F
 
 from ._common import table
 
-CACHE_WORDS = 200_000
 UNKNOWN = "und"
-_words = regex.compile(r"\p{L}+").findall
+_between, _letter = regex.compile(r"[^\p{L}\p{M}]+").sub, regex.compile(r"\p{L}").search
+
+
+def running_text(text: str) -> str:
+    """Letters and marks in lower case, one space between their runs and at both ends."""
+    return _between(" ", f" {text.lower()} ")
 
 
 class SuffixAutomaton:
-    """Accepts every substring of the words it was given; built letter by letter."""
+    """Accepts every substring of the texts it was given; built character by character."""
 
     def __init__(self) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.link, self.length = [-1], [0]
 
-    def add(self, word: str) -> None:
+    def add(self, text: str) -> None:
         last = 0
-        for letter in word:
+        for letter in text:
             last = self._extend(last, letter)
 
     def _split(self, state: int, after: int, letter: str) -> int:
@@ -56,7 +61,7 @@ class SuffixAutomaton:
 
     def _extend(self, last: int, letter: str) -> int:
         there = self.next[last].get(letter)
-        if there is not None:  # a new word may run along old ones
+        if there is not None:  # a new text may run along old ones
             return there if self.length[there] == self.length[last] + 1 else self._split(last, there, letter)
         new = len(self.next)
         self.next.append({})
@@ -71,16 +76,23 @@ class SuffixAutomaton:
             self.link[new] = there if self.length[there] == self.length[state] + 1 else self._split(state, there, letter)
         return new
 
-    def phrases(self, word: str) -> int:
-        """Greedy longest matches that cover the word; a letter met nowhere is a phrase of its own."""
-        step, count, state = self.next, 0, -1
-        for letter in word:
-            after = step[state].get(letter) if state >= 0 else None
-            if after is None:
-                count += 1
-                after = step[0].get(letter, -1)
-            state = after
-        return count
+    def frozen(self) -> dict:
+        """The start state, with states as dictionaries from a character to the next state."""
+        states: list[dict] = [{} for _ in self.next]
+        for state, after in zip(states, self.next, strict=True):
+            state.update((letter, states[x]) for letter, x in after.items())
+        return states[0]
+
+
+def phrases(start: dict, text: str) -> int:
+    """Greedy longest matches that cover the text; a character met nowhere is a phrase of its own."""
+    count, state, nowhere = 0, {}, {}
+    for letter in text:
+        state = state.get(letter)
+        if state is None:
+            count += 1
+            state = start.get(letter, nowhere)
+    return count
 
 
 class Parser:
@@ -88,69 +100,50 @@ class Parser:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        self.automata = []
+        self.starts = []
         for language in self.languages:
             automaton = SuffixAutomaton()
-            for word in dict.fromkeys(samples[language]):
-                automaton.add(word)
-            self.automata.append(automaton)
-        self.row: dict[str, int] = {}
-        self.counts = np.zeros((1024, len(self.automata) + 1), "int64")
-
-    def count(self, text: str) -> np.ndarray:
-        """Phrases by language, then letters."""
-        words = _words(text.lower())
-        row = self.row
-        if len(row) + len(words) > max(CACHE_WORDS, 2 * len(words)):
-            row.clear()
-        for word in set(words):
-            if word not in row:
-                at = row[word] = len(row)
-                if at == len(self.counts):
-                    self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-                self.counts[at] = [*(a.phrases(word) for a in self.automata), len(word)]
-        return self.counts[np.fromiter(map(row.__getitem__, words), "int64", len(words))].sum(axis=0)
+            for text in samples[language]:
+                automaton.add(running_text(text))
+            self.starts.append(automaton.frozen())
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score: how much shorter the best parse is than the mean of the others' parses, 0 to 1."""
-        if not text or not self.languages:
+        if not text or not self.languages or not _letter(text):
             return UNKNOWN, 0.0
-        *phrases, letters = self.count(text).tolist()
-        if not letters:
-            return UNKNOWN, 0.0
-        best = min(range(len(phrases)), key=phrases.__getitem__)
-        others = [n for i, n in enumerate(phrases) if i != best]
-        mean = sum(others) / len(others) if others else letters
-        return self.languages[best], 1 - phrases[best] / max(mean, 1)
+        running = running_text(text)
+        found = [phrases(start, running) for start in self.starts]
+        best = min(range(len(found)), key=found.__getitem__)
+        others = [n for i, n in enumerate(found) if i != best]
+        mean = sum(others) / len(others) if others else len(running)
+        return self.languages[best], 1 - found[best] / max(mean, 1)
 
 
 _parsers: dict[str, Parser] = {}
 
 
-def training_words(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 40, letters_per_language: int = 60_000) -> dict[str, list[str]]:
-    """Lower-cased distinct words of the labelled rows with the smallest text hashes.
+def training_texts(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 200, letters_per_language: int = 60_000) -> dict[str, list[str]]:
+    """Distinct whole texts per language, within both bounds, in the order of their hashes.
 
-    Both bounds are per language: row_number() under a bound makes Spark keep that many rows a task before the exchange,
-    and words beyond the letter bound are left out.
+    Copies count once, however many they are: only hashes and lengths are compared before the few texts are read.
+    row_number() under a bound makes Spark keep that many rows a task before the exchange.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("__lang"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"))
-    order = Window.partitionBy("__lang").orderBy("__hash", "__text")
-    taken = rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= rows_per_language)
-    found: dict[str, dict[str, None]] = {}
-    letters: dict[str, int] = {}
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("__lang"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"), F.char_length(text).cast("long").alias("__size"))
+    rows = rows.where(F.col("__text").rlike("\\p{L}"))
+    order = Window.partitionBy("__lang").orderBy(F.col("__size") > letters_per_language, "__hash")
+    first = rows.groupBy("__lang", "__hash").agg(F.min("__size").alias("__size")).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= rows_per_language)
+    chosen = first.withColumn("__sum", F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("__n") == 1) | (F.col("__sum") <= letters_per_language))
+    wanted = F.broadcast(chosen.select("__lang", "__hash", "__n"))  # rows_per_language rows a language at most
+    taken = rows.join(wanted, ["__lang", "__hash"]).groupBy("__lang", "__n").agg(F.min("__text").alias("__text"))
+    found: dict[str, list[str]] = {}
     for row in sorted(taken.collect(), key=lambda r: (r["__lang"], r["__n"])):
-        words = found.setdefault(row["__lang"], {})
-        for word in _words(row["__text"].lower()):
-            used = letters.get(row["__lang"], 0)
-            if word not in words and used + len(word) <= letters_per_language:
-                words[word] = None
-                letters[row["__lang"]] = used + len(word)
-    return {k: list(v) for k, v in found.items() if v}
-
-
-def predicted(docs: DataFrame, samples: dict[str, list[str]], text: str = "text") -> DataFrame:
-    """docs with lang_pred and score. The samples are bounded; each worker builds its automata from them once."""
-    key, kept = uuid.uuid4().hex, [c for c in docs.columns if c not in ("lang_pred", "score")]
+        found.setdefault(row["__lang"], []).append(row["__text"])
+    return found
+
+
+def predicted(docs: DataFrame, samples: dict[str, list[str]], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with language and score. The samples are bounded; each worker builds its automata from them once."""
+    key, kept = uuid.uuid4().hex, [c for c in docs.columns if c not in names]
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +153,9 @@ def predicted(docs: DataFrame, samples: dict[str, list[str]], text: str = "text"
         parser = _parsers[key]
         for batch in batches:
             found = [parser.predict(value.as_py()) for value in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*kept, *names])
 
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*kept).schema.add(names[0], "string").add(names[1], "double")
     return docs.select(*kept).mapInArrow(run, schema)
 
 
@@ -170,14 +163,13 @@ def held_out(ident: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(ident).cast("string")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id", **bounds: int) -> DataFrame:
-    """docs with held_out, lang_pred and score; learned from the labelled rows that are not held out."""
-    samples = training_words(docs.where(~held_out(ident)), text, lang, **bounds)
-    return predicted(docs.withColumn("held_out", held_out(ident)), samples, text)
+def identify(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id", names: tuple[str, str] = ("lang_pred", "score"), **bounds: int) -> DataFrame:
+    """docs with language and score; learned from the labelled rows that are not held out (see held_out)."""
+    return predicted(docs, training_texts(docs.where(~held_out(ident)), text, lang, **bounds), text, names)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    samples = training_words(docs.where(~held_out()))
+    samples = training_texts(docs.where(~held_out()))
     slim = docs.select("doc_id", "text", held_out().alias("held_out"))
     return predicted(slim, samples).drop("text")
