@@ -22,7 +22,7 @@ from tidemark.shipping import ship
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are null or have no letter go."""
     ship(spark)
-    return identify(docs).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return identify(docs, names=("__lang", "__score")).where(F.col("__lang") != UNKNOWN).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, those of small sources up to twice."""
-    return mixed(docs, Mix(max_epochs=2.0), words()).select(*docs.columns)
+    return mixed(docs, Mix(max_epochs=2.0), words(), prefix="__mix_").select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
