@@ -1,8 +1,10 @@
 """Training-data operators against brute force, libraries, round trips and edge cases."""
 
+import gzip
 import hashlib
 import os
 import random
+import re
 import struct
 import sys
 import zlib
@@ -194,19 +196,47 @@ def test_token_orc_skips_stripes(spark, tmp_path):
 
 def test_language_id(spark, docs):
     rows = [(i, f"{random.choice(['the cat and the dog', 'the house of things'])} number {i}" if i % 2 else f"{random.choice(['el perro y la casa', 'los niños que corren'])} numero {i}", "en" if i % 2 else "es") for i in range(200)]
+    rows += [(1000 + i, "zzz zzz zzz", "en") for i in range(300)]  # a large group of copies is one text of the sample
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = language_id.identify(df).toPandas()
-    held = got[got.held_out]
+    samples = language_id.training_texts(df, rows_per_language=50)
+    assert {k: len(v) for k, v in samples.items()} == {"en": 50, "es": 50} and all(len(set(v)) == 50 for v in samples.values())
+    assert sum(map(len, language_id.training_texts(df, letters_per_language=100)["es"])) <= 100
+    assert len(language_id.training_texts(df, letters_per_language=1)["es"]) == 1
+    got = language_id.identify(df).withColumn("held_out", language_id.held_out()).toPandas()
+    held = got[got.held_out & (got.doc_id < 1000)]
     assert len(held) and (held.lang == held.lang_pred).mean() > 0.95 and got.score.between(0, 1).all()
-    odd = language_id.predicted(docs, {"en": ["the"], "es": ["el"]}).toPandas()
-    assert len(odd) == len(ROWS) and (odd[odd.text.isna()].lang_pred == "und").all() and (odd[odd.text == "   \n\t"].lang_pred == "und").all()
+    odd = language_id.predicted(docs, {"en": ["the"], "es": ["el"]}, names=("lang_pred", "sureness"))
+    assert odd.columns == [*docs.columns, "lang_pred", "sureness"]  # a column score of the input is kept
+    odd = odd.toPandas()
+    assert len(odd) == len(ROWS) and (odd.score == 1.5).all() and (odd[odd.text.isna()].lang_pred == "und").all() and (odd[odd.text == "   \n\t"].lang_pred == "und").all()
     assert language_id.identify(docs).count() == len(ROWS)  # nothing labelled: all und
     assert language_id.identify(df.limit(0)).isEmpty()
-    words = ["abcab", "bcabd"]
-    a = language_id.SuffixAutomaton()
-    for w in words:
-        a.add(w)
-    assert a.phrases("abcabd") == 2 and a.phrases("zz") == 2 and a.phrases("bcab") == 1
+    assert language_id.Parser({"b": ["same text"], "a": ["same text"]}).predict("same")[0] == "a"  # ties go by name
+    assert language_id.Parser({"b": ["same text"]}).predict(LONG)[0] == "b"
+
+
+def test_phrases_by_brute_force():
+    """Longest matches over running text, words and spaces alike, found by trying every substring."""
+    for _ in range(60):
+        samples = [language_id.running_text("".join(random.choice("ab c\u0301é") for _ in range(random.randint(0, 30)))) for _ in range(3)]
+        automaton = language_id.SuffixAutomaton()
+        for x in samples:
+            automaton.add(x)
+        start = automaton.frozen()
+        for _ in range(10):
+            text = language_id.running_text("".join(random.choice("ab cdé\u0301.") for _ in range(random.randint(1, 40))))
+            at = count = 0
+            while at < len(text):
+                size = max((n for n in range(1, len(text) - at + 1) if any(text[at : at + n] in x for x in samples)), default=1)
+                at, count = at + size, count + 1
+            assert language_id.phrases(start, text) == count, (samples, text)
+    assert language_id.running_text("Ab1,cÉ हिन्दी") == " ab cé हिन्दी "
+
+
+def test_language_of_held_out_documents(spark):
+    got = QUERIES["op9_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    right = got.where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right > 0.97, right
 
 
 def test_mixing(spark, docs):
@@ -264,6 +294,35 @@ def test_html_keeps_text_below_loose_hints(spark):
     assert got == {i: t for i, (_, t) in enumerate(main)}
 
 
+def test_html_of_odd_markup_and_tables(spark):
+    a = "The first paragraph of the article has more than enough words to be read as text by anyone."
+    b = "The last paragraph of the article has about as many words as the first one and then some more."
+    whole = f"{a}\n\n{b}"
+    pages = [
+        f"<article><p title=it's>{a}</p><p>{b}</p></article>", f"<html><head><title>T</title><article><p>{a}</p><p>{b}</p></article>", f"<head><meta x=1><p>{a}</p><p title='a > b'>{b}</p>", f'<article class="overflow-hidden"><p aria-hidden="false">{a}</p><p>{b}</p></article>',
+        f'<body class="has-sidebar"><article><p>{a}</p><p>{b}</p></article>', f'<div class="post with-comments"><article><p data-x="1>2" x=\'"\'>{a}</p><p>{b}</p></article></div>', f"<body class=no-header><main><p>{a}</p><p>{b}</p></main>", f"<article><p a = '{b}' b>{a}</p><p>{b}</p></article>",
+    ]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(pages)] + [(0, pages[0])], "page_id long, html string")
+    assert all(r["text"] == whole for r in html_text.main_text(df).collect())
+    long = "".join(f"<p>{a} {i}</p>" for i in range(20_000))
+    text = html_text.main_text(spark.createDataFrame([(1, f"<article>{long}</article>")], "page_id long, html string")).first()
+    assert text["n_blocks"] == 20_000 and text["n_chars"] == len(text["text"]) and text["text"].endswith("anyone. 19999")
+    assert html_text.main_text(df.limit(0)).isEmpty()
+
+
+def test_html_tree_uses_words_and_links_of_neighbours(spark):
+    """Held-out labelled blocks are told by shallow features; link density and words of the block and its neighbours carry the tree."""
+    rows = html_text.LABELLED_BLOCKS
+    hits = []
+    for fold in range(5):
+        main = html_text.trained_tree(spark, [r for i, r in enumerate(rows) if i % 5 != fold])
+        held = spark.createDataFrame([tuple(map(float, r)) for i, r in enumerate(rows) if i % 5 == fold], [*html_text.FEATURES, "label"])
+        hits += held.select((main(F.struct(*html_text.FEATURES)) == (F.col("label") > 0)).alias("hit"), "label").collect()
+    assert sum(r["hit"] for r in hits) / len(hits) > 0.8
+    used = str(html_text.trained_tree(spark)(F.col("b"))._jc.toString())
+    assert all(name in used for name in ("words", "links", "words_before", "words_after"))
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<title>T &amp; U</title><p>Hé\r\n\r\nllo<a href='/x'>x</a>"), (2, None, None), (2, "http://b/", "")], "page_id long, url string, html string")
     a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
@@ -282,6 +341,66 @@ def test_warc(spark, tmp_path):
     assert text == "T & UHé\nllox" or text.endswith("Hé\nllox")
 
 
+def test_warc_headers_and_files(spark, tmp_path):
+    """Plain files, whole-file and per-record gzip, lower-case and malformed headers, missing identifiers, cut records."""
+    rec = lambda head, body: b"WARC/1.0\r\n" + head + b"\r\n\r\n" + body + b"\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nx-Any:1\r\n\r\n<title>A</title><p>x WARC/ y</p>"
+    size = str(len(http)).encode()
+    good = [rec(b"warc-type: response\r\ncontent-length: " + size, http), rec(b"WARC-Type:response\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length:" + size, http)]
+    bad = [rec(b"WARC-Type: response\r\nContent-Length: many", b"zz"), rec(b"WARC-Type: response", b"zz"), rec(b"Content-Length: -4", b"zz")]
+    whole, cut = b"".join([good[0], *bad, good[1]]), good[0] + good[1][:-40]
+    files = {"a.warc": whole, "b.warc.gz": gzip.compress(whole), "c.warc.gz": b"\0".join(gzip.compress(r) for r in good), "d.warc": cut, "e.warc.gz": gzip.compress(good[0]) + gzip.compress(good[1])[:-20], "f.warc": b""}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        got = warc.read_warc(spark, f"file://{tmp_path}/{name}").collect()
+        assert [bytes(r["body"]) for r in got] == [http] * {"f.warc": 0, "d.warc": 1, "e.warc.gz": 1}.get(name, 2), name
+        assert all(r["headers"]["WARC-Type"] == "response" and r["headers"]["Content-Length"] == size.decode() for r in got)
+    made = warc.derivatives(warc.read_warc(spark, f"file://{tmp_path}/a.warc")).collect()
+    assert len(made) == 4 and len({r["record"] for r in made}) == 4 and all("http-x-any: 1" in r["record"] for r in made if "metadata" in r["record"][:40])
+    long = "<p>" + "long text " * 400_000
+    empty = spark.createDataFrame([(1, "u", long, 7)], "page_id long, url string, html string, record int")
+    for df, n in ((empty.limit(0), 0), (empty, 1)):
+        out = f"file://{tmp_path}/out{n}"
+        warc.write_warc(warc.response_records(df, "2024-01-01T00:00:00Z"), out)
+        rows = warc.read_warc(spark, out).collect() if n else []
+        assert len(rows) == n and all(bytes(r["body"]).endswith(long.encode()) for r in rows)
+
+
+def test_warc_query_by_brute_force(spark):
+    """Digests, links, titles and texts of every page of a small table, found from the pages alone."""
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    got = QUERIES["op4_warc"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(pages) and {r["page_id"] for r in got} == set(pages)
+    for r in got:
+        page = pages[r["page_id"]]
+        seen = re.sub(r"(?is)<!--.*?(-->|$)|<(script|style|noscript|template|head)\b.*?(</\2\s*>|$)", "", page)
+        assert r["linked"] and r["n_metadata"] == 1 and r["payload_digest"] == "sha256:" + hashlib.sha256(page.encode()).hexdigest()
+        assert r["n_links"] == len(re.findall(r"(?i)<a\b[^>]*?\bhref\s*=", seen)) and r["text_sha256"] == hashlib.sha256(warc.plain_text(page).encode()).hexdigest()
+
+
+def test_mixing_of_many_blocks(spark, sf_dir):
+    """The query's SQL with small blocks, so that blocks are permuted and cut; blocks by rows where there are no words."""
+    mix = mixing.Mix(block_tokens=300, block_rows=4)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", mixing.words().alias("__words"))
+    got = mixing.mixed(docs, mix, F.col("__words")).select("doc_id", "source", "epoch", "block", "draw", "n_tokens", F.round("weight", 6).alias("weight")).toPandas()
+    assert got.block.max() > 20 and not differences(got, duck(sf_dir, mixing.mixing_sql(mix)))
+    empty = spark.range(90).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("s").alias("source"), F.lit(1).alias("weight"), F.lit(2).alias("block"))
+    mix = mixing.Mix(block_rows=30)
+    rows = mixing.mixed(empty, mix, mixing.words(), prefix="m_")
+    assert rows.columns == [*empty.columns, "m_epoch", "m_block", "m_draw", "m_n_tokens", "m_weight"] and rows.count() == 90 and rows.select("m_block").distinct().count() == 3
+    assert mixing.mixed(empty, mix, mixing.words()).columns == ["doc_id", "text", "source", "epoch", "block", "draw", "n_tokens", "weight"]
+    assert corpus_pipeline.mixing(spark, empty, sf_dir).columns == empty.columns
+
+
+def test_quality_rules_of_odd_tables(spark, docs):
+    assert quality_rules.judge(docs.limit(0)).isEmpty()
+    clash = quality_rules.judge(docs.withColumn("n_words", F.lit(-1))).toPandas()
+    assert len(clash) == len(ROWS) and clash.n_words.min() >= 0
+    tie = [quality_rules.Rule("b", F.col("n_words") < 0), quality_rules.Rule("a", F.col("n_words") < 0)]
+    m = quality_rules.written(quality_rules.measured(docs.select("doc_id", "text")), "m")
+    assert [r.name for r, _, _ in quality_rules.ordered_rules(m, tie)] == ["a", "b"]
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", F.when(F.col("doc_id") == 5, None).when(F.col("doc_id") == 6, "123 !").otherwise(F.col("text")))
     sizes, columns = [docs.count()], docs.columns
