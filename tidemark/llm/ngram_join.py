@@ -10,8 +10,9 @@ All tests are exact: they drop no pair that reaches the threshold. The sketch on
 
 Only components are asked for, so pairs within a group are not enumerated. The lists are sorted once by n-gram; every node
 of a list meets one pivot, a node in which that n-gram comes early. An n-gram that a five-hundredth of the rows or more
-list is dealt over salted lists, whose pivots then meet one pivot of theirs. Then only pairs between components still apart are
-joined; where a list holds many nodes outside its main component, the key is lengthened by a second shared n-gram.
+list is dealt over salted lists, whose pivots then meet one pivot of theirs. Then lists of three nodes or more are joined for
+pairs that no pivot is part of, between components still apart; sizes, positions and 256 parity bits a set are tested inside
+the join, so that a list of sets that are alike but not linked costs comparisons, not rows.
 
 Defined results: null texts and texts without a word have an empty set, linked with nothing; texts of fewer than n
 words have one n-gram, the whole sequence; repeated rows are copies; a null identifier counts as larger than any;
@@ -37,7 +38,8 @@ SKETCH_BITS, SLICE_BITS = 24, 16
 MATCHES = 4
 VERIFY_COST = 50  # list entries read that cost as much as one verification
 HOT_SHARE, HOT_ROWS = 500, 1000  # a list is salted from rows / HOT_SHARE entries on, HOT_ROWS at least
-HEAVY = 64  # nodes outside a list's main component from which on a second n-gram joins the key
+HEAVY = 2000  # nodes outside a list's main component that one task compares with the list
+BITS = 4  # 64-bit numbers of parity bits that the join of the lists tests
 BROADCAST_ROWS = 1_000_000  # identifiers (some 50 MB) that are broadcast to fetch texts; beyond that the texts are shuffled
 _FACTOR, _SHORT = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 _word_hash = xxhash.xxh3_64_intdigest
@@ -135,9 +137,9 @@ def least_overlap(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def parity_bits(h: np.ndarray) -> bytes:
-    """Bit i says whether an odd number of elements falls on it; at least half as many bits as elements."""
-    width = max(64, 1 << max(0, len(h) // 2 - 1).bit_length())
+def parity_bits(h: np.ndarray, width: int = 0) -> bytes:
+    """Bit i says whether an odd number of elements falls on it; width bits, or at least half as many as there are elements."""
+    width = width or max(64, 1 << max(0, len(h) // 2 - 1).bit_length())
     return np.packbits((np.bincount((h & np.uint64(width - 1)).astype("i8"), minlength=width) & 1).astype("u1"), bitorder="little").tobytes()
 
 
@@ -150,12 +152,16 @@ def differing_bits(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-PREFIX = f"kind int, node {NODE}, size bigint, matches int, grams array<bigint>, bits binary, counts array<bigint>"
+PREFIX = f"kind int, node {NODE}, size bigint, matches int, grams array<bigint>, bits binary, parity array<bigint>, counts array<bigint>"
+
 
 
 def _prefixes(n: int, percent: int, sketch):
     """A row per document (kind 0) and, for each batch of rows, n-grams that many of its prefixes hold, with counts (kind 1)."""
-    names = ["kind", "node", "size", "matches", "grams", "bits", "counts"]
+    names = ["kind", "node", "size", "matches", "grams", "bits", "parity", "counts"]
+
+    def words(parity: tuple[bytes, ...]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(parity) + 1) * BITS, pa.int32()), pa.array(np.frombuffer(b"".join(parity), "<i8")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(sketch.value, "u1")
@@ -168,25 +174,25 @@ def _prefixes(n: int, percent: int, sketch):
                     continue
                 rarity = classes[h >> np.uint64(64 - SKETCH_BITS)]
                 need = least_overlap(len(h), percent)
-                most, least = min(MATCHES, need), min(2, need)
+                most = min(MATCHES, need)
                 order = np.lexsort((h, rarity))[: len(h) - need + most]
                 lists = np.cumsum(_estimate(rarity[order]))
                 costs = [lists[len(h) - need + k - 1] * (1 + VERIFY_COST / k) for k in range(1, most + 1)]
                 matches = 1 + int(np.argmin(costs))
-                grams = h[order[: len(h) - need + max(matches, least)]].view("i8")
+                grams = h[order[: len(h) - need + matches]].view("i8")
                 listed.append(grams[: len(h) - need + 1])
-                rows.append((node_of(h), len(h), matches, grams, parity_bits(h)))
+                rows.append((node_of(h), len(h), matches, grams, parity_bits(h), parity_bits(h, 64 * BITS)))
             if rows:
-                node, size, matches, grams, bits = zip(*rows, strict=True)
+                node, size, matches, grams, bits, parity = zip(*rows, strict=True)
                 offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(grams)))
                 m = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), node_array(list(node)), pa.array(size, pa.int64()), pa.array(matches, pa.int32()), lists, pa.array(bits, pa.binary()), pa.nulls(m, pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), node_array(list(node)), pa.array(size, pa.int64()), pa.array(matches, pa.int32()), lists, pa.array(bits, pa.binary()), words(parity), pa.nulls(m, pa.list_(pa.int64()))], names=names)
                 gram, count = np.unique(np.concatenate(listed), return_counts=True)
                 often = count >= max(4, m // HOT_SHARE)
                 if often.any():
                     whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype("i8")))
-                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, NODE_TYPE), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), whole(gram[often]), pa.nulls(1, pa.binary()), whole(count[often])], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, NODE_TYPE), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), whole(gram[often]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), whole(count[often])], names=names)
 
     return run
 
@@ -201,41 +207,54 @@ def _may_link(percent: int) -> Column:
     return (F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent) & (left * (100 + percent) >= (F.col("size") + F.col("size2")) * percent)
 
 
-ENTRY = f"gram bigint, salted boolean, node {NODE}, size int, pos int, node2 {NODE}, size2 int, pos2 int"
+ENTRY = f"gram bigint, salted boolean, many boolean, node {NODE}, size int, pos int, node2 {NODE}, size2 int, pos2 int"
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each node of a sorted list beside the list's first one, the pivot. A list of one node only is left out, unless it
-    is salted, and so is one whose first entry, and thus every entry, comes too late for the smaller set of a pair.
+    """Each node of a sorted list beside the list's first one, the pivot; many: the list is salted or has three nodes or more.
+    A list of one node only is left out, unless it is salted, and so is one whose first entry, and thus every entry, comes
+    too late for the smaller set of a pair.
 
-    Of a list that goes on in the next batch only the pivot is held."""
-    names = ["gram", "salted", "node", "size", "pos", "node2", "size2", "pos2"]
-    held: pa.RecordBatch | None = None  # the pivot of the last list
-    shown = False  # whether its own row is out
-    for batch in batches:
-        if not len(batch):
-            continue
-        t = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+    Of a list that may go on in the next batch the first two nodes are held, of one known to have more only the pivot."""
+    names = ["gram", "salted", "many", "node", "size", "pos", "node2", "size2", "pos2"]
+    held: pa.RecordBatch | None = None
+    known = False  # the held list has three nodes or more, and its pivot's row is out
+
+    def shown(t: pa.RecordBatch, last: bool) -> tuple[pa.RecordBatch | None, pa.RecordBatch, bool]:
+        """Rows to give, rows to hold, and known anew."""
         gram, salt, late, size, pos = (t.column(x).to_numpy(zero_copy_only=False) for x in ("gram", "salt", "late", "size", "pos"))
         node = _halves(t.column("node"))
-        place = np.arange(len(t))
         new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])])
-        pivot = np.maximum.accumulate(np.where(new, place, 0))
+        again = np.concatenate([[False], (node[1:] == node[:-1]).all(axis=1)]) & ~new  # copies of a node follow each other
+        pivot = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
+        nodes = np.bincount(pivot, weights=~again, minlength=len(t))[pivot]
+        if known:
+            nodes[pivot == 0] += 2
         salted = salt[pivot] >= 0
-        again = np.concatenate([[False], (node[1:] == node[:-1]).all(axis=1) & ~new[1:]])
-        other = ~again & (node != node[pivot]).any(axis=1) & (salted | ~late[pivot])
-        own = np.zeros(len(t), bool)
-        own[pivot[other]] = True
-        own |= new & salted
-        if held is not None and shown:
-            own[0] = False
-        last = int(pivot[-1])
-        shown = bool(own[last]) or (last == 0 and held is not None and shown)
-        out = np.flatnonzero(own | other)
-        if len(out):
-            first = pivot[out]
-            yield pa.RecordBatch.from_arrays([pa.array(gram[out]), pa.array(salted[out]), t.column("node").take(pa.array(out)), pa.array(size[out]), pa.array(pos[out]), t.column("node").take(pa.array(first)), pa.array(size[first]), pa.array(pos[first])], names=names)
-        held = t.slice(last, 1)
+        give = ~again & (salted | ((nodes > 1) & ~late[pivot]))
+        if known:
+            give[0] = False
+        tail = pivot == pivot[-1]
+        more = bool(nodes[-1] > 2)
+        if not last and not more:
+            give &= ~tail
+        hold = t.slice(int(pivot[-1]), 1) if more else t.take(pa.array(np.flatnonzero(tail & ~again)))
+        at = np.flatnonzero(give)
+        if not len(at):
+            return None, hold, more
+        first = pivot[at]
+        columns = [pa.array(gram[at]), pa.array(salted[at]), pa.array((salted | (nodes > 2))[at]), t.column("node").take(pa.array(at)), pa.array(size[at]), pa.array(pos[at]), t.column("node").take(pa.array(first)), pa.array(size[first]), pa.array(pos[first])]
+        return pa.RecordBatch.from_arrays(columns, names=names), hold, more
+
+    for batch in batches:
+        if len(batch):
+            out, held, known = shown(batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0], False)
+            if out is not None:
+                yield out
+    if held is not None and not known:
+        out, _, _ = shown(held, True)
+        if out is not None:
+            yield out
 
 
 def _lists(entries: DataFrame) -> DataFrame:
@@ -306,24 +325,23 @@ def _hot(marks: DataFrame, rows: int) -> DataFrame:
     return counted.where(F.col("n") >= least).select("gram", F.ceil(2 * F.col("n") / least).alias("salts"))
 
 
-def _between(entries: DataFrame, labels: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a list, in question still."""
-    sides = entries.select("gram", "node", "size", "pos").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _between(entries: DataFrame, labels: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a list, and are not pairs with its pivot, in question still."""
+    few = entries.where("salted OR (many AND node <> node2)").select("gram", "node", "size", "pos")
+    sides = few.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_label = sides.groupBy("gram", "label").agg(F.count("*").alias("n"))
     apart = of_label.groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("off")).where("off > 0")
-    sides = written(sides.join(apart, "gram").withColumn("heavy", F.lit(percent > 50) & (F.col("off") > HEAVY)), "apart")
-    plain = sides.where("NOT heavy").withColumn("second", F.lit(0).cast("long"))
-    # Linked sets of two or more n-grams share a second one in the prefixes for two matches.
-    heads = sides.where("heavy")
-    two = F.slice("grams", F.lit(1), (F.col("p.size") - _need(F.col("p.size"), percent) + 2).cast("int"))
-    longer = heads.join(prefixes.alias("p").select("node", two.alias("seconds")).join(heads.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node")
-    longer = longer.withColumn("second", F.explode("seconds")).where("second <> gram").select(*plain.columns)
-    keyed = plain.unionByName(longer)
-    one = keyed.where("label <> main").drop("off", "heavy")
-    other = keyed.select("gram", "second", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
-    rest = one.join(other, ["gram", "second"]).where((F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("node") < F.col("node2"))) & _may_link(percent))
+    kept = written(sides.join(apart.withColumn("salts", (F.floor(F.col("off") / HEAVY) + 1).cast("int")).drop("off"), "gram"), "apart")
+    known = parity.join(kept.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity"))
+    sides = written(kept.join(known, "node").select("*", *(F.col("parity")[i].alias(f"x{i}") for i in range(BITS))).drop("parity"), "sides")
+    one = sides.where("label <> main").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).drop("salts")
+    other = sides.select("gram", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "label")), *(F.col(f"x{i}").alias(f"y{i}") for i in range(BITS)))
+    differing = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, BITS)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
+    total = F.col("size") + F.col("size2")
+    alike = differing <= total - 2 * F.ceil(total * percent / (100 + percent))  # at most so many n-grams are in one set alone
+    rest = one.join(other, ["gram", "salt"]).where((F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("node") < F.col("node2"))) & _may_link(percent) & alike)
     out = written(_ordered(rest), "rest-pairs")
-    removed(sides)
+    removed(kept, sides)
     return out
 
 
@@ -357,7 +375,7 @@ def linked_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     links = _verified(_likely(candidates, prefixes, percent), slim, firsts, n, percent)
     labels = components(links)
 
-    apart = _between(entries, labels, prefixes, percent)
+    apart = _between(entries, labels, made.where("kind = 0").select("node", "parity"), percent)
     removed(candidates, entries)
     more = _verified(_likely(apart, prefixes, percent), slim, firsts, n, percent)
     removed(apart, made)
