@@ -10,6 +10,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -471,9 +472,27 @@ def test_windows_are_told_apart_by_their_bytes(spark, monkeypatch):
     assert list(map(tuple, got[names].to_numpy().tolist())) == brute.repeats(texts, 20)
 
 
-def test_salted_lists_and_second_ngrams(spark, monkeypatch):
-    """Hot n-grams, dealt over salted lists, and long lists, keyed by a second n-gram, lose no link."""
-    for name, value in (("HOT_ROWS", 2), ("HOT_SHARE", 50), ("HEAVY", 0), ("BROADCAST_ROWS", 0)):
+def test_lists_over_batches(monkeypatch):
+    """What _met gives is the same however its sorted input is cut into batches."""
+    some = [(random.randint(0, 60), random.randint(0, 6)) for _ in range(300)]
+    rows = sorted((g, n % 2 if g % 4 == 0 else -1, (g + n) % 3 == 0, (g * 7 + n) % 6, n) for g, n in some)  # a copy of a node has its place
+    array = ngram_join.node_array([bytes([n + 1]) + bytes(15) for *_, n in rows])
+    whole = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows]), array, pa.array([9] * 300, pa.int32()), pa.array([r[3] for r in rows], pa.int32())], names=["gram", "salt", "late", "node", "size", "pos"])
+    show = lambda found: sorted(str(r) for b in found for r in b.to_pylist())
+    want = show(ngram_join._met(iter([whole])))
+    lists: dict = {}
+    for g, s, late, _, n in rows:
+        lists.setdefault((g, s), []).append((late, n))
+    kept = {k: v for k, v in lists.items() if k[1] >= 0 or (not v[0][0] and len({n for _, n in v}) > 1)}
+    assert {(r["gram"], 0 if r["salted"] else -1) for b in ngram_join._met(iter([whole])) for r in b.to_pylist()} == {(g, min(s, 0)) for g, s in kept}
+    for _ in range(30):
+        cuts = [0, *sorted(random.randint(0, 300) for _ in range(random.randint(1, 40))), 300]
+        assert show(ngram_join._met(whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:]))) == want
+
+
+def test_salted_lists(spark, monkeypatch):
+    """Hot n-grams, dealt over salted lists, and long lists, dealt over tasks, lose no link."""
+    for name, value in (("HOT_ROWS", 2), ("HOT_SHARE", 50), ("HEAVY", 3), ("BROADCAST_ROWS", 0)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = []
     for i in range(240):
