@@ -215,10 +215,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A list of one node only is left out, unless it is salted, and so is one whose first entry, and thus every entry, comes
     too late for the smaller set of a pair.
 
-    Of a list that may go on in the next batch the first two nodes are held, of one known to have more only the pivot."""
+    Of a list that may go on in the next batch the first two nodes are held, of one known to have more the pivot and the last."""
     names = ["gram", "salted", "many", "node", "size", "pos", "node2", "size2", "pos2"]
     held: pa.RecordBatch | None = None
-    known = False  # the held list has three nodes or more, and its pivot's row is out
+    known = False  # the held list has three nodes or more, and the held rows are out
 
     def shown(t: pa.RecordBatch, last: bool) -> tuple[pa.RecordBatch | None, pa.RecordBatch, bool]:
         """Rows to give, rows to hold, and known anew."""
@@ -229,16 +229,16 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
         nodes = np.bincount(pivot, weights=~again, minlength=len(t))[pivot]
         if known:
-            nodes[pivot == 0] += 2
+            nodes[pivot == 0] += 1
         salted = salt[pivot] >= 0
         give = ~again & (salted | ((nodes > 1) & ~late[pivot]))
         if known:
-            give[0] = False
+            give[:2] = False
         tail = pivot == pivot[-1]
         more = bool(nodes[-1] > 2)
         if not last and not more:
             give &= ~tail
-        hold = t.slice(int(pivot[-1]), 1) if more else t.take(pa.array(np.flatnonzero(tail & ~again)))
+        hold = t.take(pa.array([int(pivot[-1]), len(t) - 1] if more else np.flatnonzero(tail & ~again)))
         at = np.flatnonzero(give)
         if not len(at):
             return None, hold, more
