@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="spark-tidemark-", dir="/tmp")
         atexit.register(shutil.rmtree, _own["dir"], True)
@@ -33,18 +35,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go with the query that made them, and Arrow batches stay small in bytes for long texts.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back. The write's shuffle files go at once."""
+    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in WRITING}
     try:
+        for key, value in WRITING.items():
+            spark.conf.set(key, value)
         df.write.options(**options).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._common import partitions, removed, table, written
 from .components import components
 
-SKETCH_BITS, SLICE_BITS = 24, 16
+SKETCH_BITS, SLICE_BITS = 23, 16
 MATCHES = 4
 VERIFY_COST = 50  # list entries read that cost as much as one verification
 HOT_SHARE, HOT_ROWS = 500, 1000  # a list is salted from rows / HOT_SHARE entries on, HOT_ROWS at least
@@ -94,7 +94,7 @@ def _nodes_and_counts(n: int, ident: pa.DataType):
             yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column(0), pa.array(sizes, pa.int64()), node_array(nodes), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         parts = counts.reshape(-1, 1 << SLICE_BITS)
         used = np.flatnonzero(parts.any(axis=1)).tolist()
-        packed = [zlib.compress(parts[i].tobytes(), 1) for i in used]
+        packed = [zlib.compress(np.minimum(parts[i], 255).astype("u1").tobytes(), 1) for i in used]  # more is many, however many
         m = len(used)
         if m:
             yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, ident), pa.nulls(m, pa.int64()), pa.nulls(m, NODE_TYPE), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=names)
@@ -114,13 +114,13 @@ def _estimate(classes: np.ndarray) -> np.ndarray:
 
 
 def _sketch(counts: DataFrame) -> bytes:
-    """The merged sketch as one byte a counter: 16 MB at most, whatever the corpus."""
+    """The merged sketch as one byte a counter: 8 MB at most, whatever the corpus."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(packed), "u4").astype("u8")
+                part = np.frombuffer(zlib.decompress(packed), "u1").astype("u8")
                 sums[i] = sums[i] + part if i in sums else part
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(_classes(x).tobytes(), 1) for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
@@ -357,8 +357,9 @@ def linked_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     arrow = pa.binary() if kind == "binary" else pa.int64()
     slim = slim if kind == "binary" else slim.withColumn("ident", F.col("ident").cast("long"))
     first = written(slim.mapInArrow(_nodes_and_counts(n, arrow), f"kind int, ident {'binary' if kind == 'binary' else 'bigint'}, size bigint, node {NODE}, slice int, counts binary"), "nodes")
-    rows = first.where("kind = 0").select("ident", "size", "node")
+    rows = written(first.where("kind = 0").select("ident", "size", "node"), "rows")
     sketch = spark.sparkContext.broadcast(_sketch(first.where("kind = 1").select("slice", "counts")))
+    removed(first)
     made = written(slim.select("text").mapInArrow(_prefixes(n, percent, sketch), PREFIX), "prefixes")
     prefixes = made.where("kind = 0").select("node", "size", "matches", "grams", "bits")
     firsts = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("ident").alias("ident"), F.count("*").alias("copies"))
