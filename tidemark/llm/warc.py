@@ -81,20 +81,25 @@ FIELDS = (
 _standard = {name.lower(): name for name in FIELDS}
 
 
-def write_warc(records: DataFrame, path: str, record: str = "record") -> None:
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                made = []
-                for value in batch.column(0).slice(at, 200):
-                    member = zlib.compressobj(2, zlib.DEFLATED, 31)
-                    made.append(member.compress((value.as_py() + END * 2).encode()) + member.flush())
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
-
-    members = records.select(record).where(F.col(record).isNotNull()).mapInArrow(packed, "member binary")
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records as gzip members."""
+    for batch in batches:
+        for at in range(0, len(batch), 200):
+            made = []
+            for value in batch.column(0).slice(at, 200):
+                member = zlib.compressobj(4, zlib.DEFLATED, 31)
+                made.append(member.compress((value.as_py() + END * 2).encode()) + member.flush())
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
+
+
+def _write(members: DataFrame, path: str) -> None:
     members.select(F.col("member").cast("string")).write.options(lineSep="\0", maxRecordsPerFile=RECORDS_PER_FILE).text(path)
 
 
+def write_warc(records: DataFrame, path: str, record: str = "record") -> None:
+    _write(records.select(record).where(F.col(record).isNotNull()).mapInArrow(_packed, "member binary"), path)
+
+
 def _unpacked(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
     """The bytes of a file in pieces, unpacked if it is made of gzip members. What follows a broken member is left out."""
     view, at = memoryview(data), 0
@@ -155,28 +160,36 @@ def parse_warc(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]
         del held[:end]
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """headers (map) and body (binary) of each record. A file is one task's work; write_warc bounds its records."""
-    kinds = [pa.map_(pa.string(), pa.string()), pa.binary()]
+_KINDS = [pa.map_(pa.string(), pa.string()), pa.binary()]
+
+
+def _batch(some: list[tuple[dict, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([list(h.items()) for h, _ in some], _KINDS[0]), pa.array([b for _, b in some], _KINDS[1])], names=["headers", "body"])
 
-    def batch_of(some: list[tuple[dict, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([list(h.items()) for h, _ in some], kinds[0]), pa.array([b for _, b in some], kinds[1])], names=["headers", "body"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                some: list[tuple[dict, bytes]] = []
-                held = 0
-                for found in parse_warc(_unpacked(content.as_py())):
-                    some.append(found)
-                    held += len(found[1])
-                    if len(some) == 500 or held > 8 << 20:
-                        yield batch_of(some)
-                        some, held = [], 0
-                if some:
-                    yield batch_of(some)
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files to headers and bodies, a few megabytes at a time."""
+    for batch in batches:
+        for content in batch.column(0):
+            some: list[tuple[dict, bytes]] = []
+            held = 0
+            for found in parse_warc(_unpacked(content.as_py())):
+                some.append(found)
+                held += len(found[1])
+                if len(some) == 500 or held > 4 << 20:
+                    yield _batch(some)
+                    some, held = [], 0
+            if some:
+                yield _batch(some)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "headers map<string,string>, body binary")
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("content")
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """headers (map) and body (binary) of each record. A file is one task's work; write_warc bounds its records."""
+    return _files(spark, path).mapInArrow(_parsed, "headers map<string,string>, body binary")
 
 
 def _record(kind: str, ident: str, headers: dict[str, str], source: str, other: str, mime: str, body: bytes) -> str:
@@ -203,22 +216,28 @@ def derive(headers: dict[str, str], body: bytes) -> tuple[str, str]:
     )
 
 
+def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        responses = ((dict(headers), body) for headers, body in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True))
+        made = [record for headers, body in responses if headers.get("WARC-Type") == "response" for record in derive(headers, body)]
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["record"])
+
+
 def derivatives(responses: DataFrame) -> DataFrame:
     """Column record: two records of each response of read_warc()."""
+    return responses.select("headers", "body").mapInArrow(_derived, "record string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [record for headers, body in zip(*(c.to_pylist() for c in batch.columns), strict=True) for record in derive(dict(headers), body)]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["record"])
 
-    return responses.where(F.col("headers")["WARC-Type"] == "response").select("headers", "body").mapInArrow(run, "record string")
+def derive_files(spark: SparkSession, source: str, path: str) -> None:
+    """WARC files of derivatives of the files at source: read, derived and packed by one worker a task."""
+    _write(_files(spark, source).mapInArrow(lambda batches: _packed(_derived(_parsed(batches))), "member binary"), path)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per response: its number and address, the linked records' identifiers, and digests of the files' bodies."""
     source, out = new_path(spark, "warc"), new_path(spark, "warc-derived")
     write_warc(response_records(table(spark, sf_dir, "pages"), "2024-01-01T00:00:00Z"), source)
-    write_warc(derivatives(read_warc(spark, source)), out)
+    derive_files(spark, source, out)
     h, body = F.col("headers"), F.col("body").cast("string")
     is_meta = h["WARC-Type"] == "metadata"
     pick = lambda kind, c: F.max(F.when(h["WARC-Type"] == kind, c))
