@@ -41,6 +41,9 @@ def main() -> None:
     line = {"metric": "headline queries, warm median of 3", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")}
     if "market_consensus" in took:
         line["prices_per_second"] = round(prices / took["market_consensus"])
+    if "walk_forward" in took:
+        forecasts = QUERIES["walk_forward"](spark, sf_dir).where("kind = 'raw'").groupBy().sum("n").first()[0]
+        line["walk_forward_forecasts_per_second"] = round(forecasts / took["walk_forward"])
     print(json.dumps(line))
 
 

@@ -45,7 +45,7 @@ def fair(odds: Column, method: str = "power") -> Column:
     a positive margin all but additive only normalise.
     """
     if method not in METHODS:
-        raise ValueError(f"unknown method {method!r}; choose from {METHODS}")
+        raise ValueError(f"no margin is removed by {method!r}, only by one of {', '.join(METHODS)}")
     valid = F.forall(odds, lambda o: o.isNotNull() & (o > 1.0)) & (F.size(odds) >= 2)
     normal = lambda p: let(p, lambda q: let(total(q), lambda s: F.transform(q, lambda x: x / s)))
 

@@ -121,7 +121,7 @@ def capped(selections: DataFrame, caps: Caps = Caps(), key: str = "match_id") ->
                 for k in {k for _, k, _ in rules}:
                     used[k] = used.get(k, 0.0) + got
                 allowed.append(got)
-                notes.append([f"capped by {name}" for name, x in left.items() if x < want])
+                notes.append(sorted(f"{name}: {x:.4f} left of {most:.4f}" for (name, _, most), x in zip(rules, left.values(), strict=True) if x < want))
             yield pdf.assign(allowed=allowed, notes=notes)
 
     order = [F.coalesce(F.col("ev_conservative"), F.lit(0.0)).desc(), *ties]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..sources.scratch import written
 
 
 def with_losses(forecasts: DataFrame, probabilities: Sequence[str], outcome: str) -> DataFrame:
@@ -83,9 +84,8 @@ def recalibration(rows: DataFrame, by: Sequence[str], p: str, hit: str, rounds:
     data = rows.select(*by, z.alias("__x"), F.col(hit).cast("double").alias("__y"))
     state = data.select(*by).distinct().select(*by, F.lit(0.0).alias("intercept"), F.lit(1.0).alias("slope"))
     for _ in range(rounds):
-        # the state is one row a group; collected so that steps don't pile up in one plan
-        state = data.sparkSession.createDataFrame(state.collect(), state.schema)
-        e = data.join(F.broadcast(state), list(by)).withColumn("__m", 1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * F.col("__x")))))
+        state = written(state, "recalibration")  # one row a group; written so that steps don't pile up in one plan
+        e = data.join(state, list(by)).withColumn("__m", 1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * F.col("__x")))))
         w, r = F.col("__m") * (1 - F.col("__m")), F.col("__y") - F.col("__m")
         s = e.groupBy(*by, "intercept", "slope").agg(F.sum(r).alias("g0"), F.sum(r * F.col("__x")).alias("g1"), F.sum(w).alias("h00"), F.sum(w * F.col("__x")).alias("h01"), F.sum(w * F.col("__x") ** 2).alias("h11"))
         det = F.col("h00") * F.col("h11") - F.col("h01") ** 2

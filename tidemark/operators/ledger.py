@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def canonical(columns: Sequence[str]) -> Column:
-    """Text that equal rows share: columns in the given order, nulls empty."""
-    return F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    """Text that equal rows share and no others: columns in the given order, each with its length; a null is N."""
+    value = lambda c: F.col(c).cast("string")
+    return F.concat_ws("|", *(F.coalesce(F.concat(F.char_length(value(c)).cast("string"), F.lit(":"), value(c)), F.lit("N")) for c in columns))
 
 
 def with_digest(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -60,8 +60,9 @@ def ledger_status(latest: DataFrame, outcomes: DataFrame, ident: str = "row_id",
 def roles(events: DataFrame, key: str, order: str, role: str = "role") -> DataFrame:
     """Current role of each key of a registry: that of its last event; at most one champion, the last promoted."""
     last = events.groupBy(key).agg(F.max_by(role, order).alias(role), F.max(order).alias("__at"))
-    top = F.max(F.when(F.col(role) == "CHAMPION", F.col("__at"))).over(Window.partitionBy(F.lit(0)))
-    return last.withColumn(role, F.when((F.col(role) == "CHAMPION") & (F.col("__at") < top), "RETIRED").otherwise(F.col(role))).drop("__at")
+    top = last.where(F.col(role) == "CHAMPION").agg(F.max("__at").alias("__top"))  # one row
+    out = last.withColumn("__j", F.lit(1)).join(F.broadcast(top.withColumn("__j", F.lit(1))), "__j")
+    return out.select(key, F.when((F.col(role) == "CHAMPION") & (F.col("__at") < F.col("__top")), "RETIRED").otherwise(F.col(role)).alias(role))
 
 
 def listing(df: DataFrame, where: Column, order: Sequence[Column], limit: int) -> DataFrame:

@@ -152,7 +152,7 @@ def exposure_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 COLUMNS = ["match_id", "model", "season", "outcome"]
 
 
-@R.add("ledger_digests", "SELECT season, model, count(*) n, min(sha256(concat_ws('|', match_id::VARCHAR, model, season::VARCHAR, outcome::VARCHAR))) first_hash, max(sha256(concat_ws('|', match_id::VARCHAR, model, season::VARCHAR, outcome::VARCHAR))) last_hash FROM forecasts GROUP BY season, model", ("forecasts",))
+@R.add("ledger_digests", "SELECT season, model, count(*) n, min(sha256(concat_ws('|', concat(length(match_id::VARCHAR), ':', match_id), concat(length(model), ':', model), concat(length(season::VARCHAR), ':', season), concat(length(outcome::VARCHAR), ':', outcome)))) first_hash, max(sha256(concat_ws('|', concat(length(match_id::VARCHAR), ':', match_id), concat(length(model), ':', model), concat(length(season::VARCHAR), ':', season), concat(length(outcome::VARCHAR), ':', outcome)))) last_hash FROM forecasts GROUP BY season, model", ("forecasts",))
 def ledger_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row digests of the forecast ledger, per season and model."""
     rows = ledger.with_digest(view(spark, sf_dir, "forecasts"), COLUMNS)
@@ -161,7 +161,7 @@ def ledger_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     "ledger_chain",
-    """SELECT * FROM (WITH RECURSIVE h AS (SELECT season, sha256(concat_ws('|', match_id::VARCHAR, model, season::VARCHAR, outcome::VARCHAR)) r FROM forecasts),
+    """SELECT * FROM (WITH RECURSIVE h AS (SELECT season, sha256(concat_ws('|', concat(length(match_id::VARCHAR), ':', match_id), concat(length(model), ':', model), concat(length(season::VARCHAR), ':', season), concat(length(outcome::VARCHAR), ':', outcome))) r FROM forecasts),
     g AS (SELECT season, concat('0x', substr(r, 1, 4))::INT % 64 g, sha256(string_agg(r, '' ORDER BY r)) h, count(*) n FROM h GROUP BY ALL),
     b AS (SELECT season, sum(n)::BIGINT n, sha256(string_agg(h, '' ORDER BY g)) content_hash, row_number() OVER (ORDER BY season) i FROM g GROUP BY season),
     c AS (SELECT i, season, n, content_hash, repeat('0', 64) prev_hash, sha256(repeat('0', 64) || content_hash) chain_hash FROM b WHERE i = 1 UNION ALL SELECT b.i, b.season, b.n, b.content_hash, c.chain_hash, sha256(c.chain_hash || b.content_hash) FROM b JOIN c ON b.i = c.i + 1)

@@ -33,8 +33,9 @@ def last_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     "market_consensus",
     f"""SELECT * FROM (WITH {_LATEST}, {_FAIR},
     med AS (SELECT match_id, median(fh) mh, median(fd) md, median(fa) ma, count(*) n_books, median(margin) margin, max(odds_h) best_h, max(odds_d) best_d, max(odds_a) best_a, max(seen_at) newest, max(kickoff) kickoff,
-      arg_min(book, (-odds_h, book)) book_h, arg_min(fh, (-odds_h, book)) bfh, arg_min(fd, (-odds_d, book)) bfd, arg_min(fa, (-odds_a, book)) bfa, arg_min(book, (-odds_d, book)) book_d, arg_min(book, (-odds_a, book)) book_a FROM fair GROUP BY match_id)
-    SELECT match_id, round(mh/(mh+md+ma), 6) p_home, round(md/(mh+md+ma), 6) p_draw, round(ma/(mh+md+ma), 6) p_away, n_books, round(margin, 6) margin, best_h, best_d, best_a, book_h,
+      arg_min(book, (-odds_h, book)) book_h, arg_min(fh, (-odds_h, book)) bfh, arg_min(fd, (-odds_d, book)) bfd, arg_min(fa, (-odds_a, book)) bfa, arg_min(book, (-odds_d, book)) book_d, arg_min(book, (-odds_a, book)) book_a,
+      CASE WHEN bool_or(book = 3) THEN 3 WHEN bool_or(book = 1) THEN 1 END sharp_book, coalesce(max(CASE WHEN book = 3 THEN fh END), max(CASE WHEN book = 1 THEN fh END)) sharp_h FROM fair GROUP BY match_id)
+    SELECT match_id, round(mh/(mh+md+ma), 6) p_home, round(md/(mh+md+ma), 6) p_draw, round(ma/(mh+md+ma), 6) p_away, n_books, round(margin, 6) margin, best_h, best_d, best_a, book_h, sharp_book, round(sharp_h, 6) sharp_h,
       concat_ws(',', CASE WHEN epoch(kickoff - INTERVAL 1 HOUR - newest) / 3600 > 24 THEN 'STALE_ODDS' END, CASE WHEN n_books = 1 THEN 'SINGLE_BOOK' END,
         CASE WHEN n_books >= 3 AND abs(bfh - mh/(mh+md+ma)) > 0.06 THEN concat('OUTLIER_BEST_PRICE:H:', book_h) END, CASE WHEN n_books >= 3 AND abs(bfd - md/(mh+md+ma)) > 0.06 THEN concat('OUTLIER_BEST_PRICE:D:', book_d) END, CASE WHEN n_books >= 3 AND abs(bfa - ma/(mh+md+ma)) > 0.06 THEN concat('OUTLIER_BEST_PRICE:A:', book_a) END) flags
     FROM med) z""",
@@ -44,14 +45,27 @@ def market_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Margin-free consensus an hour before kickoff, with best price, number of books and flags."""
     keys = ["match_id", "as_of"]
     books = market.complete_books(last_quotes(spark, sf_dir), keys, "book", "selection", "odds", "seen_at", SELECTIONS, "multiplicative")
-    out = market.consensus(books, keys, "book", SELECTIONS, F.col("as_of"), stale_hours=24)
+    out = market.consensus(books, keys, "book", SELECTIONS, F.col("as_of"), stale_hours=24, sharp=(3, 1))
     p, best = F.col("consensus"), F.col("best_odds")
     return out.select(
         "match_id", F.round(p[0], 6).alias("p_home"), F.round(p[1], 6).alias("p_draw"), F.round(p[2], 6).alias("p_away"), "n_books", F.round("margin_median", 6).alias("margin"),
-        best[0].alias("best_h"), best[1].alias("best_d"), best[2].alias("best_a"), F.col("best_book")[0].alias("book_h"), F.concat_ws(",", "flags").alias("flags"),
+        best[0].alias("best_h"), best[1].alias("best_d"), best[2].alias("best_a"), F.col("best_book")[0].alias("book_h"), "sharp_book", F.round(F.col("sharp")[0], 6).alias("sharp_h"), F.concat_ws(",", "flags").alias("flags"),
     )
 
 
+@R.add(
+    "market_missing",
+    f"""SELECT * FROM (WITH {_LATEST}, q AS (SELECT match_id, book, (odds_h > 2.5)::INT + (odds_d > 2.5)::INT + (odds_a > 2.5)::INT k FROM last), b AS (SELECT match_id, max(k) k FROM q WHERE k > 0 GROUP BY match_id)
+    SELECT m.match_id, CASE WHEN b.k IS NULL THEN 'NO_ODDS' ELSE 'INCOMPLETE_MARKET' END flag FROM matches m LEFT JOIN b ON m.match_id = b.match_id WHERE b.k IS NULL OR b.k < 3) z""",
+    ("matches", "prices"),
+)
+def market_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markets of outsiders' prices (above 2.5) that no book quotes in full an hour before kickoff."""
+    latest = last_quotes(spark, sf_dir).where("odds > 2.5")
+    books = market.complete_books(latest, ["match_id"], "book", "selection", "odds", "seen_at", SELECTIONS, "multiplicative")
+    return market.missing(view(spark, sf_dir, "matches"), latest, books, ["match_id"])
+
+
 _TRIPLES = "t AS (SELECT DISTINCT odds_h, odds_d, odds_a, 1/odds_h a, 1/odds_d b, 1/odds_a c FROM prices)"
 
 

@@ -2,47 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..functions import odds as O
 from ..functions import scores as S
-from ..operators import evaluate, models, pit
+from ..operators import decision, evaluate, features, market, models, pit
 from ..sources.scratch import written
 from ..sources.views import view
+from .market_queries import SELECTIONS, last_quotes
 from .registry import Registry
 
 R = Registry()
 
 
-def _matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = view(spark, sf_dir, "matches").select("match_id", (1.0 + F.col("match_id") % 13 / 20.0).alias("lh"), (0.8 + F.col("match_id") % 11 / 20.0).alias("la"))
-    return m.withColumn("m", S.cells(F.col("lh"), F.col("la"), F.lit(-0.05)))
+def _rates() -> list[Column]:
+    return [(1.0 + F.col("match_id") % 13 / 20.0).alias("lh"), (0.8 + F.col("match_id") % 11 / 20.0).alias("la")]
 
 
-_GRID = """r AS (SELECT match_id, 1.0::DOUBLE + (match_id % 13) / 20.0::DOUBLE lh, 0.8::DOUBLE + (match_id % 11) / 20.0::DOUBLE la FROM matches),
+def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = view(spark, sf_dir, "matches").select("match_id", *_rates())
+    return m.select("*", S.held(S.cells(F.col("lh"), F.col("la"), F.lit(-0.05))).alias("m"))
+
+
+GRID = """r AS (SELECT match_id, 1.0::DOUBLE + (match_id % 13) / 20.0::DOUBLE lh, 0.8::DOUBLE + (match_id % 11) / 20.0::DOUBLE la FROM matches),
   c AS (SELECT match_id, i, j, exp(-lh) * pow(lh, i) / factorial(i::INT) * exp(-la) * pow(la, j) / factorial(j::INT) * CASE WHEN i = 0 AND j = 0 THEN 1 + lh*la*0.05 WHEN i = 0 AND j = 1 THEN 1 - lh*0.05 WHEN i = 1 AND j = 0 THEN 1 - la*0.05 WHEN i = 1 AND j = 1 THEN 1.05 ELSE 1 END p FROM r, (SELECT unnest(range(11)) i) x, (SELECT unnest(range(11)) j) y),
   n AS (SELECT match_id, i, j, p / sum(p) OVER (PARTITION BY match_id) p FROM c)"""
 
 
-@R.add("score_markets", f"SELECT * FROM (WITH {_GRID} SELECT match_id, round(sum(CASE WHEN i > j THEN p END), 6) p_home, round(sum(CASE WHEN i = j THEN p END), 6) p_draw, round(sum(CASE WHEN i + j > 2.5 THEN p END), 6) over25, round(sum(CASE WHEN i > 0 AND j > 0 THEN p END), 6) btts, round(sum(CASE WHEN i > 1.5 THEN p END), 6) home_over15, round(sum(CASE WHEN i = 1 AND j = 1 THEN p END), 6) one_one, round((sum(CASE WHEN i - j > 0 THEN p ELSE 0 END) + sum(CASE WHEN i - j - 0.5 > 0 THEN p ELSE 0 END)) / 2, 6) ah_win, round(sum(CASE WHEN i - j = 0 THEN p ELSE 0 END) / 2, 6) ah_push, round(sum(CASE WHEN least(i, 3) = 3 AND least(j, 3) = 3 THEN p END), 6) three_three FROM n GROUP BY match_id) z", ("matches",))
+@R.add("score_markets", f"SELECT * FROM (WITH {GRID} SELECT match_id, round(sum(CASE WHEN i > j THEN p END), 6) p_home, round(sum(CASE WHEN i = j THEN p END), 6) p_draw, round(sum(CASE WHEN i + j > 2.5 THEN p END), 6) over25, round(sum(CASE WHEN i > 0 AND j > 0 THEN p END), 6) btts, round(sum(CASE WHEN i > 1.5 THEN p END), 6) home_over15, round(sum(CASE WHEN i = 1 AND j = 1 THEN p END), 6) one_one, round((sum(CASE WHEN i - j > 0 THEN p ELSE 0 END) + sum(CASE WHEN i - j - 0.5 > 0 THEN p ELSE 0 END)) / 2, 6) ah_win, round(sum(CASE WHEN i - j = 0 THEN p ELSE 0 END) / 2, 6) ah_push, round(sum(CASE WHEN least(i, 3) = 3 AND least(j, 3) = 3 THEN p END), 6) three_three, round(sum(CASE WHEN i >= j THEN p END), 6) home_or_draw, round(sum((i + j) * p), 6) goals FROM n GROUP BY match_id) z", ("matches",))
 def score_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markets derived from each match's score matrix."""
-    m = F.col("m")
-    x, h = S.one_x_two(m), S.handicap(m, -0.25)
-    r = lambda c, n: F.round(c, 6).alias(n)
-    return _matrices(spark, sf_dir).select(
-        "match_id", r(x[0], "p_home"), r(x[1], "p_draw"), r(S.over(m, 2.5), "over25"), r(S.both_score(m), "btts"), r(S.team_over(m, True, 1.5), "home_over15"), r(S.exact(m, 1, 1), "one_one"),
-        r(h["win"], "ah_win"), r(h["push"], "ah_push"), r(S.collapsed(m)[15], "three_three"),
+    i, j, d = F.col("i"), F.col("j"), F.col("i") - F.col("j")
+    half = lambda event: lambda line: event(d + line).cast("double")
+    quarter = lambda event: (half(event)(-0.5) + half(event)(0.0)) / 2
+    rates = view(spark, sf_dir, "matches").select("match_id", *_rates())
+    out = S.shares(
+        S.score_rows(rates, F.col("lh"), F.col("la"), F.lit(-0.05)), ["match_id"], p_home=d > 0, p_draw=d == 0, over25=i + j > 2.5, btts=(i > 0) & (j > 0), home_over15=i > 1.5, one_one=(i == 1) & (j == 1),
+        ah_win=quarter(lambda x: x > 0), ah_push=quarter(lambda x: x == 0), three_three=(i >= 3) & (j >= 3), home_or_draw=d >= 0, goals=i + j,
     )
-
-
-@R.add("slip_joint", f"SELECT * FROM (WITH {_GRID} SELECT match_id, round(sum(CASE WHEN i > j AND i + j > 2.5 THEN p ELSE 0 END), 6) joint, round(sum(CASE WHEN i > j THEN p ELSE 0 END) * sum(CASE WHEN i + j > 2.5 THEN p ELSE 0 END), 6) naive FROM n GROUP BY match_id) z", ("matches",))
+    return out.select("match_id", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
+
+
+@R.add("score_handicaps", f"""SELECT * FROM (WITH {GRID}, l AS (SELECT unnest([-1.5, -1.0, -0.75, -0.25, 0.0, 0.5, 1.25]::DOUBLE[]) AS line), h AS (SELECT line, CASE WHEN (line * 4) % 2 = 0 THEN line ELSE line + s END AS h FROM l, (SELECT unnest([-0.25, 0.25]::DOUBLE[]) s) q),
+  c2 AS (SELECT match_id, line, sum(CASE WHEN i - j + h > 0 THEN p ELSE 0 END) / 2 win, sum(CASE WHEN i - j + h = 0 THEN p ELSE 0 END) / 2 push, sum(CASE WHEN i - j + h < 0 THEN p ELSE 0 END) / 2 lose FROM n, h GROUP BY match_id, line)
+  SELECT match_id, line, round(win, 6) win, round(push, 6) push, round(lose, 6) lose, round(win * 0.95 - lose, 6) AS value FROM c2) z""", ("matches",))
+def score_handicaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handicap lines of every match: chances to win, get the stake back and lose, and the value at odds of 1.95."""
+    d = F.col("i") - F.col("j")
+    rates = view(spark, sf_dir, "matches").select("match_id", *_rates())
+    lines = [-1.5, -1.0, -0.75, -0.25, 0.0, 0.5, 1.25]
+    mean = lambda event, line: sum(event(d + x).cast("double") for x in ([line] if (line * 4) % 2 == 0 else [line - 0.25, line + 0.25])) / (1 if (line * 4) % 2 == 0 else 2)
+    kinds = {"win": lambda x: x > 0, "push": lambda x: x == 0, "lose": lambda x: x < 0}
+    out = S.shares(S.score_rows(rates, F.col("lh"), F.col("la"), F.lit(-0.05)), ["match_id"], **{f"{k}{n}": mean(e, line) for n, line in enumerate(lines) for k, e in kinds.items()})
+    h = F.explode(F.array(*(F.struct(F.lit(line).alias("line"), *(F.col(f"{k}{n}").alias(k) for k in kinds)) for n, line in enumerate(lines))))
+    out = out.select("match_id", h.alias("h")).select("match_id", "h.*")
+    return out.select("match_id", "line", *(F.round(k, 6).alias(k) for k in kinds), F.round(S.handicap_value({k: F.col(k) for k in kinds}, F.lit(1.95)), 6).alias("value"))
+
+
+@R.add("slip_joint", f"SELECT * FROM (WITH {GRID} SELECT match_id, round(sum(CASE WHEN i > j AND i + j > 2.5 THEN p ELSE 0 END), 6) joint, round(sum(CASE WHEN i > j THEN p ELSE 0 END) * sum(CASE WHEN i + j > 2.5 THEN p ELSE 0 END), 6) naive FROM n GROUP BY match_id) z", ("matches",))
 def slip_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joint probability of two legs on one match, against the product of their own."""
     g = lambda m, s, x: F.struct(F.lit(m).alias("market"), F.lit(s).alias("selection"), F.lit(x).cast("double").alias("line"))
     m = F.col("m")
-    return _matrices(spark, sf_dir).select("match_id", F.round(S.joint(m, F.array(g("1X2", "H", None), g("OU", "OVER", 2.5))), 6).alias("joint"), F.round(S.one_x_two(m)[0] * S.over(m, 2.5), 6).alias("naive"))
+    return matrices(spark, sf_dir).select("match_id", F.round(S.joint(m, F.array(g("1X2", "H", None), g("OU", "OVER", 2.5))), 6).alias("joint"), F.round(S.one_x_two(m)[0] * S.over(m, 2.5), 6).alias("naive"))
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,26 +111,72 @@ def goal_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("match_id", "market", *(F.round(c, 4).alias(c) for c in ("p", "low", "high", "sd")))
 
 
-@R.add("walk_forward")
-def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walk-forward backtest: every match is forecast by the fit of the last cutoff before it, by two models; scores by
-    model and season. A fit sees only results visible at its cutoff."""
-    results, cutoffs = _results(spark, sf_dir), _cutoffs(spark, sf_dir)
-    fits = written(models.goal_fits(results, cutoffs), "goal-fits")  # read twice
-    ready = fits.select("league", "cutoff").distinct()
-    fixtures = pit.asof_join(results.select("match_id", "league", "season", "kickoff", "home_team", "away_team", "home_goals", "away_goals"), ready.withColumn("c", F.col("cutoff")), ["league"], "kickoff", "c", ["cutoff"]).where("cutoff IS NOT NULL").drop("c")
-    goals = models.expected_goals(fixtures, fits).withColumn("m", S.cells(F.col("lambda_home"), F.col("lambda_away"), F.col("rho")))
-    x = S.one_x_two(F.col("m"))
+MODELS = {"poisson": models.Goals(decay=0.0, correct_low=False), "weighted_poisson": models.Goals(correct_low=False), "dixon_coles": models.Goals()}
+PROBABILITIES = ["p_home", "p_draw", "p_away"]
+
+
+def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts of every match by five models, each from results visible at the last weekly refit before the match."""
+    results = _results(spark, sf_dir)
+    days = results.select("league", "match_date", F.col("match_date").cast("timestamp_ntz").alias("at"))
+    fits = written(models.refit_dates(days.select("league", "at").distinct(), "league", "at"), "refits")
     y = F.when(F.col("home_goals") > F.col("away_goals"), 0).when(F.col("home_goals") == F.col("away_goals"), 1).otherwise(2)
-    goal = goals.select("match_id", "season", y.alias("outcome"), F.lit("goals").alias("model"), x[0].alias("p_home"), x[1].alias("p_draw"), x[2].alias("p_away"))
+    played = results.select("match_id", "league", "season", "match_date", F.col("match_date").cast("timestamp_ntz").alias("at"), "home_team", "away_team", y.alias("outcome"))
+    fixtures = written(played.join(fits, ["league", "at"]).withColumnRenamed("fit_at", "cutoff").drop("at"), "fixtures")
+    cutoffs = fits.select("league", F.col("fit_at").alias("cutoff")).distinct()
+    keys = ["match_id", "league", "season", "match_date", "outcome"]
+
+    def by_goals(name: str, params: models.Goals) -> DataFrame:
+        strengths = written(models.goal_fits(results, cutoffs, params), "goal-fits")  # read three times
+        goals = models.expected_goals(fixtures, strengths)
+        rows = S.score_rows(goals.select(*keys, "lambda_home", "lambda_away", "rho"), F.col("lambda_home"), F.col("lambda_away"), F.col("rho"))
+        d = F.col("i") - F.col("j")
+        return S.shares(rows, keys, p_home=d > 0, p_draw=d == 0, p_away=d < 0).select(*keys, F.lit(name).alias("model"), *PROBABILITIES)
+
     rated = written(models.elo_history(results), "elo-history")
-    history = rated.select("match_id", "elo_home", "elo_away")
-    link = models.link_fits(rated, results, cutoffs).where("slope IS NOT NULL AND NOT isnan(slope)")
-    p = M.ordered_logit((F.col("elo_home") - F.col("elo_away") + 65.0) / 400, F.col("low"), F.col("log_gap"), F.col("slope"))
-    elo = fixtures.join(link, ["league", "cutoff"]).join(history, "match_id").select("match_id", "season", y.alias("outcome"), F.lit("elo").alias("model"), p.alias("p"))
-    elo = elo.select("match_id", "season", "outcome", "model", F.col("p")[0].alias("p_home"), F.col("p")[1].alias("p_draw"), F.col("p")[2].alias("p_away"))
-    out = evaluate.scores(evaluate.with_losses(goal.unionByName(elo), ["p_home", "p_draw", "p_away"], "outcome"), ["model", "season"])
-    return out.select("model", "season", "n", *(F.round(c, 4).alias(c) for c in ("log_loss", "brier", "rps")))
+    link = models.link_fits(rated, results, cutoffs).where("covariance IS NOT NULL")
+    logit = M.ordered_logit((F.col("elo_home") - F.col("elo_away") + 65.0) / 400, F.col("low"), F.col("log_gap"), F.col("slope"))
+    elo = fixtures.join(link, ["league", "cutoff"]).join(rated.select("match_id", "elo_home", "elo_away"), "match_id").select(*keys, F.lit("elo").alias("model"), S.held(logit).alias("p"))
+    elo = elo.select(*keys, "model", *(F.col("p")[i].alias(p) for i, p in enumerate(PROBABILITIES)))
+    rates = features.base_rates(results).withColumnRenamed("match_date", "__day").withColumnRenamed("n", "__n")
+    rates = rates.select(F.col("league").alias("__l"), "__day", *PROBABILITIES)
+    climate = fixtures.join(rates, (F.col("league") == F.col("__l")) & (F.col("cutoff").cast("date") == F.col("__day"))).select(*keys, F.lit("climatology").alias("model"), *PROBABILITIES)
+    out = elo.unionByName(climate)
+    for name, params in MODELS.items():
+        out = out.unionByName(by_goals(name, params))
+    return out
+
+
+@R.add("walk_forward")
+def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk-forward backtest: five models refitted weekly, raw and calibrated season by season; scores by model and season."""
+    raw = written(walked(spark, sf_dir), "walked")
+    calibrated = models.sequential_calibration(raw.select("match_id", "season", "outcome", "model", *PROBABILITIES))
+    calibrated = calibrated.select("season", "outcome", "model", F.lit("calibrated").alias("kind"), *(F.col(f"cal_{p}").alias(p) for p in PROBABILITIES))
+    both = raw.select("season", "outcome", "model", F.lit("raw").alias("kind"), *PROBABILITIES).unionByName(calibrated)
+    out = evaluate.scores(evaluate.with_losses(both, PROBABILITIES, "outcome"), ["model", "kind", "season"])
+    return out.select("model", "kind", "season", "n", *(F.round(c, 4).alias(c) for c in ("log_loss", "brier", "rps")))
+
+
+@R.add("walk_forward_bets")
+def walk_forward_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bets that calibrated walk-forward forecasts lead to at the best visible prices: decided, staked, settled, by model."""
+    raw = written(walked(spark, sf_dir), "walked")
+    forecasts = models.sequential_calibration(raw.select("match_id", "season", "outcome", "model", *PROBABILITIES))
+    keys = ["match_id", "as_of"]
+    books = market.complete_books(last_quotes(spark, sf_dir), keys, "book", "selection", "odds", "seen_at", SELECTIONS, "multiplicative")
+    prices = market.consensus(books, keys, "book", SELECTIONS, F.col("as_of")).select("match_id", F.posexplode(F.arrays_zip("consensus", "best_odds")).alias("pick", "q"), "flags")
+    p = lambda prefix: F.array(*(F.col(prefix + c) for c in PROBABILITIES))
+    priced = forecasts.join(prices, "match_id").select(
+        "match_id", "season", "model", "pick", "outcome", "flags", F.get(p("cal_"), F.col("pick")).alias("model_prob"), F.get(p(""), F.col("pick")).alias("raw_prob"), F.col("q.consensus").alias("fair_prob"), F.col("q.best_odds").alias("odds"),
+        F.when(F.col("method") != "identity", F.col("method")).otherwise("identity").alias("calibration"),
+    )
+    judged = decision.decide(priced.withColumns({"prob_low": F.col("model_prob") - 0.03, "quality": F.lit(0.9), "disagreement": F.lit(0.0), "home_matches": F.lit(20), "away_matches": F.lit(20), "drift_alert": F.lit(False), "validated": F.lit(True)}))
+    taken = F.col("status").isin("CANDIDATE", "STRONG_CANDIDATE")
+    shrunk = F.col("fair_prob") + 0.5 * (F.col("model_prob") - F.col("fair_prob"))
+    staked = judged.withColumn("units", F.when(taken, 100 * O.stake(shrunk, F.col("odds"))).otherwise(0.0)).withColumn("won", F.col("outcome") == F.col("pick")).withColumn("clv", F.lit(0.0))
+    out = decision.summary(decision.settled(staked, F.col("won"), F.col("units"), F.col("odds")), ["model"])
+    return out.select("model", "selections", "bets", "wins", *(F.round(c, 4).alias(c) for c in ("staked", "profit", "yield")))
 
 
 @R.add("calibration_sequential")

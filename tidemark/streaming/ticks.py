@@ -61,9 +61,9 @@ def rating_stream(results: DataFrame, params: Elo = Elo()) -> DataFrame:
         now, mark = Ratings(params), -(2**62)
         if state.exists:
             mark, teams, ratings, seasons, entries = state.get
-            now.rating, now.last = dict(zip(teams, ratings, strict=True)), dict(zip(teams, seasons, strict=True))
+            now.teams = {t: (r, last) for t, r, last in zip(teams, ratings, seasons, strict=True)}
             for code in entries:  # season * 2**20 + team
-                now.teams.setdefault(code >> 20, set()).add(code & ((1 << 20) - 1))
+                now.squads.setdefault(code >> 20, {})[code & ((1 << 20) - 1)] = None
         rows = pd.concat(list(batches)).sort_values(["available_at", "match_date", "match_id"], kind="mergesort")
         stamps = rows["available_at"].astype("datetime64[us]").astype("int64")
         out, last = [], mark
@@ -73,10 +73,9 @@ def rating_stream(results: DataFrame, params: Elo = Elo()) -> DataFrame:
             else:
                 out.append((key[0], r.match_id, *now.play(int(r.season), int(r.home_team), int(r.away_team), int(r.home_goals), int(r.away_goals)), False))
                 last = max(last, at)
-        teams = list(now.rating)
-        newest = max(now.teams, default=0)
-        entries = [(s << 20) | t for s, members in now.teams.items() if s >= newest - 1 for t in sorted(members)]
-        state.update((int(last), [int(t) for t in teams], [float(now.rating[t]) for t in teams], [int(now.last[t]) for t in teams], [int(e) for e in entries]))
+        newest = max(now.squads, default=0)
+        entries = [int(season) << 20 | int(t) for season, squad in now.squads.items() if season >= newest - 1 for t in squad]
+        state.update((int(last), [int(t) for t in now.teams], [float(r) for r, _ in now.teams.values()], [int(x) for _, x in now.teams.values()], entries))
         yield pd.DataFrame(out, columns=[f.name for f in RATED])
 
     return results.groupBy("league").applyInPandasWithState(fold, RATED, RATING_STATE, "append", GroupStateTimeout.NoTimeout)
