@@ -81,3 +81,8 @@ def weekly_collection(date: Column, kickoff: Column, zone: str = "Europe/London"
 
 def natural_key(*parts: str) -> Column:
     return F.concat_ws(":", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts))
+
+
+def has_key(text: Column, key: str) -> Column:
+    """Whether a JSON object in text has the key, with whatever value; false for broken or missing text."""
+    return F.coalesce(F.array_contains(F.json_object_keys(text), key), F.lit(False))

@@ -128,6 +128,38 @@ def capped(selections: DataFrame, caps: Caps = Caps(), key: str = "match_id") ->
     return selections.repartition("day").sortWithinPartitions("day", *order).mapInPandas(grant, schema)
 
 
+# The texts of reason codes.
+REASONS = {
+    "NO_MARKET_ODDS": "no market odds available at decision time",
+    "INCOMPLETE_MARKET": "market prices incomplete",
+    "STALE_ODDS": "odds older than the staleness limit",
+    "OUTLIER_BEST_PRICE": "best price far from consensus (possible stale/erroneous quote)",
+    "SINGLE_BOOK": "only one bookmaker - no consensus",
+    "NEGATIVE_EV": "expected value is not positive",
+    "EV_BELOW_THRESHOLD": "expected value below threshold",
+    "EDGE_BELOW_THRESHOLD": "edge vs fair market probability below threshold",
+    "EDGE_CONSUMED_BY_MARGIN": "model beats the fair (margin-free) price but not the actual price: the apparent edge disappears after the bookmaker margin",
+    "EDGE_REMOVED_BY_CALIBRATION": "the raw model showed value but the calibrated probability does not: the apparent edge disappears after calibration",
+    "EDGE_NOT_ROBUST_TO_UNCERTAINTY": "EV is not positive at the conservative (market-shrunk) probability",
+    "EV_LOWER_BOUND_NOT_POSITIVE": "EV at the lower uncertainty bound is not positive",
+    "MODEL_DISAGREEMENT": "statistical models disagree beyond the limit",
+    "LOW_DATA_QUALITY": "data quality below the minimum",
+    "INSUFFICIENT_TEAM_HISTORY": "too few recent matches for at least one team",
+    "ODDS_OUT_OF_RANGE": "odds outside the range where calibration is trusted",
+    "CALIBRATION_UNAVAILABLE": "no validated calibration for this model yet",
+    "LINEUP_UNKNOWN": "lineups not known at decision time (warning; conservative thresholds apply)",
+    "MODEL_UNAVAILABLE": "model could not produce a prediction",
+    "DRIFT_ALERT": "model/calibration drift alert active",
+    "MODEL_NOT_VALIDATED_VS_MARKET": "the model has not shown out-of-sample information beyond the market (market-benchmark gate not passed), so apparent value is not trusted",
+}
+
+
+def reason_text(code: Column) -> Column:
+    """What a reason code says; what follows a colon in it does not matter, and an unknown code is its own text."""
+    texts = F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair))
+    return F.coalesce(F.get(F.array(F.element_at(texts, F.substring_index(code, ":", 1))), F.lit(0)), code)
+
+
 def settled(bets: DataFrame, won: Column, units: Column, odds: Column) -> DataFrame:
     return bets.withColumn("profit", O.settle(won, units, odds))
 

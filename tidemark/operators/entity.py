@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..sources.scratch import written
 
 
 def resolve_static(raw: DataFrame, aliases: DataFrame, by: str = "country", name: str = "raw", alias: str = "alias", team: str = "team") -> DataFrame:
@@ -45,9 +46,33 @@ def cooccurrence(fixtures: DataFrame, resolved: DataFrame, reference: DataFrame,
     fixture = ["raw", "side", "match_date", "__o"]
     best = hits.groupBy(*fixture).agg(F.min("t.pref").alias("__p"))
     votes = hits.join(best, fixture).where(F.col("t.pref") == F.col("__p")).select(*fixture, "team").distinct().groupBy("raw", "team").agg(F.count("*").alias("votes"))
-    top = votes.groupBy("raw").agg(F.max_by(F.struct("team", "votes"), F.struct("votes", F.col("team").cast("string"))).alias("b"), F.sum("votes").alias("total"))
-    sure = (F.col("b.votes") >= least) & (F.col("b.votes") >= share * F.col("total"))
-    return top.select("raw", F.when(sure, F.col("b.team")).alias("team"), F.col("b.votes").alias("votes"), "total", F.when(sure, "COOCCURRENCE").otherwise("AMBIGUOUS").alias("method"))
+    first = Window.partitionBy("raw").orderBy(F.col("votes").desc(), F.col("team").cast("string").desc())
+    ranked = votes.withColumn("__n", F.row_number().over(first)).withColumn("total", F.sum("votes").over(Window.partitionBy("raw")))
+    pick = lambda c: F.max(F.when(F.col("__n") == 1, F.col(c)))
+    five = F.transform(F.array_sort(F.collect_list(F.when(F.col("__n") <= 5, F.struct("__n", "team")))), lambda x: x["team"])
+    top = ranked.groupBy("raw").agg(pick("team").alias("best"), pick("votes").alias("votes"), F.first("total").alias("total"), five.alias("candidates"))
+    sure = (F.col("votes") >= least) & (F.col("votes") >= share * F.col("total"))
+    return top.select("raw", F.when(sure, F.col("best")).alias("team"), "votes", "total", F.when(sure, "COOCCURRENCE").otherwise("AMBIGUOUS").alias("method"), "candidates")
+
+
+def resolution_run(fixtures: DataFrame, known: DataFrame, reference: DataFrame, rounds: int = 3, least: int = 3, share: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(resolved, review): rounds of cooccurrence(), each with the names that the rounds before resolved.
+
+    fixtures and reference as in cooccurrence(); known: raw, team by static rules. resolved: raw, team, method, round (0 for
+    known ones); review: names left, with up to five candidates each, and names that share a team with another of one
+    source, none of which is applied.
+    """
+    found = known.select("raw", "team", F.lit("STATIC").alias("method"), F.lit(0).alias("round"))
+    for n in range(1, rounds + 1):
+        now = written(found, "resolved")
+        votes = written(cooccurrence(fixtures, now.select("raw", "team"), reference, least, share), "votes")
+        found = now.unionByName(votes.where("team IS NOT NULL").select("raw", "team", "method", F.lit(n).alias("round")))
+    found = written(found, "resolved")
+    shared = found.groupBy("team").agg(F.count_distinct("raw").alias("__raws")).where("__raws > 1").select("team")
+    twice = found.join(shared, "team", "left_semi")
+    left = votes.where("team IS NULL").select("raw", F.lit("AMBIGUOUS").alias("reason"), F.col("candidates").cast("array<string>").alias("candidates"))
+    review = left.unionByName(twice.select("raw", F.lit("SHARED_TEAM").alias("reason"), F.array(F.col("team").cast("string")).alias("candidates")))
+    return found.join(shared, "team", "left_anti").select("raw", "team", "method", "round"), review
 
 
 def not_injective(resolved: DataFrame, keys: tuple[str, ...] = ("source", "season"), raw: str = "raw", team: str = "team") -> DataFrame:

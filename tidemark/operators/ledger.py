@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +31,21 @@ def batch_digests(rows: DataFrame, batch: str, group: str = "__g", groups: int =
 def chained(batches: DataFrame, batch: str) -> DataFrame:
     """batches with prev_hash and chain_hash = sha256(prev_hash + content_hash); a batch is one row.
 
-    The chain is serial by nature; its input is one row a batch, and the fold is one aggregate over their ordered list.
+    The chain is serial by nature: its rows, one a batch, stream through one task in order, and only the last hash is held.
     """
-    ordered = batches.agg(F.array_sort(F.collect_list(F.struct(batch, "n", "content_hash"))).alias("__b"))
-    start = F.array(F.lit("0" * 64))
-    fold = F.aggregate("__b", start, lambda a, b: F.concat(a, F.array(F.sha2(F.concat(F.element_at(a, -1), b["content_hash"]), 256))))
-    out = ordered.withColumn("__c", fold).select(F.posexplode("__b").alias("__i", "b"), "__c")
-    return out.select(F.col(f"b.{batch}").alias(batch), "b.n", "b.content_hash", F.get("__c", F.col("__i")).alias("prev_hash"), F.get("__c", F.col("__i") + 1).alias("chain_hash"))
+    kind = batches.schema[batch].dataType.simpleString()
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = "0" * 64
+        for pdf in parts:
+            links = []
+            for content in pdf["content_hash"]:
+                links.append((last, hashlib.sha256((last + content).encode()).hexdigest()))
+                last = links[-1][1]
+            yield pdf.assign(prev_hash=[x for x, _ in links], chain_hash=[x for _, x in links])
+
+    ordered = batches.select(batch, "n", "content_hash").repartition(1).sortWithinPartitions(batch)
+    return ordered.mapInPandas(fold, f"`{batch}` {kind}, n bigint, content_hash string, prev_hash string, chain_hash string")
 
 
 def broken(chain: DataFrame, rows: DataFrame, batch: str, columns: Sequence[str]) -> DataFrame:

@@ -66,11 +66,41 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: s
     return out.select("__left.*", F.col("__found.__ts").alias(right_ts if right_ts not in left.columns else f"{right_ts}_right"), *(F.col(f"__found.{v}").alias(v) for v in values))
 
 
-def decision_times(entities: DataFrame, ticks: DataFrame, key: str, kickoff: str, seen: str, lead_hours: int = 1) -> DataFrame:
-    """key, decision_at, policy: the last tick at or before kickoff less the lead, else that limit itself."""
-    limit = entities.select(key, (F.col(kickoff) - F.make_interval(hours=F.lit(lead_hours))).alias("__limit"))
-    last = ticks.join(limit, key).where(F.col(seen) <= F.col("__limit")).groupBy(key).agg(F.max(seen).alias("__tick"))
-    return limit.join(last, key, "left").select(key, F.coalesce("__tick", "__limit").alias("decision_at"), F.when(F.col("__tick").isNotNull(), "LAST_TICK").otherwise("LEAD").alias("policy"))
+def decision_times(entities: DataFrame, ticks: DataFrame, key: str, kickoff: str, seen: str, lead_hours: int = 1, date: str | None = None, zone: str = "UTC") -> DataFrame:
+    """key, decision_at, policy: the last tick at or before the limit, else the limit itself.
+
+    The limit is the kickoff less the lead. Where the kickoff is null and a date column is given, it is 12:00 local time of
+    that date for ticks (LAST_TICK_BEFORE_NOON), and without ticks the local midnight that begins it (DATE_ONLY).
+    """
+    limit = F.col(kickoff) - F.make_interval(hours=F.lit(lead_hours))
+    start = F.lit(None).cast("timestamp_ntz")
+    if date is not None:
+        local = lambda hour: F.convert_timezone(F.lit(zone), F.lit("UTC"), F.make_timestamp_ntz(F.year(date), F.month(date), F.day(date), F.lit(hour), F.lit(0), F.lit(0)))
+        limit, start = F.coalesce(limit, local(12).cast(entities.schema[kickoff].dataType)), local(0).cast(entities.schema[kickoff].dataType)
+    known = F.col(kickoff).isNotNull()
+    asked = entities.select(key, limit.alias("__limit"), F.when(known, limit).otherwise(start).alias("__else"), known.alias("__known"))
+    last = ticks.join(asked.select(key, "__limit"), key).where(F.col(seen) <= F.col("__limit")).groupBy(key).agg(F.max(seen).alias("__tick"))
+    ticked = F.col("__tick").isNotNull()
+    policy = F.when(F.col("__known"), F.when(ticked, "LAST_TICK").otherwise("LEAD")).otherwise(F.when(ticked, "LAST_TICK_BEFORE_NOON").otherwise("DATE_ONLY"))
+    return asked.join(last, key, "left").select(key, F.coalesce("__tick", "__else").alias("decision_at"), policy.alias("policy"))
+
+
+def outcomes(matches: DataFrame, asked: DataFrame, key: str = "match_id") -> DataFrame:
+    """Results of asked matches, for evaluation only: finished ones, never part of what features read."""
+    return matches.join(asked.select(key).distinct(), key, "left_semi").where("status = 'FINISHED'").select(key, "home_goals", "away_goals")
+
+
+def closing_prices(prices: DataFrame, asked: DataFrame, by: Sequence[str], key: str = "match_id", seen: str = "seen_at", ties: Sequence[str] = ()) -> DataFrame:
+    """Last closing prices of asked matches, for evaluation only."""
+    closing = prices.join(asked.select(key).distinct(), key, "left_semi").where("snapshot = 'CLOSING'")
+    return latest(closing, [key, *by], seen, list(ties))
+
+
+def clip_holdout(df: DataFrame, date: str, holdout: str | None, asked: bool = False) -> DataFrame:
+    """Rows before the holdout's first day, unless the holdout is asked for; without one configured nothing may be asked."""
+    if holdout is None:
+        raise ValueError("no holdout is configured")
+    return df if asked else df.where(F.col(date) < F.lit(holdout).cast("date"))
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -99,20 +99,20 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_DECIDE = f"""{_CAND}, v AS (SELECT *, model_prob*odds-1 ev, model_prob-fair_prob edge, raw_prob*odds-1 evr, (fair_prob+0.5*(model_prob-fair_prob))*odds-1 evc, prob_low*odds-1 evl, concat_ws(',', CASE WHEN odds IS NULL THEN coalesce(flag, 'NO_MARKET_ODDS') END, CASE WHEN least(home_matches, away_matches) < 8 THEN 'INSUFFICIENT_TEAM_HISTORY' END, CASE WHEN quality < 0.6 THEN 'LOW_DATA_QUALITY' END) lacking FROM cand),
+DECIDE = f"""{_CAND}, v AS (SELECT *, model_prob*odds-1 ev, model_prob-fair_prob edge, raw_prob*odds-1 evr, (fair_prob+0.5*(model_prob-fair_prob))*odds-1 evc, prob_low*odds-1 evl, concat_ws(',', CASE WHEN odds IS NULL THEN coalesce(flag, 'NO_MARKET_ODDS') END, CASE WHEN least(home_matches, away_matches) < 8 THEN 'INSUFFICIENT_TEAM_HISTORY' END, CASE WHEN quality < 0.6 THEN 'LOW_DATA_QUALITY' END) lacking FROM cand),
   w AS (SELECT *, concat_ws(',', CASE WHEN flag = 'STALE_ODDS' THEN flag END, CASE WHEN ev <= 0 THEN 'NEGATIVE_EV' END, CASE WHEN ev <= 0 AND edge > 0 THEN 'EDGE_CONSUMED_BY_MARGIN' END, CASE WHEN ev <= 0 AND evr > 0 THEN 'EDGE_REMOVED_BY_CALIBRATION' END, CASE WHEN odds NOT BETWEEN 1.3 AND 6 THEN 'ODDS_OUT_OF_RANGE' END, CASE WHEN disagreement > 0.08 THEN 'MODEL_DISAGREEMENT' END, CASE WHEN drift_alert THEN 'DRIFT_ALERT' END, CASE WHEN NOT validated THEN 'MODEL_NOT_VALIDATED_VS_MARKET' END) hard,
     concat_ws(',', CASE WHEN flag = 'SINGLE_BOOK' THEN flag END, CASE WHEN ev > 0 AND ev < 0.03 THEN 'EV_BELOW_THRESHOLD' END, CASE WHEN ev > 0 AND edge < 0.02 THEN 'EDGE_BELOW_THRESHOLD' END, CASE WHEN ev > 0 AND evc <= 0 THEN 'EDGE_NOT_ROBUST_TO_UNCERTAINTY' END, CASE WHEN calibration IS NULL THEN 'CALIBRATION_UNAVAILABLE' END) soft FROM v),
   d AS (SELECT *, CASE WHEN lacking <> '' THEN 'INSUFFICIENT_DATA' WHEN hard <> '' THEN 'NO_BET' WHEN soft <> '' THEN CASE WHEN ev > 0 THEN 'WATCH' ELSE 'NO_BET' END WHEN evl > 0 THEN 'STRONG_CANDIDATE' ELSE 'CANDIDATE' END status FROM w)"""
 
 
-@R.add("decision_rules", f"SELECT * FROM (WITH {_DECIDE} SELECT match_id, model, status, CASE WHEN lacking <> '' THEN lacking ELSE concat_ws(',', nullif(hard, ''), nullif(soft, '')) END reasons, CASE WHEN lacking = '' THEN round(ev, 6) END ev, CASE WHEN lacking = '' THEN round(evc, 6) END ev_conservative FROM d) z", ("matches", "prices", "forecasts"))
+@R.add("decision_rules", f"SELECT * FROM (WITH {DECIDE} SELECT match_id, model, status, CASE WHEN lacking <> '' THEN lacking ELSE concat_ws(',', nullif(hard, ''), nullif(soft, '')) END reasons, CASE WHEN lacking = '' THEN round(ev, 6) END ev, CASE WHEN lacking = '' THEN round(evc, 6) END ev_conservative FROM d) z", ("matches", "prices", "forecasts"))
 def decision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status and ordered reasons of every candidate."""
     out = decision.decide(candidates(spark, sf_dir))
     return out.select("match_id", "model", "status", F.concat_ws(",", "reasons").alias("reasons"), F.round("ev", 6).alias("ev"), F.round("ev_conservative", 6).alias("ev_conservative"))
 
 
-@R.add("decision_reasons", f"SELECT * FROM (WITH {_DECIDE}, r AS (SELECT model, unnest(string_split(CASE WHEN lacking <> '' THEN lacking ELSE concat_ws(',', nullif(hard, ''), nullif(soft, '')) END, ',')) reason FROM d) SELECT model, reason, count(*) n FROM r WHERE reason <> '' GROUP BY ALL) z", ("matches", "prices", "forecasts"))
+@R.add("decision_reasons", f"SELECT * FROM (WITH {DECIDE}, r AS (SELECT model, unnest(string_split(CASE WHEN lacking <> '' THEN lacking ELSE concat_ws(',', nullif(hard, ''), nullif(soft, '')) END, ',')) reason FROM d) SELECT model, reason, count(*) n FROM r WHERE reason <> '' GROUP BY ALL) z", ("matches", "prices", "forecasts"))
 def decision_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each reason was given."""
     out = decision.decide(candidates(spark, sf_dir))
@@ -130,7 +130,7 @@ def _bets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     "bet_summary",
-    f"""SELECT * FROM (WITH {_DECIDE}, b AS (SELECT *, CASE WHEN status IN ('WATCH','CANDIDATE','STRONG_CANDIDATE') AND evc > 0 THEN least(0.25 * greatest(0, ((fair_prob+0.5*(model_prob-fair_prob))*(odds-1) - (1-(fair_prob+0.5*(model_prob-fair_prob))))/(odds-1)), 0.02) ELSE 0 END * 100 units, odds / (odds * (1 + (match_id % 9 - 4) / 100.0::DOUBLE)) - 1 clv FROM d)
+    f"""SELECT * FROM (WITH {DECIDE}, b AS (SELECT *, CASE WHEN status IN ('WATCH','CANDIDATE','STRONG_CANDIDATE') AND evc > 0 THEN least(0.25 * greatest(0, ((fair_prob+0.5*(model_prob-fair_prob))*(odds-1) - (1-(fair_prob+0.5*(model_prob-fair_prob))))/(odds-1)), 0.02) ELSE 0 END * 100 units, odds / (odds * (1 + (match_id % 9 - 4) / 100.0::DOUBLE)) - 1 clv FROM d)
     SELECT model, count(*) selections, count(CASE WHEN units > 0 THEN 1 END) bets, count(CASE WHEN units > 0 AND outcome = 0 THEN 1 END) wins, round(sum(CASE WHEN units > 0 THEN units END), 4) staked, round(sum(CASE WHEN units > 0 THEN CASE WHEN outcome = 0 THEN units * (odds - 1) ELSE -units END END), 4) profit, round(avg(CASE WHEN units > 0 THEN (clv > 0)::INT END), 4) share_beating_close FROM b GROUP BY model) z""",
     ("matches", "prices", "forecasts"),
 )

@@ -21,7 +21,7 @@ R = Registry()
 _LL = "l AS (SELECT *, -ln(CASE outcome WHEN 0 THEN p_home WHEN 1 THEN p_draw ELSE p_away END) ll FROM forecasts)"
 
 
-@R.add("report_inventory", "SELECT count(*) matches, count(DISTINCT league) leagues, count(DISTINCT (league, season)) seasons, min(match_date) first_date, max(match_date) last_date, (SELECT count(*) FROM prices) prices, (SELECT count(DISTINCT book) FROM prices) books, (SELECT count(DISTINCT match_id) FROM prices) priced, (SELECT count(DISTINCT t) FROM (SELECT home_team t FROM matches UNION SELECT away_team FROM matches) q) teams, (SELECT arg_max(season, (n, season)) FROM (SELECT season, count(*) n FROM matches GROUP BY season) a) best_season, (SELECT arg_min(season, (n, season)) FROM (SELECT season, count(*) n FROM matches GROUP BY season) b) worst_season FROM matches", ("matches", "prices"))
+@R.add("report_inventory", "SELECT count(*) matches, count(DISTINCT league) leagues, count(DISTINCT (league, season)) seasons, min(match_date) first_date, max(match_date) last_date, (SELECT count(*) FROM prices) prices, (SELECT count(DISTINCT book) FROM prices) books, (SELECT count(DISTINCT match_id) FROM prices) priced, (SELECT count(DISTINCT t) FROM (SELECT home_team t FROM matches UNION SELECT away_team FROM matches) q) teams, (SELECT arg_max(season, (n, season)) FROM (SELECT season, count(DISTINCT m2.match_id) * (1 + count(DISTINCT book)) n FROM matches m2 LEFT JOIN prices p2 ON m2.match_id = p2.match_id GROUP BY season) a) best_season, (SELECT arg_min(season, (n, season)) FROM (SELECT season, count(DISTINCT m3.match_id) * (1 + count(DISTINCT book)) n FROM matches m3 LEFT JOIN prices p3 ON m3.match_id = p3.match_id GROUP BY season) b) worst_season FROM matches", ("matches", "prices"))
 def report_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Global inventory."""
     return reports.inventory(view(spark, sf_dir, "matches"), view(spark, sf_dir, "prices"))
@@ -63,8 +63,11 @@ def report_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Promotion gates of every model against the first one."""
     scored = losses(spark, sf_dir)
     d = evaluate.paired(scored, "match_id", "model", "log_loss", ["match_date"])
-    boot = evaluate.block_bootstrap(d, ["model_a", "model_b"], F.date_trunc("week", F.col("match_date")), "difference", replicates=50)
-    return reports.gates(evaluate.scores(scored, ["model", "season"]), boot, "alpha")
+    boot = evaluate.block_bootstrap(d, ["model_a", "model_b"], F.date_trunc("week", F.col("match_date")), "difference", replicates=200)
+    classes = [evaluate.recalibration(scored.withColumn("hit", (F.col("outcome") == k).cast("int")), ["model"], p, "hit") for k, p in enumerate(("p_home", "p_draw", "p_away"))]
+    slopes = classes[0].unionByName(classes[1]).unionByName(classes[2]).groupBy("model").agg(F.min("slope").alias("slope_low"), F.max("slope").alias("slope_high"))
+    ece = evaluate.calibration_error(evaluate.reliability(scored, ["model"], "p_home", F.col("outcome") == 0), ["model"])
+    return reports.gates(evaluate.scores(scored, ["model", "season"]), boot, "alpha", calibration=ece.join(slopes, "model"), market="gamma", leakage_passed=True, code_version="1", fingerprint="1")
 
 
 @R.add(

@@ -132,6 +132,46 @@ def nested_json(spark: SparkSession, path: str, zone: str, today: str) -> tuple[
     return duplicate_ordinals(good.drop("__pair"), "source_key", "i"), issues
 
 
+SQUAD = "array<struct<name:string>>"
+LISTED = (
+    "match_id bigint, match_date string, kick_off string, home_score int, away_score int, match_week int, season struct<season_id:bigint,season_name:string>, competition_stage struct<name:string>,"
+    f" home_team struct<home_team_name:string,managers:{SQUAD}>, away_team struct<away_team_name:string,managers:{SQUAD}>, stadium struct<name:string>, referee struct<name:string>"
+)
+
+
+def match_array_json(spark: SparkSession, path: str, zone: str) -> tuple[DataFrame, DataFrame]:
+    """Files that are one array of matches with nested teams: (matches, issues). Kickoffs are local and only approximate."""
+    raw = spark.read.schema(LISTED).option("multiLine", True).json(path)
+    names = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast(SQUAD)), lambda x: x["name"])
+    rows = raw.select(
+        F.col("match_id").alias("source_key"), F.col("match_date").try_cast("date").alias("match_date"), F.substring("kick_off", 1, 5).alias("clock"), F.trim("home_team.home_team_name").alias("home"), F.trim("away_team.away_team_name").alias("away"),
+        F.col("home_score").alias("home_goals"), F.col("away_score").alias("away_goals"), "match_week", F.col("season.season_name").alias("season"), F.col("competition_stage.name").alias("stage"), F.col("stadium.name").alias("stadium"),
+        F.col("referee.name").alias("referee"), names("home_team.managers").alias("home_managers"), names("away_team.managers").alias("away_managers"),
+    )
+    bad = F.col("match_date").isNull() | F.col("home").isNull() | F.col("away").isNull()
+    good = rows.where(~bad).withColumn("kickoff", N.to_utc(F.col("match_date"), F.col("clock"), zone))
+    good = good.withColumn("time_quality", F.when(F.col("kickoff").isNotNull(), "APPROXIMATE").otherwise("DATE_ONLY")).withColumn("status", F.when(F.col("home_goals").isNotNull() & F.col("away_goals").isNotNull(), "FINISHED").otherwise("SCHEDULED"))
+    return good, rows.where(bad).select(F.lit("ERROR").alias("severity"), F.lit("PARSE").alias("code"), "source_key")
+
+
+def local_matches(spark: SparkSession, path: str, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
+    """A user's own matches: competition_id, season, date, time, home, away, home_goals, away_goals, status. (matches, issues)
+    A status left empty follows from whether there is a score."""
+    raw = raw_csv(spark, path)
+    wanted = ["competition_id", "season", "date", "time", "home", "away", "home_goals", "away_goals", "status"]
+    if missing := required(raw, wanted):
+        raise ValueError(f"missing columns {missing}")
+    rows = raw.select(
+        F.nullif("competition_id", F.lit("")).alias("competition"), F.col("season").try_cast("int").alias("season"), F.col("date").try_cast("date").alias("match_date"), F.trim("time").alias("clock"), F.nullif(F.trim("home"), F.lit("")).alias("home"),
+        F.nullif(F.trim("away"), F.lit("")).alias("away"), N.whole(F.col("home_goals")).alias("home_goals"), N.whole(F.col("away_goals")).alias("away_goals"), F.nullif(F.upper(F.trim("status")), F.lit("")).alias("given"), "raw_row",
+    )
+    bad = F.col("competition").isNull() | F.col("match_date").isNull() | F.col("home").isNull() | F.col("away").isNull()
+    scored = F.col("home_goals").isNotNull() & F.col("away_goals").isNotNull()
+    good = rows.where(~bad).withColumn("kickoff", N.to_utc(F.col("match_date"), F.col("clock"), zone)).withColumn("status", F.coalesce("given", F.when(scored, "FINISHED").otherwise("SCHEDULED")))
+    good = good.withColumn("source_key", N.natural_key("competition", "match_date", "home", "away")).drop("given")
+    return duplicate_ordinals(good, "source_key", "raw_row"), rows.where(bad).select(F.lit("ERROR").alias("severity"), F.lit("PARSE").alias("code"), "raw_row")
+
+
 EVENT = "array<struct<type:struct<name:string>,team:struct<name:string>,shot:struct<expected:double,outcome:struct<name:string>>>>"
 
 

@@ -20,8 +20,13 @@ def distinct_ticks(ticks: DataFrame, ident: Sequence[str], at: str, delay: str =
     return ticks.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(ident))
 
 
-def latest_state(ticks: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
-    """Latest value of each key so far (update or complete mode); of equal times the larger value."""
+def latest_state(ticks: DataFrame, keys: Sequence[str], at: str, value: str, span: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """Latest value of each key so far (update or complete mode); of equal times the larger value. With a span (such as
+    "1 day") it is the latest of each span of time, whose state ends once the watermark has passed it."""
+    if span:
+        w = F.window(at, span)
+        out = ticks.withWatermark(at, delay).groupBy(*keys, w).agg(F.max_by(value, F.struct(at, value)).alias("latest"), F.max(at).alias("seen_at"), F.count("*").alias("n"))
+        return out.select(*keys, F.col("window.start").alias("start"), "latest", "seen_at", "n")
     return ticks.groupBy(*keys).agg(F.max_by(value, F.struct(at, value)).alias("latest"), F.max(at).alias("seen_at"), F.count("*").alias("n"))
 
 
