@@ -78,7 +78,17 @@ def eval_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("match_id", "n_models", F.round("max_diff", 6).alias("max_diff"), F.round(F.col("sd")[0], 6).alias("sd_home"), F.round("mean_js", 6).alias("mean_js"), "level")
 
 
-@R.add("eval_recalibration")
+def _newton(rounds: int = 8) -> str:
+    """One common table expression a Newton step."""
+    steps = ["s0 AS (SELECT DISTINCT model, 0.0::DOUBLE i, 1.0::DOUBLE s FROM z)"]
+    for k in range(rounds):
+        sums = "sum(y - m) g0, sum((y - m) * x) g1, sum(m * (1 - m)) h00, sum(m * (1 - m) * x) h01, sum(m * (1 - m) * x * x) h11"
+        steps.append(f"e{k} AS (SELECT model, i, s, {sums} FROM (SELECT z.model, i, s, x, y, 1 / (1 + exp(-(i + s * x))) m FROM z JOIN s{k} ON z.model = s{k}.model) q GROUP BY model, i, s)")
+        steps.append(f"s{k + 1} AS (SELECT model, i + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) i, s + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) s FROM e{k})")
+    return ", ".join(steps)
+
+
+@R.add("eval_recalibration", f"SELECT * FROM (WITH z AS (SELECT model, ln(p_home / (1 - p_home)) x, (outcome = 0)::INT::DOUBLE y FROM forecasts), {_newton()} SELECT model, round(s, 5) slope, round(i, 5) intercept FROM s8) w", ("forecasts",))
 def eval_recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slope and intercept of each model's home probability."""
     rows = view(spark, sf_dir, "forecasts").withColumn("hit", (F.col("outcome") == 0).cast("int"))

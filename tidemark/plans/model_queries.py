@@ -200,7 +200,13 @@ def nested_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("outer_season", "model", F.round("inner_loss", 6).alias("inner_loss"))
 
 
-@R.add("refit_schedule")
+@R.add(
+    "refit_schedule",
+    """SELECT * FROM (WITH RECURSIVE d AS (SELECT league, match_date, row_number() OVER (PARTITION BY league ORDER BY match_date) n FROM (SELECT DISTINCT league, match_date FROM matches WHERE status = 'FINISHED' AND disputed = 0) q),
+    f(league, n, match_date, fit) AS (SELECT league, n, match_date, match_date FROM d WHERE n = 1 UNION ALL SELECT d.league, d.n, d.match_date, CASE WHEN d.match_date - f.fit >= 7 THEN d.match_date ELSE f.fit END FROM f JOIN d ON d.league = f.league AND d.n = f.n + 1)
+    SELECT league, match_date::TIMESTAMP AS "at", fit::TIMESTAMP fit_at FROM f) z""",
+    ("matches",),
+)
 def refit_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which fit serves each match day of each league if a fit lasts a week."""
     times = _results(spark, sf_dir).select("league", F.col("match_date").cast("timestamp_ntz").alias("at"))
