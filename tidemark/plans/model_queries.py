@@ -9,6 +9,7 @@ from ..functions import metrics as M
 from ..functions import odds as O
 from ..functions import scores as S
 from ..operators import decision, evaluate, features, market, models, pit
+from ..operators import slips as slip_rules
 from ..sources.scratch import written
 from ..sources.views import view
 from .market_queries import SELECTIONS, last_quotes
@@ -69,6 +70,27 @@ def slip_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrices(spark, sf_dir).select("match_id", F.round(S.joint(m, F.array(g("1X2", "H", None), g("OU", "OVER", 2.5))), 6).alias("joint"), F.round(S.one_x_two(m)[0] * S.over(m, 2.5), 6).alias("naive"))
 
 
+@R.add(
+    "slips",
+    f"""SELECT * FROM (WITH {GRID}, e AS (SELECT match_id, sum(CASE WHEN i > j THEN p ELSE 0 END) h, sum(CASE WHEN i + j > 2.5 THEN p ELSE 0 END) o, sum(CASE WHEN i > j AND i + j > 2.5 THEN p ELSE 0 END) both_, sum(CASE WHEN i < j THEN p ELSE 0 END) a FROM n GROUP BY match_id),
+    k AS (SELECT match_id // 4 AS slip, match_id, CASE match_id % 4 WHEN 0 THEN both_ WHEN 1 THEN 0 ELSE h END AS adjusted, CASE match_id % 4 WHEN 0 THEN h * o WHEN 1 THEN h * a ELSE h END AS naive, CASE WHEN match_id % 4 < 2 THEN 2 ELSE 1 END AS legs, CASE WHEN match_id % 4 < 2 THEN 1.9::DOUBLE * 1.8 ELSE 1.9 END AS odds FROM e),
+    s AS (SELECT slip, sum(legs)::BIGINT n_legs, product(odds) odds, product(naive) naive, product(adjusted) adjusted, count(*) n_matches FROM k GROUP BY slip)
+    SELECT slip, n_legs, n_matches, round(odds, 6) odds, CASE WHEN n_legs <= 5 THEN round(naive, 6) END naive, CASE WHEN n_legs <= 5 THEN round(adjusted, 6) END adjusted, CASE WHEN n_legs <= 5 THEN round(adjusted * odds - 1, 6) END ev_adjusted, n_legs > 5 AS too_many FROM s) z""",
+    ("matches",),
+)
+def slips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slips over four neighbouring matches: home wins, one with many goals, one that excludes itself."""
+    rates = view(spark, sf_dir, "matches").select("match_id", *_rates())
+    i, j = F.col("i"), F.col("j")
+    own = S.shares(S.score_rows(rates, F.col("lh"), F.col("la"), F.lit(-0.05)), ["match_id"], H=i > j, O=i + j > 2.5, A=i < j).join(rates, "match_id")
+    leg = lambda market, selection, p, odds: F.struct(F.lit(market).alias("market"), F.lit(selection).alias("selection"), F.lit(2.5).alias("line"), F.col(p).alias("prob"), F.lit(odds).alias("odds"))
+    k = F.col("match_id") % 4
+    each = F.explode(F.array_compact(F.array(leg("1X2", "H", "H", 1.9), F.when(k == 0, leg("OU", "OVER", "O", 1.8)).when(k == 1, leg("1X2", "A", "A", 1.8)))))
+    legs = own.select(F.floor(F.col("match_id") / 4).alias("slip"), "match_id", F.col("lh").alias("lambda_home"), F.col("la").alias("lambda_away"), F.lit(-0.05).alias("rho"), each.alias("leg")).select("slip", "match_id", "lambda_home", "lambda_away", "rho", "leg.*")
+    out = slip_rules.evaluated(legs)
+    return out.select("slip", "n_legs", "n_matches", *(F.round(c, 6).alias(c) for c in ("odds", "naive", "adjusted", "ev_adjusted")), F.array_contains("flags", "TOO_MANY_LEGS").alias("too_many"))
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "matches").where("status = 'FINISHED' AND disputed = 0")
 
