@@ -505,3 +505,19 @@ def test_salted_lists(spark, monkeypatch):
         want = brute.components(rows, n, percent)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.linked_components(df, n, percent).collect()}
         assert got == {rows[i][0]: v for i, v in want.items()}, (n, percent)
+
+
+def test_pipeline_of_odd_tables(spark, sf_dir):
+    """Empty tables stay empty; columns that bear names of results or working columns come through every stage untouched."""
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, near, "en", "a"), (2, near + " x", "en", "a"), (3, near.upper(), "en", None), (3, near.upper(), "en", None), (None, "other words of another text", "en", "b"), (4, None, None, "b"), (5, "", "en", "b")]
+    names = ["score", "lang_pred", "held_out", "weight", "block", "epoch", "label", "node", "size", "ident", "pos", "gram", "row", "start", "kind", "keep"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").select("*", *(F.lit(7).alias(c) for c in names))
+    empty, columns = docs.limit(0), docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        empty, docs = corpus_pipeline.written(stage(spark, empty, sf_dir), name), corpus_pipeline.written(stage(spark, docs, sf_dir), name)
+        assert empty.columns == docs.columns == columns and empty.isEmpty()
+        assert docs.where(" OR ".join(f"NOT {c} <=> 7" for c in names)).isEmpty()
+    assert sorted({str(r["doc_id"]) for r in docs.collect()}) in (["2", "None"], ["3", "None"])
+    last = corpus_pipeline.byte_bpe(spark, docs, sf_dir)
+    assert last.count() == docs.count() and corpus_pipeline.byte_bpe(spark, empty, sf_dir).isEmpty()
