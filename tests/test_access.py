@@ -147,3 +147,15 @@ def test_gates_fail_on_what_is_not_known(spark):
     assert full["may_bet"] and not reports.gates(scores, comparisons, "ref", calibration=calibration, market="market", leakage_passed=True, code_version="abc-dirty", fingerprint="f").first()["may_forecast"]
     runs = spark.createDataFrame([(1, '{"a:calibrated": 1.0}'), (2, '{"a:calibrated": 2.0, "a:raw": 3.0}')], "at int, summary string")
     assert [tuple(r) for r in reports.expected_losses(runs, "at", "summary").collect()] == [("a", 2.0)]
+
+
+def test_slips(spark):
+    from tidemark.operators import slips
+
+    leg = lambda slip, m, market, sel, p, odds: (slip, m, market, sel, 2.5, p, odds, 1.4, 1.1, -0.05)
+    rows = [leg(1, 1, "1X2", "H", 0.44, 2.0), leg(1, 1, "1X2", "A", 0.3, 3.0), leg(1, 2, "OU", "OVER", 0.5, 2.2), leg(2, 1, "1X2", "H", 0.44, 2.0)] + [leg(3, m, "1X2", "H", 0.44, 2.0) for m in range(6)]
+    df = spark.createDataFrame(rows, "slip int, match_id int, market string, selection string, line double, prob double, odds double, lambda_home double, lambda_away double, rho double")
+    got = {r["slip"]: r for r in slips.evaluated(df).collect()}
+    assert got[1]["adjusted"] == 0 and got[1]["flags"] == ["SAME_MATCH_CORRELATION:1", "MUTUALLY_EXCLUSIVE_LEGS:1", "INDEPENDENCE_ASSUMED_ACROSS_MATCHES"] and got[1]["odds"] == pytest.approx(13.2)
+    assert got[2]["adjusted"] == pytest.approx(one(spark, S.one_x_two(S.cells(F.lit(1.4), F.lit(1.1), F.lit(-0.05)))[0])) and got[2]["flags"] == []
+    assert got[3]["adjusted"] is None and "TOO_MANY_LEGS" in got[3]["flags"]
