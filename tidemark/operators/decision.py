@@ -105,7 +105,7 @@ def capped(selections: DataFrame, caps: Caps = Caps(), key: str = "match_id") ->
     """
     schema = T.StructType([*selections.schema.fields, T.StructField("allowed", T.DoubleType()), T.StructField("notes", T.ArrayType(T.StringType()))])
 
-    ties = [c for c in (key, "selection") if c in selections.columns]
+    ties = [c for c in (key, "selection", "stake") if c in selections.columns]
 
     def grant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         day, used = None, {}

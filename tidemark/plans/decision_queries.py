@@ -140,13 +140,31 @@ def bet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model", "selections", "bets", "wins", *(F.round(c, 4).alias(c) for c in ("staked", "profit", "share_beating_close")))
 
 
-@R.add("exposure_caps")
+def _capped_sql() -> str:
+    """Stakes granted one by one within a day: a recursion whose state is a map of what each cap has given out."""
+    caps = [("'d'", 0.10), ("concat('m', o.match_id)", 0.03), ("concat('m', o.match_id)", 0.04), ("concat('t', o.home_team)", 0.05), ("concat('t', o.away_team)", 0.05), ("concat('l', o.league)", 0.08)]
+    used = lambda key: f"coalesce(list_extract(map_extract(used, {key}), 1), 0)"
+    left = [f"{most}::DOUBLE - {used(key)}" for key, most in caps]
+    keys = list(dict.fromkeys(key for key, _ in caps))
+    notes = " + ".join(f"({x} < least(stake, 0.02::DOUBLE))::INT" for x in left)
+    step = f"SELECT o.day, o.n, o.match_id, o.selection, o.stake, greatest(0, least(o.stake, 0.02::DOUBLE, {', '.join(left)})) got, {notes} notes, used, [{', '.join(keys)}] ks, [{', '.join(used(k) for k in keys)}] us FROM r JOIN o ON o.day = r.day AND o.n = r.n + 1"
+    return f"""r(day, n, match_id, selection, stake, allowed, n_notes, used) AS (SELECT day, 0::BIGINT, 0::BIGINT, '', 0.0::DOUBLE, 0.0::DOUBLE, 0, MAP(['d'], [0.0::DOUBLE]) FROM (SELECT DISTINCT day FROM o) q
+    UNION ALL SELECT day, n, match_id, selection, stake, got, notes, map_concat(used, MAP(ks, list_transform(us, lambda u: u + got))) FROM ({step.replace('(stake, 0.02', '(o.stake, 0.02')}) q)"""
+
+
+@R.add(
+    "exposure_caps",
+    f"""SELECT * FROM (WITH RECURSIVE {DECIDE}, b AS (SELECT d.match_id, model AS selection, d.match_date AS day, d.league, m.home_team, m.away_team, evc, CASE WHEN d.status IN ('WATCH','CANDIDATE','STRONG_CANDIDATE') AND evc > 0 THEN least(0.25 * greatest(0, ((fair_prob+0.5*(model_prob-fair_prob))*(odds-1) - (1-(fair_prob+0.5*(model_prob-fair_prob))))/(odds-1)), 0.02) ELSE 0 END stake FROM d JOIN matches m ON d.match_id = m.match_id),
+    o AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(evc, 9) DESC, match_id, selection, stake) n FROM b WHERE stake > 0), {_capped_sql()}
+    SELECT match_id, selection, day, round(stake, 6) stake, round(allowed, 6) allowed FROM r WHERE n > 0) z""",
+    ("matches", "prices", "forecasts"),
+)
 def exposure_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stakes granted within the caps of day, match, team and league."""
     m = view(spark, sf_dir, "matches").select("match_id", "home_team", "away_team")
-    rows = _bets(spark, sf_dir).where("stake > 0").join(m, "match_id").select("match_id", F.col("model").alias("selection"), F.col("match_date").alias("day"), "league", "home_team", "away_team", "stake", "ev_conservative")
+    rows = _bets(spark, sf_dir).where("stake > 0").join(m, "match_id").select("match_id", F.col("model").alias("selection"), F.col("match_date").alias("day"), "league", "home_team", "away_team", "stake", F.round("ev_conservative", 9).alias("ev_conservative"))
     out = decision.capped(rows)
-    return out.select("match_id", "selection", "day", F.round("stake", 6).alias("stake"), F.round("allowed", 6).alias("allowed"), F.concat_ws(",", "notes").alias("notes"))
+    return out.select("match_id", "selection", "day", F.round("stake", 6).alias("stake"), F.round("allowed", 6).alias("allowed"))
 
 
 COLUMNS = ["match_id", "model", "season", "outcome"]
