@@ -7,7 +7,7 @@ one space.
 
 The labelled text is a bounded sample: ``rows_per_language`` distinct labelled texts with the smallest hashes, taken whole
 while they add up to ``letters_per_language`` characters or less (one text at least). Nothing else is bounded: every row is
-predicted, by its whole text. A worker process holds at most two states a character, some 30 MB a language.
+predicted, by its whole text. A worker process holds at most two states a character, some 20 MB a language.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; ties go to the first language by name;
 without any learned language every text is ``und``; repeated rows are judged alike; empty tables give empty tables; columns
@@ -77,11 +77,11 @@ class SuffixAutomaton:
         return new
 
     def frozen(self) -> dict:
-        """The start state, with states as dictionaries from a character to the next state."""
-        states: list[dict] = [{} for _ in self.next]
-        for state, after in zip(states, self.next, strict=True):
-            state.update((letter, states[x]) for letter, x in after.items())
-        return states[0]
+        """The start state, with states as dictionaries from a character to the next state. Made in place: add no more text."""
+        for state in self.next:
+            for letter, after in state.items():
+                state[letter] = self.next[after]
+        return self.next[0]
 
 
 def phrases(start: dict, text: str) -> int:
@@ -122,7 +122,7 @@ class Parser:
 _parsers: dict[str, Parser] = {}
 
 
-def training_texts(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 200, letters_per_language: int = 60_000) -> dict[str, list[str]]:
+def training_texts(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 200, letters_per_language: int = 40_000) -> dict[str, list[str]]:
     """Distinct whole texts per language, within both bounds, in the order of their hashes.
 
     Copies count once, however many they are: only hashes and lengths are compared before the few texts are read.
