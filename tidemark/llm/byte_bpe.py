@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import places_of_none, table
 
-CACHE_PIECES, CACHE_CHUNKS, KNOWN_PAIRS = 500_000, 250_000, 500_000
+CACHE_PIECES, CACHE_CHUNKS, KNOWN_PAIRS = 250_000, 150_000, 200_000
 _NONE = 1 << 30
 
 

@@ -154,6 +154,7 @@ def predicted(docs: DataFrame, samples: dict[str, list[str]], text: str = "text"
         for batch in batches:
             found = [parser.predict(value.as_py()) for value in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*kept, *names])
+        _parsers.clear()  # the worker process may go on with another stage, which needs the memory
 
     schema = docs.select(*kept).schema.add(names[0], "string").add(names[1], "double")
     return docs.select(*kept).mapInArrow(run, schema)
