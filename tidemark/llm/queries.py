@@ -1,6 +1,7 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
 from .byte_bpe import op3_byte_bpe
+from .conversations import OP11_SQL, op11_conversation_repair
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .html_text import op1_html_text
 from .language_id import op9_language_id
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
 }
-ORACLES = {"op5_mixing": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op5_mixing": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_conversation_repair": OP11_SQL}
