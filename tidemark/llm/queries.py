@@ -5,6 +5,7 @@ from .conversations import OP11_SQL, op11_conversation_repair
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .html_text import op1_html_text
 from .language_id import op9_language_id
+from .license_scan import OP12_SQL, op12_license_scan
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_join import op6_ngram_join
 from .quality_rules import OP7_SQL, op7_quality_rules
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_license_scan": op12_license_scan,
 }
-ORACLES = {"op5_mixing": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_conversation_repair": OP11_SQL}
+ORACLES = {"op5_mixing": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_conversation_repair": OP11_SQL, "op12_license_scan": OP12_SQL}
