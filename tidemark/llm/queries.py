@@ -1,6 +1,7 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
 from .byte_bpe import op3_byte_bpe
+from .collocations import OP13_SQL, op13_collocations
 from .conversations import OP11_SQL, op11_conversation_repair
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .html_text import op1_html_text
@@ -26,5 +27,6 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_license_scan": op12_license_scan,
+    "op13_collocations": op13_collocations,
 }
-ORACLES = {"op5_mixing": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_conversation_repair": OP11_SQL, "op12_license_scan": OP12_SQL}
+ORACLES = {"op5_mixing": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_conversation_repair": OP11_SQL, "op12_license_scan": OP12_SQL, "op13_collocations": OP13_SQL}
