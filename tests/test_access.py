@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import names as N
 from tidemark.functions import odds as O
 from tidemark.functions import scores as S
-from tidemark.operators import decision, entity, evaluate, ledger, market, models, pit, reports
+from tidemark.operators import decision, entity, evaluate, ledger, market, models, pit, ratings, reports
+from tidemark.plans import model_queries
 from tidemark.sources import lake, readers
 from tidemark.sources.views import view
 
@@ -61,12 +62,30 @@ def test_forecasts_are_blind_to_the_future(spark, sf_dir):
     small = models.Goals(least=5)
     assert show(models.goal_fits(m, cutoffs, small)) == show(models.goal_fits(changed, cutoffs, small)) != []
     before = lambda df: show(df.where(F.col("available_at") <= cut))
-    a, b = models.elo_history(m), models.elo_history(changed)
+    a, b = (ratings.history(ratings.folded(x)) for x in (m, changed))
     assert before(a) == before(b) and show(a) != show(b)
     fits = lambda h, r: show(models.link_fits(h, r, cutoffs, least=20))
     assert fits(a, m) == fits(b, changed)
 
 
+def test_walk_forward_is_blind_to_the_future(spark, sf_dir):
+    """No result after a forecast's cutoff reaches it, in any of the models, also where matches share an instant; earlier ones do."""
+    one_day = view(spark, sf_dir, "matches").where("status = 'FINISHED' AND disputed = 0 AND league < 2 AND season < 1995")
+    again = one_day.withColumns({"match_id": F.col("match_id") + 10**7, "home_team": F.col("away_team"), "away_team": F.col("home_team")})  # a second match of both teams that day
+    m = one_day.unionByName(again).cache()
+    fixtures = model_queries.fixtures_of(m).cache()
+    odd = fixtures.groupBy("league").agg(F.percentile_approx("cutoff", 0.5).alias("cut"))
+    hit = m.join(odd, "league").where("available_at > cut")
+    assert fixtures.where("cutoff >= kickoff").isEmpty()
+    changed = m.join(odd, "league").withColumn("home_goals", F.when(F.col("available_at") > F.col("cut"), 9).otherwise(F.col("home_goals")).cast("int")).select(*m.columns)
+    asked = fixtures.join(odd, "league").where("cutoff <= cut").drop("cut").cache()
+    small = {"goals": models.Goals(least=20)}
+    show = lambda r, x: {(q["model"], q["match_id"]): tuple(q[p] for p in model_queries.PROBABILITIES) for q in model_queries.forecast_models(r, x, goals=small, least_links=20).collect()}
+    a, b = show(m, asked), show(changed, asked)
+    assert hit.count() > 20 and {k[0] for k in a} == {"elo", "climatology", "goals"} and a == b
+    assert show(m, fixtures) != show(changed, fixtures)
+
+
 def test_cutoffs_share_groups_but_not_rows(spark, sf_dir):
     """A fit by bucket is the fit of its own window, whichever cutoffs share its group."""
     m = view(spark, sf_dir, "matches").where("status = 'FINISHED' AND league = 1")

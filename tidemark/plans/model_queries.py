@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import odds as O
 from ..functions import scores as S
-from ..operators import decision, evaluate, features, market, models, pit
+from ..operators import decision, evaluate, features, market, models, pit, ratings
 from ..operators import slips as slip_rules
 from ..sources.scratch import written
 from ..sources.views import view
@@ -98,7 +98,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("elo_history")
 def elo_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings before every match."""
-    out = models.elo_history(_results(spark, sf_dir))
+    out = ratings.history(ratings.folded(_results(spark, sf_dir)))
     return out.select("match_id", "league", F.round("elo_home", 6).alias("elo_home"), F.round("elo_away", 6).alias("elo_away"))
 
 
@@ -113,7 +113,7 @@ def _cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def elo_link_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link of rating difference to outcome at each cutoff."""
     results = _results(spark, sf_dir)
-    out = models.link_fits(models.elo_history(results), results, _cutoffs(spark, sf_dir))
+    out = models.link_fits(ratings.history(ratings.folded(results)), results, _cutoffs(spark, sf_dir))
     return out.select("league", "cutoff", "n", *(F.round(c, 4).alias(c) for c in ("low", "log_gap", "slope")))
 
 
@@ -137,38 +137,47 @@ MODELS = {"poisson": models.Goals(decay=0.0, correct_low=False), "weighted_poiss
 PROBABILITIES = ["p_home", "p_draw", "p_away"]
 
 
-def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecasts of every match by five models, each from results visible at the last weekly refit before the match."""
-    results = _results(spark, sf_dir)
+def fixtures_of(results: DataFrame) -> DataFrame:
+    """Played matches with the cutoff of the weekly refit that serves their day."""
     days = results.select("league", "match_date", F.col("match_date").cast("timestamp_ntz").alias("at"))
     fits = written(models.refit_dates(days.select("league", "at").distinct(), "league", "at"), "refits")
     y = F.when(F.col("home_goals") > F.col("away_goals"), 0).when(F.col("home_goals") == F.col("away_goals"), 1).otherwise(2)
-    played = results.select("match_id", "league", "season", "match_date", F.col("match_date").cast("timestamp_ntz").alias("at"), "home_team", "away_team", y.alias("outcome"))
-    fixtures = written(played.join(fits, ["league", "at"]).withColumnRenamed("fit_at", "cutoff").drop("at"), "fixtures")
-    cutoffs = fits.select("league", F.col("fit_at").alias("cutoff")).distinct()
+    played = results.select("match_id", "league", "season", "match_date", "kickoff", F.col("match_date").cast("timestamp_ntz").alias("at"), "home_team", "away_team", y.alias("outcome"))
+    return played.join(fits, ["league", "at"]).withColumnRenamed("fit_at", "cutoff").drop("at")
+
+
+def forecast_models(results: DataFrame, fixtures: DataFrame, goals: dict[str, models.Goals] = MODELS, least_links: int = 300) -> DataFrame:
+    """Forecasts of the fixtures by every model, each from results visible at the fixture's cutoff."""
+    cutoffs = fixtures.select("league", "cutoff").distinct()
     keys = ["match_id", "league", "season", "match_date", "outcome"]
 
     def by_goals(name: str, params: models.Goals) -> DataFrame:
         strengths = written(models.goal_fits(results, cutoffs, params), "goal-fits")  # read three times
-        goals = models.expected_goals(fixtures, strengths)
-        rows = S.score_rows(goals.select(*keys, "lambda_home", "lambda_away", "rho"), F.col("lambda_home"), F.col("lambda_away"), F.col("rho"))
+        rates = models.expected_goals(fixtures, strengths)
+        rows = S.score_rows(rates.select(*keys, "lambda_home", "lambda_away", "rho"), F.col("lambda_home"), F.col("lambda_away"), F.col("rho"))
         d = F.col("i") - F.col("j")
         return S.shares(rows, keys, p_home=d > 0, p_draw=d == 0, p_away=d < 0).select(*keys, F.lit(name).alias("model"), *PROBABILITIES)
 
-    rated = written(models.elo_history(results), "elo-history")
-    link = models.link_fits(rated, results, cutoffs).where("covariance IS NOT NULL")
-    logit = M.ordered_logit((F.col("elo_home") - F.col("elo_away") + 65.0) / 400, F.col("low"), F.col("log_gap"), F.col("slope"))
-    elo = fixtures.join(link, ["league", "cutoff"]).join(rated.select("match_id", "elo_home", "elo_away"), "match_id").select(*keys, F.lit("elo").alias("model"), S.held(logit).alias("p"))
+    fold = written(ratings.folded(results), "ratings")
+    link = models.link_fits(ratings.history(fold), results, cutoffs, least=least_links).where("covariance IS NOT NULL")
+    logit = M.ordered_logit(models.rating_gap(), F.col("low"), F.col("log_gap"), F.col("slope"))
+    elo = ratings.ratings_at(fixtures, fold).join(link, ["league", "cutoff"]).select(*keys, F.lit("elo").alias("model"), S.held(logit).alias("p"))
     elo = elo.select(*keys, "model", *(F.col("p")[i].alias(p) for i, p in enumerate(PROBABILITIES)))
     rates = features.base_rates(results).withColumnRenamed("match_date", "__day").withColumnRenamed("n", "__n")
     rates = rates.select(F.col("league").alias("__l"), "__day", *PROBABILITIES)
     climate = fixtures.join(rates, (F.col("league") == F.col("__l")) & (F.col("cutoff").cast("date") == F.col("__day"))).select(*keys, F.lit("climatology").alias("model"), *PROBABILITIES)
     out = elo.unionByName(climate)
-    for name, params in MODELS.items():
+    for name, params in goals.items():
         out = out.unionByName(by_goals(name, params))
     return out
 
 
+def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts of every match by five models, each from results visible at the last weekly refit before the match."""
+    results = _results(spark, sf_dir)
+    return forecast_models(results, written(fixtures_of(results), "fixtures"))
+
+
 @R.add("walk_forward")
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walk-forward backtest: five models refitted weekly, raw and calibrated season by season; scores by model and season."""

@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ledger import changed
-from ..operators.models import Elo, Ratings
+from ..operators.ratings import RESULT, Elo, League
 from ..sources.lake import _has_files
 
 
@@ -51,39 +51,64 @@ def near_results(prices: DataFrame, results: DataFrame, key: str, price_at: str,
     return p.join(r, near).drop("__key")
 
 
-RATED = T.StructType([T.StructField("league", T.IntegerType()), T.StructField("match_id", T.LongType()), T.StructField("elo_home", T.DoubleType()), T.StructField("elo_away", T.DoubleType()), T.StructField("late", T.BooleanType())])
-RATING_STATE = T.StructType([T.StructField("mark", T.LongType()), T.StructField("teams", T.ArrayType(T.LongType())), T.StructField("ratings", T.ArrayType(T.DoubleType())), T.StructField("seasons", T.ArrayType(T.LongType())), T.StructField("entries", T.ArrayType(T.LongType()))])
-
-
-def rating_stream(results: DataFrame, params: Elo = Elo()) -> DataFrame:
-    """Ratings before each result, folded over micro-batches by league.
-
-    A result not newer than the league's mark comes out flagged late, without ratings, instead of being skipped silently.
-    results: league, season, match_id, available_at, match_date, home_team, away_team, home_goals, away_goals.
+RATED = "league int, match_id long, elo_home double, elo_away double, late boolean"
+BUFFERED = "match_ids array<bigint>, dates array<bigint>, seasons array<int>, homes array<int>, aways array<int>, home_goals array<int>, away_goals array<int>"
+
+
+class RatingFold(StatefulProcessor):
+    """Results wait in a buffer until the watermark has passed their instant; its timer then folds them, all at once and in order."""
+
+    def __init__(self, params: Elo):
+        self.params = params
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.standings = handle.getMapState("standings", "team int", "rating double, latest int, before int")
+        self.waiting = handle.getMapState("waiting", "at bigint", BUFFERED)
+        self.mark = handle.getValueState("mark", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = self.mark.get()[0] if self.mark.exists() else None
+        for pdf in rows:
+            stamps = pdf["available_at"].astype("datetime64[us]").astype("int64")
+            late = stamps <= mark if mark is not None else pd.Series(False, index=pdf.index)
+            for at, part in pdf[~late].groupby(stamps[~late]):
+                columns = [part["match_id"], pd.to_datetime(part["match_date"]).astype("datetime64[us]").astype("int64"), *(part[c] for c in RESULT)]
+                old = self.waiting.getValue((at,)) if self.waiting.containsKey((at,)) else [[]] * len(columns)
+                self.waiting.updateValue((at,), tuple([*a, *(int(x) for x in b)] for a, b in zip(old, columns)))
+                self.handle.registerTimer(-(-at // 1000))
+            if late.any():
+                yield pd.DataFrame({"league": int(key[0]), "match_id": pdf["match_id"][late], "elo_home": None, "elo_away": None, "late": True})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = sorted(at for (at,) in self.waiting.keys() if at <= expiredTimerInfo.getExpiryTimeInMs() * 1000)
+        if not due:
+            return
+        league, out = League(self.params, [(t, *values) for (t,), values in self.standings.iterator()]), []
+        for at in due:
+            rows = sorted(zip(*self.waiting.getValue((at,))), key=lambda r: (r[1], r[0]))
+            for (ident, *_), pair in zip(rows, league.instant([tuple(r[2:]) for r in rows])):
+                out.append((int(key[0]), ident, *map(float, pair), False))
+            for team in {t for r in rows for t in r[3:5]}:
+                self.standings.updateValue((team,), (float(league.rating[team]), league.latest[team], league.before[team]))
+            self.waiting.removeKey((at,))
+        self.mark.update((due[-1],))
+        yield pd.DataFrame(out, columns=["league", "match_id", "elo_home", "elo_away", "late"])
+
+    def close(self) -> None:
+        pass
+
+
+def rating_stream(results: DataFrame, params: Elo = Elo(), delay: str = "7 days") -> DataFrame:
+    """Ratings before each result, by league: the same as the batch fold, however the results within the delay are dealt to
+    micro-batches. A result at or before an instant of its league that is folded already comes out flagged late, without ratings.
+
+    results: league, season, match_id, available_at, match_date, home_team, away_team, home_goals, away_goals. State is the
+    standings of each league's teams and the results of the delay. Needs the RocksDB state store. The watermark is kept on a
+    copy of available_at that is dropped, as Spark would silently drop late rows of a column that bears it.
     """
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, mark = Ratings(params), -(2**62)
-        if state.exists:
-            mark, teams, ratings, seasons, entries = state.get
-            now.teams = {t: (r, last) for t, r, last in zip(teams, ratings, seasons, strict=True)}
-            for code in entries:  # season * 2**20 + team
-                now.squads.setdefault(code >> 20, {})[code & ((1 << 20) - 1)] = None
-        rows = pd.concat(list(batches)).sort_values(["available_at", "match_date", "match_id"], kind="mergesort")
-        stamps = rows["available_at"].astype("datetime64[us]").astype("int64")
-        out, last = [], mark
-        for r, at in zip(rows.itertuples(index=False), stamps, strict=True):
-            if at <= mark:
-                out.append((key[0], r.match_id, None, None, True))
-            else:
-                out.append((key[0], r.match_id, *now.play(int(r.season), int(r.home_team), int(r.away_team), int(r.home_goals), int(r.away_goals)), False))
-                last = max(last, at)
-        newest = max(now.squads, default=0)
-        entries = [int(season) << 20 | int(t) for season, squad in now.squads.items() if season >= newest - 1 for t in squad]
-        state.update((int(last), [int(t) for t in now.teams], [float(r) for r, _ in now.teams.values()], [int(x) for _, x in now.teams.values()], entries))
-        yield pd.DataFrame(out, columns=[f.name for f in RATED])
-
-    return results.groupBy("league").applyInPandasWithState(fold, RATED, RATING_STATE, "append", GroupStateTimeout.NoTimeout)
+    marked = results.withColumn("__clock", F.col("available_at")).withWatermark("__clock", delay).drop("__clock")
+    return marked.groupBy("league").transformWithStateInPandas(RatingFold(params), RATED, "append", "EventTime")
 
 
 def versioned_append(path: str, keys: Sequence[str], watched: Sequence[str]):
