@@ -186,8 +186,50 @@ def test_goal_fit_finds_planted_strengths():
     keep = h != a
     h, a = h[keep], a[keep]
     hg, ag = rng.poisson(np.exp(0.1 + 0.25 + attack[h])), rng.poisson(np.exp(0.1 + attack[a]))
-    t, cov = models.fit_goals(h, a, hg, ag, np.ones(len(h)), n, 1.0)
-    assert np.abs(t[2 : 2 + n] - t[2 : 2 + n].mean() - attack).max() < 0.1 and abs(t[1] - 0.25) < 0.06 and (np.diag(cov) > 0).all()
+    found = models.fit_goals(h, a, hg, ag, np.ones(len(h)), n)
+    t = found.theta
+    assert np.abs(t[2 : 2 + n] - t[2 : 2 + n].mean() - attack).max() < 0.1 and abs(t[1] - 0.25) < 0.06 and (np.diag(found.covariance) > 0).all()
+
+
+def _low(hg, ag):
+    return np.stack([((hg == i) & (ag == j)).astype(float) for i, j in ((0, 0), (0, 1), (1, 0), (1, 1))])
+
+
+@pytest.mark.parametrize("corrected", [False, True])
+def test_goal_likelihood_gradient_and_its_zero(corrected):
+    rng = np.random.default_rng(0)
+    n, games = 6, 200
+    h = rng.integers(0, n, games)
+    a = (h + rng.integers(1, n, games)) % n
+    hg, ag, w, new = rng.poisson(1.4, games), rng.poisson(1.1, games), rng.uniform(0.3, 1, games), np.array([0, 0, 1, 0, 1, 0])
+    both = models.GoalLikelihood(h, a, hg, ag, w, n, models.Goals(), new, _low(hg, ag) * w if corrected else None)
+    theta, rho = rng.normal(0, 0.2, 4 + 2 * n), -0.05 if corrected else 0.0
+    g, g_rho, *_ = both.slopes(theta, rho)
+    steps = [(both.loss(theta + e, rho) - both.loss(theta - e, rho)) / 2e-6 for e in np.eye(len(theta)) * 1e-6]
+    assert np.abs(np.array(steps) - g).max() < 1e-4 * max(1, np.abs(g).max())
+    if corrected:
+        assert (both.loss(theta, rho + 1e-6) - both.loss(theta, rho - 1e-6)) / 2e-6 == pytest.approx(g_rho, rel=1e-4)
+    theta, _, rho = both.fit()
+    g, g_rho, *_ = both.slopes(theta, rho)
+    assert np.abs(g).max() < 1e-5 and (not corrected or abs(g_rho) < 1e-5 or rho in models.Goals().low_bounds)
+
+
+def test_newcomers_have_a_prior_of_their_own():
+    """Teams that join late and are weak pull the newcomers' strength down; an unseen team gets it, with the teams' spread."""
+    rng = np.random.default_rng(4)
+    rows, old, new = [], range(0, 14), range(14, 20)
+    for day in range(0, 900, 3):
+        teams = list(old) + (list(new) if day > 400 else [])
+        rng.shuffle(teams)
+        for x, y in zip(teams[::2], teams[1::2]):
+            strength = lambda t: -0.5 if t in new else 0.1  # noqa: E731, B023
+            rows.append((day, x, y, rng.poisson(np.exp(0.2 + strength(x))), rng.poisson(np.exp(strength(y)))))
+    pdf = pd.DataFrame(rows, columns=["day", "home_team", "away_team", "home_goals", "away_goals"])
+    teams, found, counts = models.Pairings(pdf).fit(slice(None), (900 - pdf.day).to_numpy(float), models.Goals(decay=0.0))
+    attack = found.theta[2:22]
+    assert found.theta[-2] < attack[:14].mean() - 0.35 and abs(found.theta[-2] - attack[14:].mean()) < 0.1 and found.spread[0] > 0.02
+    alone = models.Pairings(pdf).fit(slice(None), (900 - pdf.day).to_numpy(float), models.Goals(decay=0.0, newcomer_days=10_000))[1]
+    assert abs(alone.theta[-2]) < 1e-6  # without newcomers nothing moves their strength
 
 
 def test_ledger_and_lake(spark, tmp_path):
