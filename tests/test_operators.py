@@ -14,7 +14,7 @@ from tidemark.functions import metrics as M
 from tidemark.functions import names as N
 from tidemark.functions import odds as O
 from tidemark.functions import scores as S
-from tidemark.operators import decision, ledger, merge, models, pit, ratings
+from tidemark.operators import calibration, decision, ledger, merge, models, pit, ratings
 from tidemark.plans import report_queries
 from tidemark.sources import lake
 from tidemark.sources.views import view
@@ -265,7 +265,7 @@ def test_calibration_uses_only_earlier_seasons(spark, sf_dir):
     rows = view(spark, sf_dir, "forecasts").drop("match_date")
     last = rows.agg(F.max("season")).first()[0]
     changed = rows.withColumn("outcome", F.when(F.col("season") == last, (F.col("outcome") + 1) % 3).otherwise(F.col("outcome")))
-    get = lambda df: sorted((r["model"], r["match_id"], r["cal_p_home"]) for r in models.sequential_calibration(df, least=20).collect())
+    get = lambda df: sorted((r["model"], r["match_id"], r["cal_p_home"]) for r in calibration.sequential(df, least=20).collect())
     assert get(rows) == get(changed)
 
 
@@ -276,20 +276,6 @@ def test_refits(spark):
     assert got == [0, 0, 7, 7, 20]
 
 
-def test_calibrators_mend_what_was_bent():
-    rng = np.random.default_rng(5)
-    true = rng.dirichlet([4, 3, 3], 6000)
-    y = np.array([rng.choice(3, p=p) for p in true])
-    bent = true**2 / (true**2).sum(axis=1, keepdims=True)
-    loss = lambda q: -np.log(np.clip(q[np.arange(len(y)), y], 1e-15, 1)).mean()
-    for name, fit in models.CALIBRATORS.items():
-        q = fit(bent, y)(bent)
-        assert np.allclose(q.sum(axis=1), 1) and loss(q) < loss(bent) - 0.01 and loss(q) < loss(true) + 0.01, name
-    assert abs(models.temperature(bent, y) - 2) < 0.15
-    steps = models.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]))(np.array([0.0, 0.1, 0.25, 0.35, 0.9]))
-    assert steps.tolist() == [0.0, 0.0, 0.5, 0.5, 1.0]
-
-
 def test_goal_intervals_hold_the_forecast(spark, sf_dir):
     results = view(spark, sf_dir, "matches").where("status = 'FINISHED'")
     cut = F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")

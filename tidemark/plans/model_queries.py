@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import odds as O
 from ..functions import scores as S
-from ..operators import decision, evaluate, features, market, models, pit, ratings
+from ..operators import calibration, decision, evaluate, features, market, models, pit, ratings
 from ..operators import slips as slip_rules
 from ..sources.scratch import written
 from ..sources.views import view
@@ -182,7 +182,7 @@ def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walk-forward backtest: five models refitted weekly, raw and calibrated season by season; scores by model and season."""
     raw = written(walked(spark, sf_dir), "walked")
-    calibrated = models.sequential_calibration(raw.select("match_id", "season", "outcome", "model", *PROBABILITIES))
+    calibrated = calibration.sequential(raw.select("match_id", "season", "outcome", "model", *PROBABILITIES))
     calibrated = calibrated.select("season", "outcome", "model", F.lit("calibrated").alias("kind"), *(F.col(f"cal_{p}").alias(p) for p in PROBABILITIES))
     both = raw.select("season", "outcome", "model", F.lit("raw").alias("kind"), *PROBABILITIES).unionByName(calibrated)
     out = evaluate.scores(evaluate.with_losses(both, PROBABILITIES, "outcome"), ["model", "kind", "season"])
@@ -193,7 +193,7 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def walk_forward_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bets that calibrated walk-forward forecasts lead to at the best visible prices: decided, staked, settled, by model."""
     raw = written(walked(spark, sf_dir), "walked")
-    forecasts = models.sequential_calibration(raw.select("match_id", "season", "outcome", "model", *PROBABILITIES))
+    forecasts = calibration.sequential(raw.select("match_id", "season", "outcome", "model", *PROBABILITIES))
     keys = ["match_id", "as_of"]
     books = market.complete_books(last_quotes(spark, sf_dir), keys, "book", "selection", "odds", "seen_at", SELECTIONS, "multiplicative")
     prices = market.consensus(books, keys, "book", SELECTIONS, F.col("as_of")).select("match_id", F.posexplode(F.arrays_zip("consensus", "best_odds")).alias("pick", "q"), "flags")
@@ -213,7 +213,7 @@ def walk_forward_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("calibration_sequential")
 def calibration_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated forecasts by model, season and method."""
-    out = models.sequential_calibration(view(spark, sf_dir, "forecasts").drop("match_date"))
+    out = calibration.sequential(view(spark, sf_dir, "forecasts").drop("match_date"))
     return out.groupBy("model", "season", "method").agg(F.count("*").alias("n"), F.round(F.avg("cal_p_home"), 5).alias("p_home"))
 
 
