@@ -6,11 +6,12 @@ chunks, and every phrase lies whole in a chunk. The distinct chunks with their f
 counted inside distinct chunks only, weighted by frequency. A phrase that begins in the last ``overlap`` words of a chunk
 with a successor is left to the successor, so each occurrence counts once.
 
-Phrases below the threshold are thrown out early by two sketches of capped counters over hashes (first one and two words,
-then longer phrases all of whose word pairs passed): a counter is never below the count, so no phrase that reaches the
-threshold is lost, and what passes is counted exactly by its words. Sketches have a fixed size whatever the corpus; a full
-one throws out less and changes no result. Score arithmetic is decimal: 1000 * a * n may pass 64 bits, 38 digits it does not
-for corpora below 10^17 words.
+Words are counted as the pieces are read, once a task for each distinct word. Longer phrases are tried only if their parts can
+reach the threshold: words that reach it mark a bitmap of hashes; word pairs of such words are added to a sketch of capped
+counters; longer phrases all of whose pairs pass go to a second sketch. A counter is never below the count, so no phrase that
+reaches the threshold is lost, and what passes is counted exactly by its words. Bitmap and sketches have a fixed size whatever
+the corpus; a full one throws out less and changes no result. Score arithmetic is decimal: 1000 * a * n may pass 64 bits, 38
+digits it does not for corpora below 10^17 words.
 
 Defined results: a null text is empty; pieces without words give nothing; a null language is ``und``; repeated rows count as
 often as they stand; an empty table gives an empty table; other columns are not read.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,12 +58,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _word_hashes(words: pa.Array) -> np.ndarray:
-    """64 bits of each word, by its bytes; words of a batch are hashed once."""
-    coded = words.dictionary_encode()
-    return _hash_bytes(coded.dictionary)[coded.indices.to_numpy()]
-
-
 def _hash_bytes(values: pa.Array) -> np.ndarray:
     import xxhash
 
@@ -76,8 +72,11 @@ def _rolled(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out
 
 
+FINAL, MORE, WORD = range(3)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], m: Mining) -> Iterator[pa.RecordBatch]:
-    """lang, chunk (words joined by spaces), more (a successor follows), n (in this batch)."""
+    """lang, chunk (words joined by spaces), kind (FINAL: no successor, MORE: with one, WORD: a single word), n (in this batch)."""
     for batch in batches:
         languages, pieces = [], []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -85,39 +84,49 @@ def _chunks(batches: Iterator[pa.RecordBatch], m: Mining) -> Iterator[pa.RecordB
                 if piece := piece.strip(b" "):
                     languages.append(lang)
                     pieces.append(piece)
+        if not pieces:
+            continue
         counts: dict[tuple, int] = {}
+
+        def add(*key) -> None:
+            counts[key] = counts.get(key, 0) + 1  # noqa: B023
+
         words = [[w for w in piece.split(b" ") if w] if b"  " in piece else piece.split(b" ") for piece in pieces]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        hashes = _word_hashes(pa.array([w for some in words for w in some], pa.binary())) if words else np.empty(0, np.uint64)
+        coded = pa.array(chain.from_iterable(words), pa.binary(), size=int(sizes.sum())).dictionary_encode()
+        code = coded.indices.to_numpy()
+        hashes = _hash_bytes(coded.dictionary)[code]
         ends = np.cumsum(sizes)
         at = np.flatnonzero(_rolled(hashes, m.overlap, 1) % np.uint64(m.cut) == 0) + m.overlap  # a chunk may end before these
         lo, hi = np.searchsorted(at, ends - sizes + m.overlap, "right"), np.searchsorted(at, ends, "left")
         for i, some in enumerate(words):
             start, first, end = 0, int(ends[i] - sizes[i]), len(some)
-            if lo[i] < hi[i] or end > m.chunk_words:
-                stops = [int(x) - first for x in at[lo[i] : hi[i]]]
-                for stop in (*stops, end):
-                    while stop - start > m.chunk_words:
-                        key = (languages[i], b" ".join(some[start : start + m.chunk_words]), True)
-                        counts[key] = counts.get(key, 0) + 1
-                        start += m.chunk_words - m.overlap
-                    if stop < end:
-                        key = (languages[i], b" ".join(some[start:stop]), True)
-                        counts[key] = counts.get(key, 0) + 1
-                        start = stop - m.overlap
-            key = (languages[i], b" ".join(some[start:]), False)
-            counts[key] = counts.get(key, 0) + 1
-        if counts:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.binary()).cast(pa.string()), pa.array([k[2] for k in counts], pa.bool_()), pa.array(counts.values(), pa.int64())], names=["lang", "chunk", "more", "n"]
-            )
+            for stop in (*(int(x) - first for x in at[lo[i] : hi[i]]), end):
+                while stop - start > m.chunk_words:
+                    add(languages[i], b" ".join(some[start : start + m.chunk_words]), MORE)
+                    start += m.chunk_words - m.overlap
+                if stop < end:
+                    add(languages[i], b" ".join(some[start:stop]), MORE)
+                    start = stop - m.overlap
+            add(languages[i], pieces[i] if not start and len(pieces[i]) == sum(map(len, some)) + end - 1 else b" ".join(some[start:]), FINAL)
+        names = pa.array(languages, pa.string()).dictionary_encode()
+        width = len(coded.dictionary)
+        keys, n = np.unique(np.repeat(names.indices.to_numpy(), sizes).astype(np.int64) * width + code, return_counts=True)
+        lang = pa.concat_arrays([pa.array([k[0] for k in counts], pa.string()), names.dictionary.take(pa.array(keys // width))])
+        chunk = pa.concat_arrays([pa.array([k[1] for k in counts], pa.binary()), coded.dictionary.take(pa.array(keys % width))]).cast(pa.string())
+        kind = np.concatenate([np.fromiter((k[2] for k in counts), np.int32, len(counts)), np.full(len(keys), WORD, np.int32)])
+        yield pa.RecordBatch.from_arrays([lang, chunk, pa.array(kind), pa.array(np.concatenate([np.fromiter(counts.values(), np.int64, len(counts)), n]))], names=["lang", "chunk", "kind", "n"])
 
 
 def dictionary(docs: DataFrame, m: Mining, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Distinct chunks with their frequencies."""
+    """Distinct chunks and distinct words with their frequencies."""
     slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    chunks = slim.mapInArrow(lambda batches: _chunks(batches, m), "lang string, chunk string, more boolean, n bigint")
-    return written(chunks.groupBy("lang", "chunk", "more").agg(F.sum("n").alias("n")), "chunks")
+    chunks = slim.mapInArrow(lambda batches: _chunks(batches, m), "lang string, chunk string, kind int, n bigint")
+    return written(chunks.groupBy("lang", "chunk", "kind").agg(F.sum("n").alias("n")), "chunks")
+
+
+def _by_language(words: np.ndarray, languages: np.ndarray) -> np.ndarray:
+    return _mixed(words ^ (languages * _ODD))
 
 
 class Block:
@@ -129,17 +138,16 @@ class Block:
         sizes = np.diff(lists.offsets.to_numpy())
         ends = np.repeat(np.cumsum(sizes), sizes)
         place = np.arange(len(ends))
-        more = np.repeat(whole.column("more").to_numpy(), sizes)
+        more = np.repeat(whole.column("kind").to_numpy() == MORE, sizes)
         self.room = ends - place  # words from here to the end of the chunk
         self.own = ~more | (self.room > m.overlap)  # phrases that begin here belong to this chunk
         self.weight = np.repeat(whole.column("n").to_numpy(), sizes)
         langs = whole.column("lang").combine_chunks().dictionary_encode()
-        self.langs = langs.dictionary.to_pylist()
+        self.langs = langs.dictionary
         self.lang = np.repeat(langs.indices.to_numpy(), sizes).astype(np.int64)
         words = lists.values.dictionary_encode()
         self.words, self.code = words.dictionary, words.indices.to_numpy().astype(np.int64)
-        by_lang = _hash_bytes(langs.dictionary)[self.lang]
-        self.hashes = _mixed(_hash_bytes(self.words)[self.code] ^ (by_lang * _ODD))
+        self.hashes = _by_language(_hash_bytes(self.words)[self.code], _hash_bytes(langs.dictionary)[self.lang])
 
     def begins(self, n: int) -> np.ndarray:
         return self.own & (self.room >= n)
@@ -148,7 +156,7 @@ class Block:
         return (_rolled(self.hashes, n, n) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], m: Mining, most: int = 12 << 20) -> Iterator[Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], m: Mining, most: int = 6 << 20) -> Iterator[Block]:
     """Blocks of some megabytes of chunks."""
     held, size = [], 0
     for batch in batches:
@@ -161,44 +169,56 @@ def _blocks(batches: Iterator[pa.RecordBatch], m: Mining, most: int = 12 << 20)
         yield Block(held, m)
 
 
-def _passing(block: Block, sketch: np.ndarray | None, m: Mining) -> list[np.ndarray]:
-    """For 1 to longest words: where phrases begin that the sketches of the words and word pairs in them let pass."""
+def _passing(block: Block, m: Mining, words: np.ndarray, pairs: np.ndarray | None) -> list[np.ndarray]:
+    """For 2 to longest words: where phrases begin whose words, and where pairs are known also word pairs, pass."""
+    frequent = words[block.slots(1, m.sketch_bits)] >= m.least
+    found = frequent & np.roll(frequent, -1)
+    if pairs is not None:
+        found &= pairs[block.slots(2, m.sketch_bits)] >= m.least
     out = []
-    for n in range(1, m.longest + 1):
-        found = block.begins(n)
-        if sketch is not None and n <= 2:
-            passed = sketch[block.slots(n, m.sketch_bits)] >= m.least
-            if n == 2:
-                pairs = passed
-            found &= passed
-        elif sketch is not None:
-            for k in range(n - 1):
-                found &= np.roll(pairs, -k)
-        out.append(found)
+    for n in range(2, m.longest + 1):
+        out.append(block.begins(n) & (out[-1] if out else True) & np.roll(found, 2 - n))
     return out
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], m: Mining, lengths: range, before: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """One row per part of the sketch: counters of this task, capped."""
+def _sketched(batches: Iterator[pa.RecordBatch], m: Mining, lengths: range, words: np.ndarray, pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """This task's capped counters of phrases, by parts of the sketch."""
     counters = None
     for block in _blocks(batches, m):
-        begins = _passing(block, before, m)
+        begins = _passing(block, m, words, pairs)
         for n in lengths:
-            at = np.flatnonzero(begins[n - 1])
+            at = np.flatnonzero(begins[n - 2])
             if len(at):
                 added = np.bincount(block.slots(n, m.sketch_bits)[at], np.minimum(block.weight[at], m.least), 1 << m.sketch_bits)
-                counters = added if counters is None else counters + added
-                np.minimum(counters, m.least, out=counters)
-    if counters is not None:
-        parts = np.split(counters.astype(np.uint16), PARTS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counters"])
+                if counters is None:
+                    counters = np.zeros(1 << m.sketch_bits, np.uint16)
+                np.minimum(np.add(added, counters, out=added), m.least, out=added)
+                counters[:] = added
+    yield from _parts(counters)
+
+
+def _marked(batches: Iterator[pa.RecordBatch], m: Mining) -> Iterator[pa.RecordBatch]:
+    """The words of this task as counters at the threshold."""
+    counters = None
+    for batch in batches:
+        langs, words = (batch.column(i).dictionary_encode() for i in range(2))
+        hashes = _by_language(*(_hash_bytes(x.dictionary)[x.indices.to_numpy()] for x in (words, langs)))
+        if counters is None:
+            counters = np.zeros(1 << m.sketch_bits, np.uint16)
+        counters[(_rolled(hashes, 1, 1) >> np.uint64(64 - m.sketch_bits)).astype(np.int64)] = m.least
+    yield from _parts(counters)
 
 
 PARTS = 64
 
 
-def _sketch(chunks: DataFrame, m: Mining, lengths: range, before) -> np.ndarray:
-    """Counters of all tasks, summed part by part. The driver gets one sketch of 2^sketch_bits capped counters."""
+def _parts(counters: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    if counters is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in np.split(counters, PARTS)], pa.binary())], names=["part", "counters"])
+
+
+def _sketch(parts: DataFrame, m: Mining):
+    """Counters of all tasks, summed part by part, as a broadcast. The driver gets one sketch of 2^sketch_bits capped counters."""
 
     def summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << m.sketch_bits) // PARTS, np.uint32)
@@ -207,67 +227,58 @@ def _sketch(chunks: DataFrame, m: Mining, lengths: range, before) -> np.ndarray:
                 total = np.minimum(total + np.frombuffer(part.as_buffer(), np.uint16), m.least)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.uint16).tobytes()], pa.binary())], names=["part", "counters"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _sketched(batches, m, lengths, np.frombuffer(before.value, np.uint16) if before else None)
-
-    parts = chunks.select("lang", "chunk", "more", "n").mapInArrow(run, "part int, counters binary")
     out = np.zeros(1 << m.sketch_bits, np.uint16).reshape(PARTS, -1)
     for row in parts.groupBy("part").applyInArrow(summed, "part int, counters binary").collect():
         out[row["part"]] = np.frombuffer(bytes(row["counters"]), np.uint16)
-    return out.reshape(-1)
+    return parts.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
-def _counted(batches: Iterator[pa.RecordBatch], m: Mining, pairs: np.ndarray, longer: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, size, n of a block's phrases that may reach the threshold; size 0 has the number of words of a language.
+def _counted(batches: Iterator[pa.RecordBatch], m: Mining, words: np.ndarray, pairs: np.ndarray, longer: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, size, n of a block's phrases of two words and more that may reach the threshold.
 
     Phrases are told apart by numbers given to their words, then to their first words and the last: never by hashes.
     """
     for block in _blocks(batches, m):
-        begins = _passing(block, pairs, m)
-        langs, phrases, sizes, counts = [], [], [], []
-        totals = np.bincount(block.lang[block.own], block.weight[block.own], len(block.langs)).astype(np.int64)
-        for lang, n in zip(block.langs, totals):
-            langs.append([lang])
-            phrases.append(pa.array([""]))
-            sizes.append(np.zeros(1, np.int32))
-            counts.append(np.array([n]))
+        begins = _passing(block, m, words, pairs)
         width = len(block.words)
         number = block.lang * width + block.code
-        for n in range(1, m.longest + 1):
-            at = begins[n - 1]
+        for n in range(2, m.longest + 1):
+            at = begins[n - 2] & (number >= 0)
             if n > 2:
-                at = at & (longer[block.slots(n, m.sketch_bits)] >= m.least)
-            places = np.flatnonzero(at & (number >= 0))
+                at &= longer[block.slots(n, m.sketch_bits)] >= m.least
+            places = np.flatnonzero(at)
             if not len(places):
                 break
-            keys = number[places] if n == 1 else number[places] * width + block.code[places + n - 1]
+            keys = number[places] * width + block.code[places + n - 1]
             order = np.argsort(keys, kind="stable")
             new = np.flatnonzero(np.diff(keys[order], prepend=-1))
             heads = places[order[new]]
-            counts.append(np.add.reduceat(block.weight[places][order], new))
-            langs.append([block.langs[x] for x in block.lang[heads]])
-            phrases.append(pc.binary_join_element_wise(*(block.words.take(pa.array(block.code[heads + k])) for k in range(n)), " ") if n > 1 else block.words.take(pa.array(block.code[heads])))
-            sizes.append(np.full(len(heads), n, np.int32))
+            phrases = pc.binary_join_element_wise(*(block.words.take(pa.array(block.code[heads + k])) for k in range(n)), " ")
+            langs = block.langs.take(pa.array(block.lang[heads]))
+            yield pa.RecordBatch.from_arrays([langs, phrases.cast(pa.string()), pa.array(np.full(len(heads), n, np.int32)), pa.array(np.add.reduceat(block.weight[places][order], new))], names=["lang", "phrase", "size", "n"])
             # Places of the same words get the same number; -1: the first words of a phrase fall short, and so does the phrase.
-            renumbered = np.full(len(number), -1, np.int64)
-            renumbered[places[order]] = np.repeat(np.arange(len(new)), np.diff(new, append=len(order)))
-            number = renumbered
-        yield pa.RecordBatch.from_arrays([pa.array([x for some in langs for x in some], pa.string()), pa.concat_arrays([p.cast(pa.string()) for p in phrases]), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(counts))], names=["lang", "phrase", "size", "n"])
+            number = np.full(len(number), -1, np.int64)
+            number[places[order]] = np.repeat(np.arange(len(new)), np.diff(new, append=len(order)))
 
 
 def phrase_counts(docs: DataFrame, m: Mining = Mining(), text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, phrase, size, n: phrases of 1 to longest words that stand least times or more; size 0 has n of all words."""
-    spark = docs.sparkSession
-    chunks = dictionary(docs, m, text, lang)
-    pairs = spark.sparkContext.broadcast(_sketch(chunks, m, range(1, 3), None).tobytes())
-    longer = spark.sparkContext.broadcast(_sketch(chunks, m, range(3, m.longest + 1), pairs).tobytes())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counted(batches, m, np.frombuffer(pairs.value, np.uint16), np.frombuffer(longer.value, np.uint16))
-
-    counted = chunks.select("lang", "chunk", "more", "n").mapInArrow(run, "lang string, phrase string, size int, n bigint")
-    found = written(counted.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where((F.col("n") >= m.least) | (F.col("size") == 0)), "phrases")
-    removed(chunks)
+    all_ = dictionary(docs, m, text, lang)
+    chunks, words = all_.where(F.col("kind") < WORD), all_.where(F.col("kind") == WORD)
+    frequent = words.where(F.col("n") >= m.least)
+    totals = words.groupBy("lang").agg(F.lit("").alias("phrase"), F.lit(0).alias("size"), F.sum("n").alias("n"))
+    read = lambda x: np.frombuffer(x.value, np.uint16) if x else None
+    known = _sketch(frequent.select("lang", "chunk").mapInArrow(lambda batches: _marked(batches, m), "part int, counters binary"), m)
+
+    def sketch(lengths: range, pairs=None):
+        return _sketch(chunks.mapInArrow(lambda batches: _sketched(batches, m, lengths, read(known), read(pairs)), "part int, counters binary"), m)
+
+    pairs = sketch(range(2, 3))
+    longer = sketch(range(3, m.longest + 1), pairs)
+    counted = chunks.mapInArrow(lambda batches: _counted(batches, m, read(known), read(pairs), read(longer)), "lang string, phrase string, size int, n bigint")
+    counted = counted.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= m.least)
+    found = written(counted.unionByName(frequent.select("lang", F.col("chunk").alias("phrase"), F.lit(1).alias("size"), "n")).unionByName(totals), "phrases")
+    removed(all_)
     return found
 
 
