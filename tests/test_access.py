@@ -2,10 +2,13 @@
 
 import datetime as dt
 import json
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import metrics as M
 from tidemark.functions import names as N
 from tidemark.functions import odds as O
 from tidemark.functions import scores as S
@@ -68,6 +71,33 @@ def test_forecasts_are_blind_to_the_future(spark, sf_dir):
     assert fits(a, m) == fits(b, changed)
 
 
+def test_fingerprint_is_of_a_multiset(spark):
+    """Order changes nothing; a repeated row, a null for an empty text and a moved separator do, in the running form too."""
+    schema = "k int, a string, b string, at int"
+    base = [(1, "x", "y", 1), (2, "", "z", 2), (3, "p|q", "r", 3)]
+    show = lambda rows: pit.fingerprint(spark.createDataFrame(rows, schema), ["k", "a", "b"]).first()["fingerprint"]
+    others = [[*base, base[0]], [*base, base[0], base[0]], [base[0], (2, None, "z", 2), base[2]], [*base[:2], (3, "p", "q|r", 3)], base[:2], []]
+    assert show(base) == show(base[::-1]) and len({show(x) for x in [base, *others]}) == 7
+    run = lambda rows: {r["at"]: (r["n"], r["fingerprint"]) for r in pit.running_fingerprint(spark.createDataFrame(rows, schema), ["k", "a", "b"], "at", []).collect()}
+    for rows in (base, [*base, base[1]]):
+        assert run(rows) == {t: (len(x := [r for r in rows if r[3] <= t]), show(x)) for t in (1, 2, 3)}
+
+
+def test_student_tails(spark):
+    """Against Simpson's rule on the density."""
+    def tail(t: float, df: float) -> float:
+        n = 20001
+        x = np.linspace(0, t, n)
+        w = np.where(np.arange(n) % 2, 4, 2)
+        w[[0, -1]] = 1
+        return 0.5 - (x[1] - x[0]) / 3 * (w * (1 + x * x / df) ** (-(df + 1) / 2)).sum() * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+
+    rows = [(t, float(d)) for d in (1, 2, 5, 37.5, 400, 2000) for t in (0.1, 0.7, 2.0, 4.0)]
+    got = spark.createDataFrame(rows, "t double, df double").select("t", "df", M.t_tail(F.col("t"), F.col("df")).alias("p"), M.t_tail(-F.col("t"), F.col("df")).alias("q")).collect()
+    assert all(r["p"] == pytest.approx(tail(r["t"], r["df"]), abs=1e-9) and r["p"] + r["q"] == pytest.approx(1) for r in got)
+    assert one(spark, M.t_tail(F.lit(0.0), F.lit(3))) == pytest.approx(0.5)
+
+
 def test_walk_forward_is_blind_to_the_future(spark, sf_dir):
     """No result after a forecast's cutoff reaches it, in any of the models, also where matches share an instant; earlier ones do."""
     one_day = view(spark, sf_dir, "matches").where("status = 'FINISHED' AND disputed = 0 AND league < 2 AND season < 1995")

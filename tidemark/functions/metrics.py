@@ -69,3 +69,41 @@ def normal_tail(z: Column) -> Column:
     t = 1.0 / (1.0 + 0.3275911 * x)
     tail = t * (a[0] + t * (a[1] + t * (a[2] + t * (a[3] + t * a[4])))) * F.exp(-x * x) / 2.0
     return F.when(z >= 0, tail).otherwise(1.0 - tail)
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0 by Stirling's series after eight steps up (error under 1e-12)."""
+    shift = x
+    product = F.lit(1.0)
+    for _ in range(8):
+        product, shift = product * shift, shift + 1.0
+    inverse = 1.0 / (shift * shift)
+    series = 1.0 / 12 - inverse * (1.0 / 360 - inverse * (1.0 / 1260 - inverse * (1.0 / 1680 - inverse / 1188)))
+    return (shift - 0.5) * F.ln(shift) - shift + 0.5 * F.ln(F.lit(2.0) * F.pi()) + series / shift - F.ln(product)
+
+
+def _beta_fraction(x: Column, a: Column, b: Column, rounds: int) -> Column:
+    """Continued fraction of the incomplete beta function, evaluated from its end inward in one fold."""
+
+    def inward(inner: Column, m: Column) -> Column:
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        return F.when(m > 0, 1.0 + even / (1.0 + odd / inner)).otherwise(1.0 + odd / inner)
+
+    steps = F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda i: (F.lit(rounds - 1) - i).cast("double"))
+    return F.aggregate(steps, F.lit(1.0), inward)
+
+
+def incomplete_beta(x: Column, a: Column, b: Column, rounds: int = 200) -> Column:
+    """Regularised incomplete beta function; of x and 1 - x the side whose fraction converges fast."""
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(1.0 - x))
+    direct = front / (a * _beta_fraction(x, a, b, rounds))
+    other = 1.0 - front / (b * _beta_fraction(1.0 - x, b, a, rounds))
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x < (a + 1) / (a + b + 2), direct).otherwise(other)
+
+
+def t_tail(t: Column, df: Column) -> Column:
+    """Upper tail of Student's t with df degrees of freedom (within 1e-9 for 1 to 10,000 degrees)."""
+    df = df.cast("double")
+    half = incomplete_beta(df / (df + t * t), df / 2.0, F.lit(0.5)) / 2.0
+    return F.when(t >= 0, half).otherwise(1.0 - half)

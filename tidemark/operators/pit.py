@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ledger import canonical
+
 
 def visible(df: DataFrame, as_of: Column, available: str = "available_at", since: Column | None = None, disputed: str | None = None) -> DataFrame:
     """Rows available at as_of, at or after since; without rows whose disputed flag is set, if named."""
@@ -25,17 +27,19 @@ def fixtures_at(df: DataFrame, as_of: Column, results: Sequence[str], available:
     return df.withColumn(status, F.when(seen, F.lit(finished)).otherwise(F.lit(scheduled))).drop(*results)
 
 
-def latest(df: DataFrame, keys: Sequence[str], available: str, ties: Sequence[str] = ()) -> DataFrame:
-    """The last row by availability of each key, by max_by: one partial aggregate, no window. Null keys are keys."""
+def latest(df: DataFrame, keys: Sequence[str], available: str, ties: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """The last row by availability of each key, by max_by: one partial aggregate, no window. Null keys are keys. count: a
+    column with the number of rows of the key."""
     rest = [c for c in df.columns if c not in keys]
     order = F.struct(available, *ties)
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__row")).select(*keys, *(F.col(f"__row.{c}").alias(c) for c in rest))
+    extra = [F.count("*").alias(count)] if count else []
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__row"), *extra).select(*keys, *(F.col(f"__row.{c}").alias(c) for c in rest), *([count] if count else []))
 
 
-def latest_at(df: DataFrame, limits: DataFrame, on: Sequence[str], keys: Sequence[str], available: str, limit: str, ties: Sequence[str] = ()) -> DataFrame:
-    """The last row of each key that was available at its entity's own limit. limits: on, limit."""
+def latest_at(df: DataFrame, limits: DataFrame, on: Sequence[str], keys: Sequence[str], available: str, limit: str, ties: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """The last row of each key that was available at its entity's own limit, and with count how many were. limits: on, limit."""
     seen = df.join(limits.select(*on, F.col(limit).alias("__limit")), list(on)).where(F.col(available) <= F.col("__limit"))
-    return latest(seen.drop("__limit"), keys, available, ties)
+    return latest(seen.drop("__limit"), keys, available, ties, count)
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, values: Sequence[str], ties: Sequence[str] = (), bucket: str | None = None) -> DataFrame:
@@ -103,17 +107,34 @@ def clip_holdout(df: DataFrame, date: str, holdout: str | None, asked: bool = Fa
     return df if asked else df.where(F.col(date) < F.lit(holdout).cast("date"))
 
 
+#: Prime that sums of row digests are taken by (fixed value: 2^61 - 1).
+PRIME = 2305843009213693951
+
+
+def _limbs(columns: Sequence[str]) -> list[Column]:
+    """Two 64-bit halves of a row's digest, as decimals that can be added up 10^18 times."""
+    digest = F.md5(canonical(columns))
+    return [F.conv(F.substring(digest, start, 16), 16, 10).cast("decimal(28,0)") for start in (1, 17)]
+
+
+def _print(sums: Sequence[Column]) -> Column:
+    """Sums modulo the prime as 32 hexadecimal digits."""
+    return F.concat(*(F.lpad(F.lower(F.hex((s % F.lit(PRIME).cast("decimal(19,0)")).cast("long"))), 16, "0") for s in sums))
+
+
 def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """n and an order-free fingerprint: XOR of 48-bit row digests."""
-    row = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))), 1, 12), 16, 10).cast("long")
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor(row).alias("fingerprint"))
+    """n and a fingerprint of the rows as a multiset: digests added up modulo a prime, so the order does not matter, but a
+    row that comes twice, a null and a moved separator do."""
+    low, high = _limbs(columns)
+    return df.groupBy(*by).agg(F.count("*").alias("n"), _print([F.coalesce(F.sum(x), F.lit(0)) for x in (low, high)]).alias("fingerprint"))
 
 
 def running_fingerprint(df: DataFrame, columns: Sequence[str], available: str, by: Sequence[str]) -> DataFrame:
-    """n and fingerprint of all rows visible at each availability time of each group: XOR by time, then running XOR."""
-    per_time = fingerprint(df, columns, [*by, available])
+    """n and fingerprint of all rows visible at each availability time of each group: sums by time, then running sums."""
+    low, high = _limbs(columns)
+    per_time = df.groupBy(*by, available).agg(F.count("*").alias("n"), *(F.sum(x).cast("decimal(28,0)").alias(name) for name, x in (("__low", low), ("__high", high))))
     before = Window.partitionBy(*by).orderBy(available).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per_time.select(*by, available, F.sum("n").over(before).alias("n"), F.bit_xor("fingerprint").over(before).alias("fingerprint"))
+    return per_time.select(*by, available, F.sum("n").over(before).alias("n"), _print([F.sum(c).over(before) for c in ("__low", "__high")]).alias("fingerprint"))
 
 
 def future_rows(df: DataFrame, as_of: Column, available: str) -> DataFrame:

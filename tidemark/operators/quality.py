@@ -57,7 +57,7 @@ def status(p: Column, n: Column, least: int, warn: float = 0.01, alert: float =
 def result_drift(matches: DataFrame, by: Sequence[str], order: Sequence[str], recent: int = 380, reference: int = 1900, least: int = 150) -> DataFrame:
     """Per group and metric: the recent block against the block before it.
 
-    Shares by a two-proportion z test, mean goals by Welch's statistic with a normal tail (blocks are hundreds of rows).
+    Shares by a two-proportion z test, mean goals by Welch's test: Student's t with Satterthwaite's degrees of freedom.
     """
     w = Window.partitionBy(*by).orderBy(*(F.col(c).desc() for c in order))
     rows = matches.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= recent + reference)
@@ -76,13 +76,15 @@ def result_drift(matches: DataFrame, by: Sequence[str], order: Sequence[str], re
         se = F.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n2))
         return k1 / n1, k2 / n2, F.when(se == 0, 0.0).otherwise((k2 / n2 - k1 / n1) / se)
 
-    welch = (F.col("goals_cur") - F.col("goals_ref")) / F.sqrt(F.col("var_cur") / F.col("n_cur") + F.col("var_ref") / F.col("n_ref"))
+    each = [F.col(f"var_{side}") / F.col(f"n_{side}") for side in ("cur", "ref")]
+    welch = (F.col("goals_cur") - F.col("goals_ref")) / F.sqrt(each[0] + each[1])
+    degrees = (each[0] + each[1]) ** 2 / (each[0] ** 2 / (F.col("n_cur") - 1) + each[1] ** 2 / (F.col("n_ref") - 1))
     metric = lambda name, v: F.struct(F.lit(name).alias("metric"), v[0].alias("reference"), v[1].alias("current"), v[2].alias("statistic"))
     three = F.array(metric("home_win_rate", share("home")), metric("draw_rate", share("draw")), metric("goals_per_match", (F.col("goals_ref"), F.col("goals_cur"), welch)))
-    out = g.select(*by, "n_ref", "n_cur", F.explode(three).alias("m")).select(*by, "n_ref", "n_cur", "m.*")
-    enough = F.col("n_ref") >= least
-    p = F.when(enough, 2 * M.normal_tail(F.abs("statistic")))
-    return out.withColumn("p_value", p).withColumn("status", status(F.col("p_value"), F.col("n_cur"), least))
+    out = g.select(*by, "n_ref", "n_cur", degrees.alias("__df"), F.explode(three).alias("m")).select(*by, "n_ref", "n_cur", "__df", "m.*")
+    size = F.abs("statistic")
+    p = F.when(F.col("n_ref") >= least, 2 * F.when(F.col("metric") == "goals_per_match", M.t_tail(size, F.col("__df"))).otherwise(M.normal_tail(size)))
+    return out.withColumn("p_value", p).drop("__df").withColumn("status", status(F.col("p_value"), F.col("n_cur"), least))
 
 
 def audit(matches: DataFrame, prices: DataFrame, key: str = "match_id") -> DataFrame:

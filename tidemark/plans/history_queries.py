@@ -25,21 +25,18 @@ def pit_visible_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("league", "season").agg(F.count("*").alias("n"), F.sum("home_goals").alias("home_goals"), F.sum("away_goals").alias("away_goals"))
 
 
-@R.add("pit_fixtures", f"SELECT match_id, league, kickoff, CASE WHEN status = 'FINISHED' AND available_at <= TIMESTAMP '{AS_OF}' THEN 'FINISHED' ELSE 'SCHEDULED' END status FROM matches WHERE match_date BETWEEN DATE '1996-06-01' AND DATE '1996-07-31'", ("matches",))
+@R.add("pit_fixtures", f"SELECT match_id, league, kickoff, CASE WHEN status = 'FINISHED' AND available_at <= TIMESTAMP '{AS_OF}' THEN 'FINISHED' ELSE 'SCHEDULED' END status FROM matches", ("matches",))
 def pit_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two months of the schedule as it looked in their middle."""
-    some = view(spark, sf_dir, "matches").where(F.col("match_date").between("1996-06-01", "1996-07-31"))
-    return pit.fixtures_at(some, _as_of(), ["home_goals", "away_goals"]).select("match_id", "league", "kickoff", "status")
+    """The schedule as it looked at a time."""
+    return pit.fixtures_at(view(spark, sf_dir, "matches"), _as_of(), ["home_goals", "away_goals"]).select("match_id", "league", "kickoff", "status")
 
 
 @R.add("pit_latest_prices", "SELECT p.match_id, book, arg_max(odds_h, (seen_at, supplier)) odds_h, max(seen_at) seen_at, count(*) n FROM prices p JOIN matches m ON p.match_id = m.match_id WHERE seen_at <= m.kickoff - INTERVAL 3 HOUR GROUP BY ALL", ("matches", "prices"))
 def pit_latest_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each book's latest price three hours before kickoff, and how many were visible."""
     limits = view(spark, sf_dir, "matches").select("match_id", (F.col("kickoff") - F.expr("INTERVAL 3 HOUR")).alias("as_of"))
-    prices = view(spark, sf_dir, "prices")
-    last = pit.latest_at(prices, limits, ["match_id"], ["match_id", "book"], "seen_at", "as_of", ["supplier"])
-    n = prices.join(limits, "match_id").where("seen_at <= as_of").groupBy("match_id", "book").agg(F.count("*").alias("n"))
-    return last.join(n, ["match_id", "book"]).select("match_id", "book", "odds_h", "seen_at", "n")
+    prices = view(spark, sf_dir, "prices").select("match_id", "book", "supplier", "seen_at", "odds_h")
+    return pit.latest_at(prices, limits, ["match_id"], ["match_id", "book"], "seen_at", "as_of", ["supplier"], "n").select("match_id", "book", "odds_h", "seen_at", "n")
 
 
 _ASOF = "SELECT l.event_id, l.user_id, l.ts, r.ts AS seen, r.value AS last_value FROM (SELECT * FROM ticks WHERE event_type = (SELECT min(event_type) FROM ticks)) l ASOF LEFT JOIN (SELECT user_id, ts, arg_max(value, event_id) AS value FROM ticks WHERE event_type = (SELECT max(event_type) FROM ticks) GROUP BY user_id, ts) r ON l.user_id = r.user_id AND l.ts >= r.ts"
@@ -71,17 +68,19 @@ def pit_decision_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pit.decision_times(view(spark, sf_dir, "matches"), view(spark, sf_dir, "prices"), "match_id", "kickoff", "seen_at", 5)
 
 
-_DIGEST = "concat('0x', substr(md5(concat_ws('|', match_id::VARCHAR, coalesce(home_goals::VARCHAR, ''), coalesce(away_goals::VARCHAR, ''))), 1, 12))::BIGINT"
+_ROW = "md5(concat_ws('|', concat(length(match_id::VARCHAR), ':', match_id::VARCHAR), coalesce(length(home_goals::VARCHAR) || ':' || home_goals::VARCHAR, 'N'), coalesce(length(away_goals::VARCHAR) || ':' || away_goals::VARCHAR, 'N')))"
+_LIMBS = [f"sum(concat('0x', substr({_ROW}, {start}, 16))::UBIGINT::HUGEINT)" for start in (1, 17)]
+_PRINTED = "concat(" + ", ".join(f"lpad(lower(to_hex(({{{i}}} % {pit.PRIME})::BIGINT)), 16, '0')" for i in range(2)) + ")"
 
 
-@R.add("pit_running_fingerprint", f"SELECT * FROM (WITH g AS (SELECT league, available_at, count(*) n, bit_xor({_DIGEST}) f FROM matches WHERE status = 'FINISHED' GROUP BY ALL) SELECT league, available_at, (sum(n) OVER w)::BIGINT n, bit_xor(f) OVER w AS fingerprint FROM g WINDOW w AS (PARTITION BY league ORDER BY available_at ROWS UNBOUNDED PRECEDING)) z", ("matches",))
+@R.add("pit_running_fingerprint", f"SELECT * FROM (WITH g AS (SELECT league, available_at, count(*) n, {_LIMBS[0]} a, {_LIMBS[1]} b FROM matches WHERE status = 'FINISHED' GROUP BY ALL), s AS (SELECT league, available_at, (sum(n) OVER w)::BIGINT n, sum(a) OVER w a, sum(b) OVER w b FROM g WINDOW w AS (PARTITION BY league ORDER BY available_at ROWS UNBOUNDED PRECEDING)) SELECT league, available_at, n, {_PRINTED.format('a', 'b')} AS fingerprint FROM s) z", ("matches",))
 def pit_running_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of all results visible at every availability time of each league."""
     done = view(spark, sf_dir, "matches").where("status = 'FINISHED'")
     return pit.running_fingerprint(done, ["match_id", "home_goals", "away_goals"], "available_at", ["league"])
 
 
-@R.add("dataset_fingerprint", f"SELECT count(*) n, bit_xor({_DIGEST}) AS fingerprint FROM matches", ("matches",))
+@R.add("dataset_fingerprint", f"SELECT count(*) n, {_PRINTED.format(*_LIMBS)} AS fingerprint FROM matches", ("matches",))
 def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-free fingerprint of the whole table."""
     return pit.fingerprint(view(spark, sf_dir, "matches"), ["match_id", "home_goals", "away_goals"])
