@@ -27,18 +27,32 @@ def source_results_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select(F.col("competition").alias("tier"), "match_date", "season", "home", "away", "home_goals", "away_goals")
 
 
-_WIDE = """SELECT match_id, book, 'H' sel, odds_h o FROM prices WHERE book <= 2 AND odds_h > 1 UNION ALL SELECT match_id, book, 'A', odds_a FROM prices WHERE book <= 2 AND odds_a > 1"""
+#: Columns of wide files: by book its code, snapshot and market; books from the fourth on are missing from the headers of old seasons.
+_WIDE = {1: ("B365", "", "1X2"), 2: ("PS", "C", "1X2"), 3: ("WH", "", "1X2"), 4: ("BW", "C", "1X2"), 5: ("B365", "", "OU"), 6: ("PS", "", "AH"), 7: ("B365", "C", "AH")}
+_SIDES = {"1X2": {"H": "h", "D": "d", "A": "a"}, "OU": {">2.5": "h", "<2.5": "a"}, "AH": {"AHH": "h", "AHA": "a"}}
+_NAMED = {"H": "H", "D": "D", "A": "A", ">2.5": "OVER", "<2.5": "UNDER", "AHH": "AH_HOME", "AHA": "AH_AWAY"}
+_WIDE_ROWS = " UNION ALL ".join(
+    f"SELECT season, match_id, '{readers.BOOKS[code]}' AS book, '{market}' AS market, '{'CLOSING' if closing else 'PRE_MATCH'}' AS snapshot, '{_NAMED[side]}' AS selection, {'-0.5' if market == 'AH' else '2.5' if market == 'OU' else 'NULL'}::DOUBLE AS line, odds_{of} AS odds FROM q WHERE book = {book} AND odds_{of} > 1"
+    for book, (code, closing, market) in _WIDE.items() for side, of in _SIDES[market].items()
+)
 
 
-@R.add("source_wide_csv", f"SELECT CASE book WHEN 1 THEN 'bet365' ELSE 'pinnacle' END book, CASE book WHEN 1 THEN 'PRE_MATCH' ELSE 'CLOSING' END snapshot, sel AS selection, count(*) n, round(sum(o), 2) odds FROM (SELECT match_id, book, sel, max(o) o FROM ({_WIDE}) q GROUP BY ALL) z GROUP BY ALL", ("prices",))
+@R.add("source_wide_csv", f"SELECT * FROM (WITH q AS (SELECT m.season, p.match_id, p.book, max(odds_h) odds_h, max(odds_d) odds_d, max(odds_a) odds_a FROM prices p JOIN matches m ON p.match_id = m.match_id WHERE book < 4 OR season >= 1995 GROUP BY ALL) SELECT season, book, market, snapshot, selection, line, count(*) n, round(sum(odds), 2) odds, count(DISTINCT match_id) AS matches FROM ({_WIDE_ROWS}) w GROUP BY ALL) z", ("prices", "matches"))
 def source_wide_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide price files: a column per book and selection, unpivoted by name; totals by book, snapshot and selection."""
-    p, path = view(spark, sf_dir, "prices").where("book <= 2"), new_path(spark, "wide-csv")
-    wide = p.groupBy("match_id").agg(*(F.max(F.when(F.col("book") == b, F.col(f"odds_{s.lower()}"))).alias(f"{c}{s}") for b, c in ((1, "B365"), (2, "PSC")) for s in ("H", "A")))
+    """Wide price files of all seasons in one folder, old ones in another encoding and with fewer columns: totals by season,
+    book, market, snapshot, selection and line."""
+    path = new_path(spark, "wide-csv")
+    p = view(spark, sf_dir, "prices").groupBy("match_id", "book").agg(*(F.max(f"odds_{s}").alias(s) for s in "hda"))
+    columns = {f"{code}{closing}{side}": (book, of) for book, (code, closing, market) in _WIDE.items() for side, of in _SIDES[market].items()}
+    wide = p.groupBy("match_id").agg(*(F.max(F.when(F.col("book") == book, F.col(of))).alias(c) for c, (book, of) in columns.items()))
     m = view(spark, sf_dir, "matches").join(wide, "match_id")
-    m.select(F.lit("I1").alias("Div"), F.date_format("match_date", "dd/MM/yyyy").alias("Date"), F.lit("15:00").alias("Time"), F.concat_ws("-", "home_team", "match_id").alias("HomeTeam"), F.col("away_team").alias("AwayTeam"), F.col("home_goals").alias("FTHG"), F.col("away_goals").alias("FTAG"), "B365H", "B365A", "PSCH", "PSCA").write.csv(path, header=True)
-    _, prices = readers.wide_csv(spark, path, spark.range(1).select(F.lit("I1").alias("Div"), F.lit("ITA1").alias("competition")))
-    return prices.groupBy("book", "snapshot", "selection").agg(F.count("*").alias("n"), F.round(F.sum("odds"), 2).alias("odds"))
+    shown = m.select("season", F.lit("I1").alias("Div"), F.date_format("match_date", "dd/MM/yyyy").alias("Date"), F.lit("15:00").alias("Time"), F.concat_ws("-", F.lit("Málaga"), "match_id").alias("HomeTeam"), F.col("away_team").alias("AwayTeam"), F.col("home_goals").alias("FTHG"), F.col("away_goals").alias("FTAG"), *(F.col(f"`{c}`") for c in columns), F.lit(-0.5).alias("AHh"), F.lit(-0.5).alias("AHCh"))
+    old = F.col("season") < 1995
+    shown.where(~old).drop("season").write.csv(f"{path}/new", header=True)
+    shown.where(old).select("Div", "Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", *(F.col(f"`{c}`") for c, (book, _) in columns.items() if book < 4)).write.csv(f"{path}/old", header=True, encoding="iso-8859-1")
+    matches, prices, _ = readers.wide_csv(spark, path, spark.range(1).select(F.lit("I1").alias("Div"), F.lit("ITA1").alias("competition")))
+    out = prices.join(matches.where("home LIKE 'Málaga-%'").select("source_key", "season"), "source_key")
+    return out.groupBy("season", "book", "market", "snapshot", "selection", "line").agg(F.count("*").alias("n"), F.round(F.sum("odds"), 2).alias("odds"), F.count_distinct("source_key").alias("matches"))
 
 
 @R.add("source_nested_json", "SELECT league, count(*) n, count(CASE WHEN status = 'FINISHED' THEN 1 END) finished, (sum(CASE WHEN status = 'FINISHED' THEN home_goals END))::BIGINT goals, count(CASE WHEN status = 'FINISHED' AND match_id % 2 = 0 THEN 1 END) drift FROM matches GROUP BY league", ("matches",))

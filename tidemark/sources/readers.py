@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-import re
+import csv
+import io
+from collections.abc import Iterator
+from functools import partial
+from itertools import zip_longest
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +64,7 @@ def results_csv(spark: SparkSession, path: str, tiers: DataFrame) -> tuple[DataF
     raw = raw_csv(spark, path)
     if missing := required(raw, ["Date", "Season", "home", "visitor", "hgoal", "vgoal", "tier"]):
         raise ValueError(f"missing columns {missing}")
-    rows = raw.join(F.broadcast(tiers), "tier")
+    rows = raw.join(tiers, "tier")
     parsed = rows.select(
         "competition", F.col("Date").try_cast("date").alias("match_date"), F.col("Season").try_cast("int").alias("season"), F.trim("home").alias("home"), F.trim("visitor").alias("away"),
         F.col("hgoal").try_cast("int").alias("home_goals"), F.col("vgoal").try_cast("int").alias("away_goals"), F.lit("DATE_ONLY").alias("time_quality"), F.lit("FINISHED").alias("status"), "raw_row",
@@ -69,32 +74,63 @@ def results_csv(spark: SparkSession, path: str, tiers: DataFrame) -> tuple[DataF
     return good, parsed.where(bad).select(F.lit("ERROR").alias("severity"), F.lit("PARSE").alias("code"), "raw_row")
 
 
-def wide_csv(spark: SparkSession, path: str, divisions: DataFrame, acquired: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Wide result files with one column per book, market and selection: (matches, prices). divisions: Div, competition.
+ENCODINGS = ("utf-8-sig", "cp1252", "latin-1")
 
-    Columns are told apart by their names and unpivoted; odds of 1 or less are dropped. Closing prices are stamped at kickoff
-    (or the next local midnight), others at the weekly collection, or at acquired for files of coming fixtures.
+
+def seasonal_rows(spark: SparkSession, path: str) -> DataFrame:
+    """path, row (from 0) and cells (column name to text) of CSV files that each have their own encoding and header.
+
+    A file is one row and its task's whole work: files of a season are small. The first encoding that decodes all of it
+    counts. Cells past the header are left out, cells that a row lacks are empty, empty rows are skipped; an empty file is one
+    row without cells. Spark reads the bytes, so any path that Spark can read will do.
     """
-    raw = raw_csv(spark, path)
-    rows = raw.where(F.coalesce(*(F.nullif(F.col(f"`{c}`"), F.lit("")) for c in raw.columns if c != "raw_row")).isNotNull()).join(F.broadcast(divisions), "Div")
-    opt = lambda c: F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")
-    base = rows.withColumns({"match_date": N.day(F.col("Date")), "home": F.trim(F.coalesce(opt("HomeTeam"), opt("Home"))), "away": F.trim(F.coalesce(opt("AwayTeam"), opt("Away"))), "__clock": F.trim(opt("Time"))})
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.map_(pa.string(), pa.string())
+        for batch in batches:
+            for where, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = next(t for t in map(partial(_decoded, content), ENCODINGS) if t is not None)
+                lines = csv.reader(io.StringIO(text, newline=""))
+                header = [name.strip() for name in next(lines, [])]
+                cells = [(i, [(name, value.strip()) for name, value in zip_longest(header, row[: len(header)], fillvalue="") if name]) for i, row in enumerate(lines) if any(map(str.strip, row))]
+                cells = cells or [(0, [])] * (not header)
+                yield pa.RecordBatch.from_arrays([pa.array([where] * len(cells), pa.string()), pa.array([i for i, _ in cells], pa.int64()), pa.array([x for _, x in cells], kind)], names=["path", "row", "cells"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInArrow(parsed, "path string, row bigint, cells map<string,string>")
+
+
+def _decoded(content: bytes, encoding: str) -> str | None:
+    try:
+        return content.decode(encoding)
+    except UnicodeDecodeError:
+        return None
+
+
+def wide_csv(spark: SparkSession, path: str, divisions: DataFrame, acquired: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Wide result files with one column per book, market and selection: (matches, prices, issues). divisions: Div, competition.
+
+    Each file's own header says what its cells are, so files of many seasons may lie in one folder. Odds of 1 or less are
+    dropped. Closing prices are stamped at kickoff (or the next local midnight), others at the weekly collection, or at
+    acquired for files of coming fixtures.
+    """
+    raw = seasonal_rows(spark, path)
+    opt = lambda c: F.nullif(F.col("cells")[c], F.lit(""))
+    rows = raw.withColumn("Div", opt("Div")).join(divisions, "Div")
+    base = rows.withColumns({"match_date": N.day(opt("Date")), "home": F.coalesce(opt("HomeTeam"), opt("Home")), "away": F.coalesce(opt("AwayTeam"), opt("Away")), "__clock": opt("Time"), "raw_row": F.struct("path", "row")})
     base = base.withColumn("kickoff", N.to_utc(F.col("match_date"), F.col("__clock"), ZONE)).withColumn("source_key", N.natural_key("Div", "match_date", "home", "away"))
+    empty = raw.where(F.size("cells") == 0).select(F.lit("ERROR").alias("severity"), F.lit("EMPTY").alias("code"), "path", "row")
+    issues = empty.unionByName(base.where("match_date IS NULL").select(F.lit("ERROR").alias("severity"), F.lit("PARSE").alias("code"), "path", "row"))
     base = duplicate_ordinals(base.where("match_date IS NOT NULL"), "source_key", "raw_row")
-    goals = {"home_goals": N.whole(opt("FTHG")), "away_goals": N.whole(opt("FTAG")), "ht_home": N.whole(opt("HTHG")), "ht_away": N.whole(opt("HTAG"))}
+    either = lambda *names: F.coalesce(*map(opt, names))
+    goals = {"home_goals": N.whole(either("FTHG", "HG")), "away_goals": N.whole(either("FTAG", "AG")), "ht_home": N.whole(opt("HTHG")), "ht_away": N.whole(opt("HTAG"))}
     matches = base.withColumns(goals).withColumn("status", F.when(F.col("home_goals").isNotNull() & F.col("away_goals").isNotNull(), "FINISHED").otherwise("SCHEDULED"))
     matches = matches.select("source_key", "competition", "match_date", "kickoff", "home", "away", *goals, "status", N.season_start(F.col("match_date")).alias("season"), F.when(F.col("kickoff").isNotNull(), "EXACT").otherwise("DATE_ONLY").alias("time_quality"))
     p = _prefixes()
     shapes = {"1X2": rf"^({p})(C?)([HDA])$", "OU": rf"^({p})(C?)([<>])2\.5$", "AH": rf"^({p})(C?)AH([HA])$"}
-    columns = [c for c in raw.columns if any(re.match(s, c) for s in shapes.values()) and c not in ("FTR", "HTR")]
-    if not columns:
-        return matches, spark.createDataFrame([], "source_key string, book string, market string, selection string, line double, odds double, snapshot string, seen_at timestamp")
-    lines = {"__pre": N.number(F.coalesce(F.nullif(opt("AHh"), F.lit("")), opt("BbAHh"))), "__close": N.number(opt("AHCh"))}
-    ids = ["source_key", "match_date", "kickoff", *lines]
-    renamed = base.withColumns(lines).select(*ids, *(F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(columns)))
-    long = renamed.unpivot(ids, [f"p{i}" for i in range(len(columns))], "__i", "__v")
-    label = F.element_at(F.create_map(*(x for i, c in enumerate(columns) for x in (F.lit(f"p{i}"), F.lit(c)))), F.col("__i"))
-    long = long.withColumn("__c", label).withColumn("odds", N.number(F.col("__v"))).where("odds > 1")
+    lines = {"__pre": N.number(either("AHh", "BbAHh")), "__close": N.number(opt("AHCh"))}
+    priced = F.map_filter("cells", lambda k, v: F.regexp_like(k, F.lit("|".join(shapes.values()))))
+    long = base.withColumns(lines).select("source_key", "match_date", "kickoff", *lines, F.explode(priced).alias("__c", "__v")).withColumn("odds", N.number(F.col("__v"))).where("odds > 1")
     part = lambda g: F.coalesce(*(F.nullif(F.regexp_extract("__c", s, g), F.lit("")) for s in shapes.values()))
     market = F.coalesce(*(F.when(F.col("__c").rlike(s), m) for m, s in shapes.items()))
     closing = F.coalesce(part(2), F.lit("")) == "C"
@@ -105,7 +141,7 @@ def wide_csv(spark: SparkSession, path: str, divisions: DataFrame, acquired: str
     before = F.lit(acquired).cast("timestamp") if acquired else N.weekly_collection(F.col("match_date"), F.col("kickoff"))
     seen = F.when(closing, F.coalesce("kickoff", N.next_midnight(F.col("match_date"), ZONE))).otherwise(before)
     prices = long.select("source_key", F.element_at(books, part(1)).alias("book"), market.alias("market"), selection.alias("selection"), line.alias("line"), "odds", F.when(closing, "CLOSING").otherwise("PRE_MATCH").alias("snapshot"), seen.alias("seen_at"))
-    return matches, prices.where("market <> 'AH' OR line IS NOT NULL")
+    return matches, prices.where("market <> 'AH' OR line IS NOT NULL"), issues
 
 
 def nested_json(spark: SparkSession, path: str, zone: str, today: str) -> tuple[DataFrame, DataFrame]:
