@@ -8,7 +8,7 @@ with a successor is left to the successor, so each occurrence counts once.
 
 Words are counted as the pieces are read, once a task for each distinct word. Longer phrases are tried only if their parts can
 reach the threshold: words that reach it mark a bitmap of hashes; word pairs of such words are added to a sketch of capped
-counters; longer phrases all of whose pairs pass go to a second sketch. A counter is never below the count, so no phrase that
+counters, two a pair; longer phrases all of whose pairs pass go to a second sketch. A counter is never below the count, so no phrase that
 reaches the threshold is lost, and what passes is counted exactly by its words. Bitmap and sketches have a fixed size whatever
 the corpus; a full one throws out less and changes no result. Score arithmetic is decimal: 1000 * a * n may pass 64 bits, 38
 digits it does not for corpora below 10^17 words.
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,58 +63,87 @@ def _hash_bytes(values: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(v) for v in values.cast(pa.binary()).to_pylist()), np.uint64, len(values))
 
 
-def _rolled(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """Hash of the n words from each place on; the last n - 1 places are not to be used."""
-    out = np.full(len(hashes), seed, np.uint64)
+def _rolled(hashes: np.ndarray, at: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Hash of the n words from each of the places on."""
+    out = np.full(len(at), seed, np.uint64)
     for k in range(n):
-        out = _mixed(out * _ODD + np.roll(hashes, -k))
+        out = _mixed(out * _ODD + hashes[at + k])
     return out
 
 
+def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two counters of each hash, one in either half of the sketch."""
+    half = np.uint64(1 << (bits - 1))
+    return (hashes >> np.uint64(65 - bits)).astype(np.int64), (half + ((hashes >> np.uint64(66 - 2 * bits)) & (half - np.uint64(1)))).astype(np.int64)
+
+
+def _frequent(sketch: np.ndarray, hashes: np.ndarray, m: Mining) -> np.ndarray:
+    one, two = _slots(hashes, m.sketch_bits)
+    return (sketch[one] >= m.least) & (sketch[two] >= m.least)
+
+
 FINAL, MORE, WORD = range(3)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], m: Mining) -> Iterator[pa.RecordBatch]:
-    """lang, chunk (words joined by spaces), kind (FINAL: no successor, MORE: with one, WORD: a single word), n (in this batch)."""
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """Equal chunks of some tables as one row each."""
+    return pa.concat_tables(tables).group_by(["lang", "chunk", "kind"]).aggregate([("n", "sum")]).select(["lang", "chunk", "kind", "n_sum"]).rename_columns(["lang", "chunk", "kind", "n"])
+
+
+def _table(lang: pa.Array, chunk: pa.Array, kind: np.ndarray, n: np.ndarray) -> pa.Table:
+    return pa.table({"lang": lang, "chunk": chunk, "kind": pa.array(kind, pa.int32()), "n": pa.array(n, pa.int64())})
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], m: Mining, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """lang, chunk (words joined by spaces), kind (FINAL: no successor, MORE: with one, WORD: a single word), n (of a batch of
+    chunks; of many batches of words)."""
+    held: list[pa.Table] = []
     for batch in batches:
         languages, pieces = [], []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for piece in (text or "").encode().lower().translate(_PIECES).split(b"\n"):
-                if piece := piece.strip(b" "):
-                    languages.append(lang)
-                    pieces.append(piece)
-        if not pieces:
+            found = [p for p in (text or "").encode().lower().translate(_PIECES).split(b"\n") if p]
+            languages += [lang] * len(found)
+            pieces += found
+        pieces = [b" ".join(w for w in p.split(b" ") if w) if b"  " in p or p[0] == 32 or p[-1] == 32 else p for p in pieces]
+        if not any(pieces):
             continue
-        counts: dict[tuple, int] = {}
-
-        def add(*key) -> None:
-            counts[key] = counts.get(key, 0) + 1  # noqa: B023
-
-        words = [[w for w in piece.split(b" ") if w] if b"  " in piece else piece.split(b" ") for piece in pieces]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        coded = pa.array(chain.from_iterable(words), pa.binary(), size=int(sizes.sum())).dictionary_encode()
+        text = pa.array(pieces, pa.binary()).cast(pa.string())
+        names = pa.array(languages, pa.string()).dictionary_encode()
+        lists = pc.split_pattern(text, " ")
+        sizes = np.where([not p for p in pieces], 0, np.diff(lists.offsets.to_numpy())) if b"" in pieces else np.diff(lists.offsets.to_numpy())
+        coded = (lists.values if b"" not in pieces else lists.values.filter(pc.not_equal(lists.values, ""))).dictionary_encode()
         code = coded.indices.to_numpy()
-        hashes = _hash_bytes(coded.dictionary)[code]
-        ends = np.cumsum(sizes)
-        at = np.flatnonzero(_rolled(hashes, m.overlap, 1) % np.uint64(m.cut) == 0) + m.overlap  # a chunk may end before these
+        hashes, ends = _hash_bytes(coded.dictionary)[code], np.cumsum(sizes)
+        windows = np.arange(max(0, len(hashes) - m.overlap + 1))
+        at = np.flatnonzero(_rolled(hashes, windows, m.overlap, 1) % np.uint64(m.cut) == 0) + m.overlap  # a chunk may end before these
         lo, hi = np.searchsorted(at, ends - sizes + m.overlap, "right"), np.searchsorted(at, ends, "left")
-        for i, some in enumerate(words):
-            start, first, end = 0, int(ends[i] - sizes[i]), len(some)
+        whole = (lo >= hi) & (sizes <= m.chunk_words)
+        cut: list[tuple[int, bytes, int]] = []
+        for i in np.flatnonzero(~whole):
+            some, start, first, end = pieces[i].split(b" "), 0, int(ends[i] - sizes[i]), int(sizes[i])
             for stop in (*(int(x) - first for x in at[lo[i] : hi[i]]), end):
                 while stop - start > m.chunk_words:
-                    add(languages[i], b" ".join(some[start : start + m.chunk_words]), MORE)
+                    cut.append((i, b" ".join(some[start : start + m.chunk_words]), MORE))
                     start += m.chunk_words - m.overlap
                 if stop < end:
-                    add(languages[i], b" ".join(some[start:stop]), MORE)
+                    cut.append((i, b" ".join(some[start:stop]), MORE))
                     start = stop - m.overlap
-            add(languages[i], pieces[i] if not start and len(pieces[i]) == sum(map(len, some)) + end - 1 else b" ".join(some[start:]), FINAL)
-        names = pa.array(languages, pa.string()).dictionary_encode()
+            cut.append((i, b" ".join(some[start:]), FINAL))
+        plain = pa.array(np.flatnonzero(whole & (sizes > 0)))
+        lang = names.dictionary.take(names.indices)
+        made = [_table(lang.take(plain), text.take(plain), np.full(len(plain), FINAL), np.ones(len(plain), np.int64))]
+        if cut:
+            made.append(_table(lang.take(pa.array([i for i, *_ in cut])), pa.array([c for _, c, _ in cut], pa.binary()).cast(pa.string()), np.array([k for *_, k in cut]), np.ones(len(cut), np.int64)))
+        yield from _summed(made).to_batches()
         width = len(coded.dictionary)
         keys, n = np.unique(np.repeat(names.indices.to_numpy(), sizes).astype(np.int64) * width + code, return_counts=True)
-        lang = pa.concat_arrays([pa.array([k[0] for k in counts], pa.string()), names.dictionary.take(pa.array(keys // width))])
-        chunk = pa.concat_arrays([pa.array([k[1] for k in counts], pa.binary()), coded.dictionary.take(pa.array(keys % width))]).cast(pa.string())
-        kind = np.concatenate([np.fromiter((k[2] for k in counts), np.int32, len(counts)), np.full(len(keys), WORD, np.int32)])
-        yield pa.RecordBatch.from_arrays([lang, chunk, pa.array(kind), pa.array(np.concatenate([np.fromiter(counts.values(), np.int64, len(counts)), n]))], names=["lang", "chunk", "kind", "n"])
+        held.append(_table(names.dictionary.take(pa.array(keys // width)), coded.dictionary.take(pa.array(keys % width)), np.full(len(keys), WORD), n))
+        if sum(map(len, held)) > most:
+            held = [_summed(held)]
+            if len(held[0]) > most // 2:
+                yield from held.pop().to_batches()
+    if held:
+        yield from _summed(held).to_batches()
 
 
 def dictionary(docs: DataFrame, m: Mining, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -152,8 +180,8 @@ class Block:
     def begins(self, n: int) -> np.ndarray:
         return self.own & (self.room >= n)
 
-    def slots(self, n: int, bits: int) -> np.ndarray:
-        return (_rolled(self.hashes, n, n) >> np.uint64(64 - bits)).astype(np.int64)
+    def rolled(self, at: np.ndarray, n: int) -> np.ndarray:
+        return _rolled(self.hashes, at, n, n)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], m: Mining, most: int = 6 << 20) -> Iterator[Block]:
@@ -171,10 +199,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], m: Mining, most: int = 6 << 20) -
 
 def _passing(block: Block, m: Mining, words: np.ndarray, pairs: np.ndarray | None) -> list[np.ndarray]:
     """For 2 to longest words: where phrases begin whose words, and where pairs are known also word pairs, pass."""
-    frequent = words[block.slots(1, m.sketch_bits)] >= m.least
-    found = frequent & np.roll(frequent, -1)
+    frequent = _frequent(words, block.rolled(np.arange(len(block.hashes)), 1), m)
+    found = frequent & np.roll(frequent, -1) & (block.room >= 2)
     if pairs is not None:
-        found &= pairs[block.slots(2, m.sketch_bits)] >= m.least
+        at = np.flatnonzero(found)
+        found[at] = _frequent(pairs, block.rolled(at, 2), m)
     out = []
     for n in range(2, m.longest + 1):
         out.append(block.begins(n) & (out[-1] if out else True) & np.roll(found, 2 - n))
@@ -189,7 +218,8 @@ def _sketched(batches: Iterator[pa.RecordBatch], m: Mining, lengths: range, word
         for n in lengths:
             at = np.flatnonzero(begins[n - 2])
             if len(at):
-                added = np.bincount(block.slots(n, m.sketch_bits)[at], np.minimum(block.weight[at], m.least), 1 << m.sketch_bits)
+                one, two = _slots(block.rolled(at, n), m.sketch_bits)
+                added = np.bincount(np.concatenate([one, two]), np.tile(np.minimum(block.weight[at], m.least), 2), 1 << m.sketch_bits)
                 if counters is None:
                     counters = np.zeros(1 << m.sketch_bits, np.uint16)
                 np.minimum(np.add(added, counters, out=added), m.least, out=added)
@@ -205,7 +235,8 @@ def _marked(batches: Iterator[pa.RecordBatch], m: Mining) -> Iterator[pa.RecordB
         hashes = _by_language(*(_hash_bytes(x.dictionary)[x.indices.to_numpy()] for x in (words, langs)))
         if counters is None:
             counters = np.zeros(1 << m.sketch_bits, np.uint16)
-        counters[(_rolled(hashes, 1, 1) >> np.uint64(64 - m.sketch_bits)).astype(np.int64)] = m.least
+        for slots in _slots(_rolled(hashes, np.arange(len(hashes)), 1, 1), m.sketch_bits):
+            counters[slots] = m.least
     yield from _parts(counters)
 
 
@@ -233,20 +264,21 @@ def _sketch(parts: DataFrame, m: Mining):
     return parts.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
-def _counted(batches: Iterator[pa.RecordBatch], m: Mining, words: np.ndarray, pairs: np.ndarray, longer: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, size, n of a block's phrases of two words and more that may reach the threshold.
+def _counted(batches: Iterator[pa.RecordBatch], m: Mining, words: np.ndarray, pairs: np.ndarray, longer: np.ndarray, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """lang, chunk (the phrase), kind (its words), n: phrases of two words and more that may reach the threshold, summed over
+    the task's blocks as long as there are no more than `most` of them.
 
     Phrases are told apart by numbers given to their words, then to their first words and the last: never by hashes.
     """
+    held: list[pa.Table] = []
     for block in _blocks(batches, m):
         begins = _passing(block, m, words, pairs)
         width = len(block.words)
         number = block.lang * width + block.code
         for n in range(2, m.longest + 1):
-            at = begins[n - 2] & (number >= 0)
+            places = np.flatnonzero(begins[n - 2] & (number >= 0))
             if n > 2:
-                at &= longer[block.slots(n, m.sketch_bits)] >= m.least
-            places = np.flatnonzero(at)
+                places = places[_frequent(longer, block.rolled(places, n), m)]
             if not len(places):
                 break
             keys = number[places] * width + block.code[places + n - 1]
@@ -254,17 +286,33 @@ def _counted(batches: Iterator[pa.RecordBatch], m: Mining, words: np.ndarray, pa
             new = np.flatnonzero(np.diff(keys[order], prepend=-1))
             heads = places[order[new]]
             phrases = pc.binary_join_element_wise(*(block.words.take(pa.array(block.code[heads + k])) for k in range(n)), " ")
-            langs = block.langs.take(pa.array(block.lang[heads]))
-            yield pa.RecordBatch.from_arrays([langs, phrases.cast(pa.string()), pa.array(np.full(len(heads), n, np.int32)), pa.array(np.add.reduceat(block.weight[places][order], new))], names=["lang", "phrase", "size", "n"])
+            held.append(_table(block.langs.take(pa.array(block.lang[heads])), phrases, np.full(len(heads), n), np.add.reduceat(block.weight[places][order], new)))
             # Places of the same words get the same number; -1: the first words of a phrase fall short, and so does the phrase.
             number = np.full(len(number), -1, np.int64)
             number[places[order]] = np.repeat(np.arange(len(new)), np.diff(new, append=len(order)))
+        if sum(map(len, held)) > most:
+            held = [_summed(held)]
+            if len(held[0]) > most // 2:
+                yield from held.pop().to_batches()
+    if held:
+        yield from _summed(held).to_batches()
+
+
+#: Compressed bytes of chunks for a task that counts; no fewer tasks than twice the cores.
+COUNTING_BYTES = 256 << 20
+
+
+def _to_count(chunks: DataFrame) -> DataFrame:
+    """chunks in fewer, longer tasks: a task sends each phrase once however much it reads."""
+    spark = chunks.sparkSession
+    size = sum(spark._jvm.org.apache.hadoop.fs.Path(f).getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(spark._jvm.org.apache.hadoop.fs.Path(f)).getLength() for f in {f.rsplit("/", 1)[0] for f in chunks.inputFiles()})
+    return chunks.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-size // COUNTING_BYTES)))
 
 
 def phrase_counts(docs: DataFrame, m: Mining = Mining(), text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, phrase, size, n: phrases of 1 to longest words that stand least times or more; size 0 has n of all words."""
     all_ = dictionary(docs, m, text, lang)
-    chunks, words = all_.where(F.col("kind") < WORD), all_.where(F.col("kind") == WORD)
+    chunks, words = _to_count(all_).where(F.col("kind") < WORD), all_.where(F.col("kind") == WORD)
     frequent = words.where(F.col("n") >= m.least)
     totals = words.groupBy("lang").agg(F.lit("").alias("phrase"), F.lit(0).alias("size"), F.sum("n").alias("n"))
     read = lambda x: np.frombuffer(x.value, np.uint16) if x else None
@@ -275,8 +323,8 @@ def phrase_counts(docs: DataFrame, m: Mining = Mining(), text: str = "text", lan
 
     pairs = sketch(range(2, 3))
     longer = sketch(range(3, m.longest + 1), pairs)
-    counted = chunks.mapInArrow(lambda batches: _counted(batches, m, read(known), read(pairs), read(longer)), "lang string, phrase string, size int, n bigint")
-    counted = counted.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= m.least)
+    counted = chunks.mapInArrow(lambda batches: _counted(batches, m, read(known), read(pairs), read(longer)), "lang string, chunk string, kind int, n bigint")
+    counted = counted.groupBy("lang", F.col("chunk").alias("phrase"), F.col("kind").alias("size")).agg(F.sum("n").alias("n")).where(F.col("n") >= m.least)
     found = written(counted.unionByName(frequent.select("lang", F.col("chunk").alias("phrase"), F.lit(1).alias("size"), "n")).unionByName(totals), "phrases")
     removed(all_)
     return found
