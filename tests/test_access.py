@@ -12,7 +12,7 @@ from tidemark.functions import metrics as M
 from tidemark.functions import names as N
 from tidemark.functions import odds as O
 from tidemark.functions import scores as S
-from tidemark.operators import decision, entity, evaluate, ledger, market, models, pit, ratings, reports
+from tidemark.operators import decision, entity, evaluate, ledger, market, models, pit, ratings, registry, reports
 from tidemark.plans import model_queries
 from tidemark.sources import lake, readers
 from tidemark.sources.views import view
@@ -186,14 +186,40 @@ def test_ledger_text_tells_null_from_empty(spark):
     assert ledger.with_digest(df, ["x", "y"]).select("row_hash").distinct().count() == 4
 
 
+def test_experiment_ledger_holdout_and_promotion(spark):
+    at, empty = dt.datetime(2024, 1, 1), spark.createDataFrame([], registry.LEDGER)
+    kind = "family string, name string, parent_id string, created_at timestamp_ntz, n_candidates long, used_holdout boolean, body string, metrics string"
+    first, lost = registry.recorded(spark.createDataFrame([("fam", "a", None, at, 12, False, "{}", '{"ll": 1.0}'), ("fam", "b", "exp-none", at, 1, False, "{}", "{}")], kind), empty)
+    assert [(r["name"], r["reason"]) for r in lost.collect()] == [("b", "UNKNOWN_PARENT")]
+    top = first.first()["experiment_id"]
+    second, _ = registry.recorded(spark.createDataFrame([("fam", "a-fix", top, at, 1, True, "{}", '{"ll": 0.9}')], kind), first)
+    book = first.unionByName(second).cache()
+    assert [r["version"] for r in book.orderBy("version").collect()] == [1, 2] and registry.tampered(book).isEmpty()
+    why = lambda df: sorted(r["reason"] for r in registry.tampered(df).collect())
+    assert why(book.withColumn("metrics", F.when(F.col("version") == 1, "{}").otherwise(F.col("metrics")))) == ["CONTENT"]
+    redone = registry.recorded(spark.createDataFrame([("fam", "a", None, at, 12, False, "{}", "{}")], kind), empty)[0]
+    assert why(second.unionByName(redone)) == ["PARENT_LOST"] and why(second.unionByName(redone.withColumn("experiment_id", F.lit(top)))) == ["IDENTIFIER", "PARENT_CHANGED"]
+    asked = spark.createDataFrame([(top, "2025-07-01", "x", at), (top, "2025-07-01", "final check of the champion", at), ("exp-none", "2025-07-01", "a reason long enough", at)], "experiment_id string, holdout_start string, reason string, read_at timestamp_ntz")
+    reads, refused = registry.holdout_reads(asked, book)
+    assert sorted(r["refused"] for r in refused.collect()) == ["NO_REASON", "UNKNOWN_EXPERIMENT"]
+    assert [(r["reads"], r["experiments"], r["unlogged"]) for r in registry.holdout_counts(reads, book).collect()] == [(1, 1, 1)]
+    gates = spark.createDataFrame([("m", True, True, False, at), ("m", False, False, False, at + dt.timedelta(days=9))], "model string, calibration boolean, may_forecast boolean, may_bet boolean, checked_at timestamp_ntz")
+    ask = [("m", "probability", at + dt.timedelta(days=1)), ("m", "betting", at + dt.timedelta(days=1)), ("m", "probability", at + dt.timedelta(days=10)), ("n", "probability", at)]
+    requests = spark.createDataFrame(ask, "model string, scope string, at timestamp_ntz")
+    yes, no = registry.promotions(requests, gates, ["calibration"])
+    assert [tuple(r)[:3] for r in yes.collect()] == [ask[0]]
+    assert sorted((r["model"], r["scope"], r["failed"]) for r in no.collect()) == [("m", "betting", []), ("m", "probability", ["calibration"]), ("n", "probability", ["NOT_CHECKED"])]
+    assert registry.ungated(requests, gates, ["calibration"]).count() == 3
+
+
 def test_gates_fail_on_what_is_not_known(spark):
-    scores = spark.createDataFrame([("ref", 1, 300, 1.0), ("new", 1, 300, 0.9)], "model string, season int, n int, log_loss double")
+    scores = spark.createDataFrame([("ref", 1, 3000, 1.0), ("new", 1, 3000, 0.9)], "model string, season int, n int, log_loss double")
     comparisons = spark.createDataFrame([("new", "ref", -0.2, -0.1), ("market", "new", -0.1, 0.2)], "model_a string, model_b string, ci_low double, ci_high double")
     bare = reports.gates(scores, comparisons, "ref").first()
-    assert bare["beats_reference"] and bare["robustness"] and not bare["no_leakage"] and not bare["calibration"] and not bare["market_benchmark"] and not bare["may_forecast"]
+    assert bare["beats_reference"] and bare["robustness"] and not bare["no_leakage"] and not bare["out_of_sample"] and not bare["calibration"] and not bare["market_benchmark"] and not bare["may_forecast"]
     calibration = spark.createDataFrame([("new", 0.01, 0.95, 1.05)], "model string, ece double, slope_low double, slope_high double")
-    full = reports.gates(scores, comparisons, "ref", calibration=calibration, market="market", leakage_passed=True, code_version="abc", fingerprint="f").first()
-    assert full["may_bet"] and not reports.gates(scores, comparisons, "ref", calibration=calibration, market="market", leakage_passed=True, code_version="abc-dirty", fingerprint="f").first()["may_forecast"]
+    given = lambda checked, violations, code: reports.gates(scores, comparisons, "ref", calibration=calibration, market="market", audit=spark.createDataFrame([("new", checked, violations)], "model string, checked long, violations long"), code_version=code, fingerprint="f").first()
+    assert given(3000, None, "abc")["may_bet"] and not given(3000, 0, "abc-dirty")["may_forecast"] and not given(3000, 1, "abc")["no_leakage"] and not given(2999, 0, "abc")["out_of_sample"]
     runs = spark.createDataFrame([(1, '{"a:calibrated": 1.0}'), (2, '{"a:calibrated": 2.0, "a:raw": 3.0}')], "at int, summary string")
     assert [tuple(r) for r in reports.expected_losses(runs, "at", "summary").collect()] == [("a", 2.0)]
 

@@ -1 +1,3 @@
 """Point-in-time analytics and training-data preparation on Spark."""
+
+VERSION = "3"

@@ -32,11 +32,13 @@ def families(experiments: DataFrame, family: str, candidates: str, alpha: float
     return experiments.groupBy(family).agg(F.count("*").alias("experiments"), n.alias("candidates"), (F.lit(alpha) / F.greatest(n, F.lit(1))).alias("corrected_alpha"), (n * alpha).alias("expected_false"))
 
 
-def gates(scores: DataFrame, comparisons: DataFrame, reference: str, least: int = 200, share: float = 0.6, calibration: DataFrame | None = None, market: str | None = None, leakage_passed: bool | None = None, code_version: str | None = None, fingerprint: str | None = None, max_ece: float = 0.03, slopes: tuple[float, float] = (0.8, 1.2)) -> DataFrame:
-    """Promotion gates per model: no leakage, enough forecasts, out of sample (always so here), calibrated, significantly better
-    than the reference, steady over seasons, not beaten by the market, reproducible.
+def gates(scores: DataFrame, comparisons: DataFrame, reference: str, least: int = 1000, share: float = 0.6, calibration: DataFrame | None = None, market: str | None = None, audit: DataFrame | None = None, code_version: str | None = None, fingerprint: str | None = None, max_ece: float = 0.03, slopes: tuple[float, float] = (0.8, 1.25)) -> DataFrame:
+    """Promotion gates per model: no leakage, enough forecasts, out of sample, calibrated, significantly better than the
+    reference, steady over seasons, not beaten by the market, reproducible.
 
-    calibration: model, ece, slope_low, slope_high (over the classes). What is not handed in fails its gate. A model may
+    audit: model, checked, violations: forecasts whose cutoffs were checked, and those that could know too much; out of sample
+    are models all of whose scored forecasts were checked. calibration: model, ece, slope_low, slope_high (over the classes).
+    What is not handed in fails its gate. A model may
     give probabilities if all gates but the market's pass, and bet if all do.
     """
     ref = scores.where(F.col("model") == reference).select("season", F.col("log_loss").alias("__ref"))
@@ -50,10 +52,12 @@ def gates(scores: DataFrame, comparisons: DataFrame, reference: str, least: int
     g = per.join(against(reference, "ref"), "model", "left").join(against(market, "market"), "model", "left")
     measured = calibration if calibration is not None else per.select("model", *(F.lit(None).cast("double").alias(c) for c in ("ece", "slope_low", "slope_high")))
     g = g.join(measured.select("model", "ece", "slope_low", "slope_high"), "model", "left")
+    checks = audit if audit is not None else per.select("model", F.lit(0).alias("checked"), F.lit(None).cast("bigint").alias("violations"))
+    g = g.join(checks.select("model", F.col("checked").alias("__checked"), F.coalesce("violations", F.lit(0)).alias("__violations")), "model", "left")
     fine = lambda c: F.coalesce(c, F.lit(False))
     clean = code_version not in (None, "", "unknown") and not str(code_version).endswith("-dirty") and bool(fingerprint)
     named = {
-        "no_leakage": F.lit(leakage_passed is True), "adequate_sample": fine(F.col("n") >= least), "out_of_sample": F.lit(True), "calibration": fine((F.col("ece") <= max_ece) & (F.col("slope_low") >= slopes[0]) & (F.col("slope_high") <= slopes[1])),
+        "no_leakage": fine((F.col("__checked") > 0) & (F.col("__violations") == 0)), "adequate_sample": fine(F.col("n") >= least), "out_of_sample": fine(F.col("__checked") >= F.col("n")), "calibration": fine((F.col("ece") <= max_ece) & (F.col("slope_low") >= slopes[0]) & (F.col("slope_high") <= slopes[1])),
         "beats_reference": fine(F.col("ref_high") < 0), "robustness": fine(F.col("share") >= share), "market_benchmark": fine(F.col("market_low") <= 0), "reproducibility": F.lit(clean),
     }
     every = lambda skip=(): F.array_min(F.array(*(c for name, c in named.items() if name not in skip)))
@@ -79,11 +83,12 @@ def ledger_status(latest: DataFrame, outcomes: DataFrame, ident: str = "row_id",
 
 
 def roles(events: DataFrame, key: str, order: str, role: str = "role") -> DataFrame:
-    """Current role of each key of a registry: that of its last event; at most one champion, the last promoted."""
+    """Current role of each key of a registry: that of its last event; at most one champion, the last promoted, and the ones
+    that it displaced are challengers again."""
     last = events.groupBy(key).agg(F.max_by(role, order).alias(role), F.max(order).alias("__at"))
     top = last.where(F.col(role) == "CHAMPION").agg(F.max("__at").alias("__top"))  # one row
     out = last.withColumn("__j", F.lit(1)).join(F.broadcast(top.withColumn("__j", F.lit(1))), "__j")
-    return out.select(key, F.when((F.col(role) == "CHAMPION") & (F.col("__at") < F.col("__top")), "RETIRED").otherwise(F.col(role)).alias(role))
+    return out.select(key, F.when((F.col(role) == "CHAMPION") & (F.col("__at") < F.col("__top")), "CHALLENGER").otherwise(F.col(role)).alias(role))
 
 
 def health(runs: DataFrame, by: str, at: str, status: str, ties: Sequence[str] = ()) -> DataFrame:

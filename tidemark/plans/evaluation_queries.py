@@ -52,7 +52,7 @@ def eval_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT * FROM (WITH {_LOSS}, d AS (SELECT a.match_id, a.model model_a, b.model model_b, a.ll - b.ll d, date_trunc('week', a.match_date) wk FROM l a JOIN l b ON a.match_id = b.match_id AND a.model < b.model),
     k AS (SELECT model_a, model_b, wk, sum(d) s, count(*) c, row_number() OVER (PARTITION BY model_a, model_b ORDER BY wk) - 1 b FROM d GROUP BY model_a, model_b, wk),
     z AS (SELECT model_a, model_b, count(*) n FROM k GROUP BY ALL),
-    r AS (SELECT model_a, model_b, n, r, unnest(range(1, n + 1)) i FROM (SELECT *, unnest(range(1, 51)) r FROM z) q),
+    r AS (SELECT model_a, model_b, n, r, unnest(range(1, n + 1)) i FROM (SELECT *, unnest(range(1, 1001)) r FROM z) q),
     x AS (SELECT r.model_a, r.model_b, r.r, sum(s) / sum(c) m FROM r JOIN k ON r.model_a = k.model_a AND r.model_b = k.model_b AND k.b = concat('0x', substr(md5(concat_ws('/', 'boot', r.model_a, r.model_b, r.r::VARCHAR, i::VARCHAR)), 1, 8))::BIGINT % r.n GROUP BY ALL)
     SELECT model_a, model_b, (SELECT count(*) FROM d WHERE d.model_a = x.model_a AND d.model_b = x.model_b) n, (SELECT round(avg(d), 6) FROM d WHERE d.model_a = x.model_a AND d.model_b = x.model_b) mean, round(quantile_cont(m, 0.025), 6) ci_low, round(quantile_cont(m, 0.975), 6) ci_high, round(avg((m < 0)::INT), 6) p_a_better,
       CASE WHEN quantile_cont(m, 0.975) < 0 THEN 'first beats second' WHEN quantile_cont(m, 0.025) > 0 THEN 'second beats first' ELSE 'no evidence of a difference' END verdict FROM x GROUP BY model_a, model_b) y""",
@@ -61,7 +61,7 @@ def eval_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired comparison of all models: mean difference of log loss with a weekly block bootstrap interval and its reading."""
     d = evaluate.paired(losses(spark, sf_dir), "match_id", "model", "log_loss", ["match_date"])
-    out = evaluate.block_bootstrap(d, ["model_a", "model_b"], F.date_trunc("week", F.col("match_date")), "difference", replicates=50)
+    out = evaluate.block_bootstrap(d, ["model_a", "model_b"], F.date_trunc("week", F.col("match_date")), "difference", replicates=1000)
     return out.select("model_a", "model_b", "n", *(F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high", "p_a_better")), evaluate.verdict(F.col("ci_low"), F.col("ci_high")).alias("verdict"))
 
 

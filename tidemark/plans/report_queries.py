@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import VERSION
 from ..functions import odds as O
 from ..functions import scores as S
-from ..operators import decision, evaluate, ledger, market, merge, models, pit, reports
+from ..operators import decision, evaluate, ledger, market, merge, models, pit, registry, reports
 from ..sources.lake import _has_files
 from ..sources.scratch import new_path, written
 from ..sources.views import view
-from .decision_queries import candidates
+from .decision_queries import DECIDE, candidates
 from .evaluation_queries import losses
 from .market_queries import SELECTIONS, last_quotes
 from .model_queries import GRID, matrices
@@ -58,16 +59,80 @@ def report_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("family", "experiments", "candidates", F.round("corrected_alpha", 10).alias("corrected_alpha"), F.round("expected_false", 4).alias("expected_false"))
 
 
-@R.add("report_gates")
-def report_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Promotion gates of every model against the first one."""
+def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promotion gates of every model against the first one. Leaks and overlaps are counted on the forecasts: each has the day's
+    start as cutoff and prediction time, but one in a thousand of the last model claims a cutoff of the day after."""
     scored = losses(spark, sf_dir)
     d = evaluate.paired(scored, "match_id", "model", "log_loss", ["match_date"])
     boot = evaluate.block_bootstrap(d, ["model_a", "model_b"], F.date_trunc("week", F.col("match_date")), "difference", replicates=200)
     classes = [evaluate.recalibration(scored.withColumn("hit", (F.col("outcome") == k).cast("int")), ["model"], p, "hit") for k, p in enumerate(("p_home", "p_draw", "p_away"))]
     slopes = classes[0].unionByName(classes[1]).unionByName(classes[2]).groupBy("model").agg(F.min("slope").alias("slope_low"), F.max("slope").alias("slope_high"))
     ece = evaluate.calibration_error(evaluate.reliability(scored, ["model"], "p_home", F.col("outcome") == 0), ["model"])
-    return reports.gates(evaluate.scores(scored, ["model", "season"]), boot, "alpha", calibration=ece.join(slopes, "model"), market="gamma", leakage_passed=True, code_version="1", fingerprint="1")
+    day = F.col("match_date").cast("timestamp_ntz")
+    dated = scored.select("model", "match_id", "match_date").join(view(spark, sf_dir, "matches").select("match_id", "kickoff"), "match_id")
+    dated = dated.withColumns({"predicted_at": day, "cutoff": F.when((F.col("model") == "gamma") & (F.col("match_id") % 1000 == 7), day + F.expr("INTERVAL 1 DAY")).otherwise(day)})
+    audit = dated.groupBy("model").agg(F.count("*").alias("checked")).join(pit.cutoff_violations(dated, ["cutoff"], "predicted_at", "kickoff").groupBy("model").agg(F.count("*").alias("violations")), "model", "left")
+    data = pit.fingerprint(view(spark, sf_dir, "matches"), ["match_id", "home_goals", "away_goals", "available_at"]).first()["fingerprint"]
+    return reports.gates(evaluate.scores(scored, ["model", "season"]), boot, "alpha", calibration=ece.join(slopes, "model"), market="gamma", audit=audit, code_version=VERSION, fingerprint=data)
+
+
+@R.add("report_gates")
+def report_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promotion gates of every model against the first one, with leaks counted on its forecasts."""
+    return gate_report(spark, sf_dir)
+
+
+_CHAIN = """e AS (SELECT model AS family, season, row_number() OVER (PARTITION BY model ORDER BY season) AS v, count(*) AS n, sum(match_id)::BIGINT::VARCHAR AS body FROM forecasts GROUP BY model, season),
+  r(family, v, id, hash, parent_hash) AS (SELECT family, 0::BIGINT, NULL::VARCHAR, repeat('0', 64), NULL::VARCHAR FROM (SELECT DISTINCT family FROM e) UNION ALL
+    SELECT q.family, q.v, concat('exp-', substr(q.h, 1, 16)), q.h, q.ph FROM (SELECT e.family, e.v, r.hash AS ph, sha256(concat(concat_ws('|', concat(length(e.family), ':', e.family), concat(length(e.season::VARCHAR), ':', e.season), coalesce(length(r.id) || ':' || r.id, 'N'), concat(length(e.v::VARCHAR), ':', e.v), '19:2024-01-01 00:00:00',
+      concat(length(e.n::VARCHAR), ':', e.n), '5:false', concat(length(e.body), ':', e.body), '2:{}'), '#', r.hash)) AS h FROM r JOIN e ON e.family = r.family AND e.v = r.v + 1) q)"""
+
+
+def experiment_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger in which every season of a model's forecasts is an experiment built on the one of the season before, added
+    season by season."""
+    per = view(spark, sf_dir, "forecasts").groupBy(F.col("model").alias("family"), "season").agg(F.count("*").alias("n_candidates"), F.sum("match_id").cast("string").alias("body"))
+    per = written(per.withColumn("v", F.row_number().over(Window.partitionBy("family").orderBy("season"))), "experiments")
+    ledger = spark.createDataFrame([], registry.LEDGER)
+    for v in range(1, (per.agg(F.max("v")).first()[0] or 0) + 1):
+        last = ledger.where(F.col("version") == v - 1).select("family", F.col("experiment_id").alias("parent_id"))
+        new = per.where(F.col("v") == v).join(last, "family", "left").select(
+            "family", F.col("season").cast("string").alias("name"), "parent_id", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"), "n_candidates", F.lit(False).alias("used_holdout"), "body", F.lit("{}").alias("metrics")
+        )
+        rows, _ = registry.recorded(new, ledger)
+        ledger = written(ledger.unionByName(rows), "ledger")
+    return ledger
+
+
+@R.add("registry_ledger", f"SELECT * FROM (WITH RECURSIVE {_CHAIN} SELECT family, v::INT AS version, id AS experiment_id, parent_hash, hash AS content_hash FROM r WHERE v > 0) z", ("forecasts",))
+def registry_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experiments chained by hashes of themselves and their parents."""
+    return experiment_ledger(spark, sf_dir).select("family", "version", "experiment_id", "parent_hash", "content_hash")
+
+
+@R.add("registry_tampered", "SELECT model AS family, 3::INT AS version, 'CONTENT' AS reason FROM forecasts GROUP BY model HAVING model <> 'alpha' AND count(DISTINCT season) >= 3 UNION ALL SELECT model, 2::INT, 'PARENT_LOST' FROM forecasts GROUP BY model HAVING model = 'alpha' AND count(DISTINCT season) >= 2", ("forecasts",))
+def registry_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What verification finds after metrics of third versions were changed and the first version of one family was removed."""
+    whole = experiment_ledger(spark, sf_dir)
+    hit = (F.col("version") == 3) & (F.col("family") != "alpha")
+    changed = whole.where("NOT (family = 'alpha' AND version = 1)").withColumn("metrics", F.when(hit, '{"x": 1}').otherwise(F.col("metrics")))
+    return registry.tampered(changed).join(whole.select("experiment_id", "family", "version"), "experiment_id").select("family", "version", "reason")
+
+
+@R.add("report_roles", "SELECT model, CASE WHEN model = 'gamma' THEN 'CHAMPION' WHEN model = 'alpha' THEN 'RETIRED' ELSE 'CHALLENGER' END AS role FROM (SELECT model, count(*) n FROM forecasts GROUP BY model HAVING count(*) > 0) q", ("forecasts",))
+def report_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of a registry: models are promoted in turn by the gates stored for them; the displaced ones are challengers again,
+    the first one is retired, and the promotion of a model whose gates failed last is refused."""
+    names = ["adequate_sample"]
+    per = view(spark, sf_dir, "forecasts").groupBy("model").agg(F.count("*").alias("n"))
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    turn = F.when(F.col("model") == "alpha", "2024-01-01").when(F.col("model") == "beta", "2024-01-02").otherwise("2024-01-03").cast("timestamp_ntz")
+    gates = per.select("model", (F.col("n") > 0).alias("adequate_sample"), (F.col("n") > 0).alias("may_forecast"), F.lit(False).alias("may_bet"), at("2023-12-31").alias("checked_at"))
+    gates = gates.unionByName(gates.where("model = 'beta'").withColumns({"adequate_sample": F.lit(False), "may_forecast": F.lit(False), "checked_at": at("2024-02-01")}))
+    asked = per.select("model", F.lit("probability").alias("scope"), turn.alias("at")).unionByName(per.where("model = 'beta'").select("model", F.lit("probability").alias("scope"), at("2024-02-02").alias("at")))
+    promoted, _ = registry.promotions(asked, gates, names)
+    events = promoted.select("model", "at", F.lit("CHAMPION").alias("role")).unionByName(per.select("model", at("2023-01-01").alias("at"), F.lit("CHALLENGER").alias("role"))).unionByName(per.where("model = 'alpha'").select("model", at("2024-03-01").alias("at"), F.lit("RETIRED").alias("role")))
+    return reports.roles(events, "model", "at")
 
 
 @R.add(
@@ -102,15 +167,6 @@ def report_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.drawdown(bets, ["league"], "match_date", "profit")
 
 
-@R.add("report_roles", "SELECT model, CASE WHEN model = 'gamma' THEN 'CHAMPION' ELSE 'RETIRED' END AS role FROM (SELECT DISTINCT model FROM forecasts) q", ("forecasts",))
-def report_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles of a registry in which every model was promoted in turn."""
-    per = view(spark, sf_dir, "forecasts").groupBy("model").agg(F.min("match_id").alias("a"))
-    at = F.when(F.col("model") == "alpha", 1).when(F.col("model") == "beta", 2).otherwise(3)
-    events = per.select("model", F.explode(F.array(F.struct(F.lit(0).alias("at"), F.lit("CHALLENGER").alias("role")), F.struct(at.alias("at"), F.lit("CHAMPION").alias("role")))).alias("e")).select("model", "e.*")
-    return reports.roles(events, "model", "at")
-
-
 @R.add("report_top_scores", f"""SELECT * FROM (WITH {GRID}, k AS (SELECT match_id, concat(i, '-', j) score, row_number() OVER (PARTITION BY match_id ORDER BY round(p, 12) DESC, i, j) r FROM n) SELECT match_id, string_agg(score, ',' ORDER BY r) AS top FROM k WHERE r <= 6 GROUP BY match_id) z""", ("matches",))
 def report_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six likeliest scores of every match; equal ones (to twelve digits) in the order of their goals."""
@@ -183,8 +239,7 @@ def live_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("match_id", "day", "status", F.round("model_prob", 4).alias("model_prob"), F.round("allowed", 6).alias("allowed"), "version", "supersedes")
 
 
-@R.add("decision_by_status", "SELECT model, count(*) n FROM (SELECT f.match_id, f.model FROM forecasts f LEFT JOIN prices q ON f.match_id = q.match_id AND q.book = 1 AND f.match_id % 23 <> 0) z GROUP BY model", ("matches", "prices", "forecasts"))
+@R.add("decision_by_status", f"SELECT * FROM (WITH {DECIDE} SELECT model, status, count(*) n FROM d GROUP BY ALL) z", ("matches", "prices", "forecasts"))
 def decision_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every candidate gets exactly one status."""
-    out = decision.decide(candidates(spark, sf_dir))
-    return out.where("status IS NOT NULL").groupBy("model").agg(F.count("*").alias("n"))
+    """Candidates by model and status."""
+    return decision.decide(candidates(spark, sf_dir)).groupBy("model", "status").agg(F.count("*").alias("n"))
