@@ -66,6 +66,33 @@ def test_exact_dedup(docs):
     assert exact_dedup.drop_copies(docs.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("leaves", [1, 2, 3, 16, 33])
+def test_runs_are_partitions_and_rounds_binary(spark, leaves):
+    """Every exchange is by run alone; each power of two of runs gives what grouping gives, whatever the copies."""
+    rows = [(random.choice([None, *range(50)]), random.choice(["a", "b", "", None, "C", "c", *map(str, range(40))])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    merged = exact_dedup.merged_runs(exact_dedup.digests(df), "min", leaves)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    rounds = max(1, (max(2, leaves) - 1).bit_length())
+    assert plan.count("Exchange") == plan.count("shufflepartitionidpassthrough") == rounds + 1 and "hashpartitioning" not in plan
+    want = {}
+    for i, t in rows:
+        key = hashlib.sha256((t or "").translate(brute.LOWER).encode()).hexdigest()
+        best, size = want.get(key, (None, 0))
+        want[key] = (i if best is None else best if i is None else min(best, i), size + 1)
+    assert {r["__sha"].hex(): (r["__keep"], r["__size"]) for r in merged.collect()} == want
+
+
+def test_different_texts_of_one_digest_stop_the_job(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "_sha", lambda text: F.unhex(F.sha2(F.lit("same"), 256)))
+    df = spark.createDataFrame([(1, "ab"), (2, "cd")], "doc_id long, text string")
+    copies = exact_dedup.digests(df).select("__sha", "__len", "__second").limit(1)
+    exact_dedup.verify(df, copies)  # the second hash tells them apart
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+    with pytest.raises(ValueError, match="share the digest"):
+        exact_dedup.verify(df, exact_dedup.digests(df).select("__sha", "__len", "__second").limit(1))
+
+
 def test_ngram_join(spark, docs):
     got = ngram_join.linked_components(docs, 3, 90).toPandas()
     want = brute.components(ROWS, 3, 90)

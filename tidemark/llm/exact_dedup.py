@@ -1,12 +1,14 @@
 """Exact dedup by a tree merge of sorted digest runs. DataFrame functions only.
 
-Every row starts in one of ``leaves`` runs (a power of ``radix``), and every digest has a home run. In each round the runs
-whose numbers differ in one digit meet: a digest moves to the run whose digit is that of its home. The sender sorts its run
-and merges equal digests, the receiver merges the sorted runs that reach it, adds their counts and retains the wanted
-identifier of all sides; both are sort aggregates over (run, digest). After the last round each digest is one entry in its
-home run. Runs never shrink in number, so no task ever gets all entries, and a digest that a third of all rows carry goes out
-of each task as one entry. An entry is verified at each level: rows merge only when SHA-256, byte length and a second,
-independent 64-bit hash agree.
+A run is a partition: every row starts in one of n runs (a power of two), sorted by digest, and every digest has a home run.
+In round r of log2(n), runs whose numbers differ in bit r exchange: a digest moves to the run whose bit is that of its home,
+so half of each run stays and half goes to its partner. The receiver merges the sorted streams that reach it, adds the counts
+of equal digests and retains the wanted identifier, verified by SHA-256, byte length and a second, independent 64-bit hash.
+After the last round each digest is one entry in its home run. Runs never shrink in number, so no task ever gets all entries,
+and a digest that a third of all rows carry leaves each task as one entry.
+
+In the end the texts are compared: the least and the greatest text of each merged digest must be the same. Should three hashes
+of different texts ever agree, the job stops with an error rather than lose a text.
 
 Defined results: null text counts as empty; empty texts equal each other; repeated rows count as members; a null
 identifier never wins over a number and wins if its group has no other; an empty table gives an empty table; columns other
@@ -32,28 +34,43 @@ def digests(docs: DataFrame, text: str = "text", ident: str = "doc_id", normalis
     return docs.select(F.col(ident).alias("__id"), norm.alias("__norm")).select("__id", _sha(F.col("__norm")).alias("__sha"), F.octet_length("__norm").cast("long").alias("__len"), F.xxhash64("__norm").alias("__second"))
 
 
-def merged_runs(entries: DataFrame, keep: str = "min", leaves: int | None = None, radix: int = 16) -> DataFrame:
-    """One row per digest: KEY, __keep, __size. leaves: as many as there are shuffle partitions, rounded up."""
-    rounds, wanted = 1, leaves or partitions(entries.sparkSession)
-    while radix**rounds < wanted:
-        rounds += 1
-    number = F.col("__id").isNotNull() if keep == "max" else F.col("__id").isNull()
+def _merged(rows: DataFrame, keep: str) -> DataFrame:
+    """Equal digests of each run as one entry. Rows of a run are in one partition, so nothing is exchanged here."""
     best = {"min": F.min, "max": F.max}[keep]("__best").alias("__best")
-    start = F.pmod(F.xxhash64("__id", "__second"), F.lit(radix**rounds))
+    return rows.sortWithinPartitions("__run", *KEY).groupBy("__run", *KEY).agg(best, F.sum("__size").alias("__size"))
+
+
+def merged_runs(entries: DataFrame, keep: str = "min", leaves: int | None = None) -> DataFrame:
+    """One row per digest: KEY, __keep, __size. leaves: as many runs as shuffle partitions, rounded up to a power of two."""
+    rounds = max(1, (max(2, leaves or partitions(entries.sparkSession)) - 1).bit_length())
+    n = 2**rounds
+    number = F.col("__id").isNotNull() if keep == "max" else F.col("__id").isNull()
+    start = F.pmod(F.xxhash64("__id", "__second"), F.lit(n)).cast("int")
     runs = entries.select(start.alias("__run"), *KEY, F.struct(number.alias("n"), F.col("__id").alias("id")).alias("__best"), F.lit(1).cast("long").alias("__size"))
     home = F.conv(F.hex(F.substring("__sha", 1, 7)), 16, 10).cast("long")
+    runs = _merged(runs.repartitionById(n, "__run"), keep)
     for r in range(rounds):
-        place = radix**r
-        digit = lambda x: F.floor(x / F.lit(place)) % radix  # noqa: B023, E731
-        met = F.col("__run") + (digit(home) - digit(F.col("__run"))) * place
-        runs = runs.withColumn("__run", met.cast("long")).groupBy("__run", *KEY).agg(best, F.sum("__size").alias("__size"))
+        bit = lambda x: F.pmod(F.shiftright(x, r), F.lit(2)).cast("int")  # noqa: B023, E731
+        met = F.col("__run") + (bit(home) - bit(F.col("__run"))) * F.lit(2**r)
+        runs = _merged(runs.withColumn("__run", met.cast("int")).repartitionById(n, "__run"), keep)
     return runs.select(*KEY, F.col("__best.id").alias("__keep"), "__size")
 
 
-def exact_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", keep: str = "min", leaves: int | None = None, radix: int = 16) -> DataFrame:
+def verify(docs: DataFrame, copies: DataFrame, text: str = "text", normalise=ascii_lower) -> None:
+    """Compare the texts of merged digests: raises if a digest has different ones. A task sends two texts of a digest at most."""
+    norm = normalise(F.coalesce(F.col(text), F.lit("")))
+    keyed = docs.select(norm.alias("__norm")).select("__norm", _sha(F.col("__norm")).alias("__sha"), F.octet_length("__norm").cast("long").alias("__len"), F.xxhash64("__norm").alias("__second"))
+    ends = keyed.join(copies.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.min("__norm").alias("__least"), F.max("__norm").alias("__greatest"))
+    odd = ends.where("__least <> __greatest").select(F.hex("__sha")).first()
+    if odd:
+        raise ValueError(f"different texts share the digest {odd[0]}")
+
+
+def exact_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", keep: str = "min", leaves: int | None = None) -> DataFrame:
     """One row per input row: ident, keep_id, group_size, text_sha256 (hex). Only copies go through the join back."""
     entries = written(digests(docs, text, ident), "digests")
-    copies = merged_runs(entries, keep, leaves, radix).where("__size > 1")
+    copies = written(merged_runs(entries, keep, leaves).where("__size > 1"), "merged")
+    verify(docs, copies, text)
     return entries.join(copies, KEY, "left").select(
         F.col("__id").alias(ident),
         F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep")).alias("keep_id"),
@@ -65,12 +82,13 @@ def exact_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", kee
 def drop_copies(docs: DataFrame, text: str = "text", ident: str = "doc_id", keep: str = "min") -> DataFrame:
     """docs without the copies; of rows that repeat the kept identifier and text, one stays. Columns as they came.
 
-    Rows that go are told by identifier and SHA-256. Texts move once, to the join with the rows that go; again only if
-    whole rows repeat.
+    Rows that go are told by identifier and SHA-256. Texts move to be verified and to the join with the rows that go (only
+    where the copies are too many to be broadcast); again if whole rows repeat.
     """
     columns = docs.columns
     entries = written(digests(docs, text, ident), "digests")
-    merged = merged_runs(entries, keep).where("__size > 1")
+    merged = written(merged_runs(entries, keep).where("__size > 1"), "merged")
+    verify(docs, merged, text)
     rows = written(entries.join(merged, KEY).groupBy(F.struct("__id", "__sha").alias("__key")).agg(F.first("__keep").alias("__keep"), F.count("*").alias("__n")), "copies")
     chosen = F.col("__key.__id").eqNullSafe(F.col("__keep"))
     keyed = docs.withColumn("__key", F.struct(F.col(ident).alias("__id"), _sha(ascii_lower(F.coalesce(F.col(text), F.lit("")))).alias("__sha")))
