@@ -6,6 +6,7 @@ import os
 import random
 import re
 import struct
+import subprocess
 import sys
 import zlib
 
@@ -394,6 +395,40 @@ def test_warc_headers_and_files(spark, tmp_path):
         assert len(rows) == n and all(bytes(r["body"]).endswith(long.encode()) for r in rows)
 
 
+def _members(data: bytes) -> list[bytes]:
+    """A plain reader of gzip members."""
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        assert member.eof
+        data = member.unused_data
+    return out
+
+
+def test_warc_files_are_plain_gzip_and_lose_one_record_a_flipped_byte(spark, tmp_path):
+    big = "x" * (17 << 20)  # its length's highest byte is not zero
+    rows = [(i, f"http://a/{i}", f"<p>page {i} {random.random()}</p>" * 50) for i in range(9)] + [(9, "http://a/9", big), (10, "http://a/10", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(warc.response_records(pages, "2024-01-01T00:00:00Z"), path)
+    data = b"".join(f.read_bytes() for f in sorted((tmp_path / "w").glob("part-*")))
+    records = [m for m in _members(data) if m]
+    assert len(records) == 11 and all(r.startswith(b"WARC/1.1\r\n") and r.endswith(b"\r\n\r\n") for r in records)
+    assert subprocess.run(["gzip", "-dc"], input=data, capture_output=True).returncode == 0 and gzip.decompress(data) == b"".join(records)
+    whole = [h["WARC-Target-URI"] for h, _ in warc.parse_warc(warc._unpacked(data))]
+    assert whole == [r[1] for r in rows]
+    starts = [m.start() for m in re.finditer(b"\x1f\x8b\x08", data)]
+    for at in (starts[1] + 40, starts[1] + 4, starts[4] + 60, starts[2]):
+        flipped = data[:at] + bytes([data[at] ^ 0x55]) + data[at + 1 :]
+        found = [h["WARC-Target-URI"] for h, _ in warc.parse_warc(warc._unpacked(flipped))]
+        assert len(found) >= 10 and set(found) <= set(whole)
+    assert [h["WARC-Target-URI"] for h, _ in warc.parse_warc(warc._unpacked(data[: starts[3] + 30] + data[starts[5] :]))] == [x for i, x in enumerate(whole) if i not in (3, 4)]
+    text = b"".join(records)
+    bad = text.replace(b"Content-Length: ", b"Content-Length: x", 1)
+    assert len(list(warc.parse_warc(iter([bad[i : i + 7000] for i in range(0, len(bad), 7000)])))) == 10
+
+
 def test_warc_query_by_brute_force(spark):
     """Digests, links, titles and texts of every page of a small table, found from the pages alone."""
     pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}

@@ -1,8 +1,8 @@
 """WARC files and a derivative builder.
 
 ``write_warc`` stores records as WARC/1.1 files, each record a gzip member of its own, so one can be read alone. Members are
-made in tasks and written by Spark's text writer, which puts one zero byte after each; readers of gzip files pass over zero
-bytes between members. A file holds at most RECORDS_PER_FILE records of one partition. ``read_warc`` reads such files, or any
+made in tasks and written by Spark's text writer, whose line separator is the zero byte that ends each member, so files are
+plain concatenations that any gzip reader unpacks. A file holds at most RECORDS_PER_FILE records of one partition. ``read_warc`` reads such files, or any
 WARC files, plain, gzip as a whole or gzip by record, unpacking one record at a time; a file's packed bytes are one row, so
 files are to be smaller than 2 GB.
 
@@ -13,7 +13,7 @@ kept in the metadata's body. Identifiers are name-based, so a repeated run makes
 
 Defined results: a null page is an empty payload; a null address is left out of the header block; repeated rows make
 records with equal identifiers; header names are compared without regard to case and returned as the standard writes them;
-a record without a valid Content-Length, or cut off at the end of a file, is left out, and reading goes on at the next record; a
+a record without a valid Content-Length, cut off, or in a broken member, is left out, and reading goes on at the next one; a
 response without an identifier gets one made of its headers and body; an empty table makes no records; other columns of the
 pages are not read, so their names cannot clash.
 """
@@ -26,7 +26,7 @@ import html as entities
 import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,18 +81,27 @@ FIELDS = (
 _standard = {name.lower(): name for name in FIELDS}
 
 
+def _member(data: bytes) -> bytes:
+    """A gzip member, or two where the first does not end in a zero byte, without its last byte, which is zero.
+
+    The last byte of a member is the highest of its length modulo 2^32, so it is zero below 16 MB; behind longer records stands
+    an empty member.
+    """
+    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+    member = packer.compress(data) + packer.flush()
+    return member[:-1] if member[-1] == 0 else member + _member(b"")
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records as gzip members."""
+    """Records as gzip members without their last byte."""
     for batch in batches:
         for at in range(0, len(batch), 200):
-            made = []
-            for value in batch.column(0).slice(at, 200):
-                member = zlib.compressobj(4, zlib.DEFLATED, 31)
-                made.append(member.compress((value.as_py() + END * 2).encode()) + member.flush())
+            made = [_member((value.as_py() + END * 2).encode()) for value in batch.column(0).slice(at, 200)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
 
 
 def _write(members: DataFrame, path: str) -> None:
+    """Files of concatenated members: the zero byte that ends each of them is the text writer's line separator."""
     members.select(F.col("member").cast("string")).write.options(lineSep="\0", maxRecordsPerFile=RECORDS_PER_FILE).text(path)
 
 
@@ -100,64 +109,93 @@ def write_warc(records: DataFrame, path: str, record: str = "record") -> None:
     _write(records.select(record).where(F.col(record).isNotNull()).mapInArrow(_packed, "member binary"), path)
 
 
-def _unpacked(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
-    """The bytes of a file in pieces, unpacked if it is made of gzip members. What follows a broken member is left out."""
+def _unpacked(data: bytes, step: int = 1 << 16) -> Iterator[bytes | None]:
+    """The bytes of a file in pieces, unpacked if it is made of gzip members; None where some are lost.
+
+    After a member that is broken, cut off or followed by other bytes, reading goes on at the next place that looks like a
+    member's start.
+    """
     view, at = memoryview(data), 0
     if data[:2] != b"\x1f\x8b":
         for i in range(0, len(data), step):
             yield bytes(view[i : i + step])
         return
-    while at < len(data):
-        if data[at] == 0:
-            at += 1
-            continue
-        member = zlib.decompressobj(31)
+    while 0 <= at < len(data):
+        start, member = at, zlib.decompressobj(31)
         try:
             while not member.eof and at < len(data):
                 piece = view[at : at + step]
                 at += len(piece)
                 yield member.decompress(piece)
+            at -= len(member.unused_data)
+            broken = not member.eof
         except zlib.error:
-            return
-        at -= len(member.unused_data)
+            broken = True
+        if broken:
+            yield None
+            at = data.find(b"\x1f\x8b\x08", start + 1)
 
 
-def parse_warc(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and body of each whole record. Only the record at hand is held."""
+class _Gap(Exception):
+    """Bytes are missing here."""
+
+
+def parse_warc(pieces: Iterable[bytes | None]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and body of each whole record. Only the record at hand is held; where bytes are missing it is given up."""
     source, held = iter(pieces), bytearray()
 
     def grown() -> bool:
-        piece = next(source, None)
-        held.extend(piece or b"")
-        return piece is not None
+        piece = next((p for p in source if p != b""), b"")
+        if piece is None:
+            raise _Gap
+        held.extend(piece)
+        return bool(piece)
 
     while True:
-        while (start := held.find(b"WARC/")) < 0:
-            del held[: max(0, len(held) - 4)]
-            if not grown():
-                return
-        del held[:start]
-        seen = 0
-        while (stop := held.find(b"\r\n\r\n", seen)) < 0:
-            seen = max(0, len(held) - 3)
-            if not grown():
-                return
-        headers: dict[str, str] = {}
-        for line in held[:stop].decode("utf-8", "replace").split(END)[1:]:
-            name, colon, value = line.partition(":")
-            if colon:
-                headers.setdefault(_standard.get(name.strip().lower(), name.strip()), value.strip())
-        size = headers.get("Content-Length", "")
-        if not (size.isascii() and size.isdigit()):
-            del held[: stop + 4]
+        try:
+            found = _next_record(held, grown)
+        except _Gap:
+            held.clear()
             continue
-        end = stop + 4 + int(size)
-        while len(held) < end and grown():
-            pass
-        if len(held) < end:
+        if found is None:
             return
-        yield headers, bytes(held[stop + 4 : end])
-        del held[:end]
+        if found:
+            yield found
+
+
+def _next_record(held: bytearray, grown: Callable[[], bool]) -> tuple[dict[str, str], bytes] | tuple[()] | None:
+    """The next record, taken off what is held; empty if it has no length, None at the end."""
+    while len(held) < 5 and grown():
+        pass
+    while not held.startswith(b"WARC/"):  # only at the start of a line
+        if (start := held.find(b"\nWARC/")) >= 0:
+            del held[: start + 1]
+            continue
+        del held[: max(0, len(held) - 5)]
+        if not grown():
+            return None
+    seen = 0
+    while (stop := held.find(b"\r\n\r\n", seen)) < 0:
+        seen = max(0, len(held) - 3)
+        if not grown():
+            return None
+    headers: dict[str, str] = {}
+    for line in held[:stop].decode("utf-8", "replace").split(END)[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            headers.setdefault(_standard.get(name.strip().lower(), name.strip()), value.strip())
+    size = headers.get("Content-Length", "")
+    if not (size.isascii() and size.isdigit()):
+        del held[: stop + 4]
+        return ()
+    end = stop + 4 + int(size)
+    while len(held) < end and grown():
+        pass
+    if len(held) < end:
+        return None
+    body = bytes(held[stop + 4 : end])
+    del held[:end]
+    return headers, body
 
 
 _KINDS = [pa.map_(pa.string(), pa.string()), pa.binary()]
