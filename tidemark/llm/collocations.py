@@ -46,6 +46,11 @@ class Mining:
     def overlap(self) -> int:
         return self.longest - 1
 
+    @property
+    def counter(self) -> type:
+        """Counters stop at the threshold, so a byte does for thresholds up to 255."""
+        return np.uint8 if self.least < 256 else np.uint16
+
 
 #: Piece separators become newlines and tabs spaces. bytes.lower() changes A-Z only.
 _PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
@@ -164,17 +169,16 @@ class Block:
         whole = pa.Table.from_batches(batches).combine_chunks()
         lists = pc.split_pattern(whole.column("chunk").combine_chunks(), " ")
         sizes = np.diff(lists.offsets.to_numpy())
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        place = np.arange(len(ends))
         more = np.repeat(whole.column("kind").to_numpy() == MORE, sizes)
-        self.room = ends - place  # words from here to the end of the chunk
+        self.room = np.repeat(np.cumsum(sizes).astype(np.int32), sizes)  # words from here to the end of the chunk
+        self.room -= np.arange(len(self.room), dtype=np.int32)
         self.own = ~more | (self.room > m.overlap)  # phrases that begin here belong to this chunk
         self.weight = np.repeat(whole.column("n").to_numpy(), sizes)
         langs = whole.column("lang").combine_chunks().dictionary_encode()
         self.langs = langs.dictionary
-        self.lang = np.repeat(langs.indices.to_numpy(), sizes).astype(np.int64)
+        self.lang = np.repeat(langs.indices.to_numpy(), sizes)
         words = lists.values.dictionary_encode()
-        self.words, self.code = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        self.words, self.code = words.dictionary, words.indices.to_numpy()
         self.hashes = _by_language(_hash_bytes(self.words)[self.code], _hash_bytes(langs.dictionary)[self.lang])
 
     def begins(self, n: int) -> np.ndarray:
@@ -184,7 +188,7 @@ class Block:
         return _rolled(self.hashes, at, n, n)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], m: Mining, most: int = 6 << 20) -> Iterator[Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], m: Mining, most: int = 4 << 20) -> Iterator[Block]:
     """Blocks of some megabytes of chunks."""
     held, size = [], 0
     for batch in batches:
@@ -218,13 +222,13 @@ def _sketched(batches: Iterator[pa.RecordBatch], m: Mining, lengths: range, word
         for n in lengths:
             at = np.flatnonzero(begins[n - 2])
             if len(at):
-                one, two = _slots(block.rolled(at, n), m.sketch_bits)
-                added = np.bincount(np.concatenate([one, two]), np.tile(np.minimum(block.weight[at], m.least), 2), 1 << m.sketch_bits)
                 if counters is None:
-                    counters = np.zeros(1 << m.sketch_bits, np.uint16)
-                np.minimum(np.add(added, counters, out=added), m.least, out=added)
-                counters[:] = added
-    yield from _parts(counters)
+                    counters = np.zeros(1 << m.sketch_bits, np.uint32)
+                weight = np.minimum(block.weight[at], m.least).astype(np.uint32)
+                for slots in _slots(block.rolled(at, n), m.sketch_bits):
+                    np.add.at(counters, slots, weight)
+                np.minimum(counters, m.least, out=counters)
+    yield from _parts(counters, m)
 
 
 def _marked(batches: Iterator[pa.RecordBatch], m: Mining) -> Iterator[pa.RecordBatch]:
@@ -234,18 +238,18 @@ def _marked(batches: Iterator[pa.RecordBatch], m: Mining) -> Iterator[pa.RecordB
         langs, words = (batch.column(i).dictionary_encode() for i in range(2))
         hashes = _by_language(*(_hash_bytes(x.dictionary)[x.indices.to_numpy()] for x in (words, langs)))
         if counters is None:
-            counters = np.zeros(1 << m.sketch_bits, np.uint16)
+            counters = np.zeros(1 << m.sketch_bits, np.uint32)
         for slots in _slots(_rolled(hashes, np.arange(len(hashes)), 1, 1), m.sketch_bits):
             counters[slots] = m.least
-    yield from _parts(counters)
+    yield from _parts(counters, m)
 
 
 PARTS = 64
 
 
-def _parts(counters: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _parts(counters: np.ndarray | None, m: Mining) -> Iterator[pa.RecordBatch]:
     if counters is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in np.split(counters, PARTS)], pa.binary())], names=["part", "counters"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.astype(m.counter).tobytes() for p in np.split(counters, PARTS)], pa.binary())], names=["part", "counters"])
 
 
 def _sketch(parts: DataFrame, m: Mining):
@@ -255,16 +259,16 @@ def _sketch(parts: DataFrame, m: Mining):
         total = np.zeros((1 << m.sketch_bits) // PARTS, np.uint32)
         for batch in batches:
             for part in batch.column("counters"):
-                total = np.minimum(total + np.frombuffer(part.as_buffer(), np.uint16), m.least)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.uint16).tobytes()], pa.binary())], names=["part", "counters"])
+                total = np.minimum(total + np.frombuffer(part.as_buffer(), m.counter), m.least)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(m.counter).tobytes()], pa.binary())], names=["part", "counters"])
 
-    out = np.zeros(1 << m.sketch_bits, np.uint16).reshape(PARTS, -1)
+    out = np.zeros(1 << m.sketch_bits, m.counter).reshape(PARTS, -1)
     for row in parts.groupBy("part").applyInArrow(summed, "part int, counters binary").collect():
-        out[row["part"]] = np.frombuffer(bytes(row["counters"]), np.uint16)
+        out[row["part"]] = np.frombuffer(bytes(row["counters"]), m.counter)
     return parts.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
-def _counted(batches: Iterator[pa.RecordBatch], m: Mining, words: np.ndarray, pairs: np.ndarray, longer: np.ndarray, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], m: Mining, words: np.ndarray, pairs: np.ndarray, longer: np.ndarray, most: int = 300_000) -> Iterator[pa.RecordBatch]:
     """lang, chunk (the phrase), kind (its words), n: phrases of two words and more that may reach the threshold, summed over
     the task's blocks as long as there are no more than `most` of them.
 
@@ -274,7 +278,7 @@ def _counted(batches: Iterator[pa.RecordBatch], m: Mining, words: np.ndarray, pa
     for block in _blocks(batches, m):
         begins = _passing(block, m, words, pairs)
         width = len(block.words)
-        number = block.lang * width + block.code
+        number = block.lang.astype(np.int64) * width + block.code
         for n in range(2, m.longest + 1):
             places = np.flatnonzero(begins[n - 2] & (number >= 0))
             if n > 2:
@@ -315,7 +319,7 @@ def phrase_counts(docs: DataFrame, m: Mining = Mining(), text: str = "text", lan
     chunks, words = _to_count(all_).where(F.col("kind") < WORD), all_.where(F.col("kind") == WORD)
     frequent = words.where(F.col("n") >= m.least)
     totals = words.groupBy("lang").agg(F.lit("").alias("phrase"), F.lit(0).alias("size"), F.sum("n").alias("n"))
-    read = lambda x: np.frombuffer(x.value, np.uint16) if x else None
+    read = lambda x: np.frombuffer(x.value, m.counter) if x else None
     known = _sketch(frequent.select("lang", "chunk").mapInArrow(lambda batches: _marked(batches, m), "part int, counters binary"), m)
 
     def sketch(lengths: range, pairs=None):
