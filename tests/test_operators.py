@@ -14,7 +14,7 @@ from tidemark.functions import metrics as M
 from tidemark.functions import names as N
 from tidemark.functions import odds as O
 from tidemark.functions import scores as S
-from tidemark.operators import calibration, decision, ledger, merge, models, pit, ratings
+from tidemark.operators import calibration, decision, ledger, live, merge, models, pit, ratings
 from tidemark.plans import report_queries
 from tidemark.sources import lake
 from tidemark.sources.views import view
@@ -293,20 +293,37 @@ def test_live_run_is_blind_to_later_prices_and_versions_its_ledger(spark, sf_dir
     # The fixtures' prices are all seen before now or all after it, by match.
     early = prices.join(fixtures.select("match_id"), "match_id", "left_semi").withColumn("seen_at", F.when(F.col("match_id") % 2 == 0, F.lit(str(now - dt.timedelta(hours=1))).cast("timestamp_ntz")).otherwise(F.lit(str(now + dt.timedelta(seconds=1))).cast("timestamp_ntz")))
     later = early.withColumns({"seen_at": F.lit(str(now + dt.timedelta(hours=2))).cast("timestamp_ntz"), "odds_h": F.col("odds_h") + 3})
-    early = early.localCheckpoint()
-    key = lambda rows: sorted((r["match_id"], r["status"], r["model_prob"], r["fair_prob"], r["odds"], r["allowed"], r["version"], r["supersedes"]) for r in rows.collect())
+    early = early.cache()
+    key = lambda rows: sorted(((r["match_id"], r["selection"]), r["status"], r["model_prob"], r["fair_prob"], r["odds"], r["allowed"], r["version"], r["supersedes"]) for r in rows.collect())
+    run = lambda p, x: key(report_queries.live_run(m, p, at, x, least_links=100))
     one, two = (f"file://{tmp_path}/{x}" for x in ("one", "two"))
-    first = key(report_queries.live_run(m, early, at, one))
-    assert first == key(report_queries.live_run(m, early.unionByName(later), at, two)) and len(first) > 1
-    assert all((x[4] is not None) == (x[0] % 2 == 0) for x in first) and {x[4] is None for x in first} == {True, False} and all(x[6:] == (1, None) for x in first)
-    assert not key(report_queries.live_run(m, early.unionByName(later), at, one))  # nothing changed
-    chosen = next(x[0] for x in first if x[4] is not None)
+    first = run(early, one)
+    assert first == run(early.unionByName(later), two) and len(first) > 3 and {x[0][1] for x in first} == {"H", "D", "A"}
+    assert all((x[4] is not None) == (x[0][0] % 2 == 0) for x in first) and {x[4] is None for x in first} == {True, False} and all(x[6:] == (1, None) for x in first)
+    assert not run(early.unionByName(later), one)  # nothing changed
+    chosen = next(x[0][0] for x in first if x[4] is not None)
     moved = early.withColumn("odds_h", F.when(F.col("match_id") == chosen, F.col("odds_h") + 3).otherwise(F.col("odds_h")))
-    again = {x[0]: x for x in key(report_queries.live_run(m, moved, at, one))}
-    assert chosen in again and all(x[6:] == (2, f"{k}:H:1") for k, x in again.items())
+    again = {x[0]: x for x in run(moved, one)}
+    assert (chosen, "H") in again and all(x[6:] == (2, f"{k[0]}:{k[1]}:1") for k, x in again.items())
     assert spark.read.parquet(one).count() == len(first) + len(again)
 
 
+def test_live_inputs_are_measured(spark, sf_dir):
+    """Quality falls with stale prices, disagreement and matches come from the fits, bounds from their covariance."""
+    at = "1998-07-02 12:00:00"
+    m, prices = view(spark, sf_dir, "matches"), view(spark, sf_dir, "prices")
+    stamp = lambda hours: prices.withColumn("seen_at", F.lit(at).cast("timestamp_ntz") - F.make_interval(hours=F.lit(hours)))
+    state = {"method": "temperature", "calibrator": '{"method": "temperature", "beta": 0.5}', "validated": False, "drift_alert": False}
+    fresh, stale = (live.candidates_at(m, stamp(h), at, state=state, least_links=100).toPandas().sort_values(["match_id", "selection"]).reset_index(drop=True) for h in (1, 160))
+    priced = fresh.odds.notna()
+    fresh, stale = fresh[priced], stale[priced]
+    assert len(fresh) and (fresh.quality > stale.quality + 0.1).all() and all("STALE_ODDS" in x for x in stale["flags"]) and not any("STALE_ODDS" in x for x in fresh["flags"])
+    assert fresh.disagreement.dropna().between(0, 1).all() and fresh.disagreement.nunique() > 3 and fresh.home_matches.nunique() > 3
+    assert (fresh.prob_low <= fresh.model_prob).all() and np.allclose(fresh.groupby("match_id").model_prob.sum(), 1) and (np.abs(fresh.model_prob - fresh.raw_prob) > 1e-6).any()
+    judged = decision.decide(live.candidates_at(m, stamp(1), at, state=state, least_links=100)).collect()
+    assert all("MODEL_NOT_VALIDATED_VS_MARKET" in r["reasons"] or r["status"] == "INSUFFICIENT_DATA" for r in judged)
+
+
 def test_dimension_and_followups(spark, tmp_path):
     (tmp_path / "c.json").write_text('[{"competition": "A1", "name": "A", "tier": 1, "sources": {"x": "I1"}}, {"competition": "B1", "name": "B", "tier": 2, "sources": {"y": "J1"}}]')
     dim = lake.competitions(spark, f"file://{tmp_path}/c.json", "x")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,8 +148,8 @@ def fixtures_of(results: DataFrame) -> DataFrame:
     return played.join(fits, ["league", "at"]).withColumnRenamed("fit_at", "cutoff").drop("at")
 
 
-def forecast_models(results: DataFrame, fixtures: DataFrame, goals: dict[str, models.Goals] = MODELS, least_links: int = 300) -> DataFrame:
-    """Forecasts of the fixtures by every model, each from results visible at the fixture's cutoff."""
+def forecast_models(results: DataFrame, fixtures: DataFrame, goals: dict[str, models.Goals] = MODELS, least_links: int = 300, others: bool = True) -> DataFrame:
+    """Forecasts of the fixtures by the goal models and the others, each from results visible at the fixture's cutoff."""
     cutoffs = fixtures.select("league", "cutoff").distinct()
     keys = ["match_id", "league", "season", "match_date", "outcome"]
 
@@ -158,18 +160,18 @@ def forecast_models(results: DataFrame, fixtures: DataFrame, goals: dict[str, mo
         d = F.col("i") - F.col("j")
         return S.shares(rows, keys, p_home=d > 0, p_draw=d == 0, p_away=d < 0).select(*keys, F.lit(name).alias("model"), *PROBABILITIES)
 
-    fold = written(ratings.folded(results), "ratings")
-    link = models.link_fits(ratings.history(fold), results, cutoffs, least=least_links).where("covariance IS NOT NULL")
-    logit = M.ordered_logit(models.rating_gap(), F.col("low"), F.col("log_gap"), F.col("slope"))
-    elo = ratings.ratings_at(fixtures, fold).join(link, ["league", "cutoff"]).select(*keys, F.lit("elo").alias("model"), S.held(logit).alias("p"))
-    elo = elo.select(*keys, "model", *(F.col("p")[i].alias(p) for i, p in enumerate(PROBABILITIES)))
-    rates = features.base_rates(results).withColumnRenamed("match_date", "__day").withColumnRenamed("n", "__n")
-    rates = rates.select(F.col("league").alias("__l"), "__day", *PROBABILITIES)
-    climate = fixtures.join(rates, (F.col("league") == F.col("__l")) & (F.col("cutoff").cast("date") == F.col("__day"))).select(*keys, F.lit("climatology").alias("model"), *PROBABILITIES)
-    out = elo.unionByName(climate)
-    for name, params in goals.items():
-        out = out.unionByName(by_goals(name, params))
-    return out
+    made = [by_goals(name, params) for name, params in goals.items()]
+    if others:
+        fold = written(ratings.folded(results), "ratings")
+        link = models.link_fits(ratings.history(fold), results, cutoffs, least=least_links).where("covariance IS NOT NULL")
+        logit = M.ordered_logit(models.rating_gap(), F.col("low"), F.col("log_gap"), F.col("slope"))
+        elo = ratings.ratings_at(fixtures, fold).join(link, ["league", "cutoff"]).select(*keys, F.lit("elo").alias("model"), S.held(logit).alias("p"))
+        elo = elo.select(*keys, "model", *(F.col("p")[i].alias(p) for i, p in enumerate(PROBABILITIES)))
+        rates = features.base_rates(results).withColumnRenamed("match_date", "__day").withColumnRenamed("n", "__n")
+        rates = rates.select(F.col("league").alias("__l"), "__day", *PROBABILITIES)
+        climate = fixtures.join(rates, (F.col("league") == F.col("__l")) & (F.col("cutoff").cast("date") == F.col("__day"))).select(*keys, F.lit("climatology").alias("model"), *PROBABILITIES)
+        made += [elo, climate]
+    return reduce(DataFrame.unionByName, made)
 
 
 def walked(spark: SparkSession, sf_dir: str) -> DataFrame:

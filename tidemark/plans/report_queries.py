@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from .. import VERSION
 from ..functions import odds as O
 from ..functions import scores as S
-from ..operators import decision, evaluate, ledger, market, merge, models, pit, registry, reports
+from ..operators import decision, evaluate, ledger, live, market, merge, models, pit, registry, reports
 from ..sources.lake import _has_files
 from ..sources.scratch import new_path, written
 from ..sources.views import view
 from .decision_queries import DECIDE, candidates
 from .evaluation_queries import losses
 from .market_queries import SELECTIONS, last_quotes
-from .model_queries import GRID, matrices
+from .model_queries import GRID, fixtures_of, forecast_models, matrices
 from .registry import Registry
 
 R = Registry()
@@ -204,27 +204,16 @@ _CANDIDATE = "match_id long, league int, day date, selection string, status stri
 _LEDGER = f"{_CANDIDATE}, predicted_at timestamp_ntz, version int, supersedes string, row_id string"
 
 
-def live_run(m: DataFrame, prices: DataFrame, at: str, path: str) -> DataFrame:
+def live_run(m: DataFrame, prices: DataFrame, at: str, path: str, state: dict | None = None, least_links: int = 300) -> DataFrame:
     """Judge the upcoming fixtures as of a time and append to the ledger at path those that are new or changed; the rows appended."""
-    spark = m.sparkSession
-    now = F.lit(at).cast("timestamp_ntz")
-    results = pit.visible(m.where("status = 'FINISHED'"), now, disputed="disputed")
-    cut = m.select("league").distinct().withColumn("cutoff", now)
-    fixtures = pit.upcoming(m, now, "kickoff", "match_date").where(F.col("kickoff") <= now + F.expr("INTERVAL 45 DAY")).select("match_id", "league", "kickoff", "match_date", "home_team", "away_team", now.alias("cutoff"))
-    goals = models.expected_goals(fixtures, models.goal_fits(results, cut)).withColumn("p", S.one_x_two(S.cells(F.col("lambda_home"), F.col("lambda_away"), F.col("rho")))[0])
-    quotes = pit.latest(pit.visible(prices, now, "seen_at").select("match_id", "book", "supplier", "seen_at", "odds_h", "odds_d", "odds_a"), ["match_id", "book"], "seen_at", ["supplier"])
-    inverse = 1 / F.col("odds_h") + 1 / F.col("odds_d") + 1 / F.col("odds_a")
-    best = quotes.groupBy("match_id").agg(F.max("odds_h").alias("odds"), F.median(1 / F.col("odds_h") / inverse).alias("fair_prob"))
-    rows = goals.join(best, "match_id", "left").select(
-        "match_id", "league", F.col("match_date").alias("day"), "home_team", "away_team", F.col("p").alias("model_prob"), F.col("p").alias("raw_prob"), (F.col("p") - 0.05).alias("prob_low"), "fair_prob", "odds", F.lit(0.9).alias("quality"), F.lit(0.03).alias("disagreement"),
-        F.lit(40).alias("home_matches"), F.lit(40).alias("away_matches"), F.array().cast("array<string>").alias("flags"), F.lit("identity").alias("calibration"), F.lit(False).alias("drift_alert"), F.lit(True).alias("validated"),
-    )
+    spark, now = m.sparkSession, F.lit(at).cast("timestamp_ntz")
+    rows = written(live.candidates_at(m, prices, at, state=state, least_links=least_links), "live-candidates")
     judged = decision.decide(rows)
     stake = F.when(F.col("status").isin("CANDIDATE", "STRONG_CANDIDATE"), O.stake(F.col("fair_prob") + 0.5 * (F.col("model_prob") - F.col("fair_prob")), F.col("odds"))).otherwise(0.0)
     out = decision.capped(judged.withColumn("stake", stake).drop("flags", "reasons", "warnings"))
     # Rounded, so that a fit or a sum made in another order is no change.
     watched = ["status", "model_prob", "fair_prob", "odds", "allowed"]
-    found = out.withColumns({"selection": F.lit("H"), **{c: F.round(c, 9) for c in ("model_prob", "fair_prob", "stake", "allowed")}}).to(spark.createDataFrame([], _CANDIDATE).schema)
+    found = out.withColumns({c: F.round(c, 9) for c in ("model_prob", "fair_prob", "stake", "allowed")}).to(spark.createDataFrame([], _CANDIDATE).schema)
     old = spark.read.schema(_LEDGER).parquet(path) if _has_files(spark, path) else spark.createDataFrame([], _LEDGER)
     new = ledger.changed(found.withColumn("predicted_at", now), old, ["match_id", "selection"], watched)
     new = written(new.withColumns({"version": F.col("version").cast("int"), "row_id": F.concat_ws(":", "match_id", "selection", "version")}).select(*old.columns), "live-run")
@@ -232,11 +221,20 @@ def live_run(m: DataFrame, prices: DataFrame, at: str, path: str) -> DataFrame:
     return new
 
 
+NOW = "1998-07-02 12:00:00"
+
+
 @R.add("live_candidates")
 def live_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A live run in the middle of the data: fits as of now, upcoming fixtures, prices visible now, decisions, capped stakes, appended to a new ledger."""
-    out = live_run(view(spark, sf_dir, "matches"), view(spark, sf_dir, "prices"), "1998-07-02 12:00:00", new_path(spark, "live-ledger"))
-    return out.select("match_id", "day", "status", F.round("model_prob", 4).alias("model_prob"), F.round("allowed", 6).alias("allowed"), "version", "supersedes")
+    """A live run in the middle of the data: walk-forward of the goal model for its calibrator, standing against the market and
+    drift; fits as of now, upcoming fixtures, prices visible now, decisions, capped stakes, appended to a new ledger."""
+    m, prices = view(spark, sf_dir, "matches"), view(spark, sf_dir, "prices")
+    now = F.lit(NOW).cast("timestamp_ntz")
+    results = pit.visible(m.where("status = 'FINISHED'"), now, disputed="disputed")
+    walked = written(forecast_models(results, written(fixtures_of(results), "fixtures"), {"goals": models.Goals()}, others=False), "walked")
+    state = live.standing(walked, pit.visible(prices, now, "seen_at"), m, "goals")
+    out = live_run(m, prices, NOW, new_path(spark, "live-ledger"), state)
+    return out.select("match_id", "selection", "day", "status", F.round("model_prob", 4).alias("model_prob"), F.round("allowed", 6).alias("allowed"), "version", "supersedes")
 
 
 @R.add("decision_by_status", f"SELECT * FROM (WITH {DECIDE} SELECT model, status, count(*) n FROM d GROUP BY ALL) z", ("matches", "prices", "forecasts"))
