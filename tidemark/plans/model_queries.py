@@ -97,7 +97,27 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "matches").where("status = 'FINISHED' AND disputed = 0")
 
 
-@R.add("elo_history")
+_MEAN = "list_avg(list_filter(list_transform(range(1, 21), lambda i: CASE WHEN s1[i] = season - 1 OR s0[i] = season - 1 THEN c[i] END), lambda v: v IS NOT NULL))"
+_LOW = "list_aggregate(list_filter(list_transform(range(1, 21), lambda i: CASE WHEN s1[i] = season - 1 OR s0[i] = season - 1 THEN c[i] END), lambda v: v IS NOT NULL), 'quantile_cont', 0.2)"
+#: Step by step: ratings r and seasons b, a of a league's twenty teams, and the same as they were before the instant (c, s1, s0).
+ELO_SQL = f"""SELECT * FROM (WITH RECURSIVE m AS (SELECT match_id, league, season, available_at, (home_team % 100 + 1)::INT h, (away_team % 100 + 1)::INT w, home_goals - away_goals AS d, row_number() OVER (PARTITION BY league ORDER BY available_at, match_date, match_id) n,
+    row_number() OVER (PARTITION BY league, available_at ORDER BY match_date, match_id) k FROM matches WHERE status = 'FINISHED' AND disputed = 0),
+  f(league, n, match_id, eh, ew, r, b, a, c, s1, s0) AS (
+    SELECT DISTINCT league, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, list_transform(range(20), lambda i: NULL::DOUBLE), list_transform(range(20), lambda i: NULL::INT), list_transform(range(20), lambda i: NULL::INT), list_transform(range(20), lambda i: NULL::DOUBLE), list_transform(range(20), lambda i: NULL::INT), list_transform(range(20), lambda i: NULL::INT) FROM m
+    UNION ALL
+    SELECT league, n, match_id, r1[h], r1[w],
+      list_transform(r1, lambda x, i: CASE WHEN i = h THEN x + g WHEN i = w THEN x - g ELSE x END), b1, a1, c, s1, s0
+    FROM (SELECT *, 20.0 * CASE WHEN abs(d) < 2 THEN 1.0 WHEN abs(d) = 2 THEN 1.5 ELSE (11.0 + abs(d)) / 8 END * (CASE WHEN d > 0 THEN 1.0 WHEN d = 0 THEN 0.5 ELSE 0 END - 1 / (1 + pow(10.0, -(r1[h] - r1[w] + 65.0) / 400))) AS g
+      FROM (SELECT *, list_transform(r, lambda x, i: CASE WHEN NOT (i = h OR i = w) OR NOT (b[i] IS NULL OR b[i] < season) THEN x WHEN x IS NULL THEN low ELSE (CASE WHEN b[i] = season - 1 THEN x + 0.2 * (mean - x) ELSE (x + 0.2 * (mean - x) + low) / 2 END) END) AS r1,
+          list_transform(b, lambda x, i: CASE WHEN (i = h OR i = w) AND (x IS NULL OR x < season) THEN season ELSE x END) AS b1,
+          list_transform(a, lambda x, i: CASE WHEN (i = h OR i = w) AND (b[i] IS NULL OR b[i] < season) THEN coalesce(b[i], season - 1000) ELSE x END) AS a1
+        FROM (SELECT *, coalesce({_MEAN}, list_avg(c), 1500.0) AS mean, coalesce({_LOW}, 1500.0) AS low
+          FROM (SELECT f.league, m.n, m.match_id, m.season, m.h, m.w, m.d, f.r, f.b, f.a, CASE WHEN m.k = 1 THEN f.r ELSE f.c END AS c, CASE WHEN m.k = 1 THEN f.b ELSE f.s1 END AS s1, CASE WHEN m.k = 1 THEN f.a ELSE f.s0 END AS s0
+            FROM f JOIN m ON m.league = f.league AND m.n = f.n + 1) q) q) q) q)
+  SELECT match_id, league, round(eh, 6) AS elo_home, round(ew, 6) AS elo_away FROM f WHERE n > 0) z"""
+
+
+@R.add("elo_history", ELO_SQL, ("matches",))
 def elo_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings before every match."""
     out = ratings.history(ratings.folded(_results(spark, sf_dir)))
