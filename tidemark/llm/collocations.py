@@ -99,11 +99,23 @@ def _table(lang: pa.Array, chunk: pa.Array, kind: np.ndarray, n: np.ndarray) ->
     return pa.table({"lang": lang, "chunk": chunk, "kind": pa.array(kind, pa.int32()), "n": pa.array(n, pa.int64())})
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], m: Mining, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with some bytes in the column; a longer value is a part of its own. Memory goes back after each."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(batch):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+            pa.default_memory_pool().release_unused()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], m: Mining, most: int = 200_000) -> Iterator[pa.RecordBatch]:
     """lang, chunk (words joined by spaces), kind (FINAL: no successor, MORE: with one, WORD: a single word), n (of a batch of
     chunks; of many batches of words)."""
     held: list[pa.Table] = []
-    for batch in batches:
+    for batch in _slices(batches, 1, 1 << 20):
         languages, pieces = [], []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = [p for p in (text or "").encode().lower().translate(_PIECES).split(b"\n") if p]
@@ -188,10 +200,10 @@ class Block:
         return _rolled(self.hashes, at, n, n)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], m: Mining, most: int = 4 << 20) -> Iterator[Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], m: Mining, most: int = 2 << 20) -> Iterator[Block]:
     """Blocks of some megabytes of chunks."""
     held, size = [], 0
-    for batch in batches:
+    for batch in _slices(batches, 1, 1 << 20):
         held.append(batch)
         size += batch.column(1).nbytes
         if size >= most:
@@ -223,12 +235,12 @@ def _sketched(batches: Iterator[pa.RecordBatch], m: Mining, lengths: range, word
             at = np.flatnonzero(begins[n - 2])
             if len(at):
                 if counters is None:
-                    counters = np.zeros(1 << m.sketch_bits, np.uint32)
-                weight = np.minimum(block.weight[at], m.least).astype(np.uint32)
+                    counters = np.zeros(1 << m.sketch_bits, m.counter)
+                weight = np.minimum(block.weight[at], m.least)
                 for slots in _slots(block.rolled(at, n), m.sketch_bits):
-                    np.add.at(counters, slots, weight)
-                np.minimum(counters, m.least, out=counters)
-    yield from _parts(counters, m)
+                    slots, which = np.unique(slots, return_inverse=True)
+                    counters[slots] = np.minimum(counters[slots] + np.bincount(which, weight), m.least)
+    yield from _parts(counters)
 
 
 def _marked(batches: Iterator[pa.RecordBatch], m: Mining) -> Iterator[pa.RecordBatch]:
@@ -238,18 +250,18 @@ def _marked(batches: Iterator[pa.RecordBatch], m: Mining) -> Iterator[pa.RecordB
         langs, words = (batch.column(i).dictionary_encode() for i in range(2))
         hashes = _by_language(*(_hash_bytes(x.dictionary)[x.indices.to_numpy()] for x in (words, langs)))
         if counters is None:
-            counters = np.zeros(1 << m.sketch_bits, np.uint32)
+            counters = np.zeros(1 << m.sketch_bits, m.counter)
         for slots in _slots(_rolled(hashes, np.arange(len(hashes)), 1, 1), m.sketch_bits):
             counters[slots] = m.least
-    yield from _parts(counters, m)
+    yield from _parts(counters)
 
 
 PARTS = 64
 
 
-def _parts(counters: np.ndarray | None, m: Mining) -> Iterator[pa.RecordBatch]:
+def _parts(counters: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     if counters is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.astype(m.counter).tobytes() for p in np.split(counters, PARTS)], pa.binary())], names=["part", "counters"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in np.split(counters, PARTS)], pa.binary())], names=["part", "counters"])
 
 
 def _sketch(parts: DataFrame, m: Mining):
