@@ -57,10 +57,11 @@ def merged_runs(entries: DataFrame, keep: str = "min", leaves: int | None = None
 
 
 def verify(docs: DataFrame, copies: DataFrame, text: str = "text", normalise=ascii_lower) -> None:
-    """Compare the texts of merged digests: raises if a digest has different ones. A task sends two texts of a digest at most."""
+    """Compare the texts of merged digests: raises if a digest has different ones. Texts move once, to their digest's copies;
+    hot digests are split by AQE. A task of the aggregation sends two texts of a digest at most."""
     norm = normalise(F.coalesce(F.col(text), F.lit("")))
     keyed = docs.select(norm.alias("__norm")).select("__norm", _sha(F.col("__norm")).alias("__sha"), F.octet_length("__norm").cast("long").alias("__len"), F.xxhash64("__norm").alias("__second"))
-    ends = keyed.join(copies.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.min("__norm").alias("__least"), F.max("__norm").alias("__greatest"))
+    ends = keyed.join(copies.select(*KEY).hint("merge"), KEY, "left_semi").groupBy(*KEY).agg(F.min("__norm").alias("__least"), F.max("__norm").alias("__greatest"))
     odd = ends.where("__least <> __greatest").select(F.hex("__sha")).first()
     if odd:
         raise ValueError(f"different texts share the digest {odd[0]}")
@@ -82,8 +83,8 @@ def exact_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", kee
 def drop_copies(docs: DataFrame, text: str = "text", ident: str = "doc_id", keep: str = "min") -> DataFrame:
     """docs without the copies; of rows that repeat the kept identifier and text, one stays. Columns as they came.
 
-    Rows that go are told by identifier and SHA-256. Texts move to be verified and to the join with the rows that go (only
-    where the copies are too many to be broadcast); again if whole rows repeat.
+    Rows that go are told by identifier and SHA-256. Texts move once to be verified and once to the join with the rows
+    that go; again if whole rows repeat.
     """
     columns = docs.columns
     entries = written(digests(docs, text, ident), "digests")
