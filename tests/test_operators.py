@@ -116,6 +116,10 @@ def test_merge_picks_by_priority_and_keeps_conflicts(spark):
     r = m.first()
     assert (r["primary_source"], r["home_goals"], r["disputed"], r["sources"], str(r["match_date"])) == ("a", 1, 1, ["a", "b", "c"], "2024-01-03") and r["available_at"] == dt.datetime(2024, 1, 3, 18)
     assert sorted(x["field"] for x in merge.conflicts(df, m, ["pair"]).collect()) == ["match_date", "match_date", "score"]
+    halves = df.withColumns({"ht_home": F.when(F.col("source") == "a", 0).when(F.col("source") == "b", 1), "ht_away": F.lit(0)})
+    assert [(x["source"], x["primary_value"], x["other_value"]) for x in merge.conflicts(halves, m, ["pair"]).where("field = 'half_time'").collect()] == [("b", "0-0", "1-0")]
+    other = merge.merged(df.withColumn("home_goals", F.when(F.col("source") == "a", 5).otherwise(F.col("home_goals")).cast("int")), ["pair"], ["a", "b", "c"], ["b"]).first()
+    assert r["data_version"] == merge.merged(df.orderBy(F.desc("source")), ["pair"], ["a", "b", "c"], ["b"]).first()["data_version"] != other["data_version"]
 
 
 def test_caps(spark):
@@ -274,6 +278,16 @@ def test_refits(spark):
     df = spark.createDataFrame([("m", (base + pd.Timedelta(days=d)).to_pydatetime()) for d in (0, 3, 7, 8, 20)], "model string, at timestamp")
     got = [(r["fit_at"] - base.to_pydatetime()).days for r in models.refit_dates(df, "model", "at").orderBy("at").collect()]
     assert got == [0, 0, 7, 7, 20]
+    got = [(r["fit_at"] - base.to_pydatetime()).days for r in models.refit_dates(df, "model", "at", always=["m"]).orderBy("at").collect()]
+    assert got == [0, 3, 7, 8, 20]
+
+
+def test_link_intervals_hold_the_forecast(spark):
+    links = spark.createDataFrame([(1, 7, 500, -0.8, 0.1, 1.5, [0.01, 0.0, 0.0, 0.0, 0.01, 0.0, 0.0, 0.0, 0.04])], "league int, cutoff int, n long, low double, log_gap double, slope double, covariance array<double>")
+    asked = spark.createDataFrame([(i, 1, 7, 1500.0 + 60 * i, 1500.0) for i in range(4)] + [(9, 2, 7, 1500.0, 1500.0)], "match_id long, league int, cutoff int, elo_home double, elo_away double")
+    got = models.link_intervals(asked, links).toPandas()
+    assert len(got) == 12 and (got.low < got.p).all() and (got.p < got.high).all() and np.allclose(got.groupby("match_id").p.sum(), 1) and got[got.market == "home"].sort_values("match_id").p.is_monotonic_increasing
+    assert models.link_intervals(asked.repartition(3), links).toPandas().sort_values(["match_id", "market"]).reset_index(drop=True).equals(got.sort_values(["match_id", "market"]).reset_index(drop=True))
 
 
 def test_goal_intervals_hold_the_forecast(spark, sf_dir):

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ledger import canonical
+
 
 def rank(source: Column, priority: Sequence[str]) -> Column:
     """Place of a source in the priority list; unknown ones last."""
@@ -50,7 +52,8 @@ def cluster(records: DataFrame, keys: Sequence[str], source: str = "source", dat
 
 def merged(records: DataFrame, keys: Sequence[str], results: Sequence[str], kickoffs: Sequence[str], buffer_hours: int = 3) -> DataFrame:
     """One row per cluster: score of the best source that has one, kickoff of the best exact source, availability, sources
-    by priority, and whether scores disagree. One aggregation; each pick is a min_by over a rank."""
+    by priority, whether scores disagree, and a hash of all this that changes with it. One aggregation; each pick is a min_by
+    over a rank."""
     r, k = rank(F.col("source"), results), rank(F.col("source"), kickoffs)
     scored, exact = F.col("home_goals").isNotNull(), F.col("kickoff").isNotNull()
     who = F.struct(F.when(scored, 0).otherwise(1).alias("a"), r.alias("b"), F.col("source").alias("c"), F.col("source_key").alias("d"))
@@ -63,15 +66,21 @@ def merged(records: DataFrame, keys: Sequence[str], results: Sequence[str], kick
     day = F.coalesce(F.col("kickoff").cast("date"), F.col("p.match_date"))
     status = F.when(F.col("p.home_goals").isNotNull(), "FINISHED").when(F.col("__open"), "SCHEDULED").otherwise("UNKNOWN")
     available = F.when(status == "FINISHED", F.when(F.col("kickoff").isNotNull(), F.col("kickoff") + F.make_interval(hours=F.lit(buffer_hours))).otherwise(F.date_add(day, 1).cast("timestamp_ntz")))
-    return out.select(
+    rows = out.select(
         *keys, "cluster", F.col("p.source").alias("primary_source"), day.alias("match_date"), "kickoff", F.col("p.home_goals").alias("home_goals"), F.col("p.away_goals").alias("away_goals"),
         status.alias("status"), available.alias("available_at"), "sources", "n_records", (F.col("__scores") > 1).cast("int").alias("disputed"),
     )
+    return rows.withColumn("data_version", F.substring(F.sha2(canonical(["match_date", "kickoff", "home_goals", "away_goals", "status", "available_at", "sources", "disputed"]), 256), 1, 16))
 
 
 def conflicts(records: DataFrame, merged_rows: DataFrame, keys: Sequence[str], minutes: int = 20) -> DataFrame:
-    """Disagreements of each record with its merged row: score, match_date (over a day apart), kickoff (over the minutes)."""
-    m = merged_rows.select(*keys, "cluster", "primary_source", F.col("home_goals").alias("h"), F.col("away_goals").alias("a"), F.col("match_date").alias("d"), F.col("kickoff").alias("k"))
+    """Disagreements of each record with its merged row: score, match_date (over a day apart), kickoff (over the minutes); and
+    half-time scores (ht_home, ht_away, if the records have them) that differ from those of the primary source's record."""
+    half = {"ht_home", "ht_away"} <= set(records.columns)
+    if half:
+        first = records.select(*keys, "cluster", F.col("source").alias("primary_source"), F.col("ht_home").alias("__hh"), F.col("ht_away").alias("__ha")).where("__hh IS NOT NULL AND __ha IS NOT NULL").dropDuplicates([*keys, "cluster", "primary_source"])
+        merged_rows = merged_rows.join(first, [*keys, "cluster", "primary_source"], "left")
+    m = merged_rows.select(*(["__hh", "__ha"] if half else []), *keys, "cluster", "primary_source", F.col("home_goals").alias("h"), F.col("away_goals").alias("a"), F.col("match_date").alias("d"), F.col("kickoff").alias("k"))
     j = records.join(m, [*keys, "cluster"])
     text = lambda x, y: F.concat_ws("-", x.cast("string"), y.cast("string"))
     row = lambda field, mine, other: F.struct(F.lit(field).alias("field"), mine.cast("string").alias("primary_value"), other.cast("string").alias("other_value"))
@@ -81,6 +90,7 @@ def conflicts(records: DataFrame, merged_rows: DataFrame, keys: Sequence[str], m
             F.when(F.col("home_goals").isNotNull() & F.col("h").isNotNull() & ((F.col("home_goals") != F.col("h")) | (F.col("away_goals") != F.col("a"))), row("score", text(F.col("h"), F.col("a")), text(F.col("home_goals"), F.col("away_goals")))),
             F.when(F.abs(F.datediff("match_date", "d")) > 1, row("match_date", F.col("d"), F.col("match_date"))),
             F.when(apart > minutes, row("kickoff", F.col("k"), F.col("kickoff"))),
+            *([F.when((F.col("ht_home") != F.col("__hh")) | (F.col("ht_away") != F.col("__ha")), row("half_time", text(F.col("__hh"), F.col("__ha")), text(F.col("ht_home"), F.col("ht_away"))))] if half else []),
         )
     )
     return j.select(*keys, "cluster", "primary_source", "source", "source_key", F.explode(found).alias("c")).select(*keys, "cluster", "primary_source", "source", "source_key", "c.*")
