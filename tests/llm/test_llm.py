@@ -231,6 +231,8 @@ def test_language_id(spark, docs):
     assert {k: len(v) for k, v in samples.items()} == {"en": 50, "es": 50} and all(len(set(v)) == 50 for v in samples.values())
     assert sum(map(len, language_id.training_texts(df, letters_per_language=100)["es"])) <= 100
     assert len(language_id.training_texts(df, letters_per_language=1)["es"]) == 1
+    dirty = df.unionByName(spark.createDataFrame([(10**6 + i, f"label {i}", f"x{i}") for i in range(60)], "doc_id long, text string, lang string"), allowMissingColumns=True)
+    assert set(language_id.training_texts(dirty, languages=len(samples))) == set(samples)  # languages with the most rows
     got = language_id.identify(df).withColumn("held_out", language_id.held_out()).toPandas()
     held = got[got.held_out & (got.doc_id < 1000)]
     assert len(held) and (held.lang == held.lang_pred).mean() > 0.95 and got.score.between(0, 1).all()

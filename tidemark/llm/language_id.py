@@ -5,9 +5,9 @@ position the longest match in the automaton, at least one character. Matches run
 that needs the fewest phrases per character wins. Texts are lower-cased first; runs of anything but letters and marks are
 one space.
 
-The labelled text is a bounded sample: ``rows_per_language`` distinct labelled texts with the smallest hashes, taken whole
-while they add up to ``letters_per_language`` characters or less (one text at least). Nothing else is bounded: every row is
-predicted, by its whole text. A worker process holds at most two states a character, some 20 MB a language.
+The labelled text is a bounded sample: of the ``languages`` with the most labelled rows (ties by name) ``rows_per_language``
+distinct labelled texts with the smallest hashes, taken whole while they add up to ``letters_per_language`` characters or less
+(one text at least). Nothing else is bounded: every row is predicted, by its whole text. A worker process holds at most two states a character, some 20 MB a language.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; ties go to the first language by name;
 without any learned language every text is ``und``; repeated rows are judged alike; empty tables give empty tables; columns
@@ -122,14 +122,16 @@ class Parser:
 _parsers: dict[str, Parser] = {}
 
 
-def training_texts(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 200, letters_per_language: int = 40_000) -> dict[str, list[str]]:
-    """Distinct whole texts per language, within both bounds, in the order of their hashes.
+def training_texts(labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 200, letters_per_language: int = 40_000, languages: int = 200) -> dict[str, list[str]]:
+    """Distinct whole texts per language, within the bounds, in the order of their hashes.
 
     Copies count once, however many they are: only hashes and lengths are compared before the few texts are read.
     row_number() under a bound makes Spark keep that many rows a task before the exchange.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("__lang"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"), F.char_length(text).cast("long").alias("__size"))
     rows = rows.where(F.col("__text").rlike("\\p{L}"))
+    top = labelled.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("__lang")).agg(F.count("*").alias("__rows")).orderBy(F.desc("__rows"), "__lang").limit(languages)
+    rows = rows.join(F.broadcast(top.select("__lang")), "__lang", "left_semi")
     order = Window.partitionBy("__lang").orderBy(F.col("__size") > letters_per_language, "__hash")
     first = rows.groupBy("__lang", "__hash").agg(F.min("__size").alias("__size")).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= rows_per_language)
     chosen = first.withColumn("__sum", F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("__n") == 1) | (F.col("__sum") <= letters_per_language))
