@@ -58,14 +58,15 @@ def draw(seed: Column, number: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", seed, number.cast("string"))), 1, 8), 16, 10).cast("long") % n
 
 
-def block_bootstrap(rows: DataFrame, by: Sequence[str], block: Column, value: str, replicates: int = 200, seed: str = "boot") -> DataFrame:
-    """Per group: n, mean, 2.5 and 97.5 % quantiles of resampled means, and the share of means below zero.
+def block_bootstrap(rows: DataFrame, by: Sequence[str], block: Column, value: str, replicates: int = 200, seed: str = "boot", weight: str | None = None) -> DataFrame:
+    """Per group: n, mean, 2.5 and 97.5 % quantiles of resampled means, and the share of means below zero. With a weight the
+    means are sums of the value by sums of the weight.
 
     Rows shrink to a sum and count per block first; replicates draw block numbers by hash and look the sums up.
     """
-    blocks = rows.groupBy(*by, block.alias("__block")).agg(F.sum(value).alias("__s"), F.count("*").alias("__c"))
+    blocks = rows.groupBy(*by, block.alias("__block")).agg(F.sum(value).alias("__s"), (F.sum(weight) if weight else F.count("*")).alias("__c"), F.count("*").alias("__k"))
     blocks = blocks.withColumn("__b", F.row_number().over(Window.partitionBy(*by).orderBy("__block")) - 1)
-    sizes = blocks.groupBy(*by).agg(F.count("*").alias("__n"), (F.sum("__s") / F.sum("__c")).alias("mean"), F.sum("__c").alias("n"))
+    sizes = blocks.groupBy(*by).agg(F.count("*").alias("__n"), (F.sum("__s") / F.sum("__c")).alias("mean"), F.sum("__k").alias("n"))
     draws = sizes.select(*by, "__n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("__r")).select(*by, "__n", "__r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__i"))
     draws = draws.withColumn("__b", draw(F.concat_ws("/", F.lit(seed), *by, F.col("__r").cast("string")), F.col("__i"), F.col("__n")).cast("int"))
     means = draws.join(blocks, [*by, "__b"]).groupBy(*by, "__r").agg((F.sum("__s") / F.sum("__c")).alias("__m"))

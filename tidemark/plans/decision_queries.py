@@ -128,9 +128,12 @@ def _bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision.settled(out.withColumn("won", F.col("outcome") == 0).withColumn("clv", O.clv_price(F.col("odds"), closing)), F.col("won"), F.col("units"), F.col("odds"))
 
 
+_BETS = """b AS (SELECT *, CASE WHEN status IN ('WATCH','CANDIDATE','STRONG_CANDIDATE') AND evc > 0 THEN least(0.25 * greatest(0, ((fair_prob+0.5*(model_prob-fair_prob))*(odds-1) - (1-(fair_prob+0.5*(model_prob-fair_prob))))/(odds-1)), 0.02) ELSE 0 END * 100 units, odds / (odds * (1 + (match_id % 9 - 4) / 100.0::DOUBLE)) - 1 clv FROM d)"""
+
+
 @R.add(
     "bet_summary",
-    f"""SELECT * FROM (WITH {DECIDE}, b AS (SELECT *, CASE WHEN status IN ('WATCH','CANDIDATE','STRONG_CANDIDATE') AND evc > 0 THEN least(0.25 * greatest(0, ((fair_prob+0.5*(model_prob-fair_prob))*(odds-1) - (1-(fair_prob+0.5*(model_prob-fair_prob))))/(odds-1)), 0.02) ELSE 0 END * 100 units, odds / (odds * (1 + (match_id % 9 - 4) / 100.0::DOUBLE)) - 1 clv FROM d)
+    f"""SELECT * FROM (WITH {DECIDE}, {_BETS}
     SELECT model, count(*) selections, count(CASE WHEN units > 0 THEN 1 END) bets, count(CASE WHEN units > 0 AND outcome = 0 THEN 1 END) wins, round(sum(CASE WHEN units > 0 THEN units END), 4) staked, round(sum(CASE WHEN units > 0 THEN CASE WHEN outcome = 0 THEN units * (odds - 1) ELSE -units END END), 4) profit, round(avg(CASE WHEN units > 0 THEN (clv > 0)::INT END), 4) share_beating_close FROM b GROUP BY model) z""",
     ("matches", "prices", "forecasts"),
 )
@@ -140,6 +143,25 @@ def bet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model", "selections", "bets", "wins", *(F.round(c, 4).alias(c) for c in ("staked", "profit", "share_beating_close")))
 
 
+def _resampled(seed: str, value: str, weight: str) -> str:
+    """Blocks, draws and means of one bootstrap."""
+    return f"""k_{seed} AS (SELECT model, date_trunc('week', match_date) wk, sum({value}) s, sum({weight}) c, row_number() OVER (PARTITION BY model ORDER BY date_trunc('week', match_date)) - 1 b FROM p GROUP BY model, date_trunc('week', match_date)), z_{seed} AS (SELECT model, count(*) n, sum(s) / sum(c) mean FROM k_{seed} GROUP BY model),
+    r_{seed} AS (SELECT model, n, r, unnest(range(1, n + 1)) i FROM (SELECT *, unnest(range(1, 1001)) r FROM z_{seed}) q), x_{seed} AS (SELECT r.model, r.r, sum(s) / sum(c) m FROM r_{seed} r JOIN k_{seed} k ON r.model = k.model AND k.b = concat('0x', substr(md5(concat_ws('/', '{seed}', r.model, r.r::VARCHAR, i::VARCHAR)), 1, 8))::BIGINT % r.n GROUP BY ALL),
+    o_{seed} AS (SELECT x.model, any_value(z.mean) mean, quantile_cont(m, 0.025) lo, quantile_cont(m, 0.975) hi FROM x_{seed} x JOIN z_{seed} z ON x.model = z.model GROUP BY x.model)"""
+
+
+@R.add(
+    "bet_intervals",
+    f"""SELECT * FROM (WITH {DECIDE}, {_BETS}, p AS (SELECT model, match_date, units, CASE WHEN outcome = 0 THEN units * (odds - 1) ELSE -units END profit, clv FROM b WHERE units > 0), {_resampled('yield', 'profit', 'units')}, {_resampled('clv', 'clv', '1')}
+    SELECT y.model, (SELECT count(*) FROM p WHERE p.model = y.model) bets, round(y.mean, 5) AS yield, round(y.lo, 5) yield_low, round(y.hi, 5) yield_high, round(c.mean, 5) clv, round(c.lo, 5) clv_low, round(c.hi, 5) clv_high FROM o_yield y JOIN o_clv c ON y.model = c.model) z""",
+    ("matches", "prices", "forecasts"),
+)
+def bet_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yield and value against the close of each model's bets, with weekly block bootstrap intervals."""
+    out = decision.summary_intervals(_bets(spark, sf_dir), ["model"], F.date_trunc("week", F.col("match_date")))
+    return out.select("model", "bets", *(F.round(c, 5).alias(c) for c in ("yield", "yield_low", "yield_high", "clv", "clv_low", "clv_high")))
+
+
 def _capped_sql() -> str:
     """Stakes granted one by one within a day: a recursion whose state is a map of what each cap has given out."""
     caps = [("'d'", 0.10), ("concat('m', o.match_id)", 0.03), ("concat('m', o.match_id)", 0.04), ("concat('t', o.home_team)", 0.05), ("concat('t', o.away_team)", 0.05), ("concat('l', o.league)", 0.08)]
