@@ -144,7 +144,7 @@ def elo_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome probabilities by ratings as of the start of each half year, with intervals from 200 draws of the link."""
     results, cutoffs = _results(spark, sf_dir), _cutoffs(spark, sf_dir)
     fold = written(ratings.folded(results), "ratings")
-    links = written(models.link_fits(ratings.history(fold), results, cutoffs), "links")
+    links = written(models.link_fits(ratings.history(fold), results, cutoffs, least=50), "links")
     fixtures = pit.asof_join(results.select("match_id", "league", "season", "kickoff", "home_team", "away_team"), cutoffs.withColumn("c", F.col("cutoff")), ["league"], "kickoff", "c", ["cutoff"]).where("cutoff IS NOT NULL")
     out = models.link_intervals(ratings.ratings_at(fixtures.drop("c"), fold), links)
     return out.select("match_id", "market", *(F.round(c, 4).alias(c) for c in ("p", "low", "high", "sd")))
