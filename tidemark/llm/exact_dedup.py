@@ -56,12 +56,17 @@ def merged_runs(entries: DataFrame, keep: str = "min", leaves: int | None = None
     return runs.select(*KEY, F.col("__best.id").alias("__keep"), "__size")
 
 
-def verify(docs: DataFrame, copies: DataFrame, text: str = "text", normalise=ascii_lower) -> None:
-    """Compare the texts of merged digests: raises if a digest has different ones. Texts move once, to their digest's copies;
-    hot digests are split by AQE. A task of the aggregation sends two texts of a digest at most."""
-    norm = normalise(F.coalesce(F.col(text), F.lit("")))
-    keyed = docs.select(norm.alias("__norm")).select("__norm", _sha(F.col("__norm")).alias("__sha"), F.octet_length("__norm").cast("long").alias("__len"), F.xxhash64("__norm").alias("__second"))
-    ends = keyed.join(copies.select(*KEY).hint("merge"), KEY, "left_semi").groupBy(*KEY).agg(F.min("__norm").alias("__least"), F.max("__norm").alias("__greatest"))
+#: Parts that the rows of a digest are dealt to when texts are compared.
+SALTS = 16
+
+
+def verify(docs: DataFrame, copies: DataFrame, text: str = "text", ident: str = "doc_id", normalise=ascii_lower) -> None:
+    """Compare the texts of merged digests: raises if a digest has different ones. Texts move once, to their digest's copies; rows
+    of a hot digest are dealt to SALTS parts, and each part sends two texts of it at most."""
+    norm, part = normalise(F.coalesce(F.col(text), F.lit(""))), F.pmod(F.xxhash64(ident), F.lit(SALTS)).alias("__part")
+    keyed = docs.select(norm.alias("__norm"), part).select("__norm", "__part", _sha(F.col("__norm")).alias("__sha"), F.octet_length("__norm").cast("long").alias("__len"), F.xxhash64("__norm").alias("__second"))
+    parts = copies.select(*KEY, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__part"))
+    ends = keyed.join(parts.hint("merge"), [*KEY, "__part"], "left_semi").groupBy(*KEY).agg(F.min("__norm").alias("__least"), F.max("__norm").alias("__greatest"))
     odd = ends.where("__least <> __greatest").select(F.hex("__sha")).first()
     if odd:
         raise ValueError(f"different texts share the digest {odd[0]}")
@@ -71,7 +76,7 @@ def exact_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", kee
     """One row per input row: ident, keep_id, group_size, text_sha256 (hex). Only copies go through the join back."""
     entries = written(digests(docs, text, ident), "digests")
     copies = written(merged_runs(entries, keep, leaves).where("__size > 1"), "merged")
-    verify(docs, copies, text)
+    verify(docs, copies, text, ident)
     return entries.join(copies, KEY, "left").select(
         F.col("__id").alias(ident),
         F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep")).alias("keep_id"),
@@ -89,7 +94,7 @@ def drop_copies(docs: DataFrame, text: str = "text", ident: str = "doc_id", keep
     columns = docs.columns
     entries = written(digests(docs, text, ident), "digests")
     merged = written(merged_runs(entries, keep).where("__size > 1"), "merged")
-    verify(docs, merged, text)
+    verify(docs, merged, text, ident)
     rows = written(entries.join(merged, KEY).groupBy(F.struct("__id", "__sha").alias("__key")).agg(F.first("__keep").alias("__keep"), F.count("*").alias("__n")), "copies")
     chosen = F.col("__key.__id").eqNullSafe(F.col("__keep"))
     keyed = docs.withColumn("__key", F.struct(F.col(ident).alias("__id"), _sha(ascii_lower(F.coalesce(F.col(text), F.lit("")))).alias("__sha")))
