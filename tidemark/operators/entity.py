@@ -35,7 +35,8 @@ def cooccurrence(fixtures: DataFrame, resolved: DataFrame, reference: DataFrame,
 
     fixtures: raw, opponent_raw, side, match_date; resolved: raw, team of known names of the source; reference: team,
     opponent, side, match_date. A fixture votes for the opponents that its known opponent met on the other side on that
-    day, else the day before, else the day after.
+    day, else the day before, else the day after. total counts the fixtures that vote: one that votes for several teams, as
+    where opponents play several times a day, is one. Several teams with most votes leave a name ambiguous.
     """
     known = resolved.select(F.col("raw").alias("opponent_raw"), F.col("team").alias("__o"))
     mine = fixtures.join(resolved.select("raw"), "raw", "left_anti").join(known, "opponent_raw").withColumn("__f", F.monotonically_increasing_id())
@@ -46,12 +47,13 @@ def cooccurrence(fixtures: DataFrame, resolved: DataFrame, reference: DataFrame,
     fixture = ["raw", "side", "match_date", "__o"]
     best = hits.groupBy(*fixture).agg(F.min("t.pref").alias("__p"))
     votes = hits.join(best, fixture).where(F.col("t.pref") == F.col("__p")).select(*fixture, "team").distinct().groupBy("raw", "team").agg(F.count("*").alias("votes"))
+    total = best.groupBy("raw").agg(F.count("*").alias("total"))
     first = Window.partitionBy("raw").orderBy(F.col("votes").desc(), F.col("team").cast("string").desc())
-    ranked = votes.withColumn("__n", F.row_number().over(first)).withColumn("total", F.sum("votes").over(Window.partitionBy("raw")))
+    ranked = votes.withColumn("__n", F.row_number().over(first))
     pick = lambda c: F.max(F.when(F.col("__n") == 1, F.col(c)))
     five = F.transform(F.array_sort(F.collect_list(F.when(F.col("__n") <= 5, F.struct("__n", "team")))), lambda x: x["team"])
-    top = ranked.groupBy("raw").agg(pick("team").alias("best"), pick("votes").alias("votes"), F.first("total").alias("total"), five.alias("candidates"))
-    sure = (F.col("votes") >= least) & (F.col("votes") >= share * F.col("total"))
+    top = ranked.groupBy("raw").agg(pick("team").alias("best"), pick("votes").alias("votes"), F.max(F.when(F.col("__n") == 2, F.col("votes"))).alias("__next"), five.alias("candidates")).join(total, "raw")
+    sure = (F.col("votes") >= least) & (F.col("votes") >= share * F.col("total")) & (F.col("votes") > F.coalesce("__next", F.lit(0)))
     return top.select("raw", F.when(sure, F.col("best")).alias("team"), "votes", "total", F.when(sure, "COOCCURRENCE").otherwise("AMBIGUOUS").alias("method"), "candidates")
 
 
