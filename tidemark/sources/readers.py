@@ -6,7 +6,7 @@ import csv
 import io
 from collections.abc import Iterator
 from functools import partial
-from itertools import zip_longest
+from itertools import islice, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -75,36 +75,44 @@ def results_csv(spark: SparkSession, path: str, tiers: DataFrame) -> tuple[DataF
 
 
 ENCODINGS = ("utf-8-sig", "cp1252", "latin-1")
+ROWS = 2000  # of a file that are held as cells at once
 
 
 def seasonal_rows(spark: SparkSession, path: str) -> DataFrame:
     """path, row (from 0) and cells (column name to text) of CSV files that each have their own encoding and header.
 
-    A file is one row and its task's whole work: files of a season are small. The first encoding that decodes all of it
-    counts. Cells past the header are left out, cells that a row lacks are empty, empty rows are skipped; an empty file is one
-    row without cells. Spark reads the bytes, so any path that Spark can read will do.
+    A file is one row of its task, which holds its bytes but no more than some rows of its cells at once. The first encoding
+    that decodes all of it counts. Cells past the header are left out, cells that a row lacks are empty, empty rows are
+    skipped; an empty file is one row without cells. Spark reads the bytes, so any path that Spark can read will do.
     """
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.string())
         for batch in batches:
-            for where, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = next(t for t in map(partial(_decoded, content), ENCODINGS) if t is not None)
-                lines = csv.reader(io.StringIO(text, newline=""))
+            for where, content in zip(batch.column(0), batch.column(1)):
+                content = content.as_buffer()
+                encoding = next(e for e in ENCODINGS if _decodes(content, e))
+                lines = csv.reader(_text(content, encoding))
                 header = [name.strip() for name in next(lines, [])]
-                cells = [(i, [(name, value.strip()) for name, value in zip_longest(header, row[: len(header)], fillvalue="") if name]) for i, row in enumerate(lines) if any(map(str.strip, row))]
-                cells = cells or [(0, [])] * (not header)
-                yield pa.RecordBatch.from_arrays([pa.array([where] * len(cells), pa.string()), pa.array([i for i, _ in cells], pa.int64()), pa.array([x for _, x in cells], kind)], names=["path", "row", "cells"])
+                rows = ((i, [(name, value.strip()) for name, value in zip_longest(header, row[: len(header)], fillvalue="") if name]) for i, row in enumerate(lines) if any(map(str.strip, row)))
+                while cells := list(islice(rows, ROWS)) if header else [(0, [])]:
+                    yield pa.RecordBatch.from_arrays([pa.array([where.as_py()] * len(cells), pa.string()), pa.array([i for i, _ in cells], pa.int64()), pa.array([x for _, x in cells], kind)], names=["path", "row", "cells"])
+                    if not header:
+                        break
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(parsed, "path string, row bigint, cells map<string,string>")
 
 
-def _decoded(content: bytes, encoding: str) -> str | None:
+def _text(content: pa.Buffer, encoding: str) -> io.TextIOWrapper:
+    return io.TextIOWrapper(pa.BufferReader(content), encoding=encoding, newline="")
+
+
+def _decodes(content: pa.Buffer, encoding: str) -> bool:
     try:
-        return content.decode(encoding)
+        return all(iter(partial(_text(content, encoding).read, 1 << 20), ""))
     except UnicodeDecodeError:
-        return None
+        return False
 
 
 def wide_csv(spark: SparkSession, path: str, divisions: DataFrame, acquired: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
