@@ -15,7 +15,7 @@ from ..sources.views import view
 from .decision_queries import DECIDE, candidates
 from .evaluation_queries import losses
 from .market_queries import SELECTIONS, last_quotes
-from .model_queries import GRID, fixtures_of, forecast_models, matrices
+from .model_queries import GRID, by_rates, fixtures_of, forecast_models
 from .registry import Registry
 
 R = Registry()
@@ -170,7 +170,8 @@ def report_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("report_top_scores", f"""SELECT * FROM (WITH {GRID}, k AS (SELECT match_id, concat(i, '-', j) score, row_number() OVER (PARTITION BY match_id ORDER BY round(p, 12) DESC, i, j) r FROM n) SELECT match_id, string_agg(score, ',' ORDER BY r) AS top FROM k WHERE r <= 6 GROUP BY match_id) z""", ("matches",))
 def report_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six likeliest scores of every match; equal ones (to twelve digits) in the order of their goals."""
-    return matrices(spark, sf_dir).select("match_id", F.concat_ws(",", S.top_scores(F.col("m"))).alias("top"))
+    cells = S.held(S.cells(F.col("lh"), F.col("la"), F.lit(-0.05)))
+    return by_rates(spark, sf_dir, lambda r: r.select("lh", "la", cells.alias("m")).select("lh", "la", F.concat_ws(",", S.top_scores(F.col("m"))).alias("top"))).select("match_id", "top")
 
 
 @R.add("market_model", "SELECT * FROM (WITH v AS (SELECT p.* FROM prices p JOIN matches m ON p.match_id = m.match_id WHERE seen_at <= kickoff - INTERVAL 1 HOUR QUALIFY row_number() OVER (PARTITION BY p.match_id, book ORDER BY seen_at DESC, supplier DESC) = 1), f AS (SELECT match_id, (1/odds_h)/(1/odds_h+1/odds_d+1/odds_a) h, (1/odds_d)/(1/odds_h+1/odds_d+1/odds_a) d, (1/odds_a)/(1/odds_h+1/odds_d+1/odds_a) a FROM v), g AS (SELECT match_id, count(*) n, median(h)/(median(h)+median(d)+median(a)) p, stddev_pop(h) sd FROM f GROUP BY match_id) SELECT match_id, round(p, 6) p_home, round(greatest(0, p - 1.645 * CASE WHEN n > 1 THEN sd ELSE 0 END), 6) low, round(least(1, p + 1.645 * CASE WHEN n > 1 THEN sd ELSE 0 END), 6) high FROM g) z", ("matches", "prices"))
