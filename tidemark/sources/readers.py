@@ -95,10 +95,10 @@ def seasonal_rows(spark: SparkSession, path: str) -> DataFrame:
                 lines = csv.reader(_text(content, encoding))
                 header = [name.strip() for name in next(lines, [])]
                 rows = ((i, [(name, value.strip()) for name, value in zip_longest(header, row[: len(header)], fillvalue="") if name]) for i, row in enumerate(lines) if any(map(str.strip, row)))
-                while cells := list(islice(rows, ROWS)) if header else [(0, [])]:
+                first = True
+                while cells := list(islice(rows, ROWS)) or [(0, [])] * (first and not header):
+                    first = False
                     yield pa.RecordBatch.from_arrays([pa.array([where.as_py()] * len(cells), pa.string()), pa.array([i for i, _ in cells], pa.int64()), pa.array([x for _, x in cells], kind)], names=["path", "row", "cells"])
-                    if not header:
-                        break
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(parsed, "path string, row bigint, cells map<string,string>")
