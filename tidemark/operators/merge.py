@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,35 +21,60 @@ def rank(source: Column, priority: Sequence[str]) -> Column:
 
 def cluster(records: DataFrame, keys: Sequence[str], source: str = "source", date: str = "match_date", gap_days: int = 3, single_any_gap: bool = True) -> DataFrame:
     """records with cluster (from 0): records of a pairing by date, each joins the nearest cluster that has none of its
-    source and lies within the gap; a lone cluster takes any gap if single_any_gap. Rows stream through in the order of their pairings, so the state is
-    one pairing's.
+    source and lies within the gap (of equal ones the first); a lone cluster takes any gap if single_any_gap. A record without a date is near to none.
+
+    Rows stream through in the order of their pairings, so the state is one pairing's. Its clusters are held by the sources they have and by
+    their last day, so that a record costs as many steps as there are such sets of sources, however many clusters the pairing has.
     """
     names, ties = records.columns, [c for c in records.columns if c.endswith("key") and c not in keys]
     schema = T.StructType([*records.schema.fields, T.StructField("cluster", T.IntegerType())])
     at_keys, at_source = [names.index(k) for k in keys], names.index(source)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now: tuple | None = None
-        groups: list[tuple[set, list]] = []
-        for pdf in batches:
-            days, out = (pd.to_datetime(pdf[date]) - pd.Timestamp(0)).dt.days.tolist(), []
-            for row, d in zip(pdf.itertuples(index=False, name=None), days, strict=True):
-                key, s = tuple(row[i] for i in at_keys), row[at_source]
-                if key != now:
-                    now, groups = key, []
-                gaps = [(min(abs(d - x) for x in seen), i) for i, (used, seen) in enumerate(groups) if s not in used]
-                best = min(gaps) if gaps else None
-                if best and (best[0] <= gap_days or (single_any_gap and len(groups) == 1)):
-                    at = best[1]
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict = {}  # a bit for each source
+        before, undated, n_clusters = None, 0, 0
+        held: dict[int, dict[int, list[int]]] = {}  # sources of a cluster -> its last day, ascending -> heap of clusters
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begins = np.zeros(batch.num_rows, bool)
+            for i in at_keys:
+                codes = batch.column(i).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+                begins[1:] |= codes[1:] != codes[:-1]
+            first, before = before, [batch.column(i)[-1].as_py() for i in at_keys]
+            begins[0] = first != [batch.column(i)[0].as_py() for i in at_keys]
+            coded = batch.column(at_source).dictionary_encode("encode")
+            of = [bits.setdefault(s, 1 << len(bits)) for s in coded.dictionary.to_pylist()]
+            out = []
+            for new, d, s in zip(begins.tolist(), batch.column(len(names)).to_pylist(), coded.indices.to_pylist(), strict=True):
+                if new:
+                    held, n_clusters, undated = {}, 0, 0
+                if d is None:  # these come first, each far from all others
+                    undated += 1
+                    d = (undated - 10**9) * 10**9
+                best = None
+                for used, by_day in held.items():
+                    if used & of[s] or not by_day:
+                        continue
+                    last = next(reversed(by_day))
+                    if d - last > gap_days and n_clusters > 1:
+                        by_day.clear()  # days only grow
+                    elif best is None or (d - last, by_day[last][0]) < best[:2]:
+                        best = d - last, by_day[last][0], used, last
+                if best and (best[0] <= gap_days or (single_any_gap and n_clusters == 1)):
+                    _, at, used, last = best
+                    heapq.heappop(held[used][last])
+                    if not held[used][last]:
+                        del held[used][last]
                 else:
-                    groups.append((set(), []))
-                    at = len(groups) - 1
-                groups[at][0].add(s)
-                groups[at][1].append(d)
+                    at, used = n_clusters, 0
+                    n_clusters += 1
+                heapq.heappush(held.setdefault(used | of[s], {}).setdefault(d, []), at)
                 out.append(at)
-            yield pdf.assign(cluster=pd.Series(out, index=pdf.index, dtype="int32"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.int32())], names=[*names, "cluster"])
 
-    return records.repartition(*keys).sortWithinPartitions(*keys, date, source, *ties).mapInPandas(assign, schema)
+    dated = records.withColumn("__day", F.unix_date(F.col(date).cast("date")))
+    return dated.repartition(*keys).sortWithinPartitions(*keys, date, source, *ties).mapInArrow(assign, schema)
 
 
 def merged(records: DataFrame, keys: Sequence[str], results: Sequence[str], kickoffs: Sequence[str], buffer_hours: int = 3) -> DataFrame:
@@ -56,19 +83,20 @@ def merged(records: DataFrame, keys: Sequence[str], results: Sequence[str], kick
     over a rank."""
     r, k = rank(F.col("source"), results), rank(F.col("source"), kickoffs)
     scored, exact = F.col("home_goals").isNotNull(), F.col("kickoff").isNotNull()
+    score = F.when(scored, F.struct("home_goals", "away_goals"))
     who = F.struct(F.when(scored, 0).otherwise(1).alias("a"), r.alias("b"), F.col("source").alias("c"), F.col("source_key").alias("d"))
     best = F.min_by(F.struct("source", "home_goals", "away_goals", "match_date"), who)
     out = records.groupBy(*keys, "cluster").agg(
         best.alias("p"), F.min_by("kickoff", F.when(exact, F.struct(k.alias("a"), F.col("source").alias("b")))).alias("kickoff"),
         F.transform(F.array_sort(F.collect_set(F.struct(r.alias("r"), F.col("source").alias("s")))), lambda x: x["s"]).alias("sources"),
-        F.count_distinct(F.when(scored, F.struct("home_goals", "away_goals"))).alias("__scores"), F.bool_or(F.col("status") == "SCHEDULED").alias("__open"), F.count("*").alias("n_records"),
+        F.min(score).alias("__least"), F.max(score).alias("__most"), F.bool_or(F.col("status") == "SCHEDULED").alias("__open"), F.count("*").alias("n_records"),
     )
     day = F.coalesce(F.col("kickoff").cast("date"), F.col("p.match_date"))
     status = F.when(F.col("p.home_goals").isNotNull(), "FINISHED").when(F.col("__open"), "SCHEDULED").otherwise("UNKNOWN")
     available = F.when(status == "FINISHED", F.when(F.col("kickoff").isNotNull(), F.col("kickoff") + F.make_interval(hours=F.lit(buffer_hours))).otherwise(F.date_add(day, 1).cast("timestamp_ntz")))
     rows = out.select(
         *keys, "cluster", F.col("p.source").alias("primary_source"), day.alias("match_date"), "kickoff", F.col("p.home_goals").alias("home_goals"), F.col("p.away_goals").alias("away_goals"),
-        status.alias("status"), available.alias("available_at"), "sources", "n_records", (F.col("__scores") > 1).cast("int").alias("disputed"),
+        status.alias("status"), available.alias("available_at"), "sources", "n_records", F.coalesce(F.col("__least") < F.col("__most"), F.lit(False)).cast("int").alias("disputed"),
     )
     return rows.withColumn("data_version", F.substring(F.sha2(canonical(["match_date", "kickoff", "home_goals", "away_goals", "status", "available_at", "sources", "disputed"]), 256), 1, 16))
 

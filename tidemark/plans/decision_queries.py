@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import odds as O
 from ..operators import contracts, decision, ledger, merge, pit
+from ..sources.scratch import written
 from ..sources.views import view
 from .registry import Registry
 
@@ -63,7 +64,7 @@ def merge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("merge_conflicts")
 def merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every disagreement between the sources of an event."""
-    records = _clustered(spark, sf_dir)
+    records = written(_clustered(spark, sf_dir), "clustered")  # read three times
     return merge.conflicts(records, merge.merged(records, KEYS, ["alpha", "beta", "gamma"], ["beta", "alpha"]), KEYS)
 
 
