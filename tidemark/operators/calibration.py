@@ -8,6 +8,8 @@ made for each group and season cut, from all forecasts of earlier seasons:
 * isotonic maps from pools. Forecasts are dealt by class and stretch of probability; within a stretch falling neighbours are
   pooled, and the pools of all stretches are pooled again, which gives the fit of the rows themselves: pooling is the same in any order.
 
+Forecasts of a group and season with equal probabilities and outcome are one row with their number (slim()), and a map is applied once to equal probabilities.
+
 The choice of a method compares held-out losses by blocks: sums over a fixed number of blocks, resampled.
 """
 
@@ -41,10 +43,10 @@ class Temperature:
     def __init__(self, k: int):
         self.theta, self.most = np.array([1.0]), 0.5
 
-    def slopes(self, logs: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def slopes(self, logs: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         q = _softmax(self.theta[0] * logs)
         mean = (q * logs).sum(axis=1)
-        return np.array([(mean - logs[np.arange(len(y)), y]).sum()]), np.array([[((q * logs**2).sum(axis=1) - mean**2).sum()]])
+        return np.array([(w * (mean - logs[np.arange(len(y)), y])).sum()]), np.array([[(w * ((q * logs**2).sum(axis=1) - mean**2)).sum()]])
 
     def data(self) -> dict:
         return {"method": "temperature", "beta": float(np.clip(self.theta[0], 0.2, 5.0))}
@@ -58,15 +60,15 @@ class Dirichlet:
         self.start = np.hstack([np.eye(k), np.zeros((k, 1))]).ravel()
         self.theta = self.start.copy()
 
-    def slopes(self, logs: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def slopes(self, logs: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k, x = self.k, np.hstack([logs, np.ones((len(logs), 1))])
         q = _softmax(x @ self.theta.reshape(k, k + 1).T)
         h = np.zeros((k, k + 1, k, k + 1))
         for a in range(k):
             for b in range(a + 1):
-                h[a, :, b, :] = (x * (q[:, a] * ((a == b) - q[:, b]))[:, None]).T @ x
+                h[a, :, b, :] = (x * (w * q[:, a] * ((a == b) - q[:, b]))[:, None]).T @ x
                 h[b, :, a, :] = h[a, :, b, :].T
-        return ((q - np.eye(k)[y]).T @ x).ravel(), h.reshape(k * (k + 1), -1)
+        return ((w[:, None] * (q - np.eye(k)[y])).T @ x).ravel(), h.reshape(k * (k + 1), -1)
 
     def prior(self) -> tuple[np.ndarray, np.ndarray]:
         return self.ridge * (self.theta - self.start), self.ridge * np.eye(len(self.theta))
@@ -82,13 +84,13 @@ class Platt:
         self.k, self.most = k, 1.0
         self.theta = np.tile([0.0, 1.0], k)
 
-    def slopes(self, logs: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def slopes(self, logs: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = np.clip(np.exp(logs), EDGE, 1 - EDGE)
         g, h = np.zeros(2 * self.k), np.zeros((2 * self.k, 2 * self.k))
         for c in range(self.k):
             x, at = np.stack([np.ones(len(y)), np.log(p[:, c] / (1 - p[:, c]))], axis=1), slice(2 * c, 2 * c + 2)
             m = 1 / (1 + np.exp(-x @ self.theta[at]))
-            g[at], h[at, at] = x.T @ (m - (y == c)), (x * (m * (1 - m))[:, None]).T @ x
+            g[at], h[at, at] = x.T @ (w * (m - (y == c))), (x * (w * m * (1 - m))[:, None]).T @ x
         return g, h
 
     def data(self) -> dict:
@@ -135,9 +137,10 @@ def _smooth_fits(rows: DataFrame, by: Sequence[str], cuts: dict[tuple, list[int]
                 for key, part in pdf.groupby([*by, "season"], sort=False, dropna=False):
                     key = tuple(None if x is None or x != x else x for x in key)
                     logs, y = np.log(np.clip(np.stack(part["p"].to_numpy()), TINY, 1)), part["y"].to_numpy()
+                    w = part["w"].to_numpy(float)
                     for job, fit in now.value.items():
                         if job[0] == key[:-1] and key[-1] < job[1]:
-                            g, h = fit.slopes(logs, y)
+                            g, h = fit.slopes(logs, y, w)
                             held[job] = held.get(job, 0.0) + np.concatenate([g, h.ravel()])
             yield pd.DataFrame([(repr(job), i, v) for job, vector in held.items() for i, v in enumerate(vector)], columns=["job", "i", "v"])
 
@@ -163,8 +166,8 @@ def _smooth_fits(rows: DataFrame, by: Sequence[str], cuts: dict[tuple, list[int]
 
 def _isotonic_fits(rows: DataFrame, by: Sequence[str], cuts: dict[tuple, list[int]], stretches: int = 256) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    per = rows.select(*by, "season", "y", F.posexplode("p").alias("class", "value")).withColumn("hit", (F.col("y") == F.col("class")).cast("double"))
-    per = per.groupBy(*by, "season", "class", "value").agg(F.sum("hit").alias("hits"), F.count("*").cast("double").alias("w")).withColumn("stretch", F.floor(F.col("value") * stretches).cast("int"))
+    per = rows.select(*by, "season", "y", "w", F.posexplode("p").alias("class", "value")).withColumn("hit", (F.col("y") == F.col("class")).cast("double") * F.col("w"))
+    per = per.groupBy(*by, "season", "class", "value").agg(F.sum("hit").alias("hits"), F.sum("w").cast("double").alias("w")).withColumn("stretch", F.floor(F.col("value") * stretches).cast("int"))
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in by)
     pools = f"{fields}, cut bigint, class int, stretch int, pools array<array<double>>"
 
@@ -190,7 +193,10 @@ def _isotonic_fits(rows: DataFrame, by: Sequence[str], cuts: dict[tuple, list[in
 
 
 def slim(forecasts: DataFrame, by: Sequence[str], season: str, probabilities: Sequence[str], outcome: str) -> DataFrame:
-    return forecasts.select(*by, F.col(season).cast("bigint").alias("season"), F.array(*probabilities).alias("p"), F.col(outcome).cast("int").alias("y"))
+    """by, season, p, y, w: the different forecasts of a group and season, with their numbers."""
+    ps = [f"__p{i}" for i in range(len(probabilities))]
+    each = forecasts.select(*by, F.col(season).cast("bigint").alias("season"), *(F.col(c).alias(p) for c, p in zip(probabilities, ps)), F.col(outcome).cast("int").alias("y"))
+    return each.groupBy(*by, "season", *ps, "y").agg(F.count("*").alias("w")).select(*by, "season", F.array(*ps).alias("p"), "y", "w")
 
 
 def fitted(rows: DataFrame, by: Sequence[str], methods: Sequence[str], classes: int = 3, rounds: int = 40) -> DataFrame:
@@ -235,12 +241,12 @@ def chosen(rows: DataFrame, fits: DataFrame, by: Sequence[str], gain: float = 0.
                 jobs += [(*key, now, seasons[i - held], season) for season in seasons[i - held : i]]
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in by)
     asked = spark.createDataFrame(jobs, f"{fields}, now bigint, cut bigint, season bigint")
-    counts = rows.groupBy(*by, "season").agg(F.count("*").alias("n"))
+    counts = rows.groupBy(*by, "season").agg(F.sum("w").alias("n"))
     trained = asked.select(*by, "now", "cut").distinct().join(counts.withColumnRenamed("season", "s"), list(by)).where("s < cut").groupBy(*by, "now").agg(F.sum("n").alias("trained"))
     loss = lambda q: -F.ln(F.greatest(F.get(q, F.col("y")), F.lit(TINY)))
     tried = rows.withColumn("block", F.pmod(F.xxhash64("p", "y"), F.lit(blocks))).join(asked, [*by, "season"]).join(fits, [*by, "cut"])
     tried = tried.withColumn("c", F.from_json("calibrator", SCHEMA)).withColumn("d", loss(F.col("p")) - loss(applied(F.col("p"), F.col("c"))))
-    sums = tried.groupBy(*by, "now", "method", "block").agg(F.sum("d").alias("s"), F.count("*").alias("n")).join(trained, [*by, "now"]).where(F.col("trained") >= least)
+    sums = tried.groupBy(*by, "now", "method", "block").agg(F.sum(F.col("d") * F.col("w")).alias("s"), F.sum("w").alias("n")).join(trained, [*by, "now"]).where(F.col("trained") >= least)
 
     def pick(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["method", "block"])
@@ -265,8 +271,12 @@ def sequential(
     rows = written(slim(forecasts, by, season, probabilities, outcome), "calibration-rows")
     picks = written(chosen(rows, fitted(rows, by, methods, len(probabilities)), by, **rules), "calibrators")
     keyed = picks.select(*by, F.col("season").alias("__season"), "method", F.from_json("calibrator", SCHEMA).alias("__c"))
-    joined = forecasts.withColumn("__season", F.col(season).cast("bigint")).join(keyed, [*by, "__season"], "left").withColumn("__q", applied(F.array(*probabilities), F.col("__c")))
-    return joined.select(*forecasts.columns, *(F.col("__q")[i].alias(f"cal_{p}") for i, p in enumerate(probabilities)), F.coalesce("method", F.lit("identity")).alias("method"))
+    classes = rows.select(*by, F.col("season").alias("__season"), "p").distinct().join(keyed, [*by, "__season"], "left").withColumn("__q", applied(F.col("p"), F.col("__c")))
+    names = {c: f"__k{i}" for i, c in enumerate([*by, "__season", *probabilities])}
+    made = [F.col(c).alias(names[c]) for c in [*by, "__season"]] + [F.col("p")[i].alias(names[p]) for i, p in enumerate(probabilities)] + [F.col("__q")[i].alias(f"cal_{p}") for i, p in enumerate(probabilities)]
+    classes = written(classes.select(*made, F.coalesce("method", F.lit("identity")).alias("method")), "calibrated")
+    joined = forecasts.withColumn("__season", F.col(season).cast("bigint")).join(classes, [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()], "left")
+    return joined.select(*forecasts.columns, *(f"cal_{p}" for p in probabilities), "method")
 
 
 def live(forecasts: DataFrame, by: Sequence[str] = ("model",), season: str = "season", probabilities: Sequence[str] = ("p_home", "p_draw", "p_away"), outcome: str = "outcome", methods: Sequence[str] = ("temperature", "dirichlet", "ovr_isotonic"), **rules) -> DataFrame:
