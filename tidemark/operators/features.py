@@ -19,35 +19,39 @@ def team_form(rows: DataFrame, key: str = "match_id", team: str = "team", league
     """rows: long form, with played true where the result counts. Per row the form before its day:
 
     points of the last 5, goals for and against of the last 10 (same league), matches of the last 365 and 14 days and days
-    of rest (all leagues), promoted and new_to_league. One shuffle by team; a league in it only refines the order.
+    of rest (all leagues), promoted and new_to_league. Rows are put together by team, league and day first, so no group holds a team's rows.
     """
     day = F.datediff(F.col(date), F.lit("1970-01-01")).cast("int")
     rows = rows.withColumn("__day", day).withColumn("__played", F.col("played").cast("int"))
+    keys = [team, league, "__day"]
+    # A day's last ten rows; then the last ten at the end of each day that has some. Newest first.
+    newest = Window.partitionBy(*keys).orderBy(F.desc(key))
+    ten = rows.where("__played = 1").select(*keys, key, "points", "gf", "ga").withColumn("__n", F.row_number().over(newest)).where("__n <= 10")
+    lists = ten.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__n", "points", "gf", "ga"))).alias("__day_last"))
+    ends = Window.partitionBy(team, league).orderBy("__day").rowsBetween(-9, 0)
+    lists = lists.select(*(F.col(c).alias(f"{c}__") for c in keys), F.slice(F.flatten(F.reverse(F.collect_list("__day_last").over(ends))), 1, 10).alias("__last"))
+    # One row a team, league and day, however many matches the day has: windows run over these.
+    per = rows.groupBy(*keys).agg(F.sum("__played").alias("__matches"), F.max(F.when(F.col("__played") == 1, F.col(season))).alias("__seen_season"))
+    per = per.join(lists, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in keys], "left").drop(*(f"{c}__" for c in keys))
     before = Window.partitionBy(team).orderBy("__day")
     days = lambda n: before.rangeBetween(-n, -1)
-    # What a team's last rows were at the end of each of its days; a row then looks up the last day before its own.
-    played = rows.where("__played = 1").select(team, league, "__day", key, "points", "gf", "ga", season)
-    order = Window.partitionBy(team, league).orderBy("__day", key)
-    last = lambda c, n: F.collect_list(c).over(order.rowsBetween(-(n - 1), 0))
-    ranked = played.withColumn("__p5", last("points", 5)).withColumn("__f10", last("gf", 10)).withColumn("__a10", last("ga", 10))
-    ends = ranked.groupBy(team, league, "__day").agg(F.max_by(F.struct("__p5", "__f10", "__a10"), key).alias("__last"), F.max(season).alias("__season"))
-    both = rows.select("*", F.lit(1).alias("__ask")).unionByName(ends.select(team, league, "__day", "__last", F.col("__season").alias("__seen_season"), F.lit(0).alias("__ask")), allowMissingColumns=True)
     w = Window.partitionBy(team, league).orderBy("__day").rangeBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("__l", F.last("__last", ignorenulls=True).over(w))
-    # "before this day" over ask rows and end rows alike: windows of later columns see ask rows only
-    found = found.withColumn("__first", F.min("__seen_season").over(w)).withColumn("__seasons", F.collect_set("__seen_season").over(w)).where("__ask = 1")
-    mean = lambda a: F.when(F.size(a) > 0, F.aggregate(F.col(a), F.lit(0.0), lambda x, y: x + y) / F.size(a))
-    out = found.withColumns({"__p": F.col("__l.__p5"), "__f": F.col("__l.__f10"), "__a": F.col("__l.__a10")})
-    out = out.withColumns(
+    mean = lambda c, n: F.aggregate(F.filter(F.transform(F.slice("__l", 1, n), lambda x: x[c]), lambda x: x.isNotNull()), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n")), lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
+    form = per.withColumns(
         {
-            "matches_365d": F.coalesce(F.sum("__played").over(days(364)), F.lit(0)),
-            "matches_14d": F.coalesce(F.sum("__played").over(days(13)), F.lit(0)),
-            "rest_days": F.col("__day") - F.max(F.when(F.col("__played") == 1, F.col("__day"))).over(before.rangeBetween(Window.unboundedPreceding, -1)),
+            "__l": F.last("__last", ignorenulls=True).over(w), "__first": F.min("__seen_season").over(w), "__seasons": F.collect_set("__seen_season").over(w),
+            "matches_365d": F.coalesce(F.sum("__matches").over(days(364)), F.lit(0)), "matches_14d": F.coalesce(F.sum("__matches").over(days(13)), F.lit(0)),
+            "rest_days": F.col("__day") - F.max(F.when(F.col("__matches") > 0, F.col("__day"))).over(before.rangeBetween(Window.unboundedPreceding, -1)),
         }
-    )
+    )
+    form = form.select(
+        *(F.col(c).alias(f"{c}__") for c in keys), "matches_365d", "matches_14d", "rest_days", mean("points", 5).alias("points_last5"), mean("gf", 10).alias("gf_last10"), mean("ga", 10).alias("ga_last10"),
+        F.col("__l").isNull().alias("__new"), "__first", "__seasons",
+    )
+    out = rows.join(form, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in keys])
     return out.select(
-        key, "side", team, "matches_365d", "matches_14d", "rest_days", mean("__p").alias("points_last5"), mean("__f").alias("gf_last10"), mean("__a").alias("ga_last10"),
-        (F.col("__l").isNotNull() & ~F.array_contains("__seasons", F.col(season) - 1) & (F.col("__first") < F.col(season))).cast("int").alias("promoted"), F.col("__l").isNull().cast("int").alias("new_to_league"),
+        key, "side", team, "matches_365d", "matches_14d", "rest_days", "points_last5", "gf_last10", "ga_last10",
+        (~F.col("__new") & ~F.array_contains("__seasons", F.col(season) - 1) & (F.col("__first") < F.col(season))).cast("int").alias("promoted"), F.col("__new").cast("int").alias("new_to_league"),
     )
 
 
