@@ -172,10 +172,10 @@ class Encoder:
             _encoders[path, pattern] = Encoder(path, pattern)
         return _encoders[path, pattern]
 
-    def forget(self) -> None:
-        """Give up what was remembered of earlier texts."""
-        self.cache.clear()
-        self.chunks.clear()
+    @staticmethod
+    def forget() -> None:
+        """Give up the worker's encoders. A nested function would clear a copy of _encoders, as it is pickled with its globals."""
+        _encoders.clear()
         pa.default_memory_pool().release_unused()
 
     def piece(self, raw: bytes) -> list[int]:
@@ -239,7 +239,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", ident:
                 for name in outputs:
                     found[name].append(made[name]())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[n], kinds[n][1]) for n in outputs)], names=[ident, *outputs])
-        encoder.forget()  # the worker process may go on with another stage, which needs the memory
+        del encoder
+        Encoder.forget()  # the worker process may go on with another stage, which needs the memory
 
     return slim.mapInArrow(run, f"`{ident}` {kind}, " + ", ".join(f"{n} {kinds[n][0]}" for n in outputs))
 
