@@ -8,7 +8,8 @@ After the last round each digest is one entry in its home run. Runs never shrink
 and a digest that a third of all rows carry leaves each task as one entry.
 
 In the end the texts are compared: the least and the greatest text of each merged digest must be the same. Should three hashes
-of different texts ever agree, the job stops with an error rather than lose a text.
+of different texts ever agree, the job stops with an error rather than lose a text. A broadcast filter of bounded size tells
+most rows without a copy, so that their texts stay where they are.
 
 Defined results: null text counts as empty; empty texts equal each other; repeated rows count as members; a null
 identifier never wins over a number and wins if its group has no other; an empty table gives an empty table; columns other
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, partitions, removed, table, written
+from ._common import ascii_lower, cleaning, parted, partitions, removed, table, written
 
 KEY = ["__sha", "__len", "__second"]
 
@@ -61,13 +62,16 @@ SALTS = 16
 
 
 def verify(docs: DataFrame, copies: DataFrame, text: str = "text", ident: str = "doc_id", normalise=ascii_lower) -> None:
-    """Compare the texts of merged digests: raises if a digest has different ones. Texts move once, to their digest's copies; rows
-    of a hot digest are dealt to SALTS parts, and each part sends two texts of it at most."""
+    """Compare the texts of merged digests: raises if a digest has different ones. Texts that may have copies move once, to their digest's
+    copies; rows of a hot digest are dealt to SALTS parts, and each part sends two texts of it at most. copies: a written table."""
     norm, part = normalise(F.coalesce(F.col(text), F.lit(""))), F.pmod(F.xxhash64(ident), F.lit(SALTS)).alias("__part")
-    keyed = docs.select(norm.alias("__norm"), part).select("__norm", "__part", _sha(F.col("__norm")).alias("__sha"), F.octet_length("__norm").cast("long").alias("__len"), F.xxhash64("__norm").alias("__second"))
+    hashed = docs.select(norm.alias("__norm"), part).select("__norm", "__part", F.xxhash64("__norm").alias("__second"))
+    _, asked = parted(copies.select("__second"))(hashed, F.col("__second"))
+    keyed = asked.select("__norm", "__part", _sha(F.col("__norm")).alias("__sha"), F.octet_length("__norm").cast("long").alias("__len"), "__second")
     parts = copies.select(*KEY, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__part"))
     ends = keyed.join(parts.hint("merge"), [*KEY, "__part"], "left_semi").groupBy(*KEY).agg(F.min("__norm").alias("__least"), F.max("__norm").alias("__greatest"))
-    odd = ends.where("__least <> __greatest").select(F.hex("__sha")).first()
+    with cleaning(docs.sparkSession):
+        odd = ends.where("__least <> __greatest").select(F.hex("__sha")).first()
     if odd:
         raise ValueError(f"different texts share the digest {odd[0]}")
 
@@ -88,8 +92,8 @@ def exact_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", kee
 def drop_copies(docs: DataFrame, text: str = "text", ident: str = "doc_id", keep: str = "min") -> DataFrame:
     """docs without the copies; of rows that repeat the kept identifier and text, one stays. Columns as they came.
 
-    Rows that go are told by identifier and SHA-256. Texts move once to be verified and once to the join with the rows
-    that go; again if whole rows repeat.
+    Rows that go are told by identifier and SHA-256. Only texts that may have copies move: once to be verified, and once to the
+    join with the rows that go; again if whole rows repeat.
     """
     columns = docs.columns
     entries = written(digests(docs, text, ident), "digests")
@@ -97,13 +101,14 @@ def drop_copies(docs: DataFrame, text: str = "text", ident: str = "doc_id", keep
     verify(docs, merged, text, ident)
     rows = written(entries.join(merged, KEY).groupBy(F.struct("__id", "__sha").alias("__key")).agg(F.first("__keep").alias("__keep"), F.count("*").alias("__n")), "copies")
     chosen = F.col("__key.__id").eqNullSafe(F.col("__keep"))
-    keyed = docs.withColumn("__key", F.struct(F.col(ident).alias("__id"), _sha(ascii_lower(F.coalesce(F.col(text), F.lit("")))).alias("__sha")))
+    rest, asked = parted(rows.where(~chosen | (F.col("__n") > 1)).select("__key.__id"))(docs, F.col(ident))
+    keyed = asked.withColumn("__key", F.struct(F.col(ident).alias("__id"), _sha(ascii_lower(F.coalesce(F.col(text), F.lit("")))).alias("__sha")))
     left = keyed.join(rows.where(~chosen).select("__key"), "__key", "left_anti")
     again = rows.where(chosen & (F.col("__n") > 1)).select("__key")
     if not again.isEmpty():
         left = left.join(again, "__key", "left_anti").unionByName(left.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
     removed(entries)
-    return left.select(*columns)
+    return rest.select(*columns).unionByName(left.select(*columns))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

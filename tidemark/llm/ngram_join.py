@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import partitions, removed, table, written
+from ._common import parted, partitions, removed, table, written
 from .components import components
 
 SKETCH_BITS, SLICE_BITS = 23, 16
@@ -40,7 +40,7 @@ VERIFY_COST = 50  # list entries read that cost as much as one verification
 HOT_SHARE, HOT_ROWS = 500, 1000  # a list is salted from rows / HOT_SHARE entries on, HOT_ROWS at least
 HEAVY = 2000  # nodes outside a list's main component that one task compares with the list
 BITS = 4  # 64-bit numbers of parity bits that the join of the lists tests
-BROADCAST_ROWS = 1_000_000  # identifiers (some 50 MB) that are broadcast to fetch texts; beyond that the texts are shuffled
+BROADCAST_ROWS = 1_000_000  # identifiers (some 50 MB) that are broadcast to fetch texts; beyond that texts that a filter leaves are shuffled
 _FACTOR, _SHORT = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 _word_hash = xxhash.xxh3_64_intdigest
 NODE, NODE_TYPE = "decimal(38,0)", pa.decimal128(38, 0)
@@ -265,8 +265,9 @@ def _lists(entries: DataFrame) -> DataFrame:
 
 def _likely(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with min(matches) common n-grams in the prefixes for that number, and bitmaps that allow the threshold."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    few = written(prefixes.join(ends, "node", "left_semi").groupBy("node").agg(F.first(F.struct("size", "matches", "grams", "bits")).alias("p")), "prefixes-used")
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    asked = parted(ends)(prefixes, F.col("node"))[1]  # prefixes are large, and few nodes have pairs
+    few = written(asked.join(ends, "node", "left_semi").groupBy("node").agg(F.first(F.struct("size", "matches", "grams", "bits")).alias("p")), "prefixes-used")
     side = lambda x: few.select(F.col("node").alias(x), *(F.col(f"p.{c}").alias(f"{x}_{c}") for c in ("size", "matches", "grams", "bits")))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +286,7 @@ def _likely(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{x}_{c}" for x in "ab" for c in ("size", "matches", "grams", "bits")))
     out = written(both.mapInArrow(test, f"a {NODE}, b {NODE}"), "likely")
-    removed(few)
+    removed(few, ends)
     return out
 
 
@@ -299,8 +300,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, n: int, perc
             made = [(node, h) for node, text in zip(_halves(batch.column(0)), batch.column(1), strict=True) if node_of(h := ngrams(text.as_py(), n)) == node.tobytes()]
             yield pa.RecordBatch.from_arrays([node_array([x.tobytes() for x, _ in made]), pa.array([h.tobytes() for _, h in made], pa.binary())], names=["node", "grams"])
 
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = docs.join(side, F.col("ident").eqNullSafe(F.col("__ident"))).select("node", "text").mapInArrow(sets, f"node {NODE}, grams binary")
+    few = wanted.count() <= BROADCAST_ROWS
+    side, asked = (F.broadcast(wanted), docs) if few else (wanted, parted(wanted.select("__ident"))(docs, F.col("ident"))[1])
+    found = asked.join(side, F.col("ident").eqNullSafe(F.col("__ident"))).select("node", "text").mapInArrow(sets, f"node {NODE}, grams binary")
     found = written(found.dropDuplicates(["node"]), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,21 +395,27 @@ def drop_linked(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "tex
 
     Rows are told apart by a 128-bit digest of identifier and text, so null and repeated identifiers are rows like others. A
     null identifier counts as larger than any, ties go by the digest, and of rows that repeat the chosen identifier and
-    text one stays. Rows without a word all stay. Nothing is joined by component, so a large one is no single task.
+    text one stays. Rows without a word all stay. Nothing is joined by component, so a large one is no single task. Only texts
+    whose identifier may be one of a row that goes, or of one that repeats the chosen row, are shuffled.
     """
     columns = docs.columns
     name = F.concat_ws("/", F.coalesce(F.length(F.col(ident).cast("string")), F.lit(-1)).cast("string"), F.col(ident).cast("string"), F.coalesce(F.col(text), F.lit("")))
-    keyed = docs.withColumn("__key", F.unhex(F.md5(name)))
+    key = F.unhex(F.md5(name))
+    keyed = docs.withColumn("__key", key)
     rows = linked_components(keyed, n, percent, text, "__key").where("n_shingles > 0").groupBy("__key").agg(F.first("component_id").alias("__component"), F.count("*").alias("__n"))
     ids = keyed.groupBy("__key").agg(F.min(ident).alias("__id"))
     members = written(rows.join(ids, "__key"), "members")
     chosen = members.groupBy("__component").agg(F.min_by(F.struct("__key", "__n"), F.struct(F.col("__id").isNull(), "__id", "__key")).alias("c"))
     chosen = written(chosen.select("c.__key", "c.__n"), "chosen")
-    left = keyed.join(members.join(chosen, "__key", "left_anti").select("__key"), "__key", "left_anti")
+    gone = written(members.join(chosen, "__key", "left_anti").select("__key", "__id"), "gone")
     again = chosen.where("__n > 1").select("__key")
-    if not again.isEmpty():
+    repeats = not again.isEmpty()
+    ends = gone.unionByName(members.join(again, "__key", "left_semi").select("__key", "__id")) if repeats else gone
+    rest, asked = parted(ends.select("__id"))(docs, F.col(ident))
+    left = asked.withColumn("__key", key).join(gone.select("__key"), "__key", "left_anti")
+    if repeats:
         left = left.join(again, "__key", "left_anti").unionByName(left.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
-    return left.select(*columns)
+    return rest.select(*columns).unionByName(left.select(*columns))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
