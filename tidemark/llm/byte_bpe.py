@@ -7,7 +7,7 @@ undoing the two tokens' merges from the latest to the earliest never shows a mer
 have made first.
 
 Encoding runs in each task on Arrow batches. An automaton yields the tokens that end at each byte; chunks and pieces met
-before in that worker process come from bounded caches. No shuffle. Defined results: null text is encoded as empty (no ids); empty tables give empty tables;
+before in that task come from bounded caches of two generations: when one is full, the one before it is given up. No shuffle. Defined results: null text is encoded as empty (no ids); empty tables give empty tables;
 repeated rows are encoded alike; other columns are not read.
 """
 
@@ -24,9 +24,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import places_of_none, table
+from ._common import freed, places_of_none, small_batches, table
 
-CACHE_PIECES, CACHE_CHUNKS, KNOWN_PAIRS = 250_000, 150_000, 200_000
+#: Entries of a generation of pieces and chunks, of which there are two at a time, and pairs of tokens.
+CACHE_PIECES, CACHE_CHUNKS, KNOWN_PAIRS = 100_000, 30_000, 200_000
 _NONE = 1 << 30
 
 
@@ -164,7 +165,9 @@ class Encoder:
         self.v, self.split = Vocabulary(load_ranks(path)), regex.compile(pattern).findall
         self.spaced = _spaced(self.split) if spaced is None else spaced
         self.cache: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes | None] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.older_cache: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str, pattern: str) -> Encoder:
@@ -176,7 +179,7 @@ class Encoder:
     def forget() -> None:
         """Give up the worker's encoders. A nested function would clear a copy of _encoders, as it is pickled with its globals."""
         _encoders.clear()
-        pa.default_memory_pool().release_unused()
+        freed()
 
     def piece(self, raw: bytes) -> list[int]:
         whole = self.v.ranks.get(raw)
@@ -187,9 +190,12 @@ class Encoder:
         for piece in self.split(text):
             ids = cache.get(piece)
             if ids is None:
-                ids = array("I", self.piece(piece.encode())).tobytes()
+                ids = self.older_cache.get(piece)
+                if ids is None:
+                    ids = array("I", self.piece(piece.encode())).tobytes()
                 if len(cache) >= CACHE_PIECES:
-                    cache.clear()
+                    self.older_cache = cache
+                    self.cache = cache = {}
                 cache[piece] = ids
             out.append(ids)
         return b"".join(out)
@@ -200,16 +206,21 @@ class Encoder:
             return self._pieces(text)
         chunks, first = self.chunks, text.partition(" ")
         rest = first[2].split(" ") if first[1] else []
-        if len(chunks) > CACHE_CHUNKS:
-            chunks.clear()
         found = list(map(chunks.get, rest))
         for at in places_of_none(found):
             chunk = rest[at]
-            if chunk not in chunks:
-                if not chunk or chunk[0].isspace():
-                    return self._pieces(text)
-                chunks[chunk] = self._pieces(" " + chunk)
-            found[at] = chunks[chunk]
+            ids = chunks.get(chunk)
+            if ids is None:
+                ids = self.older_chunks.get(chunk)
+                if ids is None:
+                    if not chunk or chunk[0].isspace():
+                        return self._pieces(text)
+                    ids = self._pieces(" " + chunk)
+                if len(chunks) >= CACHE_CHUNKS:
+                    self.older_chunks = chunks
+                    self.chunks = chunks = {}
+                chunks[chunk] = ids
+            found[at] = ids
         return b"".join([self._pieces(first[0]), *found])
 
     def decode(self, ids: bytes) -> bytes:
@@ -219,6 +230,7 @@ class Encoder:
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", ident: str = "doc_id", outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
     """ident and the outputs asked for: ids (array<int>), n_tokens, decoded (binary), ids_sha256, decoded_sha256."""
     kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "n_tokens": ("bigint", pa.int64()), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    small_batches(docs.sparkSession)
     slim = docs.select(ident, text)
     kind = slim.schema[ident].dataType.simpleString()
 

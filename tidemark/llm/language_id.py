@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import freed, small_batches, table
 
 UNKNOWN = "und"
 _between, _letter = regex.compile(r"[^\p{L}\p{M}]+").sub, regex.compile(r"\p{L}").search
@@ -145,6 +145,7 @@ def training_texts(labelled: DataFrame, text: str = "text", lang: str = "lang",
 
 def predicted(docs: DataFrame, samples: dict[str, list[str]], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with language and score. The samples are bounded; each worker builds its automata from them once."""
+    small_batches(docs.sparkSession)
     key, kept = uuid.uuid4().hex, [c for c in docs.columns if c not in names]
     at = kept.index(text)
 
@@ -156,7 +157,9 @@ def predicted(docs: DataFrame, samples: dict[str, list[str]], text: str = "text"
         for batch in batches:
             found = [parser.predict(value.as_py()) for value in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*kept, *names])
-        _parsers.clear()  # the worker process may go on with another stage, which needs the memory
+        del parser
+        _parsers.clear()
+        freed()  # the worker process may go on with another stage, which needs the memory
 
     schema = docs.select(*kept).schema.add(names[0], "string").add(names[1], "double")
     return docs.select(*kept).mapInArrow(run, schema)
