@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import new_path, partitions, places_of_none, table
+from ._common import new_path, partitions, places_of_none, table, uncollected
 from .byte_bpe import tokenizer_file
 
 CACHE_CHUNKS = 900_000
@@ -79,11 +79,11 @@ class ChunkEncoder:
         marked = [c for c in new if c[-1] in ends and len(c) > 1 and 97 <= c[-2] <= 122]
         stems = new.difference(marked)
         stems.update(c[:-1] for c in marked if c[:-1] not in cache)
-        texts = [(c, c.decode()) for c in stems]
-        words = [(c, s) for c, s in texts if s.isalpha() and s == s.lower()]
-        other = [(c, s) for c, s in texts if not (s.isalpha() and s == s.lower())]
-        cache.update(zip([c for c, _ in words], self._word_ids([s for _, s in words]), strict=True))
-        cache.update(zip([c for c, _ in other], self._ids([s for _, s in other]), strict=True))
+        words, other = [], []
+        for text in map(bytes.decode, stems):
+            (words if text.isalpha() and text == text.lower() else other).append(text)
+        cache.update(zip(map(str.encode, words), self._word_ids(words), strict=True))
+        cache.update(zip(map(str.encode, other), self._ids(other), strict=True))
         for c in marked:
             cache[c] = cache[c[:-1]] + ends[c[-1]]
 
@@ -122,12 +122,12 @@ def write_orc(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.of(tokenizer)
         end = np.array([end_id], encoder.kind).tobytes()
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.slice(at, 256)
-                key = some.column(0).cast(pa.int64())
-                part = np.searchsorted(bounds, key.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right").astype("int32")
-                yield pa.RecordBatch.from_arrays([key, pa.array(part), pa.array([x + end for x in encoder.encode(some.column(1).to_pylist())], pa.binary())], schema=schema)
+        for some in (batch.slice(at, 256) for batch in batches for at in range(0, len(batch), 256)):
+            key = some.column(0).cast(pa.int64())
+            part = np.searchsorted(bounds, key.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right").astype("int32")
+            with uncollected():
+                ids = [x + end for x in encoder.encode(some.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([key, pa.array(part), pa.array(ids, pa.binary())], schema=schema)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, before, kind = 0, None, np.dtype(ChunkEncoder.of(tokenizer).kind)
