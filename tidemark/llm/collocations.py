@@ -1,17 +1,18 @@
 """Phrase collocations by prefix-free parsing.
 
-Pieces of text are cut into chunks by content: wherever the hash of ``overlap`` consecutive words (one less than the longest
-phrase) is 0 modulo ``cut``, a chunk ends with these words and the next one begins with them. Texts that share passages share
-chunks, and every phrase lies whole in a chunk. The distinct chunks with their frequencies are the dictionary; phrases are
-counted inside distinct chunks only, weighted by frequency. A phrase that begins in the last ``overlap`` words of a chunk
-with a successor is left to the successor, so each occurrence counts once.
-
-Words are counted as the pieces are read, once a task for each distinct word. Longer phrases are tried only if their parts can
-reach the threshold: words that reach it mark a bitmap of hashes; word pairs of such words are added to a sketch of capped
-counters, two a pair; longer phrases all of whose pairs pass go to a second sketch. A counter is never below the count, so no phrase that
-reaches the threshold is lost, and what passes is counted exactly by its words. Bitmap and sketches have a fixed size whatever
-the corpus; a full one throws out less and changes no result. Score arithmetic is decimal: 1000 * a * n may pass 64 bits, 38
-digits it does not for corpora below 10^17 words.
+Words that reach the threshold get numbers; any other word and the end of a piece become a break, as no phrase goes beyond
+them, and breaks in a row one. Texts in this form are cut into chunks by content: wherever the hash of ``overlap`` consecutive
+numbers (one less than the words of the longest phrase) is 0 modulo ``cut``, a chunk ends with these and the next one begins
+with them. Texts that share passages share chunks, and every phrase lies whole in a chunk. The distinct chunks with their
+frequencies are the dictionary; phrases are counted inside distinct chunks only, weighted by frequency. A phrase that begins in
+the last ``overlap`` numbers of a chunk is left to the successor; a text ends with as many breaks. So each occurrence counts once.
+
+Phrases are counted level by level, and only where all their parts of the level before reach the threshold: word pairs, then
+three words as two pairs, then longer ones as two phrases of three words, and so on. A phrase is told by the numbers of these
+two, which are exact. Tasks add up what they have read and deal the sums to parts by a mixed form of these numbers, so that each
+part adds up and filters its own phrases: shuffled rows are no more than places in distinct chunks, whatever the corpus, and
+nothing fills up as it grows. The driver gets and sends the words and the phrases of a level that reach the threshold. Score arithmetic
+is decimal: 1000 * a * n may pass 64 bits, 38 digits it does not for corpora below 10^17 words.
 
 Defined results: a null text is empty; pieces without words give nothing; a null language is ``und``; repeated rows count as
 often as they stand; an empty table gives an empty table; other columns are not read.
@@ -33,72 +34,46 @@ from ._common import partitions, removed, table, written
 
 @dataclass(frozen=True)
 class Mining:
-    """At least two words; more than some 10 words a phrase or a threshold over 60,000 would need wider counters."""
+    """At least two words."""
 
     longest: int = 5
     least: int = 100
     first: int = 2000
     cut: int = 32
-    sketch_bits: int = 23
+    sketch_bits: int = 23  # of a phrase's hash in look-up tables, at most; fewer make look-ups slower and change no result
     chunk_words: int = 4096  # a chunk without a trigger ends here
 
     @property
     def overlap(self) -> int:
         return self.longest - 1
 
-    @property
-    def counter(self) -> type:
-        """Counters stop at the threshold, so a byte does for thresholds up to 255."""
-        return np.uint8 if self.least < 256 else np.uint16
-
 
-#: Piece separators become newlines and tabs spaces. bytes.lower() changes A-Z only.
+#: Piece separators become newlines and tabs spaces. bytes.lower() changes A-Z only. After this no \x0b is left; it ends a text.
 _PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
+_NO_WORDS = pa.array([b"", b"\n", b"\x0b"], pa.binary())
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_MIX = 0xBF58476D1CE4E5B9
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(_MIX)
     return x ^ (x >> np.uint64(29))
 
 
-def _hash_bytes(values: pa.Array) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter((xxhash.xxh3_64_intdigest(v) for v in values.cast(pa.binary()).to_pylist()), np.uint64, len(values))
+def _unmixed(x: np.ndarray) -> np.ndarray:
+    """_mixed() maps 64-bit numbers one to one; this is the way back."""
+    x = (x ^ (x >> np.uint64(29)) ^ (x >> np.uint64(58))) * np.uint64(pow(_MIX, -1, 2**64))
+    return x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
 
 
-def _rolled(hashes: np.ndarray, at: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """Hash of the n words from each of the places on."""
+def _rolled(numbers: np.ndarray, at: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Hash of the n numbers from each of the places on."""
     out = np.full(len(at), seed, np.uint64)
     for k in range(n):
-        out = _mixed(out * _ODD + hashes[at + k])
+        out = _mixed(out * _ODD + numbers[at + k])
     return out
 
 
-def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two counters of each hash, one in either half of the sketch."""
-    half = np.uint64(1 << (bits - 1))
-    return (hashes >> np.uint64(65 - bits)).astype(np.int64), (half + ((hashes >> np.uint64(66 - 2 * bits)) & (half - np.uint64(1)))).astype(np.int64)
-
-
-def _frequent(sketch: np.ndarray, hashes: np.ndarray, m: Mining) -> np.ndarray:
-    one, two = _slots(hashes, m.sketch_bits)
-    return (sketch[one] >= m.least) & (sketch[two] >= m.least)
-
-
-FINAL, MORE, WORD = range(3)
-
-
-def _summed(tables: list[pa.Table]) -> pa.Table:
-    """Equal chunks of some tables as one row each."""
-    return pa.concat_tables(tables).group_by(["lang", "chunk", "kind"]).aggregate([("n", "sum")]).select(["lang", "chunk", "kind", "n_sum"]).rename_columns(["lang", "chunk", "kind", "n"])
-
-
-def _table(lang: pa.Array, chunk: pa.Array, kind: np.ndarray, n: np.ndarray) -> pa.Table:
-    return pa.table({"lang": lang, "chunk": chunk, "kind": pa.array(kind, pa.int32()), "n": pa.array(n, pa.int64())})
-
-
 def _slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with some bytes in the column; a longer value is a part of its own. Memory goes back after each."""
     for batch in batches:
@@ -111,238 +86,329 @@ def _slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterat
             pa.default_memory_pool().release_unused()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], m: Mining, most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """lang, chunk (words joined by spaces), kind (FINAL: no successor, MORE: with one, WORD: a single word), n (of a batch of
-    chunks; of many batches of words)."""
+def _by_language(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[str, list[bytes]]]:
+    """A language and texts of it, some megabytes of all languages at a time."""
+    for batch in _slices(batches, 1, most):
+        langs, texts = batch.column(0).dictionary_encode(), batch.column(1).cast(pa.binary())
+        code = langs.indices.to_numpy()
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            yield lang, texts.filter(pa.array(code == k)).drop_null().to_pylist()
+
+
+def _tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct tokens of the texts, and which of them stand one after the other: words, a newline where a piece ends, \\x0b where a text
+    ends, and empty ones between spaces."""
+    joined = b"".join(t.lower().translate(_PIECES).replace(b"\n", b" \n ") + b" \x0b " for t in texts)
+    tokens = pc.split_pattern(pa.array([joined], pa.binary()), " ").values.dictionary_encode()
+    return tokens.dictionary, tokens.indices.to_numpy()
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """Equal words of some tables as one row each."""
+    return pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
+
+
+def _words(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """lang, phrase (a word; empty for all of them), n: summed over the task as long as there are no more than `most` of them."""
     held: list[pa.Table] = []
-    for batch in _slices(batches, 1, 1 << 20):
-        languages, pieces = [], []
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = [p for p in (text or "").encode().lower().translate(_PIECES).split(b"\n") if p]
-            languages += [lang] * len(found)
-            pieces += found
-        pieces = [b" ".join(w for w in p.split(b" ") if w) if b"  " in p or p[0] == 32 or p[-1] == 32 else p for p in pieces]
-        if not any(pieces):
+    for lang, texts in _by_language(batches):
+        words, code = _tokens(texts)
+        own = pc.invert(pc.is_in(words, value_set=_NO_WORDS))
+        n = np.bincount(code, minlength=len(words))[own.to_numpy(zero_copy_only=False)]
+        if not len(n):
             continue
-        text = pa.array(pieces, pa.binary()).cast(pa.string())
-        names = pa.array(languages, pa.string()).dictionary_encode()
-        lists = pc.split_pattern(text, " ")
-        sizes = np.where([not p for p in pieces], 0, np.diff(lists.offsets.to_numpy())) if b"" in pieces else np.diff(lists.offsets.to_numpy())
-        coded = (lists.values if b"" not in pieces else lists.values.filter(pc.not_equal(lists.values, ""))).dictionary_encode()
-        code = coded.indices.to_numpy()
-        hashes, ends = _hash_bytes(coded.dictionary)[code], np.cumsum(sizes)
-        windows = np.arange(max(0, len(hashes) - m.overlap + 1))
-        at = np.flatnonzero(_rolled(hashes, windows, m.overlap, 1) % np.uint64(m.cut) == 0) + m.overlap  # a chunk may end before these
-        lo, hi = np.searchsorted(at, ends - sizes + m.overlap, "right"), np.searchsorted(at, ends, "left")
-        whole = (lo >= hi) & (sizes <= m.chunk_words)
-        cut: list[tuple[int, bytes, int]] = []
-        for i in np.flatnonzero(~whole):
-            some, start, first, end = pieces[i].split(b" "), 0, int(ends[i] - sizes[i]), int(sizes[i])
-            for stop in (*(int(x) - first for x in at[lo[i] : hi[i]]), end):
-                while stop - start > m.chunk_words:
-                    cut.append((i, b" ".join(some[start : start + m.chunk_words]), MORE))
-                    start += m.chunk_words - m.overlap
-                if stop < end:
-                    cut.append((i, b" ".join(some[start:stop]), MORE))
-                    start = stop - m.overlap
-            cut.append((i, b" ".join(some[start:]), FINAL))
-        plain = pa.array(np.flatnonzero(whole & (sizes > 0)))
-        lang = names.dictionary.take(names.indices)
-        made = [_table(lang.take(plain), text.take(plain), np.full(len(plain), FINAL), np.ones(len(plain), np.int64))]
-        if cut:
-            made.append(_table(lang.take(pa.array([i for i, *_ in cut])), pa.array([c for _, c, _ in cut], pa.binary()).cast(pa.string()), np.array([k for *_, k in cut]), np.ones(len(cut), np.int64)))
-        yield from _summed(made).to_batches()
-        width = len(coded.dictionary)
-        keys, n = np.unique(np.repeat(names.indices.to_numpy(), sizes).astype(np.int64) * width + code, return_counts=True)
-        held.append(_table(names.dictionary.take(pa.array(keys // width)), coded.dictionary.take(pa.array(keys % width)), np.full(len(keys), WORD), n))
+        phrase = pa.concat_arrays([words.filter(own), pa.array([b""], pa.binary())]).cast(pa.string())
+        held.append(pa.table({"lang": pa.repeat(lang, len(phrase)), "phrase": phrase, "n": pa.array(np.append(n, n.sum()), pa.int64())}))
         if sum(map(len, held)) > most:
             held = [_summed(held)]
-            if len(held[0]) > most // 2:
+            if len(held[0]) > 3 * most // 4:
                 yield from held.pop().to_batches()
     if held:
         yield from _summed(held).to_batches()
 
 
-def dictionary(docs: DataFrame, m: Mining, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Distinct chunks and distinct words with their frequencies."""
-    slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    chunks = slim.mapInArrow(lambda batches: _chunks(batches, m), "lang string, chunk string, kind int, n bigint")
-    return written(chunks.groupBy("lang", "chunk", "kind").agg(F.sum("n").alias("n")), "chunks")
+class Vocabulary:
+    """The words of each language that reach the threshold, numbered from 1 on."""
 
-
-def _by_language(words: np.ndarray, languages: np.ndarray) -> np.ndarray:
-    return _mixed(words ^ (languages * _ODD))
-
-
-class Block:
-    """Words of many distinct chunks in a row, with what is needed to take phrases from them."""
-
-    def __init__(self, batches: list[pa.RecordBatch], m: Mining):
-        whole = pa.Table.from_batches(batches).combine_chunks()
-        lists = pc.split_pattern(whole.column("chunk").combine_chunks(), " ")
-        sizes = np.diff(lists.offsets.to_numpy())
-        more = np.repeat(whole.column("kind").to_numpy() == MORE, sizes)
-        self.room = np.repeat(np.cumsum(sizes).astype(np.int32), sizes)  # words from here to the end of the chunk
-        self.room -= np.arange(len(self.room), dtype=np.int32)
-        self.own = ~more | (self.room > m.overlap)  # phrases that begin here belong to this chunk
-        self.weight = np.repeat(whole.column("n").to_numpy(), sizes)
-        langs = whole.column("lang").combine_chunks().dictionary_encode()
+    def __init__(self, frequent: pa.Table):
+        frequent = frequent.sort_by([("lang", "ascending"), ("n", "descending")]).combine_chunks()
+        self.words = pa.concat_arrays(frequent.column("phrase").chunks).cast(pa.binary())
+        langs = pa.concat_arrays(frequent.column("lang").chunks).dictionary_encode()
         self.langs = langs.dictionary
-        self.lang = np.repeat(langs.indices.to_numpy(), sizes)
-        words = lists.values.dictionary_encode()
-        self.words, self.code = words.dictionary, words.indices.to_numpy()
-        self.hashes = _by_language(_hash_bytes(self.words)[self.code], _hash_bytes(langs.dictionary)[self.lang])
-
-    def begins(self, n: int) -> np.ndarray:
-        return self.own & (self.room >= n)
-
-    def rolled(self, at: np.ndarray, n: int) -> np.ndarray:
-        return _rolled(self.hashes, at, n, n)
+        self.first = np.searchsorted(langs.indices.to_numpy(), np.arange(len(self.langs)))
+        self.place = {lang: k for k, lang in enumerate(self.langs.to_pylist())}
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def numbers(self, lang: str, words: pa.Array) -> np.ndarray:
+        """0 for other words."""
+        k = self.place[lang]
+        first = int(self.first[k])
+        own = self.words.slice(first, (int(self.first[k + 1]) if k + 1 < len(self.first) else len(self.words)) - first)
+        at = pc.fill_null(pc.index_in(words, value_set=own), -first - 1).to_numpy()
+        return (at + np.int32(first + 1)).astype(np.int32)
+
+    def phrases(self, numbers: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Languages and phrases of rows of numbers."""
+        lang = np.searchsorted(self.first, numbers[:, 0] - 1, "right") - 1
+        words = [self.words.take(pa.array(numbers[:, k] - 1)) for k in range(numbers.shape[1])]
+        return self.langs.take(pa.array(lang)), pc.binary_join_element_wise(*words, b" ").cast(pa.string())
+
+
+END, GAP = -1, -2
+
+
+def _cut(tokens: np.ndarray, m: Mining) -> Iterator[pa.RecordBatch]:
+    """Chunks of texts that are numbers of words, 0 for breaks, END after each text, and GAP for nothing."""
+    tokens = tokens[tokens != GAP]
+    word = np.pad(tokens > 0, 1)
+    tokens[word[1:-1] & ~word[:-2] & ~word[2:]] = 0  # a word alone is in no phrase
+    tokens = tokens[(tokens != 0) | (np.append(END, tokens[:-1]) > 0)]
+    tokens = tokens[(tokens > 0) | (np.where(tokens == END, np.append(END, tokens[:-1]), np.append(tokens[1:], END)) != END)]
+    if not len(tokens):
+        return
+    ends = tokens == END
+    times = np.where(ends, m.overlap, 1)
+    stops = np.cumsum(times)[ends]
+    starts = np.append(0, stops[:-1])
+    tokens = np.repeat(np.maximum(tokens, 0), times)
+    at = np.flatnonzero(_rolled(tokens.astype(np.uint64), np.arange(len(tokens) - m.overlap + 1), m.overlap, 1) % np.uint64(m.cut) == 0)
+    of = np.searchsorted(stops, at, "right")
+    at = at[(at > starts[of]) & (at + m.overlap < stops[of])]
+
+    def until(begin: np.ndarray) -> np.ndarray:
+        end = np.append(begin[1:], len(tokens))
+        return end + np.where(np.isin(end, stops), 0, m.overlap)
+
+    begin = np.sort(np.concatenate((starts, at)))
+    end = until(begin)
+    long = np.flatnonzero(end - begin > m.chunk_words)
+    if len(long):
+        step = m.chunk_words - m.overlap
+        begin = np.sort(np.concatenate((begin, *(np.arange(begin[i] + step, end[i] - m.overlap, step) for i in long))))
+        end = until(begin)
+    sizes = end - begin
+    offsets = np.append(0, np.cumsum(sizes))
+    values = tokens[np.repeat(begin - offsets[:-1], sizes) + np.arange(offsets[-1])].astype(np.int32)
+    chunks = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(values)])
+    yield pa.RecordBatch.from_arrays([chunks], names=["chunk"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], m: Mining, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """chunk: numbers of words as 32-bit integers."""
+    for lang, texts in _by_language(batches):
+        if lang in vocabulary.place and texts:
+            words, code = _tokens(texts)
+            numbers = vocabulary.numbers(lang, words)
+            for token, number in ((b"\x0b", END), (b"", GAP)):
+                at = pc.index(words, pa.scalar(token, pa.binary())).as_py()
+                if at >= 0:
+                    numbers[at] = number
+            yield from _cut(numbers[code], m)
+
+
+def dictionary(slim: DataFrame, m: Mining, vocabulary) -> DataFrame:
+    """Distinct chunks of lang and text with their frequencies, by a broadcast of the vocabulary."""
+    chunks = slim.mapInArrow(lambda batches: _chunks(batches, m, vocabulary.value), "chunk binary")
+    return written(chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")), "chunks")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], m: Mining, most: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some megabytes of distinct chunks at a time: their numbers in a row, whether phrases that begin there are the chunk's own, and its frequency."""
+
+    def block(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        whole = pa.Table.from_batches(held)
+        chunks = pa.concat_arrays([c.cast(pa.binary()) for c in whole.column("chunk").chunks])
+        sizes = pc.binary_length(chunks).to_numpy() // 4
+        offsets = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset :]
+        numbers = np.frombuffer(chunks.buffers()[2], np.int32)[offsets[0] // 4 : offsets[len(chunks)] // 4]
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(numbers))
+        return numbers, left > m.overlap, np.repeat(whole.column("n").to_numpy(), sizes)
 
-
-def _blocks(batches: Iterator[pa.RecordBatch], m: Mining, most: int = 2 << 20) -> Iterator[Block]:
-    """Blocks of some megabytes of chunks."""
     held, size = [], 0
-    for batch in _slices(batches, 1, 1 << 20):
+    for batch in _slices(batches, 0, 1 << 20):
         held.append(batch)
-        size += batch.column(1).nbytes
+        size += pc.sum(pc.binary_length(batch.column(0))).as_py()
         if size >= most:
-            yield Block(held, m)
+            yield block(held)
             held, size = [], 0
     if size:
-        yield Block(held, m)
-
-
-def _passing(block: Block, m: Mining, words: np.ndarray, pairs: np.ndarray | None) -> list[np.ndarray]:
-    """For 2 to longest words: where phrases begin whose words, and where pairs are known also word pairs, pass."""
-    frequent = _frequent(words, block.rolled(np.arange(len(block.hashes)), 1), m)
-    found = frequent & np.roll(frequent, -1) & (block.room >= 2)
-    if pairs is not None:
-        at = np.flatnonzero(found)
-        found[at] = _frequent(pairs, block.rolled(at, 2), m)
-    out = []
-    for n in range(2, m.longest + 1):
-        out.append(block.begins(n) & (out[-1] if out else True) & np.roll(found, 2 - n))
-    return out
-
-
-def _sketched(batches: Iterator[pa.RecordBatch], m: Mining, lengths: range, words: np.ndarray, pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """This task's capped counters of phrases, by parts of the sketch."""
-    counters = None
-    for block in _blocks(batches, m):
-        begins = _passing(block, m, words, pairs)
-        for n in lengths:
-            at = np.flatnonzero(begins[n - 2])
-            if len(at):
-                if counters is None:
-                    counters = np.zeros(1 << m.sketch_bits, m.counter)
-                weight = np.minimum(block.weight[at], m.least)
-                for slots in _slots(block.rolled(at, n), m.sketch_bits):
-                    slots, which = np.unique(slots, return_inverse=True)
-                    counters[slots] = np.minimum(counters[slots] + np.bincount(which, weight), m.least)
-    yield from _parts(counters)
-
-
-def _marked(batches: Iterator[pa.RecordBatch], m: Mining) -> Iterator[pa.RecordBatch]:
-    """The words of this task as counters at the threshold."""
-    counters = None
-    for batch in batches:
-        langs, words = (batch.column(i).dictionary_encode() for i in range(2))
-        hashes = _by_language(*(_hash_bytes(x.dictionary)[x.indices.to_numpy()] for x in (words, langs)))
-        if counters is None:
-            counters = np.zeros(1 << m.sketch_bits, m.counter)
-        for slots in _slots(_rolled(hashes, np.arange(len(hashes)), 1, 1), m.sketch_bits):
-            counters[slots] = m.least
-    yield from _parts(counters)
+        yield block(held)
 
 
-PARTS = 64
+class Level:
+    """Phrases of some words that reach the threshold, numbered from 1 on in the order of their keys."""
 
+    def __init__(self, size: int, keys: np.ndarray):
+        self.size, self.keys = size, np.sort(keys)
 
-def _parts(counters: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    if counters is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in np.split(counters, PARTS)], pa.binary())], names=["part", "counters"])
+    def ready(self, m: Mining) -> Level:
+        """With a table of where the keys begin that agree in their first bits."""
+        self.shift = np.uint64(64 - min(m.sketch_bits, len(self.keys).bit_length() + 2))
+        first = np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift)))
+        self.begin = np.append(0, np.cumsum(first)).astype(np.int32)
+        return self
 
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        """0 for other keys."""
+        out = np.zeros(len(keys), np.int32)
+        group = (keys >> self.shift).astype(np.int64)
+        at, stop = self.begin[group], self.begin[group + 1]
+        left = np.flatnonzero(at < stop)
+        at, stop = at[left], stop[left]
+        while len(left):
+            hit = self.keys[at] == keys[left]
+            out[left[hit]] = at[hit] + 1
+            on = ~hit & (at + 1 < stop)
+            left, at, stop = left[on], at[on] + 1, stop[on]
+        return out
 
-def _sketch(parts: DataFrame, m: Mining):
-    """Counters of all tasks, summed part by part, as a broadcast. The driver gets one sketch of 2^sketch_bits capped counters."""
 
-    def summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << m.sketch_bits) // PARTS, np.uint32)
-        for batch in batches:
-            for part in batch.column("counters"):
-                total = np.minimum(total + np.frombuffer(part.as_buffer(), m.counter), m.least)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(m.counter).tobytes()], pa.binary())], names=["part", "counters"])
+class Levels:
+    """Keys of phrases: two numbers of the level before, of their first and of their last words, as one, mixed."""
 
-    out = np.zeros(1 << m.sketch_bits, m.counter).reshape(PARTS, -1)
-    for row in parts.groupBy("part").applyInArrow(summed, "part int, counters binary").collect():
-        out[row["part"]] = np.frombuffer(bytes(row["counters"]), m.counter)
-    return parts.sparkSession.sparkContext.broadcast(out.tobytes())
+    def __init__(self, words: int):
+        self.words, self.levels = words, []
 
+    @property
+    def size(self) -> int:
+        """Words of the phrases of the last level."""
+        return self.levels[-1].size if self.levels else 1
+
+    def span(self, k: int) -> np.uint64:
+        return np.uint64((len(self.levels[k - 1].keys) if k else self.words) + 1)
+
+    def places(self, numbers: np.ndarray, reach: int) -> np.ndarray:
+        """Where a number and so many after it are known."""
+        known = numbers > 0
+        out = known[: len(known) - reach].copy()
+        for k in range(1, reach + 1):
+            out &= known[k : len(known) - reach + k]
+        return np.flatnonzero(out)
+
+    def keys(self, k: int, numbers: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
+        return _mixed(numbers[at].astype(np.uint64) * self.span(k) + numbers[at + reach].astype(np.uint64))
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """Of the phrases of the last level that begin at each place."""
+        numbers, size = words, 1
+        for k, level in enumerate(self.levels):
+            at = self.places(numbers, level.size - size)
+            out = np.zeros(len(words), np.int32)
+            out[at] = level.numbers(self.keys(k, numbers, at, level.size - size))
+            numbers, size = out, level.size
+        return numbers
+
+    def of(self, keys: np.ndarray, size: int) -> np.ndarray:
+        """The words' numbers of phrases counted on top of the last level, a row a phrase."""
+
+        def row(k: int, keys: np.ndarray, size: int) -> np.ndarray:
+            base = self.levels[k - 1].size if k else 1
+            parts = [x.astype(np.int64) for x in np.divmod(_unmixed(keys), self.span(k))]
+            first, last = [row(k - 1, self.levels[k - 1].keys[x - 1], base) if k else x.reshape(-1, 1) for x in parts]
+            return np.hstack([first, last[:, 2 * base - size :]])
+
+        return row(len(self.levels), keys, size)
+
+
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in their order, with sums."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[new], np.add.reduceat(n[order], new) if len(keys) else n
+
+
+def _counted(batches: Iterator[pa.RecordBatch], m: Mining, lengths: range, levels: Levels, parts: int, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+    """size (words of phrases), part, keys (distinct and in their order), n: summed over so many places in chunks."""
+    for level in levels.levels:
+        level.ready(m)
+    bounds = np.array([k * (2**64 // parts) for k in range(1, parts)], np.uint64)
+    once: dict[int, list[np.ndarray]] = {n: [] for n in lengths}
+    often: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in lengths}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for size in lengths:
+            for keys, n in (np.unique(np.concatenate(once[size]), return_counts=True), _added(*map(np.concatenate, zip(*often[size], strict=True)))):
+                at = [0, *np.searchsorted(keys, bounds), len(keys)]
+                some = [k for k in range(parts) if at[k] < at[k + 1]]
+                blobs = [pa.array([x[at[k] : at[k + 1]].tobytes() for k in some], pa.binary()) for x in (keys, n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array([size] * len(some), pa.int32()), pa.array(some, pa.int32()), *blobs], names=["size", "part", "keys", "n"])
+            once[size].clear()
+            often[size].clear()
+
+    held = 0
+    for words, own, weight in _blocks(batches, m):
+        numbers = levels.numbers(words)
+        for size in lengths:
+            reach = size - levels.size
+            at = levels.places(numbers, reach)
+            at = at[own[at]]
+            keys, n = levels.keys(len(levels.levels), numbers, at, reach), weight[at]
+            one = n == 1
+            once[size].append(keys[one])
+            often[size].append((keys[~one], n[~one]))
+            held += len(at)
+        if held > most:
+            yield from rows()
+            held = 0
+    if held:
+        yield from rows()
 
-def _counted(batches: Iterator[pa.RecordBatch], m: Mining, words: np.ndarray, pairs: np.ndarray, longer: np.ndarray, most: int = 300_000) -> Iterator[pa.RecordBatch]:
-    """lang, chunk (the phrase), kind (its words), n: phrases of two words and more that may reach the threshold, summed over
-    the task's blocks as long as there are no more than `most` of them.
 
-    Phrases are told apart by numbers given to their words, then to their first words and the last: never by hashes.
-    """
-    held: list[pa.Table] = []
-    for block in _blocks(batches, m):
-        begins = _passing(block, m, words, pairs)
-        width = len(block.words)
-        number = block.lang.astype(np.int64) * width + block.code
-        for n in range(2, m.longest + 1):
-            places = np.flatnonzero(begins[n - 2] & (number >= 0))
-            if n > 2:
-                places = places[_frequent(longer, block.rolled(places, n), m)]
-            if not len(places):
-                break
-            keys = number[places] * width + block.code[places + n - 1]
-            order = np.argsort(keys, kind="stable")
-            new = np.flatnonzero(np.diff(keys[order], prepend=-1))
-            heads = places[order[new]]
-            phrases = pc.binary_join_element_wise(*(block.words.take(pa.array(block.code[heads + k])) for k in range(n)), " ")
-            held.append(_table(block.langs.take(pa.array(block.lang[heads])), phrases, np.full(len(heads), n), np.add.reduceat(block.weight[places][order], new)))
-            # Places of the same words get the same number; -1: the first words of a phrase fall short, and so does the phrase.
-            number = np.full(len(number), -1, np.int64)
-            number[places[order]] = np.repeat(np.arange(len(new)), np.diff(new, append=len(order)))
-        if sum(map(len, held)) > most:
-            held = [_summed(held)]
-            if len(held[0]) > most // 2:
-                yield from held.pop().to_batches()
-    if held:
-        yield from _summed(held).to_batches()
+def _frequent(batches: Iterator[pa.RecordBatch], m: Mining, levels: Levels, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, size, n, key: phrases of a part that reach the threshold."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        for size, keys, n in zip(batch.column("size").to_pylist(), batch.column("keys"), batch.column("n"), strict=True):
+            held.setdefault(size, []).append((np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)))
+    for size, some in held.items():
+        keys, n = _added(*map(np.concatenate, zip(*some, strict=True)))
+        keys, n = keys[n >= m.least], n[n >= m.least]
+        if len(keys):
+            lang, phrase = vocabulary.phrases(levels.of(keys, size))
+            yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), phrase, pa.array(np.full(len(n), size), pa.int32()), pa.array(n), pa.array(keys.view(np.int64))], names=["lang", "phrase", "size", "n", "key"])
 
 
-#: Compressed bytes of chunks for a task that counts; no fewer tasks than twice the cores.
-COUNTING_BYTES = 256 << 20
+#: Compressed bytes of chunks for a task that counts, no fewer tasks than twice the cores; and for a part that adds up, no fewer parts than shuffle partitions.
+COUNTING_BYTES, PART_BYTES = 256 << 20, 16 << 20
 
 
-def _to_count(chunks: DataFrame) -> DataFrame:
-    """chunks in fewer, longer tasks: a task sends each phrase once however much it reads."""
-    spark = chunks.sparkSession
-    size = sum(spark._jvm.org.apache.hadoop.fs.Path(f).getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(spark._jvm.org.apache.hadoop.fs.Path(f)).getLength() for f in {f.rsplit("/", 1)[0] for f in chunks.inputFiles()})
-    return chunks.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-size // COUNTING_BYTES)))
+def _size(df: DataFrame) -> int:
+    """Bytes of a written table."""
+    path, conf = df.sparkSession._jvm.org.apache.hadoop.fs.Path, df.sparkSession._jsc.hadoopConfiguration()
+    return sum(path(f).getFileSystem(conf).getContentSummary(path(f)).getLength() for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
 def phrase_counts(docs: DataFrame, m: Mining = Mining(), text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, phrase, size, n: phrases of 1 to longest words that stand least times or more; size 0 has n of all words."""
-    all_ = dictionary(docs, m, text, lang)
-    chunks, words = _to_count(all_).where(F.col("kind") < WORD), all_.where(F.col("kind") == WORD)
-    frequent = words.where(F.col("n") >= m.least)
-    totals = words.groupBy("lang").agg(F.lit("").alias("phrase"), F.lit(0).alias("size"), F.sum("n").alias("n"))
-    read = lambda x: np.frombuffer(x.value, m.counter) if x else None
-    known = _sketch(frequent.select("lang", "chunk").mapInArrow(lambda batches: _marked(batches, m), "part int, counters binary"), m)
-
-    def sketch(lengths: range, pairs=None):
-        return _sketch(chunks.mapInArrow(lambda batches: _sketched(batches, m, lengths, read(known), read(pairs)), "part int, counters binary"), m)
-
-    pairs = sketch(range(2, 3))
-    longer = sketch(range(3, m.longest + 1), pairs)
-    counted = chunks.mapInArrow(lambda batches: _counted(batches, m, read(known), read(pairs), read(longer)), "lang string, chunk string, kind int, n bigint")
-    counted = counted.groupBy("lang", F.col("chunk").alias("phrase"), F.col("kind").alias("size")).agg(F.sum("n").alias("n")).where(F.col("n") >= m.least)
-    found = written(counted.unionByName(frequent.select("lang", F.col("chunk").alias("phrase"), F.lit(1).alias("size"), "n")).unionByName(totals), "phrases")
-    removed(all_)
+    spark = docs.sparkSession
+    slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
+    words = slim.mapInArrow(_words, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    found = written(words.where((F.col("n") >= m.least) | (F.col("phrase") == "")).select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(1).alias("size"), "n"), "words")
+    frequent = found.where("size = 1").select("lang", "phrase", "n").toArrow()
+    if not len(frequent):
+        return found
+    vocabulary, levels = spark.sparkContext.broadcast(Vocabulary(frequent)), Levels(len(frequent))
+    chunks = dictionary(slim, m, vocabulary)
+    size = _size(chunks)
+    fewer, parts = chunks.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-size // COUNTING_BYTES))), max(partitions(spark), -(-size // PART_BYTES))
+
+    def counted(lengths: range) -> DataFrame:
+        known = spark.sparkContext.broadcast(levels)
+        sums = fewer.mapInArrow(lambda batches: _counted(batches, m, lengths, known.value, parts), "size int, part int, keys binary, n binary").repartitionById(parts, F.col("part"))
+        return written(sums.mapInArrow(lambda batches: _frequent(batches, m, known.value, vocabulary.value), "lang string, phrase string, size int, n bigint, key bigint"), "phrases")
+
+    while levels.size < m.longest:
+        lengths = range(levels.size + 1, min(m.longest, 3 if levels.size == 2 else 2 * levels.size) + 1)
+        phrases = counted(lengths)
+        found = found.unionByName(phrases.drop("key"))
+        keys = phrases.where(F.col("size") == lengths[-1]).select("key").toArrow().column("key").to_numpy().view(np.uint64) if lengths[-1] < m.longest else ()
+        if not len(keys):
+            break
+        levels.levels.append(Level(lengths[-1], keys))
+    removed(chunks)
     return found
 
 
