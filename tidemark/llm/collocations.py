@@ -108,7 +108,7 @@ def _summed(tables: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
 
 
-def _words(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def _words(batches: Iterator[pa.RecordBatch], most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """lang, phrase (a word; empty for all of them), n: summed over the task as long as there are no more than `most` of them."""
     held: list[pa.Table] = []
     for lang, texts in _by_language(batches):
